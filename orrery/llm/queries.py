@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, chat, decontaminate, secrets, topk
+from orrery.llm import bpe, chat, decontaminate, quality, secrets, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,52 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(hostile)))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    sample = quality.training_rows(documents, labels, "quality", allowed=~quality.held_out(F.col("doc_id")))
+    scored = quality.score(documents.select("doc_id", "text"), quality.train(sample))
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures made of ``pages``: each page's full response, and a later revisit of its URL.
+
+    Every fifth revisit carries the tag of another body, and every eleventh no tag.
+    """
+    page = F.col("page_id")
+    tag = F.md5(F.col("html"))
+    kept = F.md5(F.concat(F.col("url"), F.lit("#changed")))
+    records = F.array(
+        F.struct(
+            (page * 2).alias("record_id"),
+            page.alias("captured_at"),
+            F.lit("response").alias("kind"),
+            tag.alias("etag"),
+            F.concat(F.lit("day "), (page % 30).cast("string")).alias("last_modified"),
+            F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), page.cast("string"), F.lit("ETag"), tag).alias("headers"),
+        ),
+        F.struct(
+            (page * 2 + 1).alias("record_id"),
+            (page + 1 + page % 7).alias("captured_at"),
+            F.lit("revisit").alias("kind"),
+            F.when(page % 11 == 0, F.lit(None)).when(page % 5 == 0, kept).otherwise(tag).alias("etag"),
+            F.concat(F.lit("day "), (page % 30).cast("string")).alias("last_modified"),
+            F.create_map(F.lit("Date"), (page + 1 + page % 7).cast("string"), F.lit("X-Cache"), F.lit("HIT")).alias("headers"),
+        ),
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.select("url", F.inline(records)).withColumn("digest", F.lit(None).cast("string"))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve(captures(spark, sf_dir)).withColumn("headers", warc.header_text(F.col("headers")))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("n_hit", decontaminate.n_hit()).select(
@@ -55,6 +101,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    model = toxicity.train(toxicity.training_rows(documents, labels))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", "expected_severity", "p_toxic", (F.col("p_toxic") >= toxicity.CALLED).cast("int").alias("toxic"))
+
+
 def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
@@ -62,10 +115,38 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_secret_scans, op3_chat_formatting, op6_benchmark_decontamination, op8_bpe, op10_top_k_search)
+    for f in (op2_secret_scans, op3_chat_formatting, op4_quality_classifier, op5_warc_revisits, op6_benchmark_decontamination, op8_bpe, op9_toxicity, op10_top_k_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc_revisits": r"""
+WITH u AS (
+  SELECT page_id, md5(html) AS tag, md5(url || '#changed') AS other,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url),
+      '#.*$', ''), '^[Hh][Tt][Tt][Pp][Ss]?://', ''), '(utm_[a-z]+|ref)=[^&]*&?', '', 'g'), '[?&]+$', ''), '/+$', '') AS k
+  FROM pages
+), c AS (
+  SELECT *, regexp_replace(lower(regexp_extract(k, '^([^/?]*)', 1)), '^www[.]', '') || regexp_extract(k, '^[^/?]*(.*)$', 1) AS url_key
+  FROM u
+), f AS (
+  SELECT r.page_id AS page_id, r.url_key AS url_key, max(b.page_id) AS base
+  FROM c r LEFT JOIN c b ON b.url_key = r.url_key AND b.page_id < r.page_id + 1 + r.page_id % 7
+  GROUP BY r.page_id, r.url_key
+), j AS (
+  SELECT f.*, b.tag AS base_tag, b.page_id % 30 AS base_day,
+    CASE WHEN f.page_id % 11 = 0 THEN NULL WHEN f.page_id % 5 = 0 THEN r.other ELSE r.tag END AS tag
+  FROM f JOIN c r ON r.page_id = f.page_id LEFT JOIN c b ON b.page_id = f.base
+), o AS (
+  SELECT *, CASE WHEN base IS NULL THEN 'no_response'
+    WHEN (tag IS NOT NULL AND tag = base_tag) OR (tag IS NULL AND base_day = page_id % 30) THEN 'resolved'
+    ELSE 'mismatch' END AS outcome
+  FROM j
+)
+SELECT 2 * page_id + 1 AS record_id, url_key, 2 * base AS base_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || (page_id + 1 + page_id % 7)
+    || chr(10) || 'etag: ' || base_tag END AS headers
+FROM o
+""",
     "op10_top_k_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
