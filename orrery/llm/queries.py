@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, chat, decontaminate, quality, secrets, topk, toxicity, warc
+from orrery.llm import bpe, chat, decontaminate, quality, secrets, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.labelled_samples(spark, table(spark, sf_dir, "benchmark")))
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -115,7 +120,7 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_secret_scans, op3_chat_formatting, op4_quality_classifier, op5_warc_revisits, op6_benchmark_decontamination, op8_bpe, op9_toxicity, op10_top_k_search)
+    for f in (op1_suffix_array_dedup, op2_secret_scans, op3_chat_formatting, op4_quality_classifier, op5_warc_revisits, op6_benchmark_decontamination, op8_bpe, op9_toxicity, op10_top_k_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
