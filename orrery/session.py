@@ -29,3 +29,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(to)
     _SHIPPED.add(app)
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go where ``spark.checkpoint.dir`` says; only where nothing is set, to a local folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="orrery-checkpoints-"))
