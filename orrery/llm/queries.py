@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, chat, decontaminate, quality, secrets, substrings, topk, toxicity, warc
+from orrery.llm import bpe, chat, decontaminate, jaccard, quality, secrets, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -120,7 +125,7 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_array_dedup, op2_secret_scans, op3_chat_formatting, op4_quality_classifier, op5_warc_revisits, op6_benchmark_decontamination, op8_bpe, op9_toxicity, op10_top_k_search)
+    for f in (op1_suffix_array_dedup, op2_secret_scans, op3_chat_formatting, op4_quality_classifier, op5_warc_revisits, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_bpe, op9_toxicity, op10_top_k_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
