@@ -1,10 +1,83 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last keep
+the columns of ``documents``.  A document id names one document: of rows that share an
+id, the join keeps the one with the least text; rows without an id pass it.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orrery.llm import bpe, decontaminate, jaccard, quality, secrets
+from orrery.session import ensure_checkpoints
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sample = quality.training_rows(docs, labels, "quality", allowed=~quality.held_out(F.col("doc_id")))
+    scored = quality.score(docs.select(*COLUMNS), quality.train(sample))
+    return scored.where(F.col("score") >= 0.5).select(*COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of every component of near copies."""
+    found = jaccard.join(docs.select("doc_id", "text"))
+    first = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    one = Window.partitionBy("doc_id").orderBy("text")
+    kept = kept.withColumn("place", F.row_number().over(one)).where("place = 1").drop("place")
+    return kept.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark's windows do not contaminate, by the contract's rule."""
+    found = decontaminate.scan(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~decontaminate.contaminated(decontaminate.n_hit(), F.col("n_words"))).select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark."""
+    model = secrets.train(secrets.labelled_samples(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    found = secrets.scan(docs.select(*COLUMNS), model)
+    return found.withColumn("text", secrets.redact(F.col("text"), F.col("spans"))).select(
+        "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")
+    )
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and whether they decode to it."""
+    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS)))
+    return coded.select(
+        "doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("identical"),
+    )
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("secret scans", redact_secrets),
+    ("BPE encoding and decoding", encode),
+]
+
+#: No SQL says what a fitted classifier rejects; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result lies in the checkpoint folder before the next begins."""
+    ensure_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4()}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

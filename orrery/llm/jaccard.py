@@ -110,7 +110,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         elif b > a:
             own = np.uint64(b - a)
             for w in words[a:b]:
-                own = mix(np.array([own * np.uint64(_BASE) + w], np.uint64))[0]
+                own = mix(np.array([(int(own) * _BASE + int(w)) & (1 << 64) - 1], np.uint64))[0]
             out.append(np.array([own], np.uint64))
         else:
             out.append(np.empty(0, np.uint64))
@@ -231,7 +231,7 @@ def sketch(surveyed: DataFrame) -> bytes:
         total = np.zeros(COUNTERS // 32, np.uint32)
         for x in table.column("counts").to_pylist():
             total += np.frombuffer(x, np.uint16)
-        return pa.table({"part": [table.column("part")[0].as_py()], "counts": [total.tobytes()]})
+        return pa.table({"part": table.column("part").combine_chunks().slice(0, 1), "counts": [total.tobytes()]})
 
     rows = surveyed.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     blocks = {r["part"]: bytes(r["counts"]) for r in rows}
