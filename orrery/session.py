@@ -6,8 +6,9 @@ import os
 import zipfile
 from pathlib import Path
 from tempfile import mkdtemp
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
@@ -36,3 +37,19 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="orrery-checkpoints-"))
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared checkpoint folder and read again: its lineage ends there."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the files of a kept table that nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
