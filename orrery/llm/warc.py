@@ -6,9 +6,10 @@ revisit's validators are then checked against that response (the entity tag wher
 have one, else the modification date, else the payload digest), and the headers that a
 not-modified answer may update replace the response's own.
 
-The join never gathers a URL's whole history in one task.  Time is cut into spans; within
-a span a window finds the latest response, and what a span inherits comes from one row
-per (URL, span).  Bodies do not move: the result names the response they stand in.
+The join is one window over a URL's history, without any join.  Where some URL has more
+than ``SPAN_ROWS`` captures, time is cut into spans, so that no task gathers a URL's whole
+history; what a span inherits then comes from one row per (URL, span).  Bodies do not
+move: the result names the response they stand in.
 
 Input rules: a null URL, time or id stays unresolved ("no_response"); responses at the
 revisit's own time do not count as earlier; of responses at one time the one with the
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Header fields that a not-modified answer may update (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified")
-#: Captures of a URL that one span of time holds on average, at most.
+#: Captures of the most captured URL that a span of time holds on average, at most.
 SPAN_ROWS = 4096
 
 
@@ -42,7 +43,7 @@ def canonical(url: Column) -> Column:
     return F.concat(F.regexp_replace(host, "^www[.]", ""), rest)
 
 
-def resolve(records: DataFrame, span: int | None = None) -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, url_key, base_id, outcome and merged headers.
 
     ``records``: record_id long, url, captured_at long, kind ("response" or "revisit"),
@@ -55,31 +56,25 @@ def resolve(records: DataFrame, span: int | None = None) -> DataFrame:
         F.col("captured_at").cast("long").alias("at"),
         "kind", "etag", "last_modified", "digest", "headers",
     )
-    if span is None:
-        seen = own.agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).first()
-        spans = max(1, (seen["n"] or 0) // SPAN_ROWS)
-        span = max(1, ((seen["b"] or 0) - (seen["a"] or 0)) // spans + 1)
-    own = own.withColumn("span", F.floor(F.col("at") / F.lit(span)))
-    revisits = own.where(F.col("kind") == "revisit")
-    known = own.where((F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url_key").isNotNull())
-    seen_type, asked = "struct<at:bigint,record_id:bigint>", F.struct("record_id", "etag", "last_modified", "digest", "headers")
-    rows = known.select(
-        "url_key", "span", "at", F.struct("at", "record_id").alias("seen"), F.lit(None).alias("asked"), F.lit(False).alias("revisit")
-    ).unionByName(
-        revisits.select("url_key", "span", "at", F.lit(None).cast(seen_type).alias("seen"), asked.alias("asked"), F.lit(True).alias("revisit"))
-    )
+    most = own.where(F.col("url_key").isNotNull()).groupBy("url_key").count().agg(F.max("count")).first()[0] or 0
+    spans = -(-most // SPAN_ROWS)
+    keys = ["url_key"]
+    if spans > 1:
+        seen = own.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+        own = own.withColumn("span", F.floor(F.col("at") / F.lit(max(1, (seen["b"] - seen["a"]) // spans + 1))))
+        keys.append("span")
+    known = (F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url_key").isNotNull()
+    when = F.when(known, F.struct("at", "record_id"))
+    base = F.struct("record_id", "etag", "last_modified", "digest", "headers")
     # The latest response before the revisit within its own span, else what the span inherits.
-    earlier = Window.partitionBy("url_key", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    found = (
-        rows.withColumn("last", F.max("seen").over(earlier))
-        .where("revisit")
-        .join(inherited(known, revisits), ["url_key", "span"], "left")
-        .select("url_key", "asked.*", F.coalesce("last", "inherited")["record_id"].alias("base_id"))
-    )
-    base = known.groupBy(F.col("record_id").alias("base_id")).agg(
-        F.max_by(F.struct("etag", "last_modified", "digest", "headers"), "at").alias("base")
-    )
-    joined = found.join(base, "base_id", "left")
+    earlier = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    joined = own.withColumn("base", F.max_by(F.when(known, base), when).over(earlier)).where(F.col("kind") == "revisit")
+    if spans > 1:
+        newest = own.groupBy(*keys).agg(F.max(when).alias("newest"), F.max_by(F.when(known, base), when).alias("last"))
+        before = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        handed = newest.withColumn("inherited", F.max_by("last", "newest").over(before)).select(*keys, "inherited")
+        joined = joined.join(handed, keys, "left").withColumn("base", F.coalesce("base", "inherited"))
+    joined = joined.withColumn("base_id", F.col("base.record_id"))
     same = (
         F.when(F.col("etag").isNotNull() & F.col("base.etag").isNotNull(), weak(F.col("etag")) == weak(F.col("base.etag")))
         .when(F.col("last_modified").isNotNull() & F.col("base.last_modified").isNotNull(), F.col("last_modified") == F.col("base.last_modified"))
@@ -94,15 +89,6 @@ def resolve(records: DataFrame, span: int | None = None) -> DataFrame:
     )
 
 
-def inherited(known: DataFrame, revisits: DataFrame) -> DataFrame:
-    """(url_key, span, inherited): one row per span of a URL that has any record."""
-    last = known.groupBy("url_key", "span").agg(F.max(F.struct("at", "record_id")).alias("newest"))
-    asked = revisits.where(F.col("url_key").isNotNull() & F.col("span").isNotNull()).select("url_key", "span").distinct()
-    every = last.join(asked, ["url_key", "span"], "full")
-    before = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    return every.withColumn("inherited", F.max("newest").over(before)).select("url_key", "span", "inherited")
-
-
 def weak(tag: Column) -> Column:
     """An entity tag without its weakness mark, for weak comparison."""
     return F.regexp_replace(tag, "^W/", "")
