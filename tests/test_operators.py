@@ -58,8 +58,8 @@ def test_weighted_scores(spark):
 def greedy_rows(n, rnd):
     return pd.DataFrame(
         {
-            "topic": "t", "doc": np.arange(n), "facets": [list(np.round(rnd.random(3), 1)) for _ in range(n)], "g": np.round(rnd.random(n), 1), "n": np.round(rnd.random(n), 1),
-            "r": np.round(rnd.random(n), 1), "original_rank": rnd.permutation(n) + 1, "best_facet_rank": rnd.permutation(n) + 1,
+            "topic": "t", "doc": np.arange(n), "facets": [list(rnd.random(3)) for _ in range(n)], "g": rnd.random(n), "n": rnd.random(n),
+            "r": rnd.random(n), "original_rank": rnd.permutation(n) + 1, "best_facet_rank": rnd.permutation(n) + 1,
             "terms": [sorted({f"w{x}" for x in rnd.integers(0, 6, 5)}) for _ in range(n)],
         }
     )
@@ -104,16 +104,14 @@ def test_dual_equals_its_definition():
             rows = greedy_rows(25, rnd)
             found = G.dual_order(rows.sample(frac=1, random_state=1), use, prefix)
             expected = slow_dual(rows, use, prefix)
-            same = sum(a == b for a, b in zip(found["doc"], expected))
-            assert sorted(found["doc"]) == list(range(25)) and list(found["final_rank"]) == list(range(1, 26))
-            assert same == 25 or abs(found["objective"].sum()) > 0 and same >= 5
+            assert list(found["doc"]) == expected and list(found["final_rank"]) == list(range(1, 26))
 
 
 def test_facet_order_covers_first():
     rows = greedy_rows(4, np.random.default_rng(1))
     rows["facets"] = [[1.0, 0.0, 0.0], [0.9, 0.0, 0.0], [0.0, 0.9, 0.0], [0.0, 0.0, 0.8]]
     rows["r"] = 0.5
-    assert list(G.facet_order(rows)["doc"]) == [0, 1, 2, 3] or list(G.facet_order(rows)["doc"])[:2] == [0, 2]
+    assert list(G.facet_order(rows)["doc"]) == [0, 2, 3, 1]
     with pytest.raises(ValueError):
         G._bounded(pd.DataFrame({"doc": np.arange(G.MOST + 1)}))
 
@@ -168,8 +166,8 @@ def test_sign_flip_and_bootstrap(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([("The  organization's Relational models, 2.5 not running in Paris.\nNext one",)], "t string")
     r = df.select(X.terms(F.col("t")).alias("terms"), X.guard_signature(F.col("t")).alias("g"), X.sentences(F.col("t")).alias("s"), X.word_count(F.col("t")).alias("n"), X.inner_boundaries(F.lit("Dr. Smith came. He left. J. Doe")).alias("b")).first()
-    assert r["terms"][:3] == ["organize", "relate", "model"[:5] + ""] or r["terms"][0] == "organize"
-    assert r["g"] == "2.5|neg|organization,paris,relational" or r["g"].startswith("2.5|neg|")
+    assert r["terms"] == ["organize", "s", "relate", "model", "2", "5", "not", "runn", "pari", "next", "one"]
+    assert r["g"] == "2.5|neg|paris,relational"
     assert [s["complete"] for s in r["s"]][-1] is False and r["n"] == 11 and r["b"] == 2
 
 
