@@ -51,8 +51,8 @@ def test_sets_and_links_equal_brute_force():
 
 def test_tree_finds_all_within_the_bound():
     rnd = np.random.default_rng(1)
-    points = rnd.integers(0, 6, (3000, J.GROUPS)).astype(np.int32)
-    points[1500:] = points[:1500] + rnd.integers(0, 2, (1500, J.GROUPS))
+    points = rnd.integers(0, 6, (3000, 64)).astype(np.int32)
+    points[1500:] = points[:1500] + rnd.integers(0, 2, (1500, 64))
     sizes = points.sum(axis=1)
     tree = J.CountTree(points, sizes)
     for q in range(0, 3000, 311):
@@ -60,6 +60,24 @@ def test_tree_finds_all_within_the_bound():
         assert sorted(tree.search(points[q], int(sizes[q]))) == expected.tolist()
 
 
+def test_points_lose_no_link():
+    rnd = np.random.default_rng(6)
+    sets = []
+    for n in (5, 40, 700, 760, 800, 3000, 3100, 20_000):
+        base = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets += [base, np.sort(base[: int(len(base) * 0.8)]), np.sort(rnd.permutation(base)[: int(len(base) * 0.76)]), np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))]
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate([J.point_of(s, int(J.groups_of(len(s)))) for s in sets])
+    points = J.Points(flat, sizes, np.arange(len(sets)))
+    every = np.arange(len(sets))
+    found = {tuple(sorted(p)) for part in points.pairs(every) for p in part.tolist()}
+    a, b = np.triu_indices(len(sets), 1)
+    passed = {(i, j) for i, j, ok in zip(a.tolist(), b.tolist(), points.may_link(a, b)) if ok}
+    linked = {(i, j) for i, j in zip(a.tolist(), b.tolist()) if J.links(sets[i], sets[j])}
+    assert linked <= found == passed
+    assert len(found) < 3 * len(linked)
+
+
 def test_spanning_joins_the_same():
     rnd = random.Random(2)
     for _ in range(100):

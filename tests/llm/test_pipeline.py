@@ -42,7 +42,7 @@ def test_stages(spark, folder, tmp_path):
             model = quality.train(quality.training_rows(before, labels, "quality", allowed=~quality.held_out(F.col("doc_id"))))
             assert left == sorted((i for i, t in texts if quality.Scorer(model)((t or "").encode()) >= 0.5), key=repr)
         elif k == 1:
-            assert left == sorted((i for i, _, c in components(texts) if i == c), key=repr)
+            assert left == sorted((i for i, _, c in components(texts) if i is None or i == c), key=repr)
         elif k == 2:
             bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
             assert left == sorted((i for i, n, hit, _ in contaminated(texts, bench) if not (hit and 20 * hit >= n)), key=repr)
