@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import drop, keep
+
 #: Rounds after which a graph counts as broken; each round at least halves distances.
 MOST_ROUNDS = 60
 
@@ -13,12 +15,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; the root is the least node of its component.
 
     Alternates large-star and small-star steps: each hangs a node's neighbours on the
-    least of them.  Rounds are cut by checkpoints, which every executor can read again.
+    least of them.  Each round is written to the shared folder, where every executor can
+    read it again, and the one before is dropped.
     """
-    links = _star(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), small=True).checkpoint()
-    before = None
+    links = _star(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), small=True)
+    links, before = keep(links), None
     for _ in range(MOST_ROUNDS):
-        links = _star(_star(links, small=False), small=True).checkpoint()
+        last, links = links, keep(_star(_star(links, small=False), small=True))
+        drop(last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

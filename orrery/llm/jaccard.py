@@ -4,8 +4,9 @@ Two documents link when the Jaccard similarity of their sets of distinct five-wo
 shingles is ``PERCENT`` / 100 or more.  Documents with equal sets form one class, and
 everything below works on classes.
 
-* Shingles are hashed into ``GROUPS`` groups; a class's count of each is a point.  The
-  sum of coordinate minima of two points bounds the overlap of their sets from above.
+* Shingles are hashed into groups, more of them for larger sets; a class's count of each
+  is a point.  The sum of coordinate minima of two points bounds the overlap of their
+  sets from above.  Groups nest, so that points of neighbouring sizes can be compared.
 * Points meet in an R-tree (packed by sorting, boxes with greatest coordinates): a box
   is entered only if the minima with its upper corner still allow the overlap that the
   sizes demand; points that pass are candidates, and their sets are compared exactly.
@@ -37,15 +38,21 @@ from pyspark.sql import functions as F
 
 from orrery.llm.arrow import pieces, texts_of
 from orrery.llm.graph import components
-from orrery.session import ensure_checkpoints
+from orrery.session import keep
 
-WORDS, PERCENT, GROUPS = 5, 75, 64
+WORDS, PERCENT = 5, 75
+#: Fewest groups of a point, groups for each shingle of a larger set, groups in verification.
+GROUPS, GROUPS_EACH, VERIFY_GROUPS = 128, 1 / 6, 1024
 #: Bytes of a bucket, prefix shingles of a shard on average, shingles of a block's part.
-BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 12 << 20, 800_000, 1_000_000
+BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 8 << 20, 2_000_000, 4_000_000
 #: Counters of the sketch, and points of an R-tree's leaf.
 COUNTERS, LEAF = 1 << 21, 32
 #: Up to so many sets outside a component are asked one by one, without the tree.
 FEW = 512
+#: Rows of six numbers that may be broadcast; above, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+#: Shards whose blocks are joined in one task before the graph is built.
+COMBINED = 8
 STEP = 1 << 17
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SPACES = np.zeros(256, bool)
@@ -141,6 +148,70 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return int((b[at] == a).sum()) >= need
 
 
+def groups_of(n):
+    """How many groups the point of a set of ``n`` shingles has: a power of two."""
+    wanted = np.maximum(np.asarray(n) * GROUPS_EACH, GROUPS)
+    return (1 << np.ceil(np.log2(wanted)).astype(np.int64)).astype(np.int64)
+
+
+def point_of(shingles: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points (rows) over fewer groups."""
+    return points.reshape(len(points), -1, groups).sum(axis=1) if points.shape[1] > groups else points
+
+
+class Points:
+    """Points of several classes, in one matrix for each number of groups."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, keep: np.ndarray):
+        """``flat``: all points end to end; ``sizes``: shingles of each; ``keep``: which to hold."""
+        groups = groups_of(sizes) if len(sizes) else np.empty(0, np.int64)
+        begin = np.cumsum(groups) - groups
+        self.n, self.groups = sizes[keep], groups[keep]
+        self.row, self.bands = np.empty(len(keep), np.int64), {}
+        for g in np.unique(self.groups).tolist():
+            own = np.flatnonzero(self.groups == g)
+            self.row[own] = np.arange(len(own))
+            self.bands[g] = flat[begin[keep[own]][:, None] + np.arange(g)].astype(np.int32)
+
+    def of(self, members: np.ndarray, groups: int) -> np.ndarray:
+        """Points of members that all have one number of groups, over ``groups``."""
+        return folded(self.bands[int(self.groups[members[0]])][self.row[members]], groups)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs the bound lets pass."""
+        need = needed(self.n[a], self.n[b])
+        ok = np.minimum(self.n[a], self.n[b]) >= need
+        for ga, gb in set(zip(self.groups[a[ok]].tolist(), self.groups[b[ok]].tolist())):
+            some = np.flatnonzero(ok & (self.groups[a] == ga) & (self.groups[b] == gb))
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                g = min(ga, gb)
+                bound = np.minimum(self.of(a[part], g), self.of(b[part], g)).sum(axis=1)
+                ok[part] = bound >= need[part]
+        return ok
+
+    def pairs(self, members: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of members that the bound lets pass, found in R-trees: one for each number of groups."""
+        trees = {}
+        for g in np.unique(self.groups[members]).tolist():
+            own = members[self.groups[members] == g]
+            trees[g] = own, CountTree(self.of(own, g), self.n[own])
+        for g, (own, tree) in trees.items():
+            lower, below = trees.get(g // 2, (None, None))
+            points, small = self.of(own, g), self.of(own, g // 2) if below else None
+            for k, m in enumerate(own.tolist()):
+                near = tree.search(points[k], int(self.n[m]))
+                near = own[near[near > k]]
+                if below:
+                    near = np.concatenate([near, lower[below.search(small[k], int(self.n[m]))]])
+                if len(near):
+                    yield np.stack([np.full(len(near), m), near], axis=1)
+
+
 class CountTree:
     """R-tree over points of group counts, searched by the bound on overlap."""
 
@@ -196,7 +267,7 @@ class Order:
 def survey(df: DataFrame) -> DataFrame:
     """One pass over all rows (id, text): each row's class and size, and each task's counts.
 
-    Kept by checkpoint: rows of kind "row" (id, class, n), and "counts" (part, counts).
+    Two kinds of rows: rows (id, class, n), and (part, counts).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,20 +288,30 @@ def survey(df: DataFrame) -> DataFrame:
                     ["id", "class", "n", "part", "counts"],
                 )
         if counts.any():
-            blocks = [x.tobytes() for x in np.split(np.minimum(counts, 65535).astype(np.uint16), 32)]
+            blocks = [_narrow(x) for x in np.split(counts, 32)]
             none = pa.nulls(32, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(32), pa.int32()), pa.array(blocks)], ["id", "class", "n", "part", "counts"])
 
     return df.select("id", "text").mapInArrow(run, "id long, class long, n long, part int, counts binary")
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each, the first byte telling how many."""
+    width = next(w for w in (1, 2, 4) if int(counts.max()) < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"u{width}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1)
+
+
 def sketch(surveyed: DataFrame) -> bytes:
     """All tasks' counts summed: a table of fixed size."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS // 32, np.uint32)
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, np.uint16)
+            total += _wide(x)
         return pa.table({"part": table.column("part").combine_chunks().slice(0, 1), "counts": [total.tobytes()]})
 
     rows = surveyed.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
@@ -315,12 +396,11 @@ def _send(shards: int, counts):
                 by = np.argsort(owner, kind="stable")
                 tokens, owner = tokens[by], owner[by]
                 members, sizes = np.unique(owner, return_counts=True)
-                points = np.array([np.bincount((sets[m] & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for m in members])
-                points = np.minimum(points, 65535).astype(np.uint16)
+                points = np.concatenate([point_of(sets[m], int(groups_of(len(sets[m])))) for m in members])
                 out.append(
                     {
                         "bucket": bucket, "shard": shard, "kind": "points", "tokens": tokens.tobytes(), "sizes": sizes.astype(np.uint32).tobytes(),
-                        "classes": classes[members].tobytes(), "n": np.array([len(sets[m]) for m in members], np.int64).tobytes(), "points": points.tobytes(),
+                        "classes": classes[members].tobytes(), "n": np.array([len(sets[m]) for m in members], np.int64).tobytes(), "points": _narrow(points),
                     }
                 )
         return pa.Table.from_pylist(out, schema=_FIELDS)
@@ -328,10 +408,26 @@ def _send(shards: int, counts):
     return run
 
 
+def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Pairs that join the same members as ``pairs`` do, one less than members in each block."""
+    root = np.arange(n)
+    while len(pairs):
+        ends = root[pairs]
+        pairs = pairs[ends[:, 0] != ends[:, 1]]
+        ends = np.sort(root[pairs], axis=1)
+        if not len(ends):
+            break
+        np.minimum.at(root, ends[:, 1], ends[:, 0])
+        while (root[root] != root).any():
+            root = root[root]
+    hung = np.flatnonzero(root != np.arange(n))
+    return np.stack([root[hung], hung], axis=1)
+
+
 def _meet(crowd: int):
-    """Candidate pairs of classes: those that share a shingle here and pass the bound.
+    """Blocks of candidates: classes that share a shingle here and pass the bound, joined.
 
-    A shingle with more than ``crowd`` classes gives no pairs but hangs all of them on the
+    Only what joins a block leaves the shard, not all its pairs.  A shingle with more than ``crowd`` classes gives no pairs but hangs all of them on the
     least class, and so into one block; there every pair is compared.
     """
 
@@ -339,11 +435,11 @@ def _meet(crowd: int):
         rows = table.to_pylist()
         classes = np.concatenate([np.frombuffer(r["classes"], np.int64) for r in rows])
         n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
-        points = np.concatenate([np.frombuffer(r["points"], np.uint16).reshape(-1, GROUPS) for r in rows]).astype(np.int32)
+        flat = np.concatenate([_wide(r["points"]) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows])
         tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
         _, first, number = np.unique(classes, return_index=True, return_inverse=True)
-        classes, n, points = classes[first], n[first], points[first]
+        classes, points = classes[first], Points(flat, n, first)
         owner = np.repeat(number, sizes)
         order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
@@ -356,8 +452,7 @@ def _meet(crowd: int):
         two = cuts[counts == 2]
         pairs = np.unique(owner[two] * len(classes) + owner[two + 1])
         a, b = pairs // len(classes), pairs % len(classes)
-        ok = np.minimum(points[a], points[b]).sum(axis=1) >= needed(n[a], n[b])
-        ok &= np.minimum(n[a], n[b]) >= needed(n[a], n[b])
+        ok = points.may_link(a, b)
         found.append(np.stack([a[ok], b[ok]], axis=1))
         seen = set()
         for at, size in zip(cuts[counts > 2].tolist(), counts[counts > 2].tolist()):
@@ -368,26 +463,32 @@ def _meet(crowd: int):
             if size > crowd:
                 found.append(np.stack([np.full(size - 1, own[0]), own[1:]], axis=1))
                 continue
-            tree = CountTree(points[own], n[own])
-            for k in range(size - 1):
-                near = tree.search(points[own[k]], int(n[own[k]]))
-                near = near[near > k]
-                if len(near):
-                    found.append(np.stack([np.full(len(near), own[k]), own[near]], axis=1))
-        pairs = np.concatenate(found)
-        pairs = np.unique(pairs[:, 0] * len(classes) + pairs[:, 1])
-        return pa.table({"a": classes[pairs // len(classes)], "b": classes[pairs % len(classes)]})
+            found += points.pairs(own)
+        pairs = spanning(np.concatenate(found), len(classes))
+        out = {"shard": rows[0]["shard"], "a": classes[pairs[:, 0]].tobytes(), "b": classes[pairs[:, 1]].tobytes()}
+        return pa.Table.from_pylist([out], schema=_BLOCKS)
 
     return run
 
 
+_BLOCKS = pa.schema([("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _combine(table: pa.Table) -> pa.Table:
+    """What joins the blocks of several shards."""
+    a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("a", "b"))
+    classes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    pairs = spanning(number.reshape(2, -1).T, len(classes))
+    return pa.table({"a": classes[pairs[:, 0]], "b": classes[pairs[:, 1]]})
+
+
 def verify(classes: list[int], sets: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join a block's sets into components: (class, class) pairs, none redundant.
 
     An R-tree over the points gives each set's candidates; a pair is compared unless its
     members are joined already.  With ``sides``, pairs of one side are someone else's.
     """
-    points = np.array([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets], np.int32)
+    points = np.array([point_of(s, VERIFY_GROUPS) for s in sets], np.int32)
     n = np.array([len(s) for s in sets], np.int64)
     tree, root, out = CountTree(points, n), np.arange(len(sets)), []
     members: dict[int, list[int]] = {k: [k] for k in range(len(sets))}
@@ -451,9 +552,8 @@ def _verify(table: pa.Table) -> pa.Table:
 def join(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_shingles, class, and component_id, the least id that links reach."""
     spark = df.sparkSession
-    ensure_checkpoints(spark)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    surveyed = survey(docs).checkpoint()
+    surveyed = keep(survey(docs))
     rows = surveyed.where("part IS NULL").select("id", "class", "n")
     counts = spark.sparkContext.broadcast(sketch(surveyed))  # of a fixed size
     limit = Order(counts.value).limit
@@ -467,8 +567,10 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     announced = dealt.groupBy("bucket").applyInArrow(_announce(shards, counts), MESSAGE)
     answered = to_shard(announced).applyInArrow(_answer, MESSAGE)
     sent = dealt.groupBy("bucket").cogroup(to_bucket(answered)).applyInArrow(_send(shards, counts), MESSAGE)
-    pairs = to_shard(sent).applyInArrow(_meet(int(limit)), "a long, b long").distinct().checkpoint()
-    blocks = components(pairs)
+    met = to_shard(sent).applyInArrow(_meet(int(limit)), "shard int, a binary, b binary")
+    few = -(-shards // COMBINED)
+    met = met.withColumn("part", F.pmod("shard", F.lit(few))).repartition(few, "part").groupBy("part")
+    blocks = components(keep(met.applyInArrow(_combine, "a long, b long").distinct()))
     verified = _verified(docs, rows, blocks)
     linked = components(verified).withColumnRenamed("node", "class")
     rooted = rows.join(linked, "class", "left").withColumn(
@@ -491,11 +593,13 @@ def _verified(docs: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
         .withColumn("side", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
         .select("id", "class", "root", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         .select("id", "class", "root", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-        .checkpoint()
     )
+    placed = keep(placed)
     amount = placed.count()
     bins = max(1, -(-amount // 2_000))
-    texts = docs.join(placed, docs["id"].eqNullSafe(placed["id"])).select(
+    # Few enough rows go to every executor, so that texts need not move to meet them.
+    side = F.broadcast(placed) if amount <= BROADCAST_ROWS else placed
+    texts = docs.join(side, docs["id"].eqNullSafe(placed["id"])).select(
         "text", "root", "low", "high", "side", F.pmod(F.xxhash64("root", "low", "high"), F.lit(bins)).cast("int").alias("bin")
     )
-    return texts.repartition(bins, "bin").groupBy("bin").applyInArrow(_verify, "a long, b long").checkpoint()
+    return keep(texts.repartition(bins, "bin").groupBy("bin").applyInArrow(_verify, "a long, b long"))
