@@ -41,14 +41,18 @@ class _Terms:
         vocabulary: dict[str, int] = {}
         ids = [[vocabulary.setdefault(t, len(vocabulary)) for t in row] for row in terms]
         self.sizes = np.array([len(x) for x in ids])
-        self.owner = np.repeat(np.arange(len(ids)), self.sizes)
-        self.ids = np.array([t for row in ids for t in row], int)
-        self.rows, self.n = ids, len(vocabulary)
+        owner = np.repeat(np.arange(len(ids)), self.sizes)
+        every = np.array([t for row in ids for t in row], int)
+        # Which rows have each term: postings laid end to end.
+        self.postings = owner[np.argsort(every, kind="stable")]
+        self.ends = np.cumsum(np.bincount(every, minlength=len(vocabulary)))
+        self.rows = [np.array(row, int) for row in ids]
 
     def penalty(self, k: int) -> np.ndarray:
-        has = np.zeros(self.n, bool)
-        has[self.rows[k]] = True
-        shared = np.bincount(self.owner[has[self.ids]], minlength=len(self.rows)) if self.n else np.zeros(len(self.rows))
+        terms = self.rows[k]
+        begins = np.where(terms > 0, self.ends[terms - 1], 0)
+        parts = [self.postings[a:b] for a, b in zip(begins.tolist(), self.ends[terms].tolist())]
+        shared = np.bincount(np.concatenate(parts), minlength=len(self.rows)) if parts else np.zeros(len(self.rows))
         small, large = np.minimum(self.sizes, self.sizes[k]), np.maximum(self.sizes, self.sizes[k])
         union = self.sizes + self.sizes[k] - shared
         ok = (small > 0) & (small >= 0.8 * large)

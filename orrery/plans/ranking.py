@@ -92,12 +92,12 @@ def rrf_family_full_union(spark, sf_dir):
         "lanes",
         """, t AS (SELECT *, count(*) OVER (PARTITION BY topic, lane) AS n,
     rank() OVER (PARTITION BY topic, lane ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY topic, lane, score) AS ties FROM lanes)
-SELECT topic, lane, doc, round((n - (r + (ties - 1) / 2.0) + 1) / n, 6) AS percentile FROM t""",
+SELECT topic, lane, doc, round((n - (r + (ties - 1) / 2.0) + 1) / n, 9) AS percentile FROM t""",
     )
 )
 def percentile_best_one(spark, sf_dir):
     out = R.percentile_best_one(lanes(spark, sf_dir), "score", ("topic", "lane"))
-    return out.select("topic", "lane", "doc", F.round("percentile", 6).alias("percentile"))
+    return out.select("topic", "lane", "doc", F.round("percentile", 9).alias("percentile"))
 
 
 @query(
@@ -105,12 +105,12 @@ def percentile_best_one(spark, sf_dir):
         "lanes",
         """, t AS (SELECT *, count(*) OVER (PARTITION BY topic, lane) AS n,
     rank() OVER (PARTITION BY topic, lane ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY topic, lane, score) AS ties FROM lanes)
-SELECT topic, lane, doc, round(CASE WHEN n = 1 THEN 1.0 ELSE (n - (r + (ties - 1) / 2.0)) / nullif(n - 1, 0) END, 6) AS percentile FROM t""",
+SELECT topic, lane, doc, round(CASE WHEN n = 1 THEN 1.0 ELSE (n - (r + (ties - 1) / 2.0)) / nullif(n - 1, 0) END, 9) AS percentile FROM t""",
     )
 )
 def percentile_average_rank(spark, sf_dir):
     out = R.percentile_average_rank(lanes(spark, sf_dir), "score", ("topic", "lane"))
-    return out.select("topic", "lane", "doc", F.round("percentile", 6).alias("percentile"))
+    return out.select("topic", "lane", "doc", F.round("percentile", 9).alias("percentile"))
 
 
 @query(
@@ -118,12 +118,12 @@ def percentile_average_rank(spark, sf_dir):
         "lanes",
         """, t AS (SELECT *, count(*) OVER (PARTITION BY topic) AS n,
     rank() OVER (PARTITION BY topic ORDER BY score) - 1 AS below, count(*) OVER (PARTITION BY topic, score) AS ties FROM lanes)
-SELECT topic, lane, doc, round(CASE WHEN n = 1 THEN 1.0 ELSE (below + (ties - 1) / 2.0) / nullif(n - 1, 0) END, 6) AS percentile FROM t""",
+SELECT topic, lane, doc, round(CASE WHEN n = 1 THEN 1.0 ELSE (below + (ties - 1) / 2.0) / nullif(n - 1, 0) END, 9) AS percentile FROM t""",
     )
 )
 def percentile_midrank(spark, sf_dir):
     out = R.percentile_midrank(lanes(spark, sf_dir), "score")
-    return out.select("topic", "lane", "doc", F.round("percentile", 6).alias("percentile"))
+    return out.select("topic", "lane", "doc", F.round("percentile", 9).alias("percentile"))
 
 
 @query(
