@@ -36,9 +36,9 @@ from orrery.llm.arrow import pieces
 #: Longest pre-token, in bytes, that is merged by scanning the rank array.
 SCAN_LIMIT = 256
 #: Words remembered in a worker, and the longest that is remembered (characters).
-REMEMBERED, LONGEST_REMEMBERED = 800_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
 #: From so many new words on, they are merged side by side; so many at most at once.
-TOGETHER, TOGETHER_MOST = 48, 50_000
+TOGETHER, TOGETHER_MOST = 48, 25_000
 #: Texts above so many characters are walked match by match instead of at once.
 WALK_ABOVE = 1 << 20
 #: Fixed value: the byte-level pre-tokenisation pattern of this vocabulary.
@@ -182,8 +182,6 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Remembers the ids of many new words, merged side by side."""
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
         for at in range(0, len(words), TOGETHER_MOST):
             some = words[at : at + TOGETHER_MOST]
             self.words.update(zip(some, self._merge_together([w.encode("utf-8") for w in some])))
@@ -281,7 +279,12 @@ class Codec:
             begin = end
 
     def _learn_new(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words and len(w) <= LONGEST_REMEMBERED]
+        """Learns what is new; when the table is full, it starts again with these words."""
+        known = self.words
+        new = [w for w in words if w not in known and len(w) <= LONGEST_REMEMBERED]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = [w for w in words if len(w) <= LONGEST_REMEMBERED]
         if len(new) >= TOGETHER:
             self.learn(new)
 

@@ -45,8 +45,8 @@ WORDS, PERCENT = 5, 75
 GROUPS, GROUPS_EACH, VERIFY_GROUPS = 128, 1 / 6, 1024
 #: Bytes of a bucket, prefix shingles of a shard on average, shingles of a block's part.
 BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 8 << 20, 2_000_000, 4_000_000
-#: Counters of the sketch, and points of an R-tree's leaf.
-COUNTERS, LEAF = 1 << 21, 32
+#: Bytes of text whose shingles are made at once; counters of the sketch, and points of an R-tree's leaf.
+PIECE_BYTES, COUNTERS, LEAF = 2 << 20, 1 << 21, 32
 #: Up to so many sets outside a component are asked one by one, without the tree.
 FEW = 512
 #: Rows of six numbers that may be broadcast; above, both sides are shuffled.
@@ -273,7 +273,7 @@ def survey(df: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 sets = shingle_sets(texts_of(part, "text"))
                 every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 counts += np.bincount((every >> np.uint64(20)) % np.uint64(COUNTERS), minlength=COUNTERS).astype(np.uint32)
@@ -327,7 +327,7 @@ def _bucket_sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     """A bucket's classes, ascending, with their sets; empty sets are left out."""
     own = {}
     for batch in table.combine_chunks().to_batches():
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", PIECE_BYTES):
             for s in shingle_sets(texts_of(part, "text")):
                 if len(s):
                     own.setdefault(class_of(s), s)
@@ -536,7 +536,7 @@ def _verify(table: pa.Table) -> pa.Table:
     keys = list(zip(*(table.column(c).to_pylist() for c in ("root", "low", "high", "side"))))
     at = 0
     for batch in table.to_batches():
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", PIECE_BYTES):
             for s in shingle_sets(texts_of(part, "text")):
                 root, low, high, side = keys[at]
                 blocks.setdefault((root, low, high), {})[class_of(s)] = (s, side)
