@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +54,55 @@ def bm25(docs: DataFrame, topics: DataFrame, k: int, k1: float = K1, b: float =
         .agg(F.round(F.sum("weight"), 5).alias("score"))
     )
     return top(scored, k, F.desc("score"), "doc")
+
+
+#: Units that one pass over the documents holds, (document, unit) rows made at once, and runs whose words a task remembers.
+UNITS, ROWS, REMEMBERED = 4_096, 1 << 18, 100_000
+RUN = re.compile("[a-z0-9]+")
+
+
+def unit_hits(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """(topic, doc, hits) of every document and every unit: the unit's words that the text contains as strings.
+
+    ``docs``: doc, text.  ``units``: topic, words ([a-z0-9]+, counted as often as they
+    stand).  Such a word lies in a text just where it lies in one of its runs of a-z and
+    0-9, so each distinct run is looked up once, not each text for each word.
+    """
+    lowered = docs.select("doc", F.lower("text").alias("text"))
+    schema = f"topic {units.schema['topic'].dataType.simpleString()}, doc {docs.schema['doc'].dataType.simpleString()}, hits long"
+    rows = units.select("topic", "words").collect()
+    passes = [lowered.mapInArrow(_hits(rows[at : at + UNITS]), schema) for at in range(0, len(rows), UNITS)]
+    return reduce(DataFrame.unionAll, passes) if passes else docs.sparkSession.createDataFrame([], schema)
+
+
+def _hits(units: list):
+    """A pass over documents for some units, as ``mapInArrow`` wants it."""
+    own = [u["words"] for u in units]
+    number = {w: k for k, w in enumerate(sorted({w for ws in own for w in ws or ()}))}
+    lengths = sorted({len(w) for w in number})
+    flat = np.array([number[w] for ws in own for w in ws or ()], np.int64)
+    cuts = np.concatenate([[0], np.cumsum([len(ws or ()) for ws in own])]).astype(np.int64)
+    unknown = np.array([ws is None for ws in own], bool)
+
+    def within(token: str) -> list[int]:
+        parts = {token[at : at + n] for n in lengths for at in range(len(token) - n + 1)}
+        return [number[p] for p in parts if p in number]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topics, known, step = pa.array([u["topic"] for u in units]), {}, max(1, ROWS // max(1, len(units)))
+        for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            hits = np.zeros((part.num_rows, len(units)), np.int64)
+            for i, text in enumerate(part.column("text").to_pylist()):
+                has = np.zeros(len(number), bool)
+                for token in set(RUN.findall(text or "")):
+                    if (found := known.get(token)) is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        found = known[token] = within(token)
+                    has[found] = True
+                hits[i] = np.diff(np.concatenate([[0], np.cumsum(has[flat])])[cuts])
+            at, unit = np.divmod(np.arange(hits.size), max(1, len(units)))
+            found = pa.array(hits.ravel(), pa.int64(), mask=np.tile(unknown, part.num_rows))
+            yield pa.RecordBatch.from_arrays([topics.take(pa.array(unit)), part.column("doc").take(pa.array(at)), found], ["topic", "doc", "hits"])
+
+    return run

@@ -71,6 +71,19 @@ def claim_support(spark, sf_dir):
     return left.join(right, "k").select("topic", "other", F.round(X.support_ratio(F.col("claim"), F.col("evidence")), 6).alias("ratio"))
 
 
+@query(
+    f"""WITH w AS (SELECT item_id, text, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+'), lambda x: lower(x)), lambda x: NOT list_contains([{STOP}], x))) AS c FROM benchmark)
+SELECT a.item_id AS topic, b.item_id AS other, round(len(list_filter(a.c, lambda x: contains(lower(b.text), x))) / nullif(len(a.c), 0), 6) AS ratio
+FROM w a CROSS JOIN benchmark b"""
+)
+def claim_support_all(spark, sf_dir):
+    """Every claim against every evidence; ``claim_support`` holds the pairs that its SQL names."""
+    b = table(spark, sf_dir, "benchmark")
+    left = b.select(F.col("item_id").alias("topic"), F.col("text").alias("claim"))
+    right = b.select(F.col("item_id").alias("other"), F.col("text").alias("evidence"))
+    return left.crossJoin(right).select("topic", "other", F.round(X.support_ratio(F.col("claim"), F.col("evidence")), 6).alias("ratio"))
+
+
 @query(
     """WITH x AS (SELECT doc_id, text, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'))) AS n, list_sort(list_distinct(list_transform(regexp_extract_all(text, ' ([A-Z][A-Za-z]+)', 1), lambda w: lower(w)))) AS e FROM documents)
 SELECT doc_id AS doc, sha256(array_to_string(n, ',') || '|' || CASE WHEN regexp_matches(text, '(?i)\\b(no|not|never|none|without)\\b') THEN 'neg' ELSE '' END || '|' || array_to_string(e, ',')) AS signature FROM x"""
