@@ -41,15 +41,15 @@ from orrery.llm.graph import components
 from orrery.session import keep
 
 WORDS, PERCENT = 5, 75
-#: Fewest groups of a point, groups for each shingle of a larger set, groups in verification.
-GROUPS, GROUPS_EACH, VERIFY_GROUPS = 128, 1 / 6, 1024
+#: Fewest groups of a point, and groups for each shingle of a larger set.
+GROUPS, GROUPS_EACH = 128, 1 / 6
 #: Bytes of a bucket, prefix shingles of a shard on average, shingles of a block's part.
 BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 8 << 20, 2_000_000, 4_000_000
 #: Bytes of text whose shingles are made at once; counters of the sketch, and points of an R-tree's leaf.
 PIECE_BYTES, COUNTERS, LEAF = 2 << 20, 1 << 21, 32
-#: Up to so many sets outside a component are asked one by one, without the tree.
-FEW = 512
-#: Rows of six numbers that may be broadcast; above, both sides are shuffled.
+#: Postings that verification reads at once.
+POSTINGS = 1 << 20
+#: Rows of seven numbers that may be broadcast; above, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Shards whose blocks are joined in one task before the graph is built.
 COMBINED = 8
@@ -482,75 +482,94 @@ def _combine(table: pa.Table) -> pa.Table:
     return pa.table({"a": classes[pairs[:, 0]], "b": classes[pairs[:, 1]]})
 
 
-def verify(classes: list[int], sets: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join a block's sets into components: (class, class) pairs, none redundant.
+def verify(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All links of a block: (pairs that join its sets as the links do, rows that each set links to).
 
-    An R-tree over the points gives each set's candidates; a pair is compared unless its
-    members are joined already.  With ``sides``, pairs of one side are someone else's.
+    Overlaps are counted in postings of the sets' shingles, for every pair whose sizes
+    allow a link.  ``copies``: rows of each set.  With ``sides`` (of two values), pairs of one side are
+    someone else's.
     """
-    points = np.array([point_of(s, VERIFY_GROUPS) for s in sets], np.int32)
     n = np.array([len(s) for s in sets], np.int64)
-    tree, root, out = CountTree(points, n), np.arange(len(sets)), []
+    by = np.argsort(n, kind="stable")
+    held, asking = (by, by) if sides is None else (by[sides[by] == sides.max()], by[sides[by] != sides.max()])
+    root, joined, linked = np.arange(len(sets)), [], np.zeros(len(sets), np.int64)
     members: dict[int, list[int]] = {k: [k] for k in range(len(sets))}
-    last = None
+    if not len(held) or not len(asking):
+        return np.empty((0, 2), np.int64), linked
 
     def unite(k: int, j: int) -> None:
         a, b = int(root[k]), int(root[j])
-        if a == b:
-            return
-        out.append((classes[j], classes[k]))
+        joined.append((j, k))
         if len(members[a]) < len(members[b]):
             a, b = b, a
         members[a] += members[b]
         root[members.pop(b)] = a
 
-    for k in range(len(sets)):
-        # A family's members mostly link with its first: then only those outside are left to ask.
-        if last is not None and (sides is None or sides[last] != sides[k]) and links(sets[k], sets[last]):
-            unite(k, last)
-        others = np.flatnonzero(root[:k] != root[k])
-        if len(others) < FEW:
-            near = others[np.minimum(points[others], points[k]).sum(axis=1) >= needed(n[others], n[k])]
-        else:
-            near = tree.search(points[k], int(n[k]))
-            near = near[near < k]
-        if sides is not None:
-            near = near[sides[near] != sides[k]]
+    # Postings: sets by size under each distinct shingle, as ascending numbers shingle * sets + place.
+    words, post = np.unique(np.concatenate([sets[k] for k in held]), return_inverse=True)
+    post = post.reshape(-1).astype(np.int64) * len(held)
+    post += np.repeat(np.arange(len(held)), n[held])
+    post.sort()
+    sizes = n[held]
+    for at, k in enumerate(asking.tolist()):
+        low = int(np.searchsorted(sizes, -(-PERCENT * n[k] // 100)))
+        high = at if sides is None else int(np.searchsorted(sizes, 100 * n[k] // PERCENT, side="right"))
+        if low >= high:
+            continue
+        own = np.searchsorted(words, sets[k])
+        own[own == len(words)] = 0
+        own = own[words[own] == sets[k]] * len(held)
+        begin, end = np.searchsorted(post, own + low), np.searchsorted(post, own + high)
+        overlap = np.zeros(high - low, np.int64)
+        reach = np.cumsum(end - begin)
+        first = 0
+        while first < len(own):
+            done = reach[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(reach, done + POSTINGS, side="right")))
+            length = end[first:last] - begin[first:last]
+            shift = np.repeat(begin[first:last] - (np.cumsum(length) - length), length)
+            found = post[np.arange(len(shift)) + shift] - np.repeat(own[first:last] + low, length)
+            overlap += np.bincount(found, minlength=high - low)
+            first = last
+        near = held[low:high][overlap >= needed(sizes[low:high], n[k])]
+        linked[k] += copies[near].sum()
+        linked[near] += copies[k]
+        near = near[root[near] != root[k]]
         while len(near):
+            unite(k, int(near[0]))
             near = near[root[near] != root[k]]
-            joined = False
-            for i, j in enumerate(near.tolist()):
-                if links(sets[k], sets[j]):
-                    unite(k, j)
-                    last = j
-                    near, joined = near[i + 1 :], True
-                    break
-            if not joined:
-                break
-    return out
+    return np.array(joined, np.int64).reshape(-1, 2), linked
 
 
 def _verify(table: pa.Table) -> pa.Table:
-    """Exact comparison of the blocks that a bin holds."""
-    blocks: dict[tuple[int, int, int], dict[int, tuple[np.ndarray, int]]] = {}
-    keys = list(zip(*(table.column(c).to_pylist() for c in ("root", "low", "high", "side"))))
+    """Exact comparison of the blocks that a bin holds: rows (a, b) join them, rows (a, links) count links."""
+    blocks: dict[tuple[int, int, int], dict[int, tuple[np.ndarray, int, int]]] = {}
+    keys = list(zip(*(table.column(c).to_pylist() for c in ("class", "root", "low", "high", "side", "copies"))))
     at = 0
     for batch in table.to_batches():
         for part in pieces(batch, "text", PIECE_BYTES):
             for s in shingle_sets(texts_of(part, "text")):
-                root, low, high, side = keys[at]
-                blocks.setdefault((root, low, high), {})[class_of(s)] = (s, side)
+                class_, root, low, high, side, copies = keys[at]
+                if class_of(s) == class_:  # another text may have the same id
+                    blocks.setdefault((root, low, high), {})[class_] = (s, side, copies)
                 at += 1
-    out = []
+    a, b, links_ = [], [], []  # chunks
     for (_, low, high), own in blocks.items():
-        names = sorted(own)
-        sides = None if low == high else np.array([own[c][1] for c in names])
-        out += verify(names, [own[c][0] for c in names], sides)
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        classes = np.array(sorted(own), np.int64)
+        sets, sides, copies = zip(*(own[c] for c in classes.tolist()))
+        pairs, linked = verify(list(sets), np.array(copies, np.int64), None if low == high else np.array(sides))
+        some = np.flatnonzero(linked)
+        a += [classes[pairs[:, 0]], classes[some]]
+        b += [pa.array(classes[pairs[:, 1]]), pa.nulls(len(some), pa.int64())]
+        links_ += [pa.nulls(len(pairs), pa.int64()), pa.array(linked[some])]
+    return pa.table({"a": pa.chunked_array(a, pa.int64()), "b": pa.chunked_array(b, pa.int64()), "links": pa.chunked_array(links_, pa.int64())})
 
 
 def join(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, class, and component_id, the least id that links reach."""
+    """Per row: id, n_shingles, class, n_links, the rows it links to, and component_id, the least id that links reach.
+
+    Rows of one class link with each other; a row is not its own link.
+    """
     spark = df.sparkSession
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     surveyed = keep(survey(docs))
@@ -572,27 +591,31 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     met = met.withColumn("part", F.pmod("shard", F.lit(few))).repartition(few, "part").groupBy("part")
     blocks = components(keep(met.applyInArrow(_combine, "a long, b long").distinct()))
     verified = _verified(docs, rows, blocks)
-    linked = components(verified).withColumnRenamed("node", "class")
-    rooted = rows.join(linked, "class", "left").withColumn(
+    linked = components(verified.where("b IS NOT NULL")).withColumnRenamed("node", "class")
+    others = verified.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("others"))
+    copied = rows.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    about = linked.join(others, "class", "full").join(copied, "class", "full")
+    rooted = rows.join(about, "class", "left").withColumn(
         "root", F.when(F.col("n") == 0, F.lit(None)).otherwise(F.coalesce("root", "class"))
     )
     least = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
     return rooted.join(least, "root", "left").select(
-        F.col("id"), F.col("n").alias("n_shingles"), "class", F.coalesce("least", "id").alias("component_id")
-    )
+        F.col("id"), F.col("n").alias("n_shingles"), "class", (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
+        F.coalesce("least", "id").alias("component_id"),
+    )
 
 
 def _verified(docs: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """True links of the blocks; a large block is dealt into parts and its parts compared in pairs."""
+    """True links of the blocks, joined and counted; a large block is dealt into parts and its parts compared in pairs."""
     known = blocks.withColumnRenamed("node", "class")
-    one = rows.join(known, "class").groupBy("class", "root").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    one = rows.join(known, "class").groupBy("class", "root").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     sizes = one.groupBy("root").agg(F.sum("n").alias("total"))
     placed = (
         one.join(sizes, "root")
         .withColumn("parts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
         .withColumn("side", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-        .select("id", "class", "root", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("id", "class", "root", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+        .select("id", "class", "copies", "root", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select("id", "class", "copies", "root", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
     )
     placed = keep(placed)
     amount = placed.count()
@@ -600,6 +623,6 @@ def _verified(docs: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     # Few enough rows go to every executor, so that texts need not move to meet them.
     side = F.broadcast(placed) if amount <= BROADCAST_ROWS else placed
     texts = docs.join(side, docs["id"].eqNullSafe(placed["id"])).select(
-        "text", "root", "low", "high", "side", F.pmod(F.xxhash64("root", "low", "high"), F.lit(bins)).cast("int").alias("bin")
+        "text", "class", "copies", "root", "low", "high", "side", F.pmod(F.xxhash64("root", "low", "high"), F.lit(bins)).cast("int").alias("bin")
     )
-    return keep(texts.repartition(bins, "bin").groupBy("bin").applyInArrow(_verify, "a long, b long"))
+    return keep(texts.repartition(bins, "bin").groupBy("bin").applyInArrow(_verify, "a long, b long, links long"))

@@ -104,7 +104,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "n_links", "component_id")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,52 @@ def test_components(spark):
         if a != b:
             assert found[a] == found[b]
     assert all(found[k] == k // 10 * 10 for k in range(40)) and found[100] == 0
+
+
+def link_counts(rows):
+    sets = [shingles(t) for _, t in rows]
+    return [sum(i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def test_verify_counts_every_link(monkeypatch):
+    monkeypatch.setattr(J, "POSTINGS", 50)
+    rnd = np.random.default_rng(3)
+    sets = []
+    for n in (1, 4, 30, 200, 240):
+        base = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets += [np.sort(rnd.permutation(base)[: max(1, int(len(base) * x))]) for x in (1, 0.95, 0.9, 0.85, 0.8, 0.76, 0.7)]
+    sets = [sets[k] for k in rnd.permutation(len(sets))]
+    copies = rnd.integers(1, 4, len(sets))
+    true = np.array([[i != j and J.links(a, b) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    pairs, linked = J.verify(sets, copies)
+    assert linked.tolist() == (true @ copies).tolist() and all(true[i, j] for i, j in pairs.tolist())
+    sides = rnd.integers(0, 2, len(sets))
+    across = true & (sides[:, None] != sides)
+    pairs, linked = J.verify(sets, copies, sides)
+    assert linked.tolist() == (across @ copies).tolist() and all(across[i, j] for i, j in pairs.tolist())
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_every_document_knows_all_its_links(spark, corpus, monkeypatch, hot):
+    monkeypatch.setattr(J, "BUCKET_BYTES", 60_000)
+    monkeypatch.setattr(J, "SHARD_SHINGLES", 3_000)
+    if hot:
+        monkeypatch.setattr(J, "PART_SHINGLES", 300)
+        monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(J, "_meet", (lambda f: lambda crowd: f(2))(J._meet))
+    rnd = random.Random(4)
+    rows = [(i, t) for i, t in corpus]
+    for family in range(2):  # near copies that mostly link with each other, some of them twice
+        base = [f"v{rnd.randrange(300)}" for _ in range(120)]
+        for k in range(25):
+            own = list(base)
+            for _ in range(rnd.randrange(4)):
+                own[rnd.randrange(120)] = "other"
+            rows += [(1000 + 100 * family + k, " ".join(own))] * (1 + (k % 5 == 0))
+    # An id that names two texts, and texts without an id.
+    rows += [(1000, rows[-1][1] + " and more"), (1000, "one two three four five six"), (None, rows[-1][1]), (None, "one two three four five six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = J.join(df).collect()
+    expected = sorted(((i, len(shingles(t)), n) for (i, t), n in zip(rows, link_counts(rows))), key=repr)
+    assert sorted(((r["id"], r["n_shingles"], r["n_links"]) for r in found), key=repr) == expected
+    assert max(n for _, _, n in expected) > 20
