@@ -2,11 +2,14 @@
 
 import re
 
+import numpy as np
 import pandas as pd
 
 from orrery import catalog
 
 SF = "/root/testdata/sf0.001"
+#: On the smallest tables both runs of a topic hold the same documents.
+LARGER = "/root/testdata/sf0.01"
 
 
 def test_all_pairs_of_documents_and_units(spark):
@@ -34,3 +37,15 @@ def test_every_claim_meets_all_evidence(spark):
     assert found.select("topic", "other").distinct().count() == found.count() == n * n
     some = catalog.QUERIES["claim_support"](spark, SF)
     assert some.exceptAll(found.select(*some.columns)).count() == 0
+
+
+def test_sign_flip_takes_every_topic(spark):
+    deltas = [r["delta"] for r in catalog.QUERIES["metric_comparison"](spark, LARGER).collect()]
+    own = [abs(x) for x in deltas if x]
+    sums = np.zeros(1)
+    for x in own:
+        sums = np.concatenate([sums - x, sums + x])
+    r = catalog.QUERIES["sign_flip_all_topics"](spark, LARGER).first()
+    assert (r["patterns"], r["reached"]) == (2 ** len(own), int((sums >= sum(deltas) - 1e-9).sum()))
+    some = catalog.QUERIES["sign_flip_exact"](spark, LARGER).first()
+    assert r["patterns"] > some["patterns"]
