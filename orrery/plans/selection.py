@@ -213,5 +213,5 @@ def evidence_selection(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("doc"), "doc_id", "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
-    rows = docs.join(vectors, "doc").select("topic", F.col("doc").alias("id"), "doc", F.lit("sentence").alias("kind"), F.substring("text", 1, 80).alias("text"), F.length("text").cast("double").alias("score"), "vector")
+    rows = docs.join(vectors, "doc").select("topic", F.col("doc").alias("id"), "doc", F.lit("sentence").alias("kind"), "text", F.length("text").cast("double").alias("score"), "vector")
     return select_evidence(rows, budgets=(5, 10), threshold=0.3)

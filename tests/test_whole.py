@@ -49,3 +49,14 @@ def test_sign_flip_takes_every_topic(spark):
     assert (r["patterns"], r["reached"]) == (2 ** len(own), int((sums >= sum(deltas) - 1e-9).sum()))
     some = catalog.QUERIES["sign_flip_exact"](spark, LARGER).first()
     assert r["patterns"] > some["patterns"]
+
+
+def test_evidence_keeps_texts_apart_beyond_their_beginnings(spark, tmp_path):
+    head = "the same beginning of a text, longer than any prefix that stood for the whole " * 2
+    texts = [head + "ends one way", head + "ends in 42 other ways", head + "never ends", head + "ends one way"]
+    docs = pd.DataFrame({"doc_id": range(4), "text": texts, "lang": "en", "source": "s", "n_chars": [len(t) for t in texts]})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame({"vec_id": range(4), "embedding": [[1.0, 0.0]] * 4}).to_parquet(tmp_path / "embeddings.parquet")
+    found = catalog.QUERIES["evidence_selection"](spark, str(tmp_path)).collect()
+    # Exact copies are one group; numbers and negation at the ends keep the others apart.
+    assert sorted((r["id"], r["groups"]) for r in found) == [(0, 1), (1, 1), (2, 1)]
