@@ -54,6 +54,12 @@ def whitespace_and_words(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc", X.squeezed(F.substring("text", 1, 300)).alias("squeezed"), X.word_count(F.col("text")).alias("words"))
 
 
+@query("SELECT doc_id AS doc, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS words FROM documents")
+def whitespace_of_whole_texts(spark, sf_dir):
+    """Whole texts; ``whitespace_and_words`` squeezes the first 300 characters that its SQL names."""
+    return _docs(spark, sf_dir).select("doc", X.squeezed(F.col("text")).alias("squeezed"), X.word_count(F.col("text")).alias("words"))
+
+
 @query("SELECT item_id AS topic, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+')[1:12], ' ') AS title, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM benchmark")
 def topic_titles(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), X.title(F.col("text")).alias("title"), X.slug(F.col("text")).alias("slug"))

@@ -60,3 +60,10 @@ def test_evidence_keeps_texts_apart_beyond_their_beginnings(spark, tmp_path):
     found = catalog.QUERIES["evidence_selection"](spark, str(tmp_path)).collect()
     # Exact copies are one group; numbers and negation at the ends keep the others apart.
     assert sorted((r["id"], r["groups"]) for r in found) == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_white_space_is_squeezed_to_the_end(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    found = {r["doc"]: (r["squeezed"], r["words"]) for r in catalog.QUERIES["whitespace_of_whole_texts"](spark, SF).collect()}
+    assert found == {d: (" ".join(t.split()), len(t.split())) for d, t in zip(docs["doc_id"], docs["text"])}
+    assert any(len(s) > 300 for s, _ in found.values())
