@@ -16,6 +16,7 @@ other columns stay.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from orrery.llm import features
 from orrery.llm.arrow import pieces, texts_of
 
-#: Most labelled rows, and most bytes of their texts, that a model is fitted on.
-SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 24 << 20
+#: Most labelled rows that a model is fitted on.
+SAMPLE_ROWS = 3_000
 PENALTY, PASSES, SMOOTHING = 1.0, 6, 1.0
 
 
@@ -137,20 +138,14 @@ def train(sample: DataFrame) -> bytes:
     """The fitted model; the sample goes to one task, the model comes to the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indicators, rows, total = features.Indicators(), [], 0
-        found = sorted(
-            (hash_, t, y)
-            for batch in batches
-            for hash_, t, y in zip(batch.column("id").to_pylist(), texts_of(batch, "text"), batch.column("label").to_pylist())
-        )
-        labels = []
-        for _, t, y in found:
-            total += len(t)
-            if total > SAMPLE_BYTES and rows:
-                break
-            rows.append(indicators(t).astype(np.int32))
-            labels.append(y)
-        yield pa.RecordBatch.from_pydict({"model": [fit(rows, np.array(labels, int)).tobytes()]})
+        # Every text of the sample trains; only its features are held, at most ``features.SIZE`` of them.
+        indicators, found = features.Indicators(), []
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for i, t, y in zip(part.column("id").to_pylist(), texts_of(part, "text"), part.column("label").to_pylist()):
+                    found.append((i, hashlib.blake2b(t).digest(), y, indicators(t).astype(np.int32)))
+        found.sort(key=lambda r: r[:3])
+        yield pa.RecordBatch.from_pydict({"model": [fit([r[3] for r in found], np.array([r[2] for r in found], int)).tobytes()]})
 
     made = sample.select("id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
     # Over no rows at all, Spark runs no task.

@@ -20,6 +20,7 @@ class's; repeated rows score alike; other columns stay.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 from orrery.llm import features
 from orrery.llm.arrow import pieces, texts_of
 
-#: Labelled rows of either class, and bytes of their texts, that a model is fitted on.
-CLASS_ROWS, CLASS_BYTES = 2_000, 16 << 20
+#: Labelled rows of either class that a model is fitted on.
+CLASS_ROWS = 2_000
 #: Features that enter the regression, and rows of a class that must have one.
 CHOSEN, LEAST_ROWS = 3_000, 4
 #: Quantiles of density that part the toxic grades.
@@ -144,19 +145,14 @@ def train(sample: DataFrame) -> bytes:
     """The fitted model; the sample goes to one task, the model comes to the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted(
-            (i, y, t)
-            for batch in batches
-            for i, y, t in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), texts_of(batch, "text"))
-        )
-        indicators, rows, lengths, toxic, used = features.Indicators(), [], [], [], [0, 0]
-        for _, y, t in found:
-            if not used[y] or used[y] + len(t) <= CLASS_BYTES:
-                used[y] += len(t)
-                rows.append(indicators(t).astype(np.int32))
-                lengths.append(len(t))
-                toxic.append(y)
-        made = fit(rows, np.array(lengths, float), np.array(toxic, int))
+        # Every text of the sample trains; only its features are held, at most ``features.SIZE`` of them.
+        indicators, found = features.Indicators(), []
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for i, y, t in zip(part.column("id").to_pylist(), part.column("label").to_pylist(), texts_of(part, "text")):
+                    found.append((i, y, hashlib.blake2b(t).digest(), len(t), indicators(t).astype(np.int32)))
+        found.sort(key=lambda r: r[:3])
+        made = fit([r[4] for r in found], np.array([r[3] for r in found], float), np.array([r[1] for r in found], int))
         yield pa.RecordBatch.from_pydict({"model": [made.astype(np.float32).tobytes()]})
 
     made = sample.select("id", "label", "text").repartition(1).mapInArrow(run, "model binary").first()

@@ -90,3 +90,15 @@ def test_features_do_not_depend_on_windows(monkeypatch):
     whole = np.sort(features.Indicators()(text))
     monkeypatch.setattr(features, "WINDOW_BYTES", 100)
     assert (np.sort(features.Indicators()(text)) == whole).all()
+
+
+def test_a_very_long_labelled_text_shuts_no_other_out(spark):
+    rows = documents(300, 6)
+    short = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    # The first of its class in both classifiers, and longer than all others together.
+    long = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.repeat(F.lit("x"), 25 << 20).alias("text"))
+    labels = spark.createDataFrame([(i, q, b) for i, _, q, b in rows] + [(-1, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(quality.training_rows(short.unionByName(long), labels, "quality"))
+    assert np.mean([(quality.Scorer(model)(t.encode()) >= 0.5) == q for _, t, q, _ in rows]) > 0.95
+    model = toxicity.train(toxicity.training_rows(short.unionByName(long), labels))
+    assert np.mean([(toxicity.Scorer(model)(t.encode())[1] >= toxicity.CALLED) == b for _, t, _, b in rows]) > 0.95
