@@ -1,8 +1,9 @@
-"""Event-sourced ledgers: batch form, and the same rules on a stream.
+"""Event-sourced ledgers: batch form, and some of their rules on a stream.
 
 Events: event_id, ts, user_id, event_type, value.  A user is a request, and its events
-are what happened to it.  The batch functions define the result; the streams keep it up
-to date with watermarks and checkpoints, and ``availableNow`` runs end equal to them.
+are what happened to it.  The batch functions define the result.  Windows of time, deduplication and
+collection also run on streams, with watermarks and checkpoints, and ``availableNow`` runs
+end equal to them.  Ledger states, claims, budget stops and sessions by boundary are batch only.
 """
 
 from __future__ import annotations
@@ -154,7 +155,10 @@ LIMIT = "user_id long, event_id long, nth long, code string"
 
 
 def reservations(events: DataFrame, reserve: str, per_user: int) -> DataFrame:
-    """Streamed admission: each user's reservations in order, refused beyond the limit."""
+    """Streamed admission: each user's reservations in order, refused beyond the limit.
+
+    It knows no total limit and no outcomes, so it admits rows that ``ledger_state`` refuses.
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (seen,) = state.get if state.exists else (0,)
