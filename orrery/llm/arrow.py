@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
+from time import monotonic
 
 import numpy as np
 import pyarrow as pa
@@ -35,3 +38,30 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
         col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
     return [x or b"" for x in col.to_pylist()]
+
+
+@lru_cache(maxsize=1)
+def _allocator():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+_last = [0.0]
+
+
+def trim(every: float = 0.0) -> None:
+    """Gives freed memory back to the system: a worker waits for its next task with no more than it holds."""
+    if monotonic() - _last[0] < every:
+        return
+    pa.default_memory_pool().release_unused()
+    if give := _allocator():
+        give(0)
+    _last[0] = monotonic()
+
+
+def lean(table: pa.Table) -> pa.Table:
+    """``table``, after a group's work, with memory given back once a second at most."""
+    trim(1.0)
+    return table

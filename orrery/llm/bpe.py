@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from orrery.llm.arrow import pieces
+from orrery.llm.arrow import pieces, trim
 
 #: Longest pre-token, in bytes, that is merged by scanning the rank array.
 SCAN_LIMIT = 256
@@ -323,19 +323,30 @@ def _mapped(df: DataFrame, column: str, added: list[T.StructField], make, kind:
             for part in pieces(batch, column, 2 << 20):
                 arrays = make(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *arrays], [*keep, *names])
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """``df`` with each text's ids (binary, little-endian u32) and their number."""
+def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", path: str | None = None, checked: str | None = None) -> DataFrame:
+    """``df`` with each text's ids (binary, little-endian u32) and their number.
+
+    With ``checked``, a column of that name says whether the ids decode to the text again;
+    decoding follows in the same pass, so that no second worker is needed for it.
+    """
     path = path or default_path()
+    added = [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())]
+    added += [T.StructField(checked, T.BooleanType())] if checked else []
 
     def make(values):
-        found = list(codec(path).encode_each(values))
-        return pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())
+        own = codec(path)
+        found = list(own.encode_each(values))
+        made = [pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())]
+        if checked:
+            made.append(pa.array([own.decode(x) == (v or "") for x, v in zip(found, values)], pa.bool_()))
+        return made
 
-    return _mapped(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], make, pa.binary())
+    return _mapped(df, text, added, make, pa.binary())
 
 
 def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: str | None = None) -> DataFrame:

@@ -27,6 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle within {MOST_ROUNDS} rounds")
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 

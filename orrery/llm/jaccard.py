@@ -2,7 +2,7 @@
 
 Two documents link when the Jaccard similarity of their sets of distinct five-word
 shingles is ``PERCENT`` / 100 or more.  Documents with equal sets form one class, and
-everything below works on classes.
+everything below works on classes, for which one text stands.
 
 * Shingles are hashed into groups, more of them for larger sets; a class's count of each
   is a point.  The sum of coordinate minima of two points bounds the overlap of their
@@ -15,36 +15,53 @@ everything below works on classes.
   puts frequent shingles last (by a counting sketch of fixed size over all documents),
   so that common passages draw no crowd; it only affects speed, never the result.
 
-Buckets of documents announce prefix shingles to shards; shards answer which occur
-again; only classes with such shingles send their points.  Candidate pairs join into
+Buckets of documents announce prefix shingles and their counts to shards; shards answer
+which occur again; only classes with such shingles send their points.  Of a shingle
+that more than ``CROWD`` classes share, buckets send one class each and hang the others
+on it: a shard's rows follow the buckets then, not the crowd.  Candidate pairs join into
 blocks; a block's texts are compared exactly, large blocks in parts, every part with
 every other.  Components of the verified links are found by star steps on DataFrames.
 
+Shingles are 64-bit hashes and classes 128-bit ones; texts are compared by these.
+``CROWD``, ``BROADCAST_ROWS`` and the sizes of buckets, shards, parts and bins change
+the work's order, not the result.
+
 Input rules: A-Z are lower-cased, words are cut at blanks and the five controls of
 white space; fewer than five words make one shingle; without words (null, empty) a
-document has an empty set and links with nothing, not even its like; repeated rows and
-ids link as their sets do; a null id comes before all others and stays null.
+document has an empty set and links with nothing, not even its like; repeated rows,
+repeated ids and null ids are rows of their own and link as their sets do; a component
+without ids has none; an empty table gives no rows; other columns, whatever their
+names, are ignored; texts are taken whole (a text must fit a task).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.arrow import pieces, texts_of
+from orrery.llm.arrow import lean, pieces, texts_of, trim
 from orrery.llm.graph import components
-from orrery.session import keep
+from orrery.llm.words import BASE, MUL, hashes, mix
+from orrery.session import drop, keep
 
 WORDS, PERCENT = 5, 75
 #: Fewest groups of a point, and groups for each shingle of a larger set.
 GROUPS, GROUPS_EACH = 128, 1 / 6
 #: Bytes of a bucket, prefix shingles of a shard on average, shingles of a block's part.
-BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 8 << 20, 2_000_000, 4_000_000
+BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 4 << 20, 1_000_000, 2_000_000
+#: Classes that share a shingle, above which they are not searched for pairs in a tree but
+#: compared exactly as one block.  The result is the same on either side.
+CROWD = 128
+#: Tasks' counts that are summed in one step.
+FAN = 64
+#: Placed texts that one task of verification gets on average.
+BIN_ROWS = 500
 #: Bytes of text whose shingles are made at once; counters of the sketch, and points of an R-tree's leaf.
 PIECE_BYTES, COUNTERS, LEAF = 2 << 20, 1 << 21, 32
 #: Postings that verification reads at once.
@@ -53,62 +70,18 @@ POSTINGS = 1 << 20
 BROADCAST_ROWS = 500_000
 #: Shards whose blocks are joined in one task before the graph is built.
 COMBINED = 8
-STEP = 1 << 17
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(30).integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE = 0xD1342543DE82EF95
-_MUL = 0x9E3779B97F4A7C15
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWER, _BACK = _powers(_BASE, STEP), _powers(pow(_BASE, -1, 1 << 64), STEP)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the words of lower-cased ``data``, in order."""
-    array = np.frombuffer(data, np.uint8)
-    gap = np.concatenate([[True], _SPACES[array], [True]])
-    begin = np.flatnonzero(gap[:-1] & ~gap[1:])
-    end = np.flatnonzero(~gap[:-1] & gap[1:])
-    out = np.empty(len(begin), np.uint64)
-    long = np.flatnonzero(end - begin >= STEP // 2)
-    k = 0
-    while k < len(begin):
-        a = int(begin[k])
-        j = max(k + 1, int(np.searchsorted(end, a + STEP - 1, side="right")))
-        part = array[a : min(int(end[j - 1]), a + STEP - 1)]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * _POWER[: len(part)], out=total[1:])
-        own = begin[k:j] - a
-        out[k:j] = (total[np.minimum(end[k:j] - a, len(part))] - total[own]) * _BACK[own]
-        k = j
-    for k in long.tolist():
-        out[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]], digest_size=8).digest(), "little")
-    return mix(out + (end - begin).astype(np.uint64) * np.uint64(_MUL))
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The distinct shingles of each text, as ascending hashes."""
     lowered = [t.translate(_LOWER) for t in texts]
-    words = word_hashes(b" ".join(lowered))
+    words = hashes(b" ".join(lowered))
     ends = np.cumsum(np.fromiter((len(t.split()) for t in lowered), np.int64, len(lowered)))
     n = max(0, len(words) - WORDS + 1)
     whole = np.zeros(n, np.uint64)
     for k in range(WORDS):
-        whole += words[k : k + n] * np.uint64(pow(_MUL, 2 * k + 1, 1 << 64))
+        whole += words[k : k + n] * np.uint64(pow(MUL, 2 * k + 1, 1 << 64))
     whole = mix(whole)
     out, a = [], 0
     for b in ends.tolist():
@@ -117,7 +90,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         elif b > a:
             own = np.uint64(b - a)
             for w in words[a:b]:
-                own = mix(np.array([(int(own) * _BASE + int(w)) & (1 << 64) - 1], np.uint64))[0]
+                own = mix(np.array([(int(own) * BASE + int(w)) & (1 << 64) - 1], np.uint64))[0]
             out.append(np.array([own], np.uint64))
         else:
             out.append(np.empty(0, np.uint64))
@@ -125,12 +98,34 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """One number for a set: equal sets, equal classes."""
+def class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set, as two sums over its shingles: equal sets, equal classes."""
     if not len(shingles):
-        return 0
-    total = np.append(mix(shingles + np.uint64(1)), np.uint64(len(shingles) * _MUL & (1 << 64) - 1)).sum(keepdims=True)
-    return int(mix(total).view(np.int64)[0])
+        return 0, 0
+    n, out = np.array([len(shingles)], np.uint64), []
+    for salt in (1, BASE):
+        total = mix(shingles + np.uint64(salt)).sum(keepdims=True) + n * np.uint64(MUL)
+        out.append(int(mix(total).view(np.int64)[0]))
+    return out[0], out[1]
+
+
+def numbered(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each distinct row's first occurrence, every row's number) of rows of two numbers."""
+    order = np.lexsort((classes[:, 1], classes[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (classes[order][1:] != classes[order][:-1]).any(axis=1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _class_column(classes) -> pa.StructArray:
+    own = np.array(classes, np.int64).reshape(-1, 2)
+    return pa.StructArray.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["a", "b"])
+
+
+def _classes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64).reshape(-1, 2)
 
 
 def needed(a, b):
@@ -160,7 +155,7 @@ def point_of(shingles: np.ndarray, groups: int) -> np.ndarray:
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
     """Points (rows) over fewer groups."""
-    return points.reshape(len(points), -1, groups).sum(axis=1) if points.shape[1] > groups else points
+    return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32) if points.shape[1] > groups else points
 
 
 class Points:
@@ -175,7 +170,7 @@ class Points:
         for g in np.unique(self.groups).tolist():
             own = np.flatnonzero(self.groups == g)
             self.row[own] = np.arange(len(own))
-            self.bands[g] = flat[begin[keep[own]][:, None] + np.arange(g)].astype(np.int32)
+            self.bands[g] = flat[begin[keep[own]][:, None] + np.arange(g)]
 
     def of(self, members: np.ndarray, groups: int) -> np.ndarray:
         """Points of members that all have one number of groups, over ``groups``."""
@@ -190,7 +185,7 @@ class Points:
             for at in range(0, len(some), 4096):
                 part = some[at : at + 4096]
                 g = min(ga, gb)
-                bound = np.minimum(self.of(a[part], g), self.of(b[part], g)).sum(axis=1)
+                bound = np.minimum(self.of(a[part], g), self.of(b[part], g)).sum(axis=1, dtype=np.int64)
                 ok[part] = bound >= need[part]
         return ok
 
@@ -233,12 +228,12 @@ class CountTree:
         """Numbers of the points whose sets may link with one of this point and size."""
         some = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
         for corner, low, high in reversed(self.levels):
-            bound = np.minimum(np.minimum(corner[some], point).sum(axis=1), np.minimum(high[some], size))
+            bound = np.minimum(np.minimum(corner[some], point).sum(axis=1, dtype=np.int64), np.minimum(high[some], size))
             some = some[bound >= needed(size, low[some])]
             below = len(self.points) if corner is self.levels[0][0] else len(self.levels[self._index(corner) - 1][0])
             some = (some[:, None] * LEAF + np.arange(LEAF)).ravel()
             some = some[some < below]
-        bound = np.minimum(self.points[some], point).sum(axis=1)
+        bound = np.minimum(self.points[some], point).sum(axis=1, dtype=np.int64)
         return self.order[some[bound >= needed(size, self.sizes[some])]]
 
     def _index(self, corner: np.ndarray) -> int:
@@ -264,35 +259,43 @@ class Order:
         return shingles[np.lexsort((shingles, level))[:keep]]
 
 
+SURVEYED = "id long, key binary, class struct<a:bigint,b:bigint>, n long, bytes long, part int, task int, counts binary"
+
+
 def survey(df: DataFrame) -> DataFrame:
-    """One pass over all rows (id, text): each row's class and size, and each task's counts.
+    """One pass over all rows (id, key, text): each row's class, size and bytes, and each task's counts.
 
-    Two kinds of rows: rows (id, class, n), and (part, counts).
+    Two kinds of rows: rows (id, key, class, n, bytes), and (part, task, counts).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
+        names = [f.split()[0] for f in SURVEYED.split(", ")]
         for batch in batches:
             for part in pieces(batch, "text", PIECE_BYTES):
-                sets = shingle_sets(texts_of(part, "text"))
+                texts = texts_of(part, "text")
+                sets = shingle_sets(texts)
                 every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 counts += np.bincount((every >> np.uint64(20)) % np.uint64(COUNTERS), minlength=COUNTERS).astype(np.uint32)
+                n = len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("id"),
-                        pa.array([class_of(s) for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.nulls(len(sets), pa.int32()),
-                        pa.nulls(len(sets), pa.binary()),
+                        part.column("id"), part.column("key"), _class_column([class_of(s) for s in sets]),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+                        pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                     ],
-                    ["id", "class", "n", "part", "counts"],
-                )
+                    names,
+                )
         if counts.any():
-            blocks = [_narrow(x) for x in np.split(counts, 32)]
+            blocks, task = [_narrow(x) for x in np.split(counts, 32)], TaskContext.get().partitionId()
             none = pa.nulls(32, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(32), pa.int32()), pa.array(blocks)], ["id", "class", "n", "part", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [none, pa.nulls(32, pa.binary()), pa.nulls(32, _class_column([(0, 0)]).type), none, none, pa.array(range(32), pa.int32()), pa.array([task] * 32, pa.int32()), pa.array(blocks, pa.binary())],
+                names,
+            )
+        trim()
 
-    return df.select("id", "text").mapInArrow(run, "id long, class long, n long, part int, counts binary")
+    return df.select("id", "key", "text").mapInArrow(run, SURVEYED)
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -306,16 +309,29 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def sketch(surveyed: DataFrame) -> bytes:
-    """All tasks' counts summed: a table of fixed size."""
+    """All tasks' counts summed, FAN at a time: a table of fixed size."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS // 32, np.uint32)
         for x in table.column("counts").to_pylist():
             total += _wide(x)
-        return pa.table({"part": table.column("part").combine_chunks().slice(0, 1), "counts": [total.tobytes()]})
-
-    rows = surveyed.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    blocks = {r["part"]: bytes(r["counts"]) for r in rows}
+        first = lambda c: table.column(c).combine_chunks().slice(0, 1)
+        return pa.table({"part": first("part"), "task": first("to"), "counts": [_narrow(total)]})
+
+    held = surveyed.where("part IS NOT NULL").select("part", "task", "counts")
+    tasks, before = 1 + (held.agg(F.max("task")).first()[0] or 0), None
+    while True:
+        summed = held.withColumn("to", F.floor(F.col("task") / FAN).cast("int")).groupBy("part", "to").applyInArrow(add, "part int, task int, counts binary")
+        tasks = -(-tasks // FAN)
+        if tasks == 1:
+            break
+        summed = keep(summed)
+        if before is not None:
+            drop(before)
+        held = before = summed
+    blocks = {r["part"]: _wide(bytes(r["counts"])).astype(np.uint32).tobytes() for r in summed.collect()}  # 32 rows of fixed size
+    if before is not None:
+        drop(before)
     return b"".join(blocks.get(k, bytes(COUNTERS // 8)) for k in range(32))
 
 
@@ -323,16 +339,17 @@ MESSAGE = "bucket int, shard int, kind string, tokens binary, sizes binary, clas
 _FIELDS = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("kind", pa.string())] + [(c, pa.binary()) for c in ("tokens", "sizes", "classes", "n", "points")])
 
 
-def _bucket_sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A bucket's classes, ascending, with their sets; empty sets are left out."""
+def _bucket_sets(table: pa.Table, keys: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A bucket's classes, ascending, with their sets: of texts whose key is among ``keys``."""
     own = {}
-    for batch in table.combine_chunks().to_batches():
+    table = table.filter(pc.is_in(table.column("key"), value_set=pa.array(keys, pa.binary())))
+    for batch in table.to_batches():
         for part in pieces(batch, "text", PIECE_BYTES):
             for s in shingle_sets(texts_of(part, "text")):
                 if len(s):
                     own.setdefault(class_of(s), s)
     classes = sorted(own)
-    return np.array(classes, np.int64), [own[c] for c in classes]
+    return np.array(classes, np.int64).reshape(-1, 2), [own[c] for c in classes]
 
 
 def _prefixes(sets: list[np.ndarray], order: Order, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -348,51 +365,79 @@ def _prefixes(sets: list[np.ndarray], order: Order, shards: int) -> Iterator[tup
         yield int(shard[own[0]]), tokens[own], owner[own]
 
 
+def _keys(messages: pa.Table) -> list[bytes]:
+    """Keys of the texts that stand for their classes."""
+    return [k for k, kind in zip(messages.column("tokens").to_pylist(), messages.column("kind").to_pylist()) if kind == "text"]
+
+
 def _announce(shards: int, counts):
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        _, sets = _bucket_sets(table)
-        out = [
-            {"bucket": bucket, "shard": s, "kind": "tokens", "tokens": t.tobytes()}
-            for s, t, _ in _prefixes(sets, Order(counts.value), shards)
-        ]
-        return pa.Table.from_pylist(out, schema=_FIELDS)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and (keys := _keys(right)):
+            bucket = left.column("bucket")[0].as_py()
+            _, sets = _bucket_sets(left, keys)
+            for shard, tokens, _ in _prefixes(sets, Order(counts.value), shards):
+                tokens, times = np.unique(tokens, return_counts=True)
+                out.append({"bucket": bucket, "shard": shard, "kind": "tokens", "tokens": tokens.tobytes(), "sizes": np.minimum(times, 255).astype(np.uint8).tobytes()})
+        return lean(pa.Table.from_pylist(out, schema=_FIELDS))
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Which announced shingles of each bucket occur more than once in the shard."""
-    rows = table.to_pylist()
-    tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-    order = np.argsort(tokens, kind="stable")
-    same = tokens[order][1:] == tokens[order][:-1]
-    again = np.zeros(len(tokens), bool)
-    again[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    out, at = [], 0
-    for r in rows:
-        n = len(r["tokens"]) // 8
-        own = again[at : at + n]
-        at += n
-        if own.any():
-            out.append({"bucket": r["bucket"], "shard": r["shard"], "kind": "again", "tokens": np.packbits(own).tobytes()})
-    return pa.Table.from_pylist(out, schema=_FIELDS)
+def _answer(crowd: int):
+    """Which announced shingles of each bucket occur more than once in the shard, and which in a crowd."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
+        times = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in rows])
+        order = np.argsort(tokens, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]]))
+        total = np.add.reduceat(times[order].astype(np.int64), cuts)
+        own = np.empty(len(tokens), np.int64)
+        own[order] = np.repeat(total, np.diff(np.append(cuts, len(tokens))))
+        out, at = [], 0
+        for r in rows:
+            mine = own[at : at + len(r["sizes"])]
+            at += len(r["sizes"])
+            if (mine > 1).any():
+                out.append({"bucket": r["bucket"], "shard": r["shard"], "kind": "again", "tokens": np.packbits(mine > 1).tobytes(), "sizes": np.packbits(mine > crowd).tobytes()})
+        return lean(pa.Table.from_pylist(out, schema=_FIELDS))
+
+    return run
 
 
 def _send(shards: int, counts):
-    """Points of the classes that have a shingle occurring again, to that shingle's shard."""
+    """Points of the classes that have a shingle occurring again, to that shingle's shard.
+
+    Where a crowd shares the shingle, the bucket hangs its classes on one of them and
+    sends that one only: a shard gets a row for each bucket, however large the crowd.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        again = {r["shard"]: r["tokens"] for r in right.to_pylist()}
+        again = {r["shard"]: r for r in right.select(["shard", "kind", "tokens", "sizes"]).to_pylist() if r["kind"] == "again"}
         if again and left.num_rows:
             bucket = left.column("bucket")[0].as_py()
-            classes, sets = _bucket_sets(left)
+            classes, sets = _bucket_sets(left, _keys(right))
+            hung = []
             for shard, tokens, owner in _prefixes(sets, Order(counts.value), shards):
                 if shard not in again:
                     continue
-                hit = np.unpackbits(np.frombuffer(again[shard], np.uint8), count=len(tokens)).astype(bool)
-                tokens, owner = tokens[hit], owner[hit]
+                words, number = np.unique(tokens, return_inverse=True)
+                bits = lambda c: np.unpackbits(np.frombuffer(again[shard][c], np.uint8), count=len(words)).astype(bool)  # noqa: B023, E731
+                hit, crowded = bits("tokens")[number], bits("sizes")[number]
+                if crowded.any():
+                    order = np.lexsort((owner[crowded], number[crowded]))
+                    of, who = number[crowded][order], owner[crowded][order]
+                    first = np.concatenate([[True], of[1:] != of[:-1]])
+                    least = who[first]
+                    hung.append(np.stack([np.repeat(least, np.diff(np.append(np.flatnonzero(first), len(of)))), who], axis=1))
+                    out.append({"bucket": bucket, "shard": shard, "kind": "crowd", "tokens": words[of[first]].tobytes(), "classes": classes[least].tobytes()})
+                one = hit & ~crowded
+                tokens, owner = tokens[one], owner[one]
+                if not len(tokens):
+                    continue
                 by = np.argsort(owner, kind="stable")
                 tokens, owner = tokens[by], owner[by]
                 members, sizes = np.unique(owner, return_counts=True)
@@ -403,7 +448,9 @@ def _send(shards: int, counts):
                         "classes": classes[members].tobytes(), "n": np.array([len(sets[m]) for m in members], np.int64).tobytes(), "points": _narrow(points),
                     }
                 )
-        return pa.Table.from_pylist(out, schema=_FIELDS)
+            if hung and len(pairs := spanning(np.concatenate(hung), len(sets))):
+                out.append({"bucket": bucket, "shard": bucket % shards, "kind": "hung", "classes": classes[pairs.ravel()].tobytes()})
+        return lean(pa.Table.from_pylist(out, schema=_FIELDS))
 
     return run
 
@@ -424,62 +471,85 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.stack([root[hung], hung], axis=1)
 
 
-def _meet(crowd: int):
+def _meet(table: pa.Table) -> pa.Table:
     """Blocks of candidates: classes that share a shingle here and pass the bound, joined.
 
-    Only what joins a block leaves the shard, not all its pairs.  A shingle with more than ``crowd`` classes gives no pairs but hangs all of them on the
-    least class, and so into one block; there every pair is compared.
+    Only what joins a block leaves the shard, not all its pairs.  Members of a crowd are
+    hung on the least of them, and so into one block; there every pair is compared.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        classes = np.concatenate([np.frombuffer(r["classes"], np.int64) for r in rows])
+    found = [np.empty((0, 2, 2), np.int64)]
+    shard, of = table.column("shard")[0].as_py(), {}
+    for batch in table.to_batches():
+        for r in batch.to_pylist():
+            of.setdefault(r["kind"], []).append(r)
+    del table
+    if rows := of.pop("points", None):
+        classes = np.concatenate([_classes(r["classes"]) for r in rows])
         n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
-        flat = np.concatenate([_wide(r["points"]) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows])
         tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-        _, first, number = np.unique(classes, return_index=True, return_inverse=True)
+        flat = np.concatenate([_wide(r["points"]) for r in rows])
+        del rows
+        first, number = numbered(classes)
         classes, points = classes[first], Points(flat, n, first)
-        owner = np.repeat(number, sizes)
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
-        tokens, owner = tokens[new], owner[new]
+        del flat
+        for pairs in _candidates(points, np.repeat(number, sizes), tokens):
+            found.append(classes[pairs])
+    if rows := of.pop("crowd", None):
+        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
+        classes = np.concatenate([_classes(r["classes"]) for r in rows])
+        order = np.argsort(tokens, kind="stable")
+        tokens, classes = tokens[order], classes[order]
         cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        counts = np.diff(np.append(cuts, len(tokens)))
-        found = []
-        # Groups of two, all at once; then larger ones, each distinct set of members once.
-        two = cuts[counts == 2]
-        pairs = np.unique(owner[two] * len(classes) + owner[two + 1])
-        a, b = pairs // len(classes), pairs % len(classes)
-        ok = points.may_link(a, b)
-        found.append(np.stack([a[ok], b[ok]], axis=1))
-        seen = set()
-        for at, size in zip(cuts[counts > 2].tolist(), counts[counts > 2].tolist()):
-            own = owner[at : at + size]
-            if (key := own.tobytes()) in seen:
-                continue
+        head = np.repeat(cuts, np.diff(np.append(cuts, len(tokens))))
+        found.append(np.stack([classes[head], classes], axis=1))
+    found += [_classes(r["classes"]).reshape(-1, 2, 2) for r in of.pop("hung", [])]
+    return lean(pa.Table.from_pylist([{"shard": shard, **_joining(np.concatenate(found))}], schema=_BLOCKS))
+
+
+def _candidates(points: Points, owner: np.ndarray, tokens: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs that join what shares a shingle and passes the bound."""
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
+    tokens, owner = tokens[new], owner[new]
+    cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    counts = np.diff(np.append(cuts, len(tokens)))
+    # Groups of two, all at once; then larger ones, each distinct set of members once.
+    two, total = cuts[counts == 2], len(points.n)
+    pairs = np.unique(owner[two] * total + owner[two + 1])
+    a, b = pairs // total, pairs % total
+    ok = points.may_link(a, b)
+    yield np.stack([a[ok], b[ok]], axis=1)
+    seen, found = set(), [np.empty((0, 2), np.int64)]
+    for at, size in zip(cuts[counts > 2].tolist(), counts[counts > 2].tolist()):
+        own = owner[at : at + size]
+        if (key := own.tobytes()) not in seen:
             seen.add(key)
-            if size > crowd:
-                found.append(np.stack([np.full(size - 1, own[0]), own[1:]], axis=1))
-                continue
             found += points.pairs(own)
-        pairs = spanning(np.concatenate(found), len(classes))
-        out = {"shard": rows[0]["shard"], "a": classes[pairs[:, 0]].tobytes(), "b": classes[pairs[:, 1]].tobytes()}
-        return pa.Table.from_pylist([out], schema=_BLOCKS)
+    yield spanning(np.concatenate(found), total)
 
-    return run
+
+def _joining(pairs: np.ndarray) -> dict[str, bytes]:
+    """What joins the classes that pairs (n, 2, 2) join, as bytes."""
+    if not len(pairs):
+        return {"a": b"", "b": b""}
+    ends = pairs.reshape(-1, 2)
+    first, number = numbered(ends)
+    joined = spanning(number.reshape(-1, 2), len(first))
+    classes = ends[first]
+    return {"a": classes[joined[:, 0]].tobytes(), "b": classes[joined[:, 1]].tobytes()}
 
 
 _BLOCKS = pa.schema([("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+EDGES = "a struct<a:bigint,b:bigint>, b struct<a:bigint,b:bigint>"
 
 
 def _combine(table: pa.Table) -> pa.Table:
     """What joins the blocks of several shards."""
-    a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("a", "b"))
-    classes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
-    pairs = spanning(number.reshape(2, -1).T, len(classes))
-    return pa.table({"a": classes[pairs[:, 0]], "b": classes[pairs[:, 1]]})
+    a, b = (np.concatenate([_classes(x) for x in table.column(c).to_pylist()]) for c in ("a", "b"))
+    made = _joining(np.stack([a, b], axis=1))
+    return lean(pa.table({c: _class_column(_classes(made[c])) for c in ("a", "b")}))
 
 
 def verify(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -543,86 +613,102 @@ def verify(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray | None
 
 def _verify(table: pa.Table) -> pa.Table:
     """Exact comparison of the blocks that a bin holds: rows (a, b) join them, rows (a, links) count links."""
-    blocks: dict[tuple[int, int, int], dict[int, tuple[np.ndarray, int, int]]] = {}
-    keys = list(zip(*(table.column(c).to_pylist() for c in ("class", "root", "low", "high", "side", "copies"))))
-    at = 0
-    for batch in table.to_batches():
+    blocks: dict[tuple, dict[tuple[int, int], tuple[np.ndarray, int, int]]] = {}
+    at, fields = 0, ("ca", "cb", "ra", "rb", "low", "high", "side", "copies")
+    columns = [table.column(c).to_pylist() for c in fields]
+    for batch in table.select(["text"]).to_batches():
         for part in pieces(batch, "text", PIECE_BYTES):
             for s in shingle_sets(texts_of(part, "text")):
-                class_, root, low, high, side, copies = keys[at]
-                if class_of(s) == class_:  # another text may have the same id
-                    blocks.setdefault((root, low, high), {})[class_] = (s, side, copies)
+                ca, cb, ra, rb, low, high, side, copies = (c[at] for c in columns)
+                blocks.setdefault((ra, rb, low, high), {})[ca, cb] = (s, side, copies)
                 at += 1
     a, b, links_ = [], [], []  # chunks
-    for (_, low, high), own in blocks.items():
-        classes = np.array(sorted(own), np.int64)
-        sets, sides, copies = zip(*(own[c] for c in classes.tolist()))
+    nothing = _class_column([(0, 0)]).type
+    for (_, _, low, high), own in blocks.items():
+        keys = sorted(own)
+        classes = np.array(keys, np.int64).reshape(-1, 2)
+        sets, sides, copies = zip(*(own[c] for c in keys))
         pairs, linked = verify(list(sets), np.array(copies, np.int64), None if low == high else np.array(sides))
         some = np.flatnonzero(linked)
-        a += [classes[pairs[:, 0]], classes[some]]
-        b += [pa.array(classes[pairs[:, 1]]), pa.nulls(len(some), pa.int64())]
+        a += [_class_column(classes[pairs[:, 0]]), _class_column(classes[some])]
+        b += [_class_column(classes[pairs[:, 1]]), pa.nulls(len(some), nothing)]
         links_ += [pa.nulls(len(pairs), pa.int64()), pa.array(linked[some])]
-    return pa.table({"a": pa.chunked_array(a, pa.int64()), "b": pa.chunked_array(b, pa.int64()), "links": pa.chunked_array(links_, pa.int64())})
+    return lean(pa.table({"a": pa.chunked_array(a, nothing), "b": pa.chunked_array(b, nothing), "links": pa.chunked_array(links_, pa.int64())}))
+
+
+def text_key(text: Column) -> Column:
+    """A text's key: with its id, what names a row (rows equal in both are the same row repeated)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def join(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, class, n_links, the rows it links to, and component_id, the least id that links reach.
+    """Per row: id, key, n_shingles, class, n_links, component_id and first.
 
-    Rows of one class link with each other; a row is not its own link.
+    ``n_links`` counts the rows that a row links to (rows of one class link with each
+    other; a row is not its own link).  ``component_id`` is the least id that links
+    reach, and ``first`` the (unnamed, id, key) of the row that stands for the component:
+    the least, rows without an id last; null where a set is empty.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), text_key(F.col(text)).alias("key"))
     surveyed = keep(survey(docs))
-    rows = surveyed.where("part IS NULL").select("id", "class", "n")
+    rows = surveyed.where("part IS NULL").select("id", "key", "class", "n", "bytes")
     counts = spark.sparkContext.broadcast(sketch(surveyed))  # of a fixed size
-    limit = Order(counts.value).limit
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    shards = max(1, -(-total // (4 * SHARD_SHINGLES)))
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    sums = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    buckets = max(1, -(-sums["size"] // BUCKET_BYTES))
+    shards = max(1, -(-sums["total"] // (4 * SHARD_SHINGLES)))
+    # One text stands for its class from here on.
+    one = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first")
+    reps = keep(rows.where("n > 0").groupBy("class").agg(one, F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    own_bucket = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(buckets)).cast("int").alias("bucket")
+    dealt = docs.withColumn("bucket", own_bucket("id", "key")).repartition(buckets, "bucket").groupBy("bucket")
     to_shard = lambda m: m.repartition(shards, "shard").groupBy("shard")
     to_bucket = lambda m: m.repartition(buckets, "bucket").groupBy("bucket")
-    announced = dealt.groupBy("bucket").applyInArrow(_announce(shards, counts), MESSAGE)
-    answered = to_shard(announced).applyInArrow(_answer, MESSAGE)
-    sent = dealt.groupBy("bucket").cogroup(to_bucket(answered)).applyInArrow(_send(shards, counts), MESSAGE)
-    met = to_shard(sent).applyInArrow(_meet(int(limit)), "shard int, a binary, b binary")
+    chosen = reps.select(
+        own_bucket("first.id", "first.key"), F.lit(None).cast("int").alias("shard"), F.lit("text").alias("kind"), F.col("first.key").alias("tokens"),
+        *(F.lit(None).cast("binary").alias(c) for c in ("sizes", "classes", "n", "points")),
+    )
+    announced = dealt.cogroup(to_bucket(chosen)).applyInArrow(_announce(shards, counts), MESSAGE)
+    answered = to_shard(announced).applyInArrow(_answer(CROWD), MESSAGE)
+    sent = dealt.cogroup(to_bucket(answered.unionByName(chosen))).applyInArrow(_send(shards, counts), MESSAGE)
+    met = to_shard(sent).applyInArrow(_meet, "shard int, a binary, b binary")
     few = -(-shards // COMBINED)
     met = met.withColumn("part", F.pmod("shard", F.lit(few))).repartition(few, "part").groupBy("part")
-    blocks = components(keep(met.applyInArrow(_combine, "a long, b long").distinct()))
-    verified = _verified(docs, rows, blocks)
+    blocks = components(keep(met.applyInArrow(_combine, EDGES).distinct()))
+    verified = _verified(docs, reps, blocks)
     linked = components(verified.where("b IS NOT NULL")).withColumnRenamed("node", "class")
     others = verified.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("others"))
-    copied = rows.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    about = linked.join(others, "class", "full").join(copied, "class", "full")
-    rooted = rows.join(about, "class", "left").withColumn(
-        "root", F.when(F.col("n") == 0, F.lit(None)).otherwise(F.coalesce("root", "class"))
+    about = reps.join(linked, "class", "left").join(others, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = about.groupBy("root").agg(F.min("first").alias("least"))
+    about = about.join(least, "root").select(
+        "class", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least").alias("first")
     )
-    least = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
-    return rooted.join(least, "root", "left").select(
-        F.col("id"), F.col("n").alias("n_shingles"), "class", (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-        F.coalesce("least", "id").alias("component_id"),
-    )
+    out = rows.where("n > 0").join(about, "class").unionByName(rows.where("n = 0").withColumn("n_links", F.lit(0).cast("long")), allowMissingColumns=True)
+    return out.select("id", "key", F.col("n").alias("n_shingles"), "class", "n_links", F.coalesce("first.id", "id").alias("component_id"), "first")
 
 
-def _verified(docs: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, reps: DataFrame, blocks: DataFrame) -> DataFrame:
     """True links of the blocks, joined and counted; a large block is dealt into parts and its parts compared in pairs."""
-    known = blocks.withColumnRenamed("node", "class")
-    one = rows.join(known, "class").groupBy("class", "root").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    one = reps.join(blocks.withColumnRenamed("node", "class"), "class")
     sizes = one.groupBy("root").agg(F.sum("n").alias("total"))
     placed = (
         one.join(sizes, "root")
         .withColumn("parts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
         .withColumn("side", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-        .select("id", "class", "copies", "root", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("id", "class", "copies", "root", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    )
+        .select("first", "class", "copies", "root", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select(
+            F.col("first.id").alias("rep_id"), F.col("first.key").alias("rep_key"), F.col("class.a").alias("ca"), F.col("class.b").alias("cb"),
+            F.col("root.a").alias("ra"), F.col("root.b").alias("rb"), "copies", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"),
+        )
+    )
     placed = keep(placed)
     amount = placed.count()
-    bins = max(1, -(-amount // 2_000))
+    bins = max(1, -(-amount // BIN_ROWS))
     # Few enough rows go to every executor, so that texts need not move to meet them.
     side = F.broadcast(placed) if amount <= BROADCAST_ROWS else placed
-    texts = docs.join(side, docs["id"].eqNullSafe(placed["id"])).select(
-        "text", "class", "copies", "root", "low", "high", "side", F.pmod(F.xxhash64("root", "low", "high"), F.lit(bins)).cast("int").alias("bin")
+    texts = docs.join(side, docs["id"].eqNullSafe(placed["rep_id"]) & (docs["key"] == placed["rep_key"])).select(
+        "text", "ca", "cb", "ra", "rb", "copies", "low", "high", "side", F.pmod(F.xxhash64("ra", "rb", "low", "high"), F.lit(bins)).cast("int").alias("bin")
     )
-    return keep(texts.repartition(bins, "bin").groupBy("bin").applyInArrow(_verify, "a long, b long, links long"))
+    verified = keep(texts.repartition(bins, "bin").groupBy("bin").applyInArrow(_verify, EDGES + ", links long"))
+    drop(placed)
+    return verified

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm import features
-from orrery.llm.arrow import pieces, texts_of
+from orrery.llm.arrow import pieces, texts_of, trim
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE_ROWS = 3_000
@@ -164,5 +164,6 @@ def score(df: DataFrame, model: bytes, text: str = "text", out: str = "score") -
             for part in pieces(batch, text):
                 made = pa.array([own(t) for t in texts_of(part, text)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], made], [*keep, out])
+        trim()
 
     return df.mapInArrow(run, schema)

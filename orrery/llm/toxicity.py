@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm import features
-from orrery.llm.arrow import pieces, texts_of
+from orrery.llm.arrow import pieces, texts_of, trim
 
 #: Labelled rows of either class that a model is fitted on.
 CLASS_ROWS = 2_000
@@ -175,5 +175,6 @@ def score(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], pa.array(made[:, 0]), pa.array(made[:, 1])], [*keep, *added]
                 )
+        trim()
 
     return df.mapInArrow(run, schema)

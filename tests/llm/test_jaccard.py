@@ -17,7 +17,8 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def link_rows(rows):
+    """Of every row, the number of its component."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -30,9 +31,14 @@ def brute(rows):
         for j, b in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 root[find(i)] = find(j)
+    return [find(k) for k in range(len(rows))]
+
+
+def brute(rows):
+    sets, root = [shingles(t) for _, t in rows], link_rows(rows)
     out = []
     for k, (i, _) in enumerate(rows):
-        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(k) and rows[j][0] is not None] if sets[k] else []
+        ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[k] and rows[j][0] is not None] if sets[k] else []
         out.append((i, len(sets[k]), min(ids) if ids else i))
     return sorted(out, key=repr)
 
@@ -101,7 +107,7 @@ def test_against_brute_force(spark, corpus, monkeypatch, hot):
     if hot:  # everything frequent, every group a crowd, every block dealt into parts
         monkeypatch.setattr(J, "PART_SHINGLES", 300)
         monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(J, "_meet", (lambda f: lambda crowd: f(2))(J._meet))
+        monkeypatch.setattr(J, "CROWD", 2)
     rnd = random.Random(9)
     base = [f"w{rnd.randrange(400)}" for _ in range(200)]
     rows = list(corpus)
@@ -155,7 +161,7 @@ def test_every_document_knows_all_its_links(spark, corpus, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(J, "PART_SHINGLES", 300)
         monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(J, "_meet", (lambda f: lambda crowd: f(2))(J._meet))
+        monkeypatch.setattr(J, "CROWD", 2)
     rnd = random.Random(4)
     rows = [(i, t) for i, t in corpus]
     for family in range(2):  # near copies that mostly link with each other, some of them twice
@@ -172,3 +178,36 @@ def test_every_document_knows_all_its_links(spark, corpus, monkeypatch, hot):
     expected = sorted(((i, len(shingles(t)), n) for (i, t), n in zip(rows, link_counts(rows))), key=repr)
     assert sorted(((r["id"], r["n_shingles"], r["n_links"]) for r in found), key=repr) == expected
     assert max(n for _, _, n in expected) > 20
+
+
+def test_long_words_have_hashes_of_their_own():
+    word = "ab"
+    for _ in range(11):  # Thue-Morse words: polynomials modulo powers of two hash them like their complements
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    for n in (1024, 4096):
+        a, b = J.shingle_sets([f"one {word[:n]} two three four".encode(), f"one {other[:n]} two three four".encode()])
+        assert not J.links(a, b) and J.class_of(a) != J.class_of(b)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_rows_without_ids_and_with_the_same_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(J, "BUCKET_BYTES", 30_000)
+    monkeypatch.setattr(J, "FAN", 2)
+    if hot:
+        monkeypatch.setattr(J, "PART_SHINGLES", 300)
+        monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(J, "CROWD", 2)
+    rnd = random.Random(8)
+    base = [f"u{rnd.randrange(500)}" for _ in range(60)]
+    rows = []
+    for k in range(300):  # a quarter near copies, some repeated; no ids, or one id for many texts
+        own = list(base) if k % 4 == 0 else [f"u{rnd.randrange(500)}" for _ in range(rnd.randrange(40))]
+        if k % 8 == 0:
+            own[rnd.randrange(60)] = "changed"
+        rows.append((None if k % 3 else 7 if k % 2 else k, " ".join(own)))
+    rows += rows[:40]
+    found = J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["n_links"]) for r in found), key=repr) == sorted(((i, len(shingles(t)), n) for (i, t), n in zip(rows, link_counts(rows))), key=repr)
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in found), key=repr) == brute(rows)
+    assert all((r["first"] is None) == (r["n_shingles"] == 0) for r in found)
