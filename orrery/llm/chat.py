@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.native import running
+
 OPEN, ROLE_END, CLOSE, BEGIN, ESCAPED = "[INST] ", " [/INST]", "</s>", "<s>", "\\"
 
 
@@ -71,14 +73,7 @@ def parse(formatted: Column) -> Column:
             F.when(F.startswith(p, F.lit(OPEN)), F.instr(p, ROLE_END)).otherwise(0).alias("at"),
         ),
     )
-    before = F.aggregate(
-        parts,
-        F.struct(F.array().cast("array<int>").alias("starts"), head.alias("next")),
-        lambda acc, p: F.struct(
-            F.concat(acc["starts"], F.array(acc["next"])).alias("starts"),
-            (acc["next"] + F.length(p) + len(CLOSE)).alias("next"),
-        ),
-    )["starts"]
+    before = F.transform(running(F.transform(parts, lambda p: F.length(p) + len(CLOSE))), lambda at: at + head)
     back = lambda x: F.when(escaped, unescape(x)).otherwise(x)
 
     def turn(c: Column, start: Column) -> Column:

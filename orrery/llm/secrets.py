@@ -10,7 +10,8 @@ leftmost and do not overlap; spans of different kinds may.  The Markov kind keep
 away from spans that the patterns have found.
 
 Input rules: a null text counts as empty and has no spans; whole texts are scanned,
-of any length; repeated rows give repeated results; further columns stay as they are.
+of any length; repeated rows give repeated results; an empty table gives no rows;
+further columns stay as they are, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.native import let, running
+
 # The contract's patterns, in Java's spelling.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are taken whole, so demanding the length at once drops just the short ones.
@@ -39,26 +42,14 @@ def _spans(text: Column, pattern: str, kind: int, least: Column | None = None) -
     """Where ``pattern`` matches: the pieces between matches and the matches give the places."""
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(
-        F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"))
-    )
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["b"]).alias("start"),
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + x["b"] + x["m"]).alias("stop"),
-                    )
-                ),
-            ).alias("out"),
+    sizes = let(found, lambda all: F.zip_with(F.slice(between, 1, F.size(all)), all, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"))))
+    walked = let(
+        sizes,
+        lambda all: F.zip_with(
+            running(F.transform(all, lambda x: x["b"] + x["m"])), all,
+            lambda at, x: F.struct((at + x["b"]).alias("start"), F.lit(kind).alias("kind"), (at + x["b"] + x["m"]).alias("stop")),
         ),
-    )["out"]
+    )
     if least is not None:
         walked = F.transform(
             F.filter(F.arrays_zip(walked.alias("s"), least.alias("l")), lambda z: z["l"]), lambda z: z["s"]
@@ -167,16 +158,18 @@ def joined(spans: Column) -> Column:
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every maximal run of covered characters replaced by ``mark``."""
     own = F.coalesce(text, F.lit(""))
-    walked = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            (s["start"] >= acc["at"]) & ((s["start"] > acc["at"]) | (acc["at"] == 0)),
-            F.struct(
-                s["stop"].alias("at"),
-                F.concat(acc["out"], F.substring(own, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))),
-    )
-    rest = F.substring(own, walked["at"] + 1, F.length(own))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(walked["out"], rest))
+    # Where spans open and close, openings first: runs lie between depths of none.
+    edge = lambda place, step: F.struct(place.alias("at"), F.lit(step).alias("step"))
+    edges = F.array_sort(F.flatten(F.transform(spans, lambda s: F.array(edge(s["start"], -1), edge(s["stop"], 1)))))
+
+    def cuts(all: Column) -> Column:
+        """Where each stretch that stays begins and ends, one after the other."""
+        depth = running(F.transform(all, lambda e: e["step"]))
+        outer = F.filter(F.arrays_zip(all.alias("e"), depth.alias("d")), lambda z: (z["d"] == 0) | (z["d"] + z["e"]["step"] == 0))
+        return F.concat(F.array(F.lit(0)), F.transform(outer, lambda z: z["e"]["at"]), F.array(F.length(own)))
+
+    def stays(c: Column) -> Column:
+        at = lambda k: F.get(c, k)
+        return F.transform(F.sequence(F.lit(0), (F.size(c) / 2).cast("int") - 1), lambda k: F.substring(own, at(2 * k) + 1, at(2 * k + 1) - at(2 * k)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(let(let(edges, cuts), stays), mark))
