@@ -1,8 +1,10 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last keep
-the columns of ``documents``.  A document id names one document: of rows that share an
-id, the join keeps the one with the least text; rows without an id pass it.
+the columns of ``documents`` and drop others.  Stages work on rows, not on ids: unlike
+documents that share an id all stay, and rows without an id are joined like others.
+Null and empty texts are scored, joined with nothing, never contaminated, and encoded to
+no token; an empty table passes every stage; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, decontaminate, jaccard, quality, secrets
-from orrery.session import ensure_checkpoints
+from orrery.session import delete, ensure_checkpoints, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,13 +29,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every component of near copies."""
+    """One document of every component of near copies: the least id's, rows without an id last.
+
+    A row repeated as it is counts once; documents without words are in no component, and stay.
+    """
+    docs = docs.select(*COLUMNS).withColumn("key", jaccard.text_key(F.col("text")))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     found = jaccard.join(docs.select("doc_id", "text"))
-    first = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("place", F.row_number().over(one)).where("place = 1").drop("place")
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL")).select(*COLUMNS)
+    first = found.where("first IS NOT NULL").select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")).distinct()
+    kept = docs.where(worded).join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")), "left_semi")
+    one = Window.partitionBy("doc_id", "key").orderBy("lang", "source", "n_chars")
+    kept = kept.withColumn("place", F.row_number().over(one)).where("place = 1")
+    return kept.select(*COLUMNS).unionByName(docs.where(~worded).select(*COLUMNS))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +60,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS)))
-    return coded.select(
-        "doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("identical"),
-    )
+    coded = bpe.encode(docs.select(*COLUMNS), checked="identical")
+    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "identical")
 
 
 STAGES = [
@@ -73,11 +77,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result lies in the checkpoint folder before the next begins."""
+    """All stages over ``documents``; each result lies in the checkpoint folder before the next begins.
+
+    What a stage kept for itself is removed when its result is written, and a result when the next is.
+    """
     ensure_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs

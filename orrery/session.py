@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from tempfile import mkdtemp
 from uuid import uuid4
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
+_KEPT: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,10 +37,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where ``spark.checkpoint.dir`` says; only where nothing is set, to a local folder."""
+    """Checkpoints go where ``spark.checkpoint.dir`` says; where nothing is set, a local master gets a local folder."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="orrery-checkpoints-"))
+    if sc.getCheckpointDir():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(shared or mkdtemp(prefix="orrery-checkpoints-"))
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -45,11 +53,28 @@ def keep(df: DataFrame) -> DataFrame:
     ensure_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid4()}"
     df.write.parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Removes the files of a kept table that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside are removed at the end: what needs them must be written by then."""
+    begin = len(_KEPT)
+    try:
+        yield
+    finally:
+        for path in _KEPT[begin:]:
+            delete(spark, path)
+        del _KEPT[begin:]
