@@ -132,12 +132,18 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc_revisits": r"""
 WITH u AS (
   SELECT page_id, md5(html) AS tag, md5(url || '#changed') AS other,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url),
-      '#.*$', ''), '^[Hh][Tt][Tt][Pp][Ss]?://', ''), '(utm_[a-z]+|ref)=[^&]*&?', '', 'g'), '[?&]+$', ''), '/+$', '') AS k
+    regexp_replace(split_part(trim(url), '#', 1), '^https?://', '', 'i') AS k
   FROM pages
-), c AS (
-  SELECT *, regexp_replace(lower(regexp_extract(k, '^([^/?]*)', 1)), '^www[.]', '') || regexp_extract(k, '^[^/?]*(.*)$', 1) AS url_key
+), w AS (
+  SELECT page_id, tag, other, split_part(k, '?', 1) AS front,
+    CASE WHEN strpos(k, '?') > 0 THEN array_to_string(list_filter(string_split(substr(k, strpos(k, '?') + 1), '&'),
+      lambda p: NOT (split_part(p, '=', 1) = 'ref' OR regexp_full_match(split_part(p, '=', 1), 'utm_[a-z]+')) OR strpos(p, '=') = 0), '&') ELSE '' END AS tail
   FROM u
+), x AS (
+  SELECT page_id, tag, other, rtrim(rtrim(front || CASE WHEN tail = '' THEN '' ELSE '?' || tail END, '?&'), '/') AS k FROM w
+), c AS (
+  SELECT page_id, tag, other, CASE WHEN lower(host) LIKE 'www.%' THEN substr(lower(host), 5) ELSE lower(host) END || substr(k, length(host) + 1) AS url_key
+  FROM (SELECT *, split_part(split_part(k, '/', 1), '?', 1) AS host FROM x)
 ), f AS (
   SELECT r.page_id AS page_id, r.url_key AS url_key, max(b.page_id) AS base
   FROM c r LEFT JOIN c b ON b.url_key = r.url_key AND b.page_id < r.page_id + 1 + r.page_id % 7
@@ -159,17 +165,17 @@ FROM o
 """,
     "op10_top_k_search": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 10
 """,
 }

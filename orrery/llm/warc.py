@@ -11,9 +11,12 @@ than ``SPAN_ROWS`` captures, time is cut into spans, so that no task gathers a U
 history; what a span inherits then comes from one row per (URL, span).  Bodies do not
 move: the result names the response they stand in.
 
-Input rules: a null URL, time or id stays unresolved ("no_response"); responses at the
-revisit's own time do not count as earlier; of responses at one time the one with the
-largest id counts; headers may be null; repeated rows are resolved alike.
+Input rules: a revisit with a null URL or time stays unresolved ("no_response"), and rows
+without a URL meet no window; responses at the revisit's own time do not count as
+earlier; of responses at one time the one with the largest id counts, and a null id
+before all others; revisits at one time are resolved alike, repeated rows too; headers
+may be null, and values whose names differ in case only are joined by a comma; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +35,16 @@ SPAN_ROWS = 4096
 
 
 def canonical(url: Column) -> Column:
-    """A URL without scheme, "www.", fragment, tracking parameters and closing slash; host in lower case."""
+    """A URL without scheme, "www.", fragment, tracking parameters and closing slash; host in lower case.
+
+    Only whole parameters behind the first "?" are tracking: "pref=1" and a path's "ref=" stay.
+    """
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     u = F.regexp_replace(u, "^[Hh][Tt][Tt][Pp][Ss]?://", "")
-    u = F.regexp_replace(u, "(utm_[a-z]+|ref)=[^&]*&?", "")
+    u = F.concat(
+        F.regexp_extract(u, r"^[^?]*\??", 0),
+        F.array_join(F.filter(F.split(F.regexp_extract(u, r"^[^?]*\?(.*)$", 1), "&", -1), lambda p: ~p.rlike("^(utm_[a-z]+|ref)=")), "&"),
+    )
     u = F.regexp_replace(u, "[?&]+$", "")
     u = F.regexp_replace(u, "/+$", "")
     host = F.lower(F.regexp_extract(u, "^([^/?]*)", 1))
@@ -56,14 +65,16 @@ def resolve(records: DataFrame) -> DataFrame:
         F.col("captured_at").cast("long").alias("at"),
         "kind", "etag", "last_modified", "digest", "headers",
     )
-    most = own.where(F.col("url_key").isNotNull()).groupBy("url_key").count().agg(F.max("count")).first()[0] or 0
+    lost = own.where((F.col("kind") == "revisit") & F.col("url_key").isNull())
+    own = own.where(F.col("url_key").isNotNull())
+    most = own.groupBy("url_key").count().agg(F.max("count")).first()[0] or 0
     spans = -(-most // SPAN_ROWS)
     keys = ["url_key"]
     if spans > 1:
         seen = own.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
         own = own.withColumn("span", F.floor(F.col("at") / F.lit(max(1, (seen["b"] - seen["a"]) // spans + 1))))
         keys.append("span")
-    known = (F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url_key").isNotNull()
+    known = (F.col("kind") == "response") & F.col("at").isNotNull()
     when = F.when(known, F.struct("at", "record_id"))
     base = F.struct("record_id", "etag", "last_modified", "digest", "headers")
     # The latest response before the revisit within its own span, else what the span inherits.
@@ -83,10 +94,14 @@ def resolve(records: DataFrame) -> DataFrame:
     outcome = (
         F.when(F.col("base_id").isNull(), "no_response").when(same, "resolved").when(~same, "mismatch").otherwise("unverified")
     )
-    return joined.withColumn("outcome", outcome).select(
+    found = joined.withColumn("outcome", outcome).select(
         "record_id", "url_key", "base_id", "outcome",
         F.when(F.col("outcome") == "resolved", merged(F.col("base.headers"), F.col("headers"))).alias("headers"),
     )
+    none = lambda kind: F.lit(None).cast(kind)
+    return found.unionByName(
+        lost.select("record_id", "url_key", none("long").alias("base_id"), F.lit("no_response").alias("outcome"), none("map<string,string>").alias("headers"))
+    )
 
 
 def weak(tag: Column) -> Column:
@@ -98,33 +113,61 @@ def merged(base: Column, update: Column) -> Column:
     """The response's headers, with those that a not-modified answer may update taken from it."""
     none = F.create_map().cast("map<string,string>")
     base, update = F.coalesce(base, none), F.coalesce(update, none)
-    lower = lambda m: F.transform_keys(m, lambda k, v: F.lower(k))
-    base, update = lower(base), F.map_filter(lower(update), lambda k, v: k.isin(*PERMITTED))
+    base, update = lowered(base), F.map_filter(lowered(update), lambda k, v: k.isin(*PERMITTED))
     kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(update), k))
     return F.map_concat(kept, update)
 
 
+def lowered(headers: Column) -> Column:
+    """Headers under lower-case names; values whose names are alike then are joined, in the order of the names as written."""
+    names = F.array_distinct(F.transform(F.map_keys(headers), F.lower))
+
+    def value(name: Column) -> Column:
+        own = F.filter(F.array_sort(F.map_entries(headers)), lambda e: F.lower(e["key"]) == name)
+        return F.when(F.size(own) == 1, own[0]["value"]).otherwise(F.array_join(F.transform(own, lambda e: e["value"]), ", "))
+
+    return F.map_from_arrays(names, F.transform(names, value))
+
+
 def header_text(headers: Column) -> Column:
     """Headers as "name: value" lines in the order of their names."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The file's bytes: as they are, or member by member where it is compressed; a cut member gives what it has."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        yield member.decompress(data) + member.flush()
+        data = member.unused_data
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of one WARC file, plain or compressed member by member."""
-    if data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest:
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(rest) + member.flush())
-            rest = member.unused_data
-        data = b"".join(out)
-    at = 0
-    while (begin := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", begin)
-        fields = dict(_fields(data[begin:end]))
-        length = int(fields.get("content-length", "0"))
-        yield {"fields": fields, "block": data[end + 4 : end + 4 + length]}
-        at = end + 4 + length
+    """Records of one WARC file, plain or compressed member by member; a record cut off at the end is left out."""
+    rest = b""
+    for part in _inflated(data):
+        rest, at = rest + part if rest else part, 0
+        while (begin := rest.find(b"WARC/1.", at)) >= 0:
+            end = rest.find(b"\r\n\r\n", begin)
+            fields = joined_fields(rest[begin:end]) if end >= 0 else {}
+            length = fields.get("content-length", "0")
+            stop = end + 4 + (int(length) if length.isdigit() else 0)
+            if end < 0 or stop > len(rest):
+                break
+            yield {"fields": fields, "block": rest[end + 4 : stop]}
+            at = stop
+        rest = rest[begin:] if begin >= 0 else b""
+
+
+def joined_fields(head: bytes) -> dict[str, str]:
+    """Fields under lower-case names; repeated ones are joined by a comma."""
+    out: dict[str, str] = {}
+    for name, value in _fields(head):
+        out[name] = f"{out[name]}, {value}" if name in out else value
+    return out
 
 
 def _fields(head: bytes) -> Iterator[tuple[str, str]]:
@@ -156,7 +199,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for k, r in enumerate(parse(data)):
                     f = r["fields"]
                     head, _, body = r["block"].partition(b"\r\n\r\n")
-                    http = dict(_fields(head)) if head.startswith(b"HTTP/") else {}
+                    http = joined_fields(head) if head.startswith(b"HTTP/") else {}
                     when = f.get("warc-date")
                     rows.append(
                         {

@@ -52,6 +52,8 @@ def test_canonical_urls(spark):
     cases = {
         "https://WWW.Example.org/A/?utm_source=x&id=3#top": "example.org/A/?id=3", "http://example.org/a/": "example.org/a", "example.org": "example.org",
         "https://m.example.org/p?page=2&ref=x": "m.example.org/p?page=2", None: None, "": "",
+        "http://e.org/p?pref=1": "e.org/p?pref=1", "http://e.org/p?pref=2&utm_a=1": "e.org/p?pref=2", "http://e.org/xref=1/p": "e.org/xref=1/p", "e.org/a&ref=1": "e.org/a&ref=1",
+        "e.org/?ref=a&utm_b=c&x=1&ref=2&y=?ref=3": "e.org/?x=1&y=?ref=3", "e.org/a?utm_source=b": "e.org/a", "e.org/a?ref": "e.org/a?ref",
     }
     df = spark.createDataFrame([(u,) for u in cases], "u string").select("u", warc.canonical(F.col("u")).alias("c"))
     assert {r["u"]: r["c"] for r in df.collect()} == cases
@@ -59,10 +61,30 @@ def test_canonical_urls(spark):
 
 def test_headers_merge(spark):
     df = spark.createDataFrame([({"Content-Type": "t", "ETag": "1", "Date": "old"}, {"date": "new", "X-Cache": "HIT", "Vary": "v"}), (None, None)], "a map<string,string>, b map<string,string>")
+    twice = spark.createDataFrame([({"Set-Cookie": "a", "set-cookie": "b", "X": None}, {"DATE": "1", "date": "2"})], "a map<string,string>, b map<string,string>")
+    assert twice.select(warc.merged(F.col("a"), F.col("b")).alias("m")).first()["m"] == {"set-cookie": "a, b", "x": None, "date": "1, 2"}
     rows = df.select(warc.header_text(warc.merged(F.col("a"), F.col("b"))).alias("h")).collect()
     assert [r["h"] for r in rows] == ["content-type: t\ndate: new\netag: 1\nvary: v", ""]
 
 
+def test_nulls_repeated_rows_and_other_columns(spark):
+    rows = [(k, None, k, "revisit" if k % 2 else "response", "t", None, None, None, "x") for k in range(40)]
+    rows += [(100, "e.org", 1, "response", "t", None, None, {"A": "1"}, "x"), (101, "e.org", None, "revisit", "t", None, None, None, "x")] + [(102, "e.org", 5, "revisit", "t", None, None, None, "x")] * 3
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("other") for c in ("at", "base", "url_key", "span", "outcome")})
+    found = sorted((r["record_id"], r["base_id"], r["outcome"]) for r in warc.resolve(df).collect() if r["record_id"] >= 100)
+    assert found == [(101, None, "no_response")] + [(102, 100, "resolved")] * 3
+    assert warc.resolve(df).where("outcome = 'no_response'").count() == 21
+
+
+def test_cut_files_and_repeated_headers():
+    one = warc.render({"WARC-Type": "response", "WARC-Record-ID": "<1>"}, b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nset-cookie: b\r\n\r\nbody")
+    for data in (one * 3, gzip.compress(one) * 3, gzip.compress(one * 2) + gzip.compress(one)):
+        assert [r["block"][-4:] for r in warc.parse(data)] == [b"body"] * 3
+        for cut in (3, 20, len(data) - 5, len(data) - 30):
+            assert all(r["block"].endswith(b"body") for r in warc.parse(data[:cut]))
+    assert warc.joined_fields(b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nset-cookie: b") == {"set-cookie": "a, b"}
+
+
 def test_files(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\nETag: \"x\"\r\nContent-Type: text/html\r\n\r\n<p>h\r\n\r\ni</p>"
     one = warc.render({"WARC-Type": "response", "WARC-Record-ID": "<1>", "WARC-Target-URI": "http://a.org/", "WARC-Date": "2024-01-02T03:04:05Z"}, block)
