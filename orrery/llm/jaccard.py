@@ -661,9 +661,9 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     one = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first")
     reps = keep(rows.where("n > 0").groupBy("class").agg(one, F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     own_bucket = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(buckets)).cast("int").alias("bucket")
-    dealt = docs.withColumn("bucket", own_bucket("id", "key")).repartition(buckets, "bucket").groupBy("bucket")
-    to_shard = lambda m: m.repartition(shards, "shard").groupBy("shard")
-    to_bucket = lambda m: m.repartition(buckets, "bucket").groupBy("bucket")
+    dealt = docs.withColumn("bucket", own_bucket("id", "key")).repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+    to_shard = lambda m: m.repartitionById(shards, F.col("shard")).groupBy("shard")
+    to_bucket = lambda m: m.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
     chosen = reps.select(
         own_bucket("first.id", "first.key"), F.lit(None).cast("int").alias("shard"), F.lit("text").alias("kind"), F.col("first.key").alias("tokens"),
         *(F.lit(None).cast("binary").alias(c) for c in ("sizes", "classes", "n", "points")),
@@ -673,7 +673,7 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     sent = dealt.cogroup(to_bucket(answered.unionByName(chosen))).applyInArrow(_send(shards, counts), MESSAGE)
     met = to_shard(sent).applyInArrow(_meet, "shard int, a binary, b binary")
     few = -(-shards // COMBINED)
-    met = met.withColumn("part", F.pmod("shard", F.lit(few))).repartition(few, "part").groupBy("part")
+    met = met.withColumn("part", F.pmod("shard", F.lit(few)).cast("int")).repartitionById(few, F.col("part")).groupBy("part")
     blocks = components(keep(met.applyInArrow(_combine, EDGES).distinct()))
     verified = _verified(docs, reps, blocks)
     linked = components(verified.where("b IS NOT NULL")).withColumnRenamed("node", "class")
@@ -709,6 +709,6 @@ def _verified(docs: DataFrame, reps: DataFrame, blocks: DataFrame) -> DataFrame:
     texts = docs.join(side, docs["id"].eqNullSafe(placed["rep_id"]) & (docs["key"] == placed["rep_key"])).select(
         "text", "ca", "cb", "ra", "rb", "copies", "low", "high", "side", F.pmod(F.xxhash64("ra", "rb", "low", "high"), F.lit(bins)).cast("int").alias("bin")
     )
-    verified = keep(texts.repartition(bins, "bin").groupBy("bin").applyInArrow(_verify, EDGES + ", links long"))
+    verified = keep(texts.repartitionById(bins, F.col("bin")).groupBy("bin").applyInArrow(_verify, EDGES + ", links long"))
     drop(placed)
     return verified

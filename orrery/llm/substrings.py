@@ -12,21 +12,26 @@ No machine sees the whole text.  Every window has an anchor, the ``ANCHOR``-byte
 in it with the least hash (leftmost on ties); equal windows have equal anchors at equal
 places.  Neighbouring windows with one anchor make a segment.
 
-1. Documents are dealt into buckets by id.  A bucket makes its segments, keeps one of
-   each content, and sends two hashes and a place for each to a shard by anchor.
-2. A shard drops anchors that occur once.  Of segments with equal content, all but the
-   first are covered whole.  Where one anchor has several contents, it asks the buckets
-   of the first of each for the text.
+1. Documents are dealt into buckets by id and text.  A bucket makes its segments, keeps
+   one of each content, and sends hashes and a place for each to a shard by anchor.
+2. A shard drops anchors that occur once.  Of segments with equal content (95 bits of two
+   hashes, one of them modulo a prime), all but the first are covered whole.  Where one
+   anchor has several contents, it asks the buckets of the first of each for the text.
 3. Buckets send those texts, again by anchor; the transform finds equal windows among
-   them, and all but the earliest of each class are covered.
+   them, and all but the earliest of each class are covered.  An anchor with more than
+   ``HOT`` contents (the edges of a passage with that many contexts) would bring too much
+   text to one shard: its windows are dealt by their own 128-bit hashes over all shards.
 4. Buckets merge what is covered into spans.
 
 Equal contents thus travel as hashes, once per bucket; a passage in a third of all rows
-costs a shard one row per bucket.  Buckets are shuffled once and read three times.
-
-Input rules: null and empty texts have nothing to remove; rows with equal ids are
-ordered by text; equal rows follow each other, and the first stays; a null id comes
-before all others; texts of any length are taken whole.
+costs a shard one row per bucket, and 25 bytes for each different context at its edges.
+Buckets are shuffled once and read three times.  ``HOT`` and the sizes of buckets and
+shards change the work's order, not the result.
+
+Input rules: null and empty texts have nothing to remove; rows with equal ids (or none)
+are ordered by a hash of id and text; equal rows follow each other, and the first stays;
+a null id comes before all others; an empty table gives no rows; other columns are
+ignored, whatever their names; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -39,9 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.arrow import lean
+
 LEAST, ANCHOR = 100, 40
 #: Bytes of text in a bucket, and segments that a shard gets on average.
-BUCKET_BYTES, SHARD_SEGMENTS = 12 << 20, 600_000
+BUCKET_BYTES, SHARD_SEGMENTS = 6 << 20, 400_000
+#: Contents of one anchor, above which windows are dealt by themselves.
+HOT = 2_048
 #: Windows whose hashes are made at once.
 STEP = 1 << 17
 _PLACE = np.uint64((1 << 18) - 1)  # low bits that hold a place within a step
@@ -60,6 +69,21 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _POWER, _BACK = _powers(_BASE, STEP + 2 * LEAST), _powers(pow(_BASE, -1, 1 << 64), STEP + 2 * LEAST)
+# A second hash, modulo a prime: powers of two alone have weak strings.
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = 1_664_525_119 % _PRIME
+_BYTE_P = _random.integers(1, _PRIME, 256, dtype=np.uint64)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out, x = np.empty(n, np.uint64), 1
+    for k in range(n):
+        out[k] = x
+        x = x * base % _PRIME
+    return out
+
+
+_POWER_P, _BACK_P = _prime_powers(_PRIME_BASE, STEP + 2 * LEAST), _prime_powers(pow(_PRIME_BASE, -1, _PRIME), STEP + 2 * LEAST)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,8 +113,8 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, content hash, first window's place, number of windows) of all segments.
+def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, content hash, another one, first window's place, number of windows) of all segments.
 
     ``data``: texts laid end to end; ``ends``: where each ends.  In order of place.
     """
@@ -126,9 +150,11 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
         content = (total[begin + count + LEAST - 1] - total[begin]) * _BACK[begin]
         anchor = at[begin]
         content = mix(content + (count * 1_000_003 + (anchor - begin)).astype(np.uint64) * np.uint64(_MUL))
-        found.append((h[anchor], content, begin + a, count))
+        np.cumsum(_BYTE_P[part] * _POWER_P[: len(part)] % _PRIME, out=total[1:])
+        other = (total[begin + count + LEAST - 1] - total[begin]) % _PRIME * _BACK_P[begin] % _PRIME
+        found.append((h[anchor], content, other.astype(np.uint32), begin + a, count))
     if not found:
-        return (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint32, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -171,7 +197,8 @@ def _covered(bucket: int, shard: int, at: np.ndarray, n: np.ndarray) -> dict:
 def _laid_out(table: pa.Table) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A bucket's rows in order: (source row, text), ids, their bytes end to end, starts and ends."""
     ids, texts = table.column("id").to_pylist(), [t or b"" for t in table.column("text").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k]))
+    places = table.column("place").to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, places[k], texts[k]))
     texts = [texts[k] for k in order]
     doc = np.array([-(1 << 63) if ids[k] is None else ids[k] for k in order], np.int64)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
@@ -192,25 +219,25 @@ def _announce(shards: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         _, _, doc, data, _, ends = _laid_out(table)
-        h, c, at, n = segments(data, ends)
+        h, c, e, at, n = segments(data, ends)
         out = []
         if len(h):
-            order = np.lexsort((at, c, h))
-            again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])])
+            order = np.lexsort((at, e, c, h))
+            again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1]) & (e[order][1:] == e[order][:-1])])
             repeats = order[again]
             if len(repeats):
                 out.append(_covered(bucket, bucket % shards, at[repeats], n[repeats]))
             first = np.sort(order[~again])
-            h, c, at, n = h[first], c[first], at[first], n[first]
+            h, c, e, at, n = h[first], c[first], e[first], at[first], n[first]
             owner = doc[np.searchsorted(ends, at, side="right")]
             for shard, own in _by_shard((h % np.uint64(shards)).astype(np.int64)):
                 ids = owner[own]
                 low = int(ids[0])
                 rising = np.concatenate([[0], np.diff(ids)]).astype(np.uint64)
                 out.append(
-                    _message(bucket, shard, "segments", pack_rising(at[own]), pack(n[own]), h[own].tobytes(), c[own].tobytes(), low.to_bytes(8, "little", signed=True) + pack(rising))
+                    _message(bucket, shard, "segments", pack_rising(at[own]), pack(n[own]), h[own].tobytes(), c[own].tobytes(), low.to_bytes(8, "little", signed=True) + pack(rising), e[own].tobytes())
                 )
-        return pa.Table.from_pylist(out, schema=_FIELDS)
+        return lean(pa.Table.from_pylist(out, schema=_FIELDS))
 
     return run
 
@@ -220,8 +247,12 @@ def _ids(data: bytes) -> np.ndarray:
     return (np.cumsum(unpack(data[8:]).astype(np.uint64)) + np.uint64(low & _MASK64)).astype(np.int64)
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(hot: int):
     """Step 2: a shard finds repeated contents, and asks for texts where contents differ."""
+    return lambda table: lean(_compared(table, hot))
+
+
+def _compared(table: pa.Table, hot: int) -> pa.Table:
     rows = table.to_pylist()
     out = [r for r in rows if r["kind"] == "covered"]
     rows = [r for r in rows if r["kind"] == "segments"]
@@ -235,35 +266,50 @@ def _compare(table: pa.Table) -> pa.Table:
         del order
         if len(own):
             c = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in rows])[own]
+            e = np.concatenate([np.frombuffer(r["text"], np.uint32) for r in rows])[own]
             at = np.concatenate([unpack_rising(r["at"]) for r in rows])[own]
             n = np.concatenate([unpack(r["n"]) for r in rows])[own].astype(np.int64)
             doc = np.concatenate([_ids(r["doc"]) for r in rows])[own]
             sizes = [len(r["a"]) // 8 for r in rows]
             bucket = np.repeat([r["bucket"] for r in rows], sizes)[own]
             h = h[own]
-            order = np.lexsort((at, bucket, doc, c, h))
-            h, c, at, n, doc, bucket = (x[order] for x in (h, c, at, n, doc, bucket))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            order = np.lexsort((at, bucket, doc, e, c, h))
+            h, c, e, at, n, doc, bucket = (x[order] for x in (h, c, e, at, n, doc, bucket))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (e[1:] != e[:-1])])
             for b, k in _by_shard(bucket[~new]):
                 out.append(_covered(b, shard, at[~new][k], n[~new][k]))
             # First of each content, where its anchor has more than one.
             first = np.flatnonzero(new)
-            same = h[first][1:] == h[first][:-1]
-            several = first[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            for b, k in _by_shard(bucket[several]):
-                k = several[k]
-                k = k[np.argsort(at[k], kind="stable")]
-                out.append(_message(b, shard, "wanted", pack_rising(at[k]), pack(n[k])))
+            head = np.flatnonzero(np.concatenate([[True], h[first][1:] != h[first][:-1]]))
+            contents = np.diff(np.append(head, len(first)))
+            contents = np.repeat(contents, contents)
+            for kind, several in (("wanted", first[(contents > 1) & (contents <= hot)]), ("hot", first[contents > max(hot, 1)])):
+                for b, k in _by_shard(bucket[several]):
+                    k = several[k]
+                    k = k[np.argsort(at[k], kind="stable")]
+                    out.append(_message(b, shard, kind, pack_rising(at[k]), pack(n[k])))
     return pa.Table.from_pylist(out, schema=_FIELDS)
 
 
-def _send(left: pa.Table, right: pa.Table) -> pa.Table:
+def _send(shards: int):
     """Step 3, first half: a bucket sends the texts that shards have asked for."""
+    return lambda left, right: lean(_sent(left, right, shards))
+
+
+def _sent(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
     rows = right.to_pylist()
     out = [r for r in rows if r["kind"] == "covered"]
-    wanted = [r for r in rows if r["kind"] == "wanted"]
-    if wanted:
+    wanted, hot = ([r for r in rows if r["kind"] == kind] for kind in ("wanted", "hot"))
+    if wanted or hot:
         _, _, doc, data, starts, ends = _laid_out(left)
+        for r in hot:
+            at, n = unpack_rising(r["at"]), unpack(r["n"]).astype(np.int64)
+            windows = np.unique(np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            named = [hashlib.blake2b(data[a : a + LEAST], digest_size=16).digest() for a in windows.tolist()]
+            names = np.frombuffer(b"".join(named), np.uint64).reshape(-1, 2)
+            owner = doc[np.searchsorted(ends, windows, side="right")]
+            for shard, own in _by_shard((names[:, 0] % np.uint64(shards)).astype(np.int64)):
+                out.append(_message(r["bucket"], shard, "windows", pack_rising(windows[own]), a=names[own].tobytes(), doc=owner[own].tobytes()))
         for r in wanted:
             at, n = unpack_rising(r["at"]), unpack(r["n"]).astype(np.int64)
             owner = np.searchsorted(ends, at, side="right")
@@ -361,6 +407,16 @@ def _expand(table: pa.Table) -> pa.Table:
     """Step 3, second half: equal windows among a shard's texts; all but the earliest are covered."""
     rows = table.to_pylist()
     out = [r for r in rows if r["kind"] == "covered"]
+    if windows := [r for r in rows if r["kind"] == "windows"]:
+        names = np.concatenate([np.frombuffer(r["a"], np.uint64).reshape(-1, 2) for r in windows])
+        at = np.concatenate([unpack_rising(r["at"]) for r in windows])
+        doc = np.concatenate([np.frombuffer(r["doc"], np.int64) for r in windows])
+        bucket = np.repeat([r["bucket"] for r in windows], [len(r["doc"]) // 8 for r in windows])
+        order = np.lexsort((at, bucket, doc, names[:, 1], names[:, 0]))
+        names, at, bucket = names[order], at[order], bucket[order]
+        later = np.concatenate([[False], (names[1:] == names[:-1]).all(axis=1)])
+        for b, k in _by_shard(bucket[later]):
+            out.append(_covered_windows(b, windows[0]["shard"], at[later][k]))
     rows = [r for r in rows if r["kind"] == "texts"]
     if rows:
         shard = rows[0]["shard"]
@@ -384,11 +440,15 @@ def _expand(table: pa.Table) -> pa.Table:
             group, owner, start = group[sort], owner[sort], start[sort]
             later = np.concatenate([[False], group[1:] == group[:-1]])
             for b, k in _by_shard(bucket[owner[later]]):
-                windows = np.unique(start[later][k])
-                cuts = np.concatenate([[True], np.diff(windows) > 1])
-                heads = np.flatnonzero(cuts)
-                out.append(_covered(b, shard, windows[heads], np.diff(np.append(heads, len(windows)))))
-    return pa.Table.from_pylist(out, schema=_FIELDS)
+                out.append(_covered_windows(b, shard, start[later][k]))
+    return lean(pa.Table.from_pylist(out, schema=_FIELDS))
+
+
+def _covered_windows(bucket: int, shard: int, at: np.ndarray) -> dict:
+    """Single windows of a bucket, as runs."""
+    at = np.unique(at)
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+    return _covered(bucket, shard, at[heads], np.diff(np.append(heads, len(at))))
 
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
@@ -419,7 +479,7 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
             kept = data[a:b][~own].tobytes()
         out.append((ids[order[k]], len(text), m, len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
     columns = list(zip(*out)) if out else [[]] * 6
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _RESULT)], schema=_RESULT)
+    return lean(pa.table([pa.array(c, f.type) for c, f in zip(columns, _RESULT)], schema=_RESULT))
 
 
 def repeated(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -427,15 +487,14 @@ def repeated(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-size // BUCKET_BYTES))
     shards = max(1, -(-2 * size // (LEAST - ANCHOR + 2) // SHARD_SEGMENTS))
-    docs = df.select(
-        F.col(id).cast("long").alias("id"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
-        F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(buckets)).cast("int").alias("bucket"),
-    ).repartition(buckets, "bucket")
-    to_shard = lambda m: m.repartition(shards, "shard").groupBy("shard")
-    to_bucket = lambda m: m.repartition(buckets, "bucket").groupBy("bucket")
+    docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    # Buckets are ranges of a hash, so that rows of one id have the same order whatever their number.
+    docs = docs.withColumn("place", F.shiftrightunsigned(F.xxhash64("id", "text"), 33))
+    docs = docs.withColumn("bucket", F.shiftright(F.col("place") * buckets, 31).cast("int")).repartitionById(buckets, F.col("bucket"))
+    to_shard = lambda m: m.repartitionById(shards, F.col("shard")).groupBy("shard")
+    to_bucket = lambda m: m.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
     announced = docs.groupBy("bucket").applyInArrow(_announce(shards), MESSAGE)
-    compared = to_shard(announced).applyInArrow(_compare, MESSAGE)
-    sent = docs.groupBy("bucket").cogroup(to_bucket(compared)).applyInArrow(_send, MESSAGE)
+    compared = to_shard(announced).applyInArrow(_compare(HOT), MESSAGE)
+    sent = docs.groupBy("bucket").cogroup(to_bucket(compared)).applyInArrow(_send(shards), MESSAGE)
     expanded = to_shard(sent).applyInArrow(_expand, MESSAGE)
     return docs.groupBy("bucket").cogroup(to_bucket(expanded)).applyInArrow(_finish, RESULT)

@@ -188,7 +188,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: st
         columns = list(zip(*out)) if out else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=[f.split()[0] for f in RESULT.split(", ")])
 
-    partial = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, RESULT)
+    pair = (F.col("shard") * blocks + F.col("block")).alias("pair")
+    met = lambda df: df.select(pair, "id", "key", "v", "times").repartitionById(shards * blocks, F.col("pair")).groupBy("pair")
+    partial = met(left).cogroup(met(right)).applyInArrow(meet, RESULT)
     # A candidate that counts several times takes as many ranks.
     order = [F.desc("score"), F.asc("vec_id")]
     each = Window.partitionBy("query_id", "query_key")
