@@ -328,7 +328,7 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
         symbol = padded[j : j + n]
         stop |= symbol == 0
         key = key * np.uint64(257) + np.where(stop, 0, symbol).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n, np.int64)
@@ -343,7 +343,7 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
             return order
         own = order[shared]
         following = np.where(till[own] >= width, rank[np.minimum(own + width, n - 1)] + n, own)
-        new = np.lexsort((following, rank[own]))
+        new = np.argsort(rank[own] * (2 * n) + following)
         own, following = own[new], following[new]
         order[shared] = own
         old = rank[own]
