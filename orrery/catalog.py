@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import answers, bundles, events, joins, measuring, passages, planning, ranking, selection, text  # noqa: F401  they register
+from orrery.plans import answers, bundles, checks, events, folds, joins, measuring, passages, planning, ranking, selection, text  # noqa: F401  they register
 from orrery.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

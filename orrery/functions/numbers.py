@@ -40,6 +40,14 @@ def single(value: Column) -> Column:
     return value.cast("float").cast("double")
 
 
+def next_below(value: Column, steps: Column) -> Column:
+    """The double that lies ``steps`` doubles below ``value``: bit patterns of one sign are in the order of values."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
+    least = F.lit(-(1 << 63)).cast("bigint")
+    ordered = F.when(bits >= 0, bits).otherwise(least - bits) - steps.cast("bigint")
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), F.when(ordered >= 0, ordered).otherwise(least - ordered)).cast("double")
+
+
 def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 

@@ -115,19 +115,6 @@ def merged_cards(cards: DataFrame, most: int) -> DataFrame:
     return own.withColumn("label", F.concat(F.lit("a"), F.lpad(F.col("place").cast("string"), 3, "0"))).drop("normal", "nth")
 
 
-def paragraphs(sentences: DataFrame, most: int = 3500) -> DataFrame:
-    """Sentences grouped into paragraphs: a blank line behind a complete one, or too much text, begins a new one.
-
-    ``sentences``: doc, start, end, complete, blank_before.
-    """
-    w = Window.partitionBy("doc").orderBy("start")
-    fresh = F.coalesce(F.col("blank_before") & F.lag("complete").over(w), F.lit(True))
-    own = sentences.withColumn("block", F.sum(fresh.cast("int")).over(w))
-    b = Window.partitionBy("doc", "block").orderBy("start")
-    part = F.floor((F.col("end") - F.first("start").over(b) - 1) / F.lit(most))
-    return own.withColumn("part", part).groupBy("doc", "block", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("sentences"))
-
-
 def latest_attempts(attempts: DataFrame, by: tuple[str, ...], order: str) -> DataFrame:
     """The last attempt of each task, how many there were, and whether it is sealed."""
     return attempts.groupBy(*by).agg(F.max(order).alias("attempt"), F.max_by("status", order).alias("status"), F.count(F.lit(1)).alias("attempts"))
@@ -152,24 +139,3 @@ def resolve_claims(claims: DataFrame, evidence: DataFrame, most_docs: int = 3) -
     )
     code = F.when(F.col("unknown") == 1, "UNKNOWN_ALIAS").when(F.col("distinct") > most_docs, "TOO_MANY_DOCUMENTS").otherwise("ACCEPTED")
     return own.withColumn("code", code)
-
-
-def ledger_rows(deltas: DataFrame) -> DataFrame:
-    """Rows of an evidence ledger, accepted or with the code of the first rule they break.
-
-    ``deltas``: seq, section (need, nugget, link), id, ref, grounded.  Sections of one
-    delta apply in that order; an id's first accepted row makes it known from then on.
-    """
-    order = F.when(F.col("section") == "need", 0).when(F.col("section") == "nugget", 1).otherwise(2)
-    own = deltas.withColumn("step", F.struct("seq", order.alias("o")))
-    w = Window.partitionBy("section", "id").orderBy("step")
-    own = own.withColumn("nth", F.row_number().over(w))
-    needs = own.where("section = 'need'").groupBy(F.col("id").alias("ref")).agg(F.min("step").alias("known_since"))
-    own = own.join(needs, "ref", "left")
-    code = (
-        F.when(F.col("nth") > 1, "DUPLICATE_ID")
-        .when((F.col("section") != "need") & (F.col("known_since").isNull() | (F.col("known_since") > F.col("step"))), "UNKNOWN_NEED")
-        .when((F.col("section") == "nugget") & ~F.col("grounded"), "UNGROUNDED")
-        .otherwise("ACCEPTED")
-    )
-    return own.select("seq", "section", "id", "ref", code.alias("code"))

@@ -100,20 +100,3 @@ def usefulness(documents: DataFrame) -> DataFrame:
     score = 3.0 * F.col("drafted") + 1.0 * F.col("needs") + 0.5 * F.col("nuggets") + F.coalesce("support", F.lit(0.0))
     own = documents.withColumn("useful", score)
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.round("useful", 9)), "doc")).cast("bigint"))
-
-
-def promotion(arms: DataFrame, control: str, least_gain: float = 0.0, most_loss: float = 0.05) -> DataFrame:
-    """Arms with the guards they pass against the control; the first by name that passes all is promoted.
-
-    ``arms``: arm, topic, value.
-    """
-    base = arms.where(F.col("arm") == control).select("topic", F.col("value").alias("base"))
-    own = arms.where(F.col("arm") != control).join(base, "topic").withColumn("delta", F.col("value") - F.col("base"))
-    guards = own.groupBy("arm").agg(
-        (F.round(F.avg("delta"), 9) > least_gain).alias("gains"),
-        (F.min("delta") >= -most_loss).alias("no_big_loss"),
-        (F.sum((F.col("delta") > 1e-12).cast("int")) >= F.sum((F.col("delta") < -1e-12).cast("int"))).alias("wins_not_fewer"),
-    )
-    passed = F.col("gains") & F.col("no_big_loss") & F.col("wins_not_fewer")
-    first = F.min(F.when(passed, F.col("arm"))).over(Window.partitionBy(F.lit(1)))
-    return guards.withColumn("passed", passed).withColumn("promoted", F.coalesce(F.col("arm") == first, F.lit(False)))

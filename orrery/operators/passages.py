@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.numbers import next_below
+
 #: Weights of a document's four best passages, renormalised over what there is.
 TOP4 = (0.55, 0.25, 0.13, 0.07)
 
@@ -96,7 +98,8 @@ def span_support(windows: DataFrame, delta: float = 1.0, least_new: int = 800, c
 def coverage_aware(documents: DataFrame, windows: DataFrame, depth: int = 50, a: float = 0.5, b: float = 0.5, c: float = 0.25) -> DataFrame:
     """Re-ranks the first ``depth``: a * document + b * top-4 + c * support; the tail keeps its order.
 
-    ``documents``: topic, doc, rank, score.  Tail rows score just below what precedes them.
+    ``documents``: topic, doc, rank, score.  Tail rows score the next double below what
+    precedes them, step by step; without a head they start below 0.
     """
     head = documents.where(F.col("rank") <= depth).join(top4(windows), ["topic", "doc"]).join(span_support(windows), ["topic", "doc"])
     head = head.withColumn("total", a * F.col("score") + b * F.col("top4") + c * F.col("support"))
@@ -104,7 +107,11 @@ def coverage_aware(documents: DataFrame, windows: DataFrame, depth: int = 50, a:
     both = head.select("topic", "doc", "rank", F.round("total", 9).alias("total"), F.lit(0).alias("tail")).unionByName(
         documents.where(F.col("rank") > depth).select("topic", "doc", "rank", F.lit(None).cast("double").alias("total"), F.lit(1).alias("tail"))
     )
-    return both.withColumn("final_rank", F.row_number().over(order).cast("bigint")).drop("tail")
+    every = Window.partitionBy("topic")
+    ranked = both.withColumn("final_rank", F.row_number().over(order).cast("bigint"))
+    last, heads = F.coalesce(F.min("total").over(every), F.lit(0.0)), F.sum(1 - F.col("tail")).over(every)
+    score = F.when(F.col("tail") == 0, F.col("total")).otherwise(next_below(last, F.col("final_rank") - heads))
+    return ranked.withColumn("final_score", score).drop("tail")
 
 
 def union_length(spans: DataFrame) -> DataFrame:

@@ -46,10 +46,11 @@ def holm(tests: DataFrame, p: str = "p", id: str = "id") -> DataFrame:
     return tests.withColumn("raw", raw).withColumn("adjusted", F.max("raw").over(every.rowsBetween(Window.unboundedPreceding, 0))).drop("raw")
 
 
-def sign_flip(deltas: DataFrame, value: str = "delta", most: int = 22) -> DataFrame:
+def sign_flip(deltas: DataFrame, value: str = "delta", most: int = 22, slack: float = 1e-15) -> DataFrame:
     """Exact one-sided test: the share of all sign patterns whose sum reaches the observed one.
 
-    The patterns are dealt over the cluster; the differences are at most ``most``.
+    The patterns are dealt over the cluster; the differences are at most ``most``.  A sum
+    reaches the observed one from ``slack`` below it on, as sums in other orders may differ.
     """
     rows = [abs(r[0]) for r in deltas.select(value).where(F.col(value) != 0).orderBy(F.abs(value)).limit(most + 1).collect()]
     if len(rows) > most:
@@ -60,9 +61,9 @@ def sign_flip(deltas: DataFrame, value: str = "delta", most: int = 22) -> DataFr
         total = total + F.when(F.shiftright(F.col("id"), k).bitwiseAND(1) == 1, F.lit(x)).otherwise(F.lit(-x))
     patterns = deltas.sparkSession.range(1 << len(rows)).select(total.alias("sum"))
     return patterns.crossJoin(F.broadcast(observed)).agg(
-        F.sum((F.col("sum") >= F.col("observed") - 1e-12).cast("bigint")).alias("reached"),
+        F.sum((F.col("sum") >= F.col("observed") - slack).cast("bigint")).alias("reached"),
         F.count(F.lit(1)).alias("patterns"),
-        (F.sum((F.col("sum") >= F.col("observed") - 1e-12).cast("bigint")) / F.count(F.lit(1))).alias("p"),
+        (F.sum((F.col("sum") >= F.col("observed") - slack).cast("bigint")) / F.count(F.lit(1))).alias("p"),
     )
 
 

@@ -206,14 +206,3 @@ def document_usefulness(spark, sf_dir):
     return J.usefulness(rows).select("topic", "doc", F.round("useful", 6).alias("useful"), "rank")
 
 
-@query(
-    sql(
-        "qrels",
-        """, v AS (SELECT topic, 'a' || doc % 4 AS arm, avg(grade / 3.0) AS value FROM qrels GROUP BY ALL), d AS (SELECT v.arm, v.topic, v.value - b.value AS delta FROM v JOIN v b ON b.topic = v.topic AND b.arm = 'a0' WHERE v.arm <> 'a0'),
-g AS (SELECT arm, round(avg(delta), 9) > 0 AS gains, min(delta) >= -0.4 AS no_big_loss, count(*) FILTER (delta > 1e-12) >= count(*) FILTER (delta < -1e-12) AS wins_not_fewer FROM d GROUP BY arm)
-SELECT *, gains AND no_big_loss AND wins_not_fewer AS passed, coalesce(arm = min(CASE WHEN gains AND no_big_loss AND wins_not_fewer THEN arm END) OVER (), false) AS promoted FROM g""",
-    )
-)
-def promotion_rules(spark, sf_dir):
-    arms = qrels(spark, sf_dir).groupBy("topic", F.concat(F.lit("a"), (F.col("doc") % 4).cast("string")).alias("arm")).agg(F.avg(F.col("grade") / 3.0).alias("value"))
-    return J.promotion(arms, "a0", most_loss=0.4)

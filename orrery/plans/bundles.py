@@ -132,21 +132,6 @@ def audit_cards(spark, sf_dir):
     return out.select("topic", F.regexp_replace("detail", " +", " ").alias("detail"), F.col("place").cast("bigint").alias("place"), "label")
 
 
-@query(
-    sql(
-        "windows",
-        """, s AS (SELECT doc, "start", "end", chunk % 2 = 1 AS complete, chunk % 3 = 0 AS blank FROM windows),
-f AS (SELECT *, coalesce(blank AND lag(complete) OVER (PARTITION BY doc ORDER BY "start"), true) AS fresh FROM s),
-b AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc ORDER BY "start") AS block FROM f),
-p AS (SELECT *, CAST(floor(("end" - first_value("start") OVER (PARTITION BY doc, block ORDER BY "start") - 1) / 3500.0) AS BIGINT) AS part FROM b)
-SELECT doc, CAST(block AS BIGINT) AS block, part, min("start") AS "start", max("end") AS "end", count(*) AS sentences FROM p GROUP BY 1, 2, 3""",
-    )
-)
-def paragraph_segmentation(spark, sf_dir):
-    rows = windows(spark, sf_dir).select("doc", "start", "end", (F.col("chunk") % 2 == 1).alias("complete"), (F.col("chunk") % 3 == 0).alias("blank_before"))
-    return B.paragraphs(rows).withColumn("block", F.col("block").cast("bigint"))
-
-
 @query(
     """SELECT user_id, max(event_id) AS attempt, arg_max(event_type, event_id) AS status, count(*) AS attempts FROM events GROUP BY user_id"""
 )
@@ -182,18 +167,6 @@ def claim_aliases(spark, sf_dir):
     return out.select("claim", F.array_join(F.transform("docs", lambda d: d.cast("string")), ",", "?").alias("docs"), "distinct", "code")
 
 
-@query(
-    """WITH d AS (SELECT event_id AS seq, ['need', 'nugget', 'link'][event_id % 3 + 1] AS section, user_id % 40 AS id, (user_id * 7) % 60 AS ref, value >= 20 AS grounded FROM events),
-o AS (SELECT *, row_number() OVER (PARTITION BY section, id ORDER BY seq) AS nth FROM d), n AS (SELECT id AS ref, min(seq) AS since FROM d WHERE section = 'need' GROUP BY id)
-SELECT seq, section, o.id, o.ref, CASE WHEN nth > 1 THEN 'DUPLICATE_ID' WHEN section <> 'need' AND (since IS NULL OR since > seq) THEN 'UNKNOWN_NEED' WHEN section = 'nugget' AND NOT grounded THEN 'UNGROUNDED' ELSE 'ACCEPTED' END AS code
-FROM o LEFT JOIN n ON n.ref = o.ref"""
-)
-def evidence_ledger(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    section = F.element_at(F.array(F.lit("need"), F.lit("nugget"), F.lit("link")), (F.col("event_id") % 3 + 1).cast("int"))
-    return B.ledger_rows(e.select(F.col("event_id").alias("seq"), section.alias("section"), (F.col("user_id") % 40).alias("id"), ((F.col("user_id") * 7) % 60).alias("ref"), (F.col("value") >= 20).alias("grounded")))
-
-
 @query(
     """WITH c AS (SELECT l_orderkey AS k, max(l_extendedprice) AS score FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1)
 SELECT o_orderkey AS k, score, score IS NOT NULL AS hit FROM orders LEFT JOIN c ON k = o_orderkey"""

@@ -45,17 +45,6 @@ def ledger_state(spark, sf_dir):
     return L.ledger_state(kinds(spark, sf_dir), "a", "b", "c", 8, 700)
 
 
-@query(
-    KINDS
-    + f""", g AS (SELECT *, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER ({BY_USER}))) AS gap FROM ev),
-s AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 3600 THEN 1 ELSE 0 END) OVER ({BY_USER}) AS BIGINT) AS session FROM g),
-h AS (SELECT *, first_value(event_type) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS holder, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS place FROM s)
-SELECT event_id, user_id, session, holder, CASE WHEN place = 1 AND session = 1 THEN 'claimed' WHEN place = 1 THEN 'reclaimed' WHEN holder = event_type THEN 'heartbeat' ELSE 'busy' END AS result FROM h"""
-)
-def claim_resolution(spark, sf_dir):
-    return L.claims(kinds(spark, sf_dir))
-
-
 @query(
     KINDS
     + f""", u AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS used, CASE event_type WHEN 'a' THEN 6 WHEN 'b' THEN 9 ELSE 1073741824 END AS lim,

@@ -82,19 +82,19 @@ def artifact_diff(spark, sf_dir):
 
 
 MERGE = """WITH t AS (SELECT c_custkey AS k, round(c_acctbal, 2) AS old FROM customer WHERE c_custkey % 3 <> 0),
-s AS (SELECT c_custkey AS k, min(round(CASE WHEN c_custkey % 8 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2)) AS new FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1),
+s AS (SELECT c_custkey AS k, min(round(CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2)) AS new FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1),
 b AS (SELECT coalesce(t.k, s.k) AS k, old, new, coalesce(old <> new, false) AS conflict FROM t FULL JOIN s ON t.k = s.k)"""
 
 
 def _merge(spark, sf_dir, strict):
     c = table(spark, sf_dir, "customer")
     target = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 2).alias("score"))
-    new = F.when(F.col("c_custkey") % 8 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    new = F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
     source = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), F.round(new, 2).alias("score"))
     return J.merge(target, source.unionAll(source), ["k"], "score", strict)
 
 
-@query(MERGE.replace("WHERE c_custkey % 4", "WHERE c_custkey % 4") + " SELECT k, coalesce(old, new) AS score, CASE WHEN conflict THEN 'kept' WHEN old IS NULL THEN 'inserted' WHEN new IS NULL THEN 'untouched' ELSE 'equal' END AS action FROM b")
+@query(MERGE + " SELECT k, coalesce(old, new) AS score, CASE WHEN conflict THEN 'kept' WHEN old IS NULL THEN 'inserted' WHEN new IS NULL THEN 'untouched' ELSE 'equal' END AS action FROM b")
 def score_merge(spark, sf_dir):
     return _merge(spark, sf_dir, False)[0]
 

@@ -209,32 +209,16 @@ def holm_adjustment(spark, sf_dir):
     sql(
         "streams qrels",
         PAIR
-        + """, d AS (SELECT abs(delta) AS x, row_number() OVER (ORDER BY abs(delta), topic) - 1 AS k FROM x WHERE topic < 'src16' AND abs(delta) > 0),
-o AS (SELECT coalesce(sum(delta), 0) AS observed FROM x WHERE topic < 'src16'),
+        + """, w AS (SELECT topic, CAST(round(delta * 1000000) AS BIGINT) AS delta FROM x), d AS (SELECT abs(delta) AS x, row_number() OVER (ORDER BY abs(delta), topic) - 1 AS k FROM w WHERE delta <> 0),
+o AS (SELECT coalesce(sum(delta), 0) AS observed FROM w),
 b AS (SELECT unnest(range(0, CAST(pow(2, (SELECT count(*) FROM d)) AS BIGINT))) AS id),
 s AS (SELECT id, coalesce(sum(CASE WHEN (id >> k) & 1 = 1 THEN x ELSE -x END), 0) AS total FROM b LEFT JOIN d ON true GROUP BY id)
-SELECT count(*) FILTER (total >= observed - 1e-9) AS reached, count(*) AS patterns, round(count(*) FILTER (total >= observed - 1e-9) / count(*), 9) AS p FROM s CROSS JOIN o""",
-    )
-)
-def sign_flip_exact(spark, sf_dir):
-    rows = X.compare(*_pair(spark, sf_dir)).where("topic < 'src16'").withColumn("delta", F.round("delta", 6))
-    return X.sign_flip(rows).withColumn("p", F.round("p", 9))
-
-
-@query(
-    sql(
-        "streams qrels",
-        PAIR
-        + """, d AS (SELECT abs(delta) AS x, row_number() OVER (ORDER BY abs(delta), topic) - 1 AS k FROM x WHERE abs(delta) > 0),
-o AS (SELECT coalesce(sum(delta), 0) AS observed FROM x),
-b AS (SELECT unnest(range(0, CAST(pow(2, (SELECT count(*) FROM d)) AS BIGINT))) AS id),
-s AS (SELECT id, coalesce(sum(CASE WHEN (id >> k) & 1 = 1 THEN x ELSE -x END), 0) AS total FROM b LEFT JOIN d ON true GROUP BY id)
-SELECT count(*) FILTER (total >= observed - 1e-9) AS reached, count(*) AS patterns, round(count(*) FILTER (total >= observed - 1e-9) / count(*), 9) AS p FROM s CROSS JOIN o""",
+SELECT count(*) FILTER (total >= observed) AS reached, count(*) AS patterns, round(count(*) FILTER (total >= observed) / count(*), 9) AS p FROM s CROSS JOIN o""",
     )
 )
 def sign_flip_all_topics(spark, sf_dir):
-    """Every topic; ``sign_flip_exact`` holds the topics that its SQL names."""
-    rows = X.compare(*_pair(spark, sf_dir)).withColumn("delta", F.round("delta", 6))
+    """Every topic; changes in whole millionths, whose sums are exact."""
+    rows = X.compare(*_pair(spark, sf_dir)).withColumn("delta", F.round(F.col("delta") * 1_000_000))
     return X.sign_flip(rows).withColumn("p", F.round("p", 9))
 
 

@@ -107,23 +107,12 @@ def permutation_check(spark, sf_dir):
     return own.withColumn("permutation", (F.col("missing") == 0) & (F.col("extra") == 0))
 
 
-@query(
-    """SELECT item_id AS topic, d.doc_id AS doc, CAST(len(list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]+'), lambda w: contains(lower(d.text), w))) AS BIGINT) AS hits
-FROM benchmark b CROSS JOIN documents d WHERE d.doc_id % 50 = 0 AND b.item_id % 10 = 0"""
-)
-def unit_cross_product(spark, sf_dir):
-    units = table(spark, sf_dir, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("topic"), tokens(F.col("text")).alias("w"))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("doc"), F.lower("text").alias("text"))
-    hits = F.size(F.filter("w", lambda w: F.contains(F.col("text"), w))).cast("bigint")
-    return docs.crossJoin(units).select("topic", "doc", hits.alias("hits"))
-
-
 @query(
     """SELECT item_id AS topic, d.doc_id AS doc, CAST(len(list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]+'), lambda w: contains(lower(d.text), w))) AS BIGINT) AS hits
 FROM benchmark b CROSS JOIN documents d"""
 )
 def unit_cross_product_all(spark, sf_dir):
-    """Every document and every unit; ``unit_cross_product`` holds the 1/500 of them that its SQL names."""
+    """Every document and every unit."""
     units = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), tokens(F.col("text")).alias("words"))
     return unit_hits(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), units)
 

@@ -49,14 +49,9 @@ def analysed_terms(spark, sf_dir):
     return own.select("doc", F.size("t").cast("bigint").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("terms"))
 
 
-@query("SELECT doc_id AS doc, trim(regexp_replace(text[1:300], '\\s+', ' ', 'g')) AS squeezed, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS words FROM documents")
-def whitespace_and_words(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc", X.squeezed(F.substring("text", 1, 300)).alias("squeezed"), X.word_count(F.col("text")).alias("words"))
-
-
 @query("SELECT doc_id AS doc, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS words FROM documents")
 def whitespace_of_whole_texts(spark, sf_dir):
-    """Whole texts; ``whitespace_and_words`` squeezes the first 300 characters that its SQL names."""
+    """Whole texts, squeezed to their ends."""
     return _docs(spark, sf_dir).select("doc", X.squeezed(F.col("text")).alias("squeezed"), X.word_count(F.col("text")).alias("words"))
 
 
@@ -65,25 +60,13 @@ def topic_titles(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), X.title(F.col("text")).alias("title"), X.slug(F.col("text")).alias("slug"))
 
 
-@query(
-    f"""WITH w AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+'), lambda x: lower(x)), lambda x: NOT list_contains([{STOP}], x))) AS c FROM benchmark)
-SELECT a.item_id AS topic, b.item_id AS other, round(len(list_filter(w.c, lambda x: contains(lower(b.text), x))) / nullif(len(w.c), 0), 6) AS ratio
-FROM benchmark a JOIN w ON w.item_id = a.item_id JOIN benchmark b ON b.item_id % 4 = a.item_id % 4"""
-)
-def claim_support(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    left = b.select(F.col("item_id").alias("topic"), F.col("text").alias("claim"), (F.col("item_id") % 4).alias("k"))
-    right = b.select(F.col("item_id").alias("other"), F.col("text").alias("evidence"), (F.col("item_id") % 4).alias("k"))
-    return left.join(right, "k").select("topic", "other", F.round(X.support_ratio(F.col("claim"), F.col("evidence")), 6).alias("ratio"))
-
-
 @query(
     f"""WITH w AS (SELECT item_id, text, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+'), lambda x: lower(x)), lambda x: NOT list_contains([{STOP}], x))) AS c FROM benchmark)
 SELECT a.item_id AS topic, b.item_id AS other, round(len(list_filter(a.c, lambda x: contains(lower(b.text), x))) / nullif(len(a.c), 0), 6) AS ratio
 FROM w a CROSS JOIN benchmark b"""
 )
 def claim_support_all(spark, sf_dir):
-    """Every claim against every evidence; ``claim_support`` holds the pairs that its SQL names."""
+    """Every claim against every evidence."""
     b = table(spark, sf_dir, "benchmark")
     left = b.select(F.col("item_id").alias("topic"), F.col("text").alias("claim"))
     right = b.select(F.col("item_id").alias("other"), F.col("text").alias("evidence"))

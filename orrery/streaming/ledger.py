@@ -55,23 +55,6 @@ def ledger_state(events: DataFrame, reserve: str, success: str, failure: str, pe
     return both.select("event_id", "user_id", F.col("nth").cast("bigint").alias("nth"), F.when(code == "ADMITTED", F.col("ordinal")).cast("bigint").alias("ordinal"), code.alias("code"), state.alias("state"))
 
 
-def claims(events: DataFrame, lease_seconds: int = 3600) -> DataFrame:
-    """Whether each event takes its key's claim: free, expired, or held by another.
-
-    The key is the user; the holder is the event type.  A claim lasts ``lease_seconds``
-    from its holder's last event, so the owner at each event follows from the one before.
-    """
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
-    fresh = gap.isNull() | (gap > lease_seconds)
-    own = events.withColumn("session", F.sum(fresh.cast("int")).over(w))
-    s = Window.partitionBy("user_id", "session").orderBy("ts", "event_id")
-    holder = F.first("event_type").over(s)
-    place = F.row_number().over(s)
-    result = F.when(place == 1, F.when(F.col("session") == 1, "claimed").otherwise("reclaimed")).when(holder == F.col("event_type"), "heartbeat").otherwise("busy")
-    return own.select("event_id", "user_id", F.col("session").cast("bigint").alias("session"), holder.alias("holder"), result.alias("result"))
-
-
 def budget_stops(events: DataFrame, limits: dict[str, int], no_yield: int = 5) -> DataFrame:
     """Admission of each event under per-type budgets, with the streak of events without yield.
 

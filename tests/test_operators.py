@@ -11,6 +11,7 @@ from orrery.functions import numbers as N
 from orrery.functions import text as X
 from orrery.operators import admission as A
 from orrery.operators import bundles as B
+from orrery.operators import folds
 from orrery.operators import greedy as G
 from orrery.operators import joins as J
 from orrery.operators import passages as P
@@ -179,5 +180,52 @@ def test_table_digest_ignores_order(spark):
 
 def test_expected_paragraph_rules(spark):
     rows = [(1, 0, 10, True, False), (1, 11, 20, False, True), (1, 21, 30, True, True), (1, 31, 5000, True, True)]
-    out = B.paragraphs(spark.createDataFrame(rows, "doc long, start long, end long, complete boolean, blank_before boolean"))
+    out = folds.paragraphs(spark.createDataFrame(rows, "doc long, start long, end long, complete boolean, blank_before boolean"))
     assert sorted((r["start"], r["end"], r["sentences"]) for r in out.collect()) == [(0, 10, 1), (11, 30, 2), (31, 5000, 1)]
+
+    # Length is counted from the paragraph's own beginning.
+    rows = [(2, 0, 2000, True, False), (2, 2001, 3600, True, False), (2, 3601, 6500, True, False), (2, 6501, 6600, True, False)]
+    out = folds.paragraphs(spark.createDataFrame(rows, "doc long, start long, end long, complete boolean, blank_before boolean"))
+    assert sorted((r["start"], r["end"]) for r in out.collect()) == [(0, 2000), (2001, 3600), (3601, 6600)]
+
+
+def test_claims_extend_by_their_holder_only(spark):
+    rows = [("k", 0, 0, "a", False), ("k", 3000, 1, "b", False), ("k", 5400, 2, "b", False), ("k", 5500, 3, "a", True), ("k", 5600, 4, "b", True), ("k", 9999, 5, "a", False)]
+    out = folds.claims(spark.createDataFrame(rows, "key string, at long, place long, worker string, done boolean"))
+    assert [r["result"] for r in out.orderBy("place").collect()] == ["claimed", "busy", "reclaimed", "lost", "scored", "cached"]
+
+
+def test_rejected_rows_do_not_use_up_their_ids(spark):
+    row = lambda seq, section, id, **x: dict(ledger=1, seq=seq, place=0, section=section, id=id, needs=[], facets=[], nuggets=[], snippets=[], status=None, reason=None, other=None, grounded=True) | x
+    rows = [
+        row(1, "nugget", "g", needs=["n"], snippets=["s"]), row(2, "need", "n"), row(2, "read", "s", other="d"), row(3, "nugget", "g", needs=["n"], snippets=["s"]), row(4, "nugget", "g", needs=["n"], snippets=["s"]),
+        row(5, "nugget", "h", needs=["n"], snippets=["s"], nuggets=["g"]), row(6, "need_status", "n", status="conflicted", nuggets=["g", "h"]), row(7, "supersede", "g", other="h"),
+        row(8, "need_status", "n", status="partial", nuggets=["g"]), row(9, "facet", "f", needs=["n"]), row(10, "facet_status", "f", status="covered", nuggets=["h"]), row(11, "facet_status", "f", status="dropped", reason="r"),
+        row(12, "abandon", "d", reason="r"), row(13, "abandon", "x", reason="r"), row(14, "evidence", "h", snippets=["s"]), row(15, "oddity", "x"), row(16, "need_status", "n", status="partial", nuggets=["h"] * 9),
+    ]
+    schema = "ledger long, seq long, place long, section string, id string, needs array<string>, facets array<string>, nuggets array<string>, snippets array<string>, status string, reason string, other string, grounded boolean"
+    out = folds.evidence_ledger(spark.createDataFrame(rows, schema)).orderBy("seq", "section").collect()
+    assert [r["code"] for r in out] == [
+        "UNKNOWN_NEED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "DUPLICATE_ID", "ACCEPTED", "ACCEPTED", "ACCEPTED", "MISSING_GROUNDED_DRAFT", "ACCEPTED", "MISSING_GROUNDED_NUGGET", "ACCEPTED",
+        "ACCEPTED", "UNKNOWN_DOCUMENT", "DUPLICATE_EVIDENCE", "UNKNOWN_SECTION", "TOO_MANY_DRAFT_NUGGETS",
+    ]
+    assert out[-1]["version"] == 9 and len({r["state_sha256"] for r in out}) == 10
+
+
+def test_next_doubles_below(spark):
+    values = [1.0, 0.0, -0.0, 2.5e-300, -7.25, 4.9e-324, 1e308]
+    for steps in (1, 2, 1000):
+        df = spark.createDataFrame([(v,) for v in values], "v double").select("v", N.next_below(F.col("v"), F.lit(steps)).alias("b"))
+        for r in df.collect():
+            x = r["v"]
+            for _ in range(steps):
+                x = math.nextafter(x, -math.inf)
+            assert r["b"] == x
+
+
+def test_tail_scores_fall_below_the_head(spark):
+    docs = spark.createDataFrame([("t", d, d, 10.0 - d) for d in range(1, 6)], "topic string, doc long, rank long, score double")
+    w = spark.createDataFrame([("t", d, 0, 0, 900, 1.0) for d in (1, 2)], "topic string, doc long, chunk long, start long, end long, score double")
+    out = P.coverage_aware(docs, w, 2).orderBy("final_rank").collect()
+    scores = [r["final_score"] for r in out]
+    assert [r["rank"] for r in out] == [1, 2, 3, 4, 5] and all(a > b for a, b in zip(scores, scores[1:])) and scores[1] - scores[4] < 1e-12

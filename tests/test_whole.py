@@ -35,8 +35,6 @@ def test_every_claim_meets_all_evidence(spark):
     found = catalog.QUERIES["claim_support_all"](spark, SF)
     n = len(pd.read_parquet(f"{SF}/benchmark.parquet"))
     assert found.select("topic", "other").distinct().count() == found.count() == n * n
-    some = catalog.QUERIES["claim_support"](spark, SF)
-    assert some.exceptAll(found.select(*some.columns)).count() == 0
 
 
 def test_sign_flip_takes_every_topic(spark):
@@ -47,8 +45,6 @@ def test_sign_flip_takes_every_topic(spark):
         sums = np.concatenate([sums - x, sums + x])
     r = catalog.QUERIES["sign_flip_all_topics"](spark, LARGER).first()
     assert (r["patterns"], r["reached"]) == (2 ** len(own), int((sums >= sum(deltas) - 1e-9).sum()))
-    some = catalog.QUERIES["sign_flip_exact"](spark, LARGER).first()
-    assert r["patterns"] > some["patterns"]
 
 
 def test_evidence_keeps_texts_apart_beyond_their_beginnings(spark, tmp_path):
