@@ -59,9 +59,15 @@ def title(text: Column, words: int = 12) -> Column:
 def stem(token: Column) -> Column:
     """The first suffix that fits and leaves three characters or more is replaced."""
     out = F.when((F.length(token) <= 3) | token.rlike("^[0-9]+$"), token)
-    for suffix, end in SUFFIXES:
-        stemmed = F.concat(F.substring(token, F.lit(1), F.length(token) - len(suffix)), F.lit(end))
-        out = out.when(F.endswith(token, F.lit(suffix)) & (F.length(token) - len(suffix) >= 3), stemmed)
+    # Suffixes by their last letter: a token is held against those of its own only.
+    for letter in sorted({s[-1] for s, _ in SUFFIXES}):
+        own = None
+        for suffix, end in SUFFIXES:
+            if suffix[-1] == letter:
+                fits = F.endswith(token, F.lit(suffix)) & (F.length(token) - len(suffix) >= 3)
+                stemmed = F.concat(F.substring(token, F.lit(1), F.length(token) - len(suffix)), F.lit(end))
+                own = F.when(fits, stemmed) if own is None else own.when(fits, stemmed)
+        out = out.when(F.endswith(token, F.lit(letter)), own.otherwise(token))
     return out.otherwise(token)
 
 

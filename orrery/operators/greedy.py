@@ -84,8 +84,11 @@ def facet_order(rows: pd.DataFrame) -> pd.DataFrame:
     return _result(rows, chosen)
 
 
-def dual_order(rows: pd.DataFrame, use_redundancy: bool = True, prefix: int = 0) -> pd.DataFrame:
-    """Two-sided greedy order; the first ``prefix`` by original rank are replayed, then it goes on."""
+def dual_order(rows: pd.DataFrame, use_redundancy: bool = True, prefix: int = 0, terms: _Terms | None = None) -> pd.DataFrame:
+    """Two-sided greedy order; the first ``prefix`` by original rank are replayed, then it goes on.
+
+    ``terms``: those of the rows by document, where they are made already.
+    """
     rows = _bounded(rows)
     m = _facet_matrix(rows)
     n = len(rows)
@@ -94,7 +97,7 @@ def dual_order(rows: pd.DataFrame, use_redundancy: bool = True, prefix: int = 0)
     g, narrative, r = (rows[c].to_numpy(float) for c in ("g", "n", "r"))
     tie = _order([-r, -local, rows["original_rank"].to_numpy(), rows["best_facet_rank"].to_numpy(), np.arange(n)])
     fixed = DUAL["g"] * g + DUAL["n"] * narrative + DUAL["r"] * r
-    terms = _Terms(rows["terms"]) if use_redundancy else None
+    terms = (terms or _Terms(rows["terms"])) if use_redundancy else None
     replay = np.argsort(rows["original_rank"].to_numpy(), kind="stable")[:prefix]
     for step in range(n):
         bonus = (m * (1 - covered)).max(axis=1) if m.shape[1] else np.zeros(n)
@@ -137,19 +140,30 @@ def arm(features: DataFrame, name: str, prefix: int = 0) -> DataFrame:
 
 
 def arms(features: DataFrame, fused: DataFrame, prefixes: tuple[int, ...] = (100, 500)) -> DataFrame:
-    """The six-arm table: the fused order, and DUAL with and without redundancy, static and replayed."""
-    out = fused.select("topic", "doc", F.col("rank").alias("final_rank"), F.lit("RRF").alias("arm"))
-    for name in ("DUAL", "DUAL-NR"):
-        for p in (0, *prefixes):
-            own = arm(features, name, p).select("topic", "doc", "final_rank", F.lit(f"{name}-{p}" if p else name).alias("arm"))
-            out = out.unionByName(own)
-    return out
+    """The six-arm table: the fused order, and DUAL with and without redundancy, static and replayed.
+
+    Features are made once and a topic is one group for all arms, which share its term sets.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = _bounded(rows)
+        terms, made = _Terms(rows["terms"]), []
+        for name, redundancy in (("DUAL", True), ("DUAL-NR", False)):
+            for p in (0, *prefixes):
+                own = dual_order(rows, redundancy, p, terms)[["topic", "doc", "final_rank"]]
+                made.append(own.assign(arm=f"{name}-{p}" if p else name))
+        return pd.concat(made)
+
+    first = fused.select("topic", "doc", F.col("rank").alias("final_rank"), F.lit("RRF").alias("arm"))
+    return first.unionByName(features.groupBy("topic").applyInPandas(run, "topic string, doc long, final_rank long, arm string"))
 
 
 def round_robin(lanes: DataFrame, limit: int = 100) -> DataFrame:
     """Lanes take turns in order, each giving its next document that nobody gave before.
 
-    ``lanes``: topic, lane, doc, rank.  Returns topic, doc, lane, lane_rank, final_rank.
+    ``lanes``: topic, lane, doc, rank (dense).  Returns topic, doc, lane, lane_rank, final_rank.
+    A lane gives at most ``limit`` and passes over no more than all that are given, so
+    ranks beyond twice the limit stay where they are.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +184,8 @@ def round_robin(lanes: DataFrame, limit: int = 100) -> DataFrame:
                 break
         return pd.DataFrame(out, columns=["topic", "doc", "lane", "lane_rank", "final_rank"])
 
-    return lanes.groupBy("topic").applyInPandas(run, "topic string, doc long, lane string, lane_rank long, final_rank long")
+    near = lanes.where(F.col("rank") <= 2 * limit)
+    return near.groupBy("topic").applyInPandas(run, "topic string, doc long, lane string, lane_rank long, final_rank long")
 
 
 def lane_status(lanes: DataFrame, selected: DataFrame) -> DataFrame:

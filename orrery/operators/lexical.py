@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -15,6 +16,7 @@ from orrery.functions.text import squeezed, tokens
 from orrery.operators.ranking import top
 
 K1, B = 0.9, 0.4
+RUN = re.compile("[a-z0-9]+")
 
 
 def variants(topics: DataFrame, facets: int = 2, words: int = 6) -> DataFrame:
@@ -25,40 +27,86 @@ def variants(topics: DataFrame, facets: int = 2, words: int = 6) -> DataFrame:
     return topics.select("topic", F.posexplode(F.array(*rows)).alias("place", "v")).select("topic", F.col("place").cast("bigint").alias("place"), "v.variant", "v.query")
 
 
+#: Topics scored at once, and documents whose scores are held at once.
+TOPICS, DOCUMENTS = 256, 2_048
+
+
 def bm25(docs: DataFrame, topics: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """topic, doc, score, rank of each topic's ``k`` best documents.
 
-    Only postings of query terms leave the scan: the topics' distinct terms are joined
-    before anything is grouped, and document lengths and counts need no second shuffle of
-    texts.  Document frequencies come from the same postings.
+    Two passes over the texts and no posting leaves a task: the first sums document
+    frequencies of the topics' terms, counts and lengths; the second multiplies a block
+    of documents' term weights by a block of topics, and sends on the best ``k`` of each.
+    The topics are a stated query set; their terms go to every task.
     """
-    words = docs.select("doc", tokens(F.col("text")).alias("w"))
-    sizes = words.select("doc", F.size("w").alias("n"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    asked = topics.select("topic", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).distinct()
-    wanted = asked.select("term").distinct()
-    postings = (
-        words.select("doc", F.size("w").alias("n"), F.explode("w").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("doc", "n", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    scored = (
-        postings.join(frequency, "term")
-        .crossJoin(F.broadcast(stats))  # one row
-        .select("term", "doc", weight.alias("weight"))
-        .join(asked, "term")
-        .groupBy("topic", "doc")
-        .agg(F.round(F.sum("weight"), 5).alias("score"))
-    )
+    asked = topics.select("topic", F.array_distinct(tokens(F.col("query"))).alias("w")).collect()
+    vocabulary = {t: n for n, t in enumerate(sorted({t for r in asked for t in r["w"] or ()}))}
+    lowered = docs.select("doc", F.lower("text").alias("text"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(vocabulary), np.int64), 0, 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if text is not None:
+                    words = RUN.findall(text)
+                    n, total = n + 1, total + len(words)
+                    df[[vocabulary[w] for w in set(words) if w in vocabulary]] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": np.append(some, [-1, -2]), "n": np.append(df[some], [n, total])}, schema=pa.schema([("term", pa.int64()), ("n", pa.int64())]))
+
+    sums = {r["term"]: r["n"] for r in lowered.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total = sums.pop(-1, 0), sums.pop(-2, 0)
+    df = np.zeros(len(vocabulary))
+    df[list(sums)] = list(sums.values())
+    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if n else 1.0
+    blocks = [asked[at : at + TOPICS] for at in range(0, len(asked), TOPICS)]
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x.slice(at, DOCUMENTS) for x in batches for at in range(0, x.num_rows, DOCUMENTS)):
+            ids = np.array([-1 if d is None else d for d in part.column("doc").to_pylist()], np.int64)
+            at, term, weight = [], [], []
+            for row, text in enumerate(part.column("text").to_pylist()):
+                words = RUN.findall(text or "")
+                for t, tf in Counter(words).items():
+                    if (number := vocabulary.get(t)) is not None:
+                        at.append(row)
+                        term.append(number)
+                        weight.append(idf[number] * tf / (tf + k1 * (1 - b + b * len(words) / mean)))
+            at, term, weight = np.array(at, np.int64), np.array(term, np.int64), np.array(weight)
+            for block in blocks:
+                yield _best(ids, at, term, weight, block, vocabulary, k)
+
+    kind = topics.schema["topic"].dataType
+    scored = lowered.mapInArrow(score, f"topic {kind.simpleString()}, doc long, score double") if asked else docs.sparkSession.createDataFrame([], f"topic {kind.simpleString()}, doc long, score double")
     return top(scored, k, F.desc("score"), "doc")
 
 
+def _best(ids: np.ndarray, at: np.ndarray, term: np.ndarray, weight: np.ndarray, block: list, vocabulary: dict[str, int], k: int) -> pa.RecordBatch:
+    """The ``k`` best of some documents for each topic of a block, from (document, term, weight) triples."""
+    own = np.unique(np.array([vocabulary[t] for r in block for t in r["w"] or ()], np.int64))
+    place = np.full(len(vocabulary), -1)
+    place[own] = np.arange(len(own))
+    asks = np.zeros((len(own), len(block)))
+    for j, r in enumerate(block):
+        asks[place[[vocabulary[t] for t in r["w"] or ()]], j] = 1.0
+    used = place[term] >= 0
+    weights = np.zeros((len(ids), len(own)))
+    weights[at[used], place[term[used]]] = weight[used]
+    scores = np.round(weights @ asks, 5)
+    rows, topics = [], []
+    for j in range(len(block)):
+        some = np.flatnonzero(scores[:, j] > 0)
+        if len(some) > k:
+            some = some[np.lexsort((ids[some], -scores[some, j]))[:k]]
+        rows.append(some)
+        topics.append(np.full(len(some), j))
+    rows, topics = np.concatenate(rows), np.concatenate(topics)
+    names = pa.array([r["topic"] for r in block]).take(pa.array(topics))
+    return pa.RecordBatch.from_arrays([names, pa.array(ids[rows]), pa.array(scores[rows, topics])], ["topic", "doc", "score"])
+
+
 #: Units that one pass over the documents holds, (document, unit) rows made at once, and runs whose words a task remembers.
 UNITS, ROWS, REMEMBERED = 4_096, 1 << 18, 100_000
-RUN = re.compile("[a-z0-9]+")
 
 
 def unit_hits(docs: DataFrame, units: DataFrame) -> DataFrame:
