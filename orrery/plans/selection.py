@@ -12,6 +12,7 @@ from orrery.operators import ranking as R
 from orrery.operators.joins import cosine_pairs as pairs_above
 from orrery.plans.registry import query
 from orrery.plans.relations import lanes, sql, streams, table
+from orrery.session import spread
 
 ROBUST = """, m AS (SELECT topic, lane, median(score) AS median FROM lanes GROUP BY ALL),
 d AS (SELECT l.topic, l.lane, any_value(m.median) AS median, median(abs(l.score - m.median)) AS mad FROM lanes l JOIN m ON l.topic = m.topic AND l.lane = m.lane GROUP BY l.topic, l.lane),
@@ -88,7 +89,8 @@ def features(spark, sf_dir):
     """What the greedy arms need, for the documents of each source: facets are four length-based scores."""
     rows = streams(spark, sf_dir)
     fused = R.rrf(rows).select("topic", "doc", F.col("rank").alias("fused_rank"), F.col("score").alias("fused"))
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("doc"), "n_chars", X.terms(F.col("text")).alias("terms"))
+    texts = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "text"))
+    docs = texts.select(F.col("source").alias("topic"), F.col("doc_id").alias("doc"), "n_chars", X.terms(F.col("text")).alias("terms"))
     ranks = rows.groupBy("topic", "doc").agg(
         F.min(F.when(F.col("stream") == "length", F.col("rank"))).alias("original_rank"), F.min(F.when(F.col("stream") == "early", F.col("rank"))).alias("best_facet_rank")
     )

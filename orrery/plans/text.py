@@ -9,12 +9,13 @@ from orrery.functions import text as X
 from orrery.operators.lexical import bm25
 from orrery.plans.registry import query
 from orrery.plans.relations import table
+from orrery.session import spread
 
 TERM_ID = "[a-z0-9]+"
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
 @query(

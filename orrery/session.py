@@ -47,6 +47,19 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or mkdtemp(prefix="orrery-checkpoints-"))
 
 
+#: Bytes of a table up to which its rows are dealt over the cores before costly work on them.
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``; a small table is dealt over all cores first, as its file may be one split only.
+
+    Larger tables have splits enough, and are left as they lie.  Rows are the same either way.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 0 < size <= SMALL_BYTES else df
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder and read again: its lineage ends there."""
     spark = df.sparkSession
