@@ -29,8 +29,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle within {MOST_ROUNDS} rounds")
-    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return nodes(links, "u", "v")
+
+
+def nodes(stars: DataFrame, node: str, root: str) -> DataFrame:
+    """(node, root) of links that all hang on their roots; roots are nodes too."""
+    own = stars.select(F.col(node).alias("node"), F.col(root).alias("root"))
+    return own.unionByName(stars.select(F.col(root).alias("node"), F.col(root).alias("root")).distinct())
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:

@@ -8,20 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, chat, decontaminate, jaccard, quality, secrets, substrings, topk, toxicity, warc
+from orrery.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of ``documents``, over all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substrings.repeated(texts(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.labelled_samples(spark, table(spark, sf_dir, "benchmark")))
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    found = secrets.scan(texts(spark, sf_dir), model)
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
@@ -45,9 +51,9 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    documents, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels")
     sample = quality.training_rows(documents, labels, "quality", allowed=~quality.held_out(F.col("doc_id")))
-    scored = quality.score(documents.select("doc_id", "text"), quality.train(sample))
+    scored = quality.score(documents, quality.train(sample))
     return scored.select(
         "doc_id",
         quality.held_out(F.col("doc_id")).alias("held_out"),
@@ -91,7 +97,7 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.scan(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.withColumn("n_hit", decontaminate.n_hit()).select(
         "doc_id",
         "n_words",
@@ -103,18 +109,18 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = jaccard.join(texts(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "n_links", "component_id")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return bpe.digests(texts(spark, sf_dir)).drop("text")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    documents, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels")
     model = toxicity.train(toxicity.training_rows(documents, labels))
-    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    scored = toxicity.score(documents, model)
     return scored.select("doc_id", "expected_severity", "p_toxic", (F.col("p_toxic") >= toxicity.CALLED).cast("int").alias("toxic"))
 
 
