@@ -92,3 +92,44 @@ def merged_map(base: Column, update: Column) -> Column:
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Overlap of two spans over the shorter one."""
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0)) / F.nullif(F.least(a1 - a0, b1 - b0), F.lit(0))
+
+
+def iso_seconds(text: Column) -> Column:
+    """An ISO time in seconds and millionths since the epoch; without a zone it is UTC; null if it is no time."""
+    own = F.trim(text)
+    zoned = own.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    shape = own.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
+    return F.when(shape, F.unix_micros(F.when(zoned, own).when(F.length(own) == 10, F.concat(own, F.lit("T00:00:00Z"))).otherwise(F.concat(own, F.lit("Z"))).try_cast("timestamp"))) / 1_000_000
+
+
+def retry_after(header: Column, now: Column, most: float = 300.0) -> Column:
+    """Seconds to wait by a Retry-After header: a number, or a date in HTTP's form; at most ``most``, none if it is neither."""
+    own = F.trim(header)
+    date = F.try_to_timestamp(F.regexp_replace(own, r"^[A-Za-z]{3}, (.*) GMT$", "$1"), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.when(own.rlike(r"^[0-9]+([.][0-9]+)?$"), own.try_cast("double")).when(own.rlike(r"^[A-Za-z]{3}, .* GMT$"), F.unix_timestamp(date) - now)
+    return F.greatest(F.lit(0.0), F.least(F.lit(most), wait.cast("double"))) if most else wait
+
+
+def canonical_json(*fields: tuple[str, Column]) -> Column:
+    """Compact JSON of an object whose names are in order; nulls are written, not left out."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields, key=lambda f: f[0])]), {"ignoreNullFields": "false"})
+
+
+def strict_json(text: Column, schema: str) -> tuple[Column, Column]:
+    """(value, fault) of a flat JSON object: torn, a name twice, a number that is none, or a field beyond the schema."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    keys = F.json_object_keys(text)
+    # Names as written: strings that stand before a colon, with all other strings' insides blanked.
+    written = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
+    odd = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '""').rlike(r"\b(NaN|-?Infinity)\b")
+    value = F.from_json(text, schema)
+    fault = (
+        F.when(odd, "number").when(keys.isNull(), "torn").when(F.size(F.array_distinct(written)) < F.size(written), "name twice")
+        .when(F.size(F.array_except(keys, F.array(*map(F.lit, names)))) > 0, "unknown field").when(F.size(F.array_except(F.array(*map(F.lit, names)), keys)) > 0, "missing field")
+    )
+    return F.when(fault.isNull(), value), fault
+
+
+def span_id(kind: str, *parts: Column) -> Column:
+    """A readable prefix and 24 hexadecimal digits of the parts' identity."""
+    return F.concat(F.lit(f"{kind}_"), F.substring(identity(F.lit(kind), *parts), 1, 24))
