@@ -54,7 +54,7 @@ WORDS, PERCENT = 5, 75
 #: Fewest groups of a point, and groups for each shingle of a larger set.
 GROUPS, GROUPS_EACH = 128, 1 / 6
 #: Bytes of a bucket, prefix shingles of a shard on average, shingles of a block's part.
-BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 4 << 20, 1_000_000, 2_000_000
+BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 4 << 20, 1_000_000, 1_000_000
 #: Classes that share a shingle, above which they are not searched for pairs in a tree but
 #: compared exactly as one block.  The result is the same on either side.
 CROWD = 128
@@ -66,8 +66,8 @@ BIN_ROWS = 500
 PIECE_BYTES, COUNTERS, LEAF = 2 << 20, 1 << 21, 32
 #: Postings that verification reads at once.
 POSTINGS = 1 << 20
-#: Rows of seven numbers that may be broadcast; above, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows of an id, a key of 16 bytes and eight numbers that may be broadcast; above, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 #: Shards whose blocks are joined in one task before the graph is built.
 COMBINED = 8
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -711,6 +711,7 @@ def _verified(docs: DataFrame, reps: DataFrame, blocks: DataFrame) -> DataFrame:
     texts = docs.join(side, docs["id"].eqNullSafe(placed["rep_id"]) & (docs["key"] == placed["rep_key"])).select(
         "text", "ca", "cb", "ra", "rb", "copies", "low", "high", "side", F.pmod(F.xxhash64("ra", "rb", "low", "high"), F.lit(bins)).cast("int").alias("bin")
     )
-    verified = keep(texts.repartitionById(bins, F.col("bin")).groupBy("bin").applyInArrow(_verify, EDGES + ", links long"))
+    found = texts.repartitionById(bins, F.col("bin")).groupBy("bin").applyInArrow(_verify, EDGES + ", links long")
+    verified = keep(found.hint("rebalance"))  # few files, however many bins
     drop(placed)
     return verified
