@@ -53,12 +53,65 @@ def test_one_class_or_none(spark):
         assert toxicity.score(df, toxicity.train(toxicity.training_rows(df, some))).first()["p_toxic"] < 0.01
 
 
-def test_dual_coordinate_descent_meets_its_conditions():
+def test_dual_coordinate_descent_reaches_the_plain_optimum(monkeypatch):
+    monkeypatch.setattr(quality, "PASSES", 3_000)
     rnd = np.random.default_rng(2)
-    rows = [np.unique(rnd.integers(0, 40, 12)) + (20 if k % 2 else 0) for k in range(80)]
-    model = quality.fit(rows, np.arange(80) % 2)
-    margin = np.array([model[r] @ np.ones(len(r)) for r in rows])
-    assert (margin[1::2].mean() > margin[::2].mean()) and np.isfinite(model).all()
+    rows = [np.unique(rnd.integers(0, 40, 9)) + (12 if k % 3 else 0) for k in range(60)]
+    labels = (np.arange(60) % 3 > 0).astype(int)
+    labels[[3, 10, 30]] ^= 1  # not separable, so that some duals lie at their caps
+    model = quality.fit(rows, labels).astype(float)
+    size = features.SIZE
+    margin = np.array([model[r].sum() for r in rows])
+    # The scaled rows, by a plain count, and the dual by projected gradient.
+    x = np.zeros((60, 52))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    smooth = lambda y: x[labels == y].sum(axis=0) + quality.SMOOTHING
+    total = lambda y: smooth(y).sum() + quality.SMOOTHING * (size - 52)
+    ratio = np.log(smooth(1) / total(1)) - np.log(smooth(0) / total(0))
+    v = x * ratio
+    norm = np.sqrt((v**2).sum(axis=1, keepdims=True))
+    v = np.hstack([v / norm, np.ones((60, 1))])
+    sign, share = np.where(labels == 1, 1.0, -1.0), labels.mean()
+    cap = quality.PENALTY * np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    q = (v * sign[:, None]) @ (v * sign[:, None]).T
+    dual, step = np.zeros(60), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(100_000):
+        dual = np.clip(dual - step * (q @ dual - 1), 0, cap)
+    expected = v @ ((dual * sign) @ v)
+    assert np.abs(margin / norm[:, 0] + model[size] - expected).max() < 0.02
+    assert (dual > cap - 1e-6).any() and (dual < 1e-9).any()
+
+
+def test_ordinal_fit_reaches_the_plain_optimum(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 6_000)
+    rnd = np.random.default_rng(5)
+    toxic = (rnd.random(150) < 0.4).astype(int)
+    rows = [np.unique(np.concatenate([rnd.integers(0, 30, 5), 30 + rnd.integers(0, 6, rnd.integers(1, 5)) if y else rnd.integers(0, 33, 1)])) for y in toxic]
+    lengths = rnd.integers(50, 400, 150).astype(float)
+    model = toxicity.fit(rows, lengths, toxic).astype(float)
+    grade, chosen = toxicity.grades_of(rows, lengths, toxic)
+    x = np.zeros((150, len(chosen)))
+    for k, r in enumerate(rows):
+        x[k] = np.isin(chosen, r)
+
+    def loss(weights, cut):
+        at = np.concatenate([[-np.inf], cut, [np.inf]])
+        below = 1 / (1 + np.exp(-np.clip(at[None, :] - (x @ weights)[:, None], -500, 500)))
+        mass = below[np.arange(150), grade + 1] - below[np.arange(150), grade]
+        return -np.log(np.maximum(mass, 1e-12)).mean() + toxicity.PENALTY * weights.sum()
+
+    weights, cut = np.zeros(len(chosen)), np.linspace(1.0, 2.0, len(toxicity.CUTS) + 1)
+    for _ in range(6_000):  # numeric slopes, small steps
+        slope, cut_slope = toxicity._gradient(x @ weights, grade, cut)
+        weights = np.maximum(weights - 0.2 * (slope @ x / 150 + toxicity.PENALTY), 0)
+        cut = cut - 0.2 * cut_slope / 150
+    for k in range(len(cut)):  # the slopes themselves, against differences
+        other = cut.copy()
+        other[k] += 1e-5
+        assert abs((loss(weights, other) - loss(weights, cut)) / 1e-5 - toxicity._gradient(x @ weights, grade, cut)[1][k] / 150) < 1e-4
+    fitted = loss(model[chosen], model[features.SIZE :])
+    assert fitted < 1.02 * loss(weights, cut) + 1e-3 and (model[: features.SIZE] >= 0).all()
 
 
 def test_toxicity_held_out(spark):
