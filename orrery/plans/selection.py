@@ -134,12 +134,30 @@ def _lane_ranks(spark, sf_dir):
     return R.ranked(rows, F.desc("score"), "doc", by=("topic", "lane")).select("topic", "lane", "doc", "rank")
 
 
-@query()
+# Lanes take turns: in step n the lane whose turn it is gives its best document that nobody gave, if it has one left.
+ROBIN = """, lr AS (SELECT CAST(topic AS VARCHAR) AS topic, lane, doc, row_number() OVER (PARTITION BY topic, lane ORDER BY score DESC, doc) AS rank FROM lanes),
+q AS (SELECT topic, lane, row_number() OVER (PARTITION BY topic ORDER BY lane) - 1 AS turn, count(*) OVER (PARTITION BY topic) AS n FROM (SELECT DISTINCT topic, lane FROM lr)),
+g AS (SELECT CAST(0 AS BIGINT) AS step, topic, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS VARCHAR) AS lane, CAST(NULL AS BIGINT) AS doc, CAST(NULL AS BIGINT) AS lane_rank FROM (SELECT DISTINCT topic FROM lr)
+  UNION ALL SELECT s.step, s.topic, CASE WHEN s.hit IS NULL THEN s.taken ELSE list_append(s.taken, s.hit.doc) END, s.lane, s.hit.doc, s.hit.rank FROM (
+    SELECT g.step + 1 AS step, g.topic, g.taken, q.lane, min(CASE WHEN NOT list_contains(g.taken, lr.doc) THEN struct_pack(rank := lr.rank, doc := lr.doc) END) AS hit
+    FROM g JOIN q ON q.topic = g.topic AND q.turn = g.step % q.n JOIN lr ON lr.topic = q.topic AND lr.lane = q.lane AND lr.rank <= 200 WHERE len(g.taken) < 100 AND g.step < 400 GROUP BY ALL) s),
+o AS (SELECT topic, doc, lane, lane_rank, row_number() OVER (PARTITION BY topic ORDER BY step) AS final_rank FROM g WHERE doc IS NOT NULL)"""
+
+
+@query(sql("lanes", ROBIN + " SELECT * FROM o", recursive=True))
 def round_robin_select(spark, sf_dir):
     return G.round_robin(_lane_ranks(spark, sf_dir), 100)
 
 
-@query()
+@query(
+    sql(
+        "lanes",
+        ROBIN
+        + """, a AS (SELECT topic, lane, count(*) AS available FROM lr GROUP BY ALL), s AS (SELECT topic, lane, count(*) AS selected, max(lane_rank) AS reached FROM o GROUP BY ALL)
+SELECT a.topic, a.lane, available, coalesce(selected, 0) AS selected, coalesce(reached, 0) - coalesce(selected, 0) AS skipped FROM a LEFT JOIN s ON s.topic = a.topic AND s.lane = a.lane""",
+        recursive=True,
+    )
+)
 def round_robin_status(spark, sf_dir):
     own = _lane_ranks(spark, sf_dir)
     return G.lane_status(own, G.round_robin(own, 100))
@@ -162,7 +180,16 @@ def cosine_pairs(spark, sf_dir):
     return pairs_above(_vectors(spark, sf_dir), 0.2).withColumn("cosine", F.round("cosine", 6))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + COSINE.removeprefix("WITH ")
+    + """, o AS (SELECT topic, id, v, row_number() OVER (PARTITION BY topic ORDER BY id) AS n FROM n),
+s AS (SELECT a.topic, a.id AS i, b.id AS j FROM n a JOIN n b ON a.topic = b.topic AND b.id < a.id AND a.id % 2 = b.id % 2 WHERE list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])) >= 0.3),
+f AS (SELECT CAST(0 AS BIGINT) AS n, topic, CAST([] AS BIGINT[]) AS leaders, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS leader FROM (SELECT DISTINCT topic FROM o)
+  UNION ALL SELECT x.n, x.topic, CASE WHEN x.found IS NULL THEN list_append(x.leaders, x.id) ELSE x.leaders END, x.id, coalesce(x.found, x.id) FROM (
+    SELECT o.n, o.topic, f.leaders, o.id, (SELECT min(s.j) FROM s WHERE s.topic = o.topic AND s.i = o.id AND list_contains(f.leaders, s.j)) AS found FROM f JOIN o ON o.topic = f.topic AND o.n = f.n + 1) x)
+SELECT topic, id, leader FROM f WHERE n > 0"""
+)
 def leader_clusters(spark, sf_dir):
     own = _vectors(spark, sf_dir).withColumn("signature", (F.col("id") % 2).cast("string"))
     return G.leader_clusters(own, 0.3)
@@ -191,7 +218,17 @@ def mmr_topk(spark, sf_dir):
     return G.mmr(own, 5).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(
+    sql(
+        "windows",
+        """, i AS (SELECT doc, chunk AS id, "start" AS a, "end" AS b, 'part ' || chunk % 3 || ' ' || "end" % 700 AS t, row_number() OVER (PARTITION BY doc ORDER BY score DESC, chunk) AS n FROM windows),
+f AS (SELECT doc, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS STRUCT(a BIGINT, b BIGINT, t VARCHAR)[]) AS kept FROM (SELECT DISTINCT doc FROM i)
+  UNION ALL SELECT doc, n, CASE WHEN fresh THEN id END, CASE WHEN fresh THEN list_append(kept, struct_pack(a := a, b := b, t := t)) ELSE kept END FROM (
+    SELECT i.*, f.kept, len(list_filter(f.kept, lambda k: k.t = i.t OR greatest(0, least(k.b, i.b) - greatest(k.a, i.a)) >= 0.8 * least(k.b - k.a, i.b - i.a))) = 0 AS fresh FROM f JOIN i ON i.doc = f.doc AND i.n = f.n + 1))
+SELECT doc, id FROM f WHERE id IS NOT NULL""",
+        recursive=True,
+    )
+)
 def snippet_dedup(spark, sf_dir):
     from orrery.plans.relations import windows
 
@@ -200,7 +237,13 @@ def snippet_dedup(spark, sf_dir):
     return G.distinct_snippets(rows.select("doc", F.col("chunk").alias("id"), "start", "end", text.alias("text"), "score"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE b AS (SELECT CAST(l_suppkey % 10 AS VARCHAR) AS topic, l_partkey % 50 AS a, l_orderkey % 50 AS b, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
+m AS (SELECT CAST(0 AS BIGINT) AS n, topic, CAST([] AS BIGINT[]) AS las, CAST([] AS BIGINT[]) AS lbs, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT topic FROM b)
+  UNION ALL SELECT x.n, x.topic, list_append(x.las, x.best.a), list_append(x.lbs, x.best.b), x.best.a, x.best.b, -x.best.neg FROM (
+    SELECT m.n + 1 AS n, m.topic, m.las, m.lbs, min(struct_pack(neg := -b.score, a := b.a, b := b.b)) AS best FROM m JOIN b ON b.topic = m.topic AND NOT list_contains(m.las, b.a) AND NOT list_contains(m.lbs, b.b) GROUP BY ALL) x)
+SELECT topic, a, b, score FROM m WHERE n > 0"""
+)
 def one_to_one_matching(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 10).cast("string").alias("topic"), (F.col("l_partkey") % 50).alias("a"), (F.col("l_orderkey") % 50).alias("b"), F.col("l_extendedprice").alias("score")
