@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.folds import folded
+
 MOST = 20_000
 #: Weights of the two-sided objective: global, narrative, fused, local, coverage, redundancy.
 DUAL = {"g": 0.35, "n": 0.15, "r": 0.15, "local": 0.25, "bonus": 0.10, "redundancy": 0.15}
@@ -254,18 +256,18 @@ def distinct_snippets(items: DataFrame, most: float = 0.8) -> DataFrame:
     ``items``: doc, id, start, end, text, score; better scores first.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        kept, seen = [], set()
-        for r in rows.itertuples():
-            normal = " ".join(r.text.lower().split())
-            clash = any(max(0, min(r.end, b) - max(r.start, a)) >= most * min(r.end - r.start, b - a) for a, b, _ in kept)
-            if normal not in seen and not clash:
-                seen.add(normal)
-                kept.append((r.start, r.end, r.id))
-        return pd.DataFrame({"doc": [rows["doc"].iloc[0]] * len(kept), "id": [x[2] for x in kept]})
-
-    return items.groupBy("doc").applyInPandas(run, "doc long, id long")
+    def step(state: dict, row: dict) -> tuple:
+        kept, seen = state.setdefault("kept", []), state.setdefault("seen", set())
+        start, end, normal = row["start"], row["end"], " ".join((row["text"] or "").lower().split())
+        clash = any(max(0, min(end, b) - max(start, a)) >= most * min(end - start, b - a) for a, b in kept)
+        if normal in seen or clash:
+            return (False,)
+        seen.add(normal)
+        kept.append((start, end))
+        return (True,)
+
+    own = items.select("doc", "id", "start", "end", "text", (-F.col("score")).alias("neg"))
+    return folded(own, ["doc"], ["neg", "id"], dict, step, "fresh boolean").where("fresh").select("doc", "id")
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:

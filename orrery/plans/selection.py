@@ -12,6 +12,7 @@ from orrery.operators import ranking as R
 from orrery.operators.joins import cosine_pairs as pairs_above
 from orrery.plans.registry import query
 from orrery.plans.relations import lanes, sql, streams, table
+from orrery.plans.text import STOP, _stem_sql
 from orrery.session import spread
 
 ROBUST = """, m AS (SELECT topic, lane, median(score) AS median FROM lanes GROUP BY ALL),
@@ -102,27 +103,70 @@ def features(spark, sf_dir):
     return both.select("topic", "doc", "terms", "g", narrative.alias("n"), "r", facet.alias("facets"), "original_rank", "best_facet_rank")
 
 
-@query()
+FEATURES = """, fu AS (SELECT e.topic, e.doc, 0.0::DOUBLE + 1.0::DOUBLE / (60 + e.rank) + 1.0::DOUBLE / (60 + l.rank) AS fused, l.rank AS original_rank, e.rank AS best_facet_rank
+  FROM streams e JOIN streams l ON l.topic = e.topic AND l.doc = e.doc AND l.stream = 'length' WHERE e.stream = 'early'),
+ft AS (SELECT fu.*, n_chars, text, count(*) OVER t AS n FROM fu JOIN documents d ON d.doc_id = fu.doc AND d.source = fu.topic WINDOW t AS (PARTITION BY topic)),
+pc AS (SELECT *, rank() OVER (PARTITION BY topic ORDER BY fused DESC) - 1 AS af, count(*) OVER (PARTITION BY topic, fused) AS tf, rank() OVER (PARTITION BY topic ORDER BY n_chars DESC) - 1 AS ac, count(*) OVER (PARTITION BY topic, n_chars) AS tc FROM ft),
+x AS (SELECT topic, doc, text, fused, original_rank, best_facet_rank, (n - (af + (tf + 1) / 2) + 1) / n AS r, (n - (ac + (tc + 1) / 2) + 1) / n AS g, (doc * 7919 % 101) / 100 AS narrative,
+  [(doc * 31 % 97) / 97, (doc * 57 % 97) / 97, (doc * 71 % 97) / 97, (doc * 83 % 97) / 97] AS m FROM pc)"""
+# Step by step: of the documents left, the one of the greatest value; covered facets then count for less.
+FACET = """, f AS (SELECT CAST(0 AS BIGINT) AS step, topic, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS cov, CAST([] AS BIGINT[]) AS chosen, CAST(NULL AS BIGINT) AS doc, CAST(NULL AS DOUBLE) AS objective, CAST(NULL AS DOUBLE) AS bonus FROM (SELECT DISTINCT topic FROM x)
+  UNION ALL SELECT w.step, w.topic, list_transform([1, 2, 3, 4], lambda k: greatest(w.cov[k], w.b.m[k])), list_append(w.chosen, w.b.doc), w.b.doc, w.b.value, w.b.bonus FROM (
+    SELECT v.step, v.topic, v.cov, v.chosen, min(struct_pack(neg := -(0.7::DOUBLE * v.local + 0.3::DOUBLE * list_max(v.gains)), r := -v.r, first := list_position(v.m, v.local), pos := list_position(v.gains, list_max(v.gains)), o := v.original_rank,
+      bf := v.best_facet_rank, doc := v.doc, m := v.m, value := 0.7::DOUBLE * v.local + 0.3::DOUBLE * list_max(v.gains), bonus := list_max(v.gains))) AS b
+    FROM (SELECT f.step + 1 AS step, f.topic, f.cov, f.chosen, x.doc, x.m, x.r, x.original_rank, x.best_facet_rank, list_max(x.m) AS local, list_transform([1, 2, 3, 4], lambda k: x.m[k] * (1 - f.cov[k])) AS gains
+      FROM f JOIN x ON x.topic = f.topic AND NOT list_contains(f.chosen, x.doc)) v GROUP BY ALL) w)"""
+
+
+def _dual(arms: str) -> str:
+    """Steps of the two-sided objective for arms (name, redundancy, prefix): replayed ones first, then the best left."""
+    return f""", tm AS (SELECT topic, doc, list_filter(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: NOT list_contains([{STOP}], w)), lambda w: {_stem_sql("w")})), lambda w: w <> '') AS t FROM x),
+pr AS (SELECT a.topic, a.doc AS i, b.doc AS j, len(list_intersect(a.t, b.t)) AS s, len(a.t) AS na, len(b.t) AS nb FROM tm a JOIN tm b ON a.topic = b.topic AND a.doc <> b.doc AND least(len(a.t), len(b.t)) > 0 AND least(len(a.t), len(b.t)) >= 0.8 * greatest(len(a.t), len(b.t))),
+pn AS (SELECT i, j, CASE WHEN s = na + nb - s THEN 1.0 ELSE (s / (na + nb - s) - 0.8::DOUBLE) / 0.2::DOUBLE END AS p FROM pr WHERE s / (na + nb - s) >= 0.8::DOUBLE),
+ar AS (SELECT * FROM (VALUES {arms}) v(arm, redundant, prefix)),
+f AS (SELECT CAST(0 AS BIGINT) AS step, arm, redundant, prefix, topic, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS cov, CAST([] AS BIGINT[]) AS chosen, CAST(NULL AS BIGINT) AS doc, CAST(NULL AS DOUBLE) AS objective, CAST(NULL AS DOUBLE) AS bonus FROM (SELECT DISTINCT topic FROM x) CROSS JOIN ar
+  UNION ALL SELECT w.step, w.arm, w.redundant, w.prefix, w.topic, list_transform([1, 2, 3, 4], lambda k: greatest(w.cov[k], w.b.m[k])), list_append(w.chosen, w.b.doc), w.b.doc, w.b.value, w.b.bonus FROM (
+    SELECT u.step, u.arm, u.redundant, u.prefix, u.topic, u.cov, u.chosen, min(struct_pack(replay := CASE WHEN u.step <= u.prefix THEN u.original_rank ELSE 0 END, neg := CASE WHEN u.step <= u.prefix THEN 0 ELSE -u.value END, r := -u.r, local := -u.local,
+      o := u.original_rank, bf := u.best_facet_rank, doc := u.doc, m := u.m, value := u.value, bonus := u.bonus)) AS b FROM (
+      SELECT v.*, 0.35::DOUBLE * v.g + 0.15::DOUBLE * v.narrative + 0.15::DOUBLE * v.r + 0.25::DOUBLE * v.local + 0.1::DOUBLE * v.bonus - 0.15::DOUBLE * coalesce(v.penalty, 0) AS value FROM (
+        SELECT f.step + 1 AS step, f.arm, f.redundant, f.prefix, f.topic, f.cov, f.chosen, x.doc, x.m, x.r, x.g, x.narrative, x.original_rank, x.best_facet_rank, list_max(x.m) AS local,
+          list_max(list_transform([1, 2, 3, 4], lambda k: x.m[k] * (1 - f.cov[k]))) AS bonus, CASE WHEN f.redundant THEN (SELECT max(pn.p) FROM pn WHERE pn.i = x.doc AND list_contains(f.chosen, pn.j)) END AS penalty
+        FROM f JOIN x ON x.topic = f.topic AND NOT list_contains(f.chosen, x.doc)) v) u GROUP BY ALL) w)"""
+
+
+ROWS = " SELECT topic, doc, step AS final_rank, round(objective, 6) AS objective, round(bonus, 6) AS bonus FROM f WHERE step > 0"
+ARMS = FEATURES + _dual("('DUAL', true, 0), ('DUAL-10', true, 10), ('DUAL-20', true, 20), ('DUAL-50', true, 50), ('DUAL-NR', false, 0), ('DUAL-NR-10', false, 10), ('DUAL-NR-50', false, 50)")
+
+
+@query(sql("streams", FEATURES + FACET + ROWS, recursive=True))
 def facet_greedy(spark, sf_dir):
     return G.arm(features(spark, sf_dir), "FACET").withColumns({c: F.round(c, 6) for c in ("objective", "bonus")})
 
 
-@query()
+@query(sql("streams", ARMS + ROWS + " AND arm = 'DUAL'", recursive=True))
 def dual_greedy(spark, sf_dir):
     return G.arm(features(spark, sf_dir), "DUAL").withColumns({c: F.round(c, 6) for c in ("objective", "bonus")})
 
 
-@query()
+@query(sql("streams", ARMS + ROWS + " AND arm = 'DUAL-NR'", recursive=True))
 def dual_without_redundancy(spark, sf_dir):
     return G.arm(features(spark, sf_dir), "DUAL-NR").withColumns({c: F.round(c, 6) for c in ("objective", "bonus")})
 
 
-@query()
+@query(sql("streams", ARMS + ROWS + " AND arm = 'DUAL-20'", recursive=True))
 def dual_reinitialised(spark, sf_dir):
     return G.arm(features(spark, sf_dir), "DUAL", prefix=20).withColumns({c: F.round(c, 6) for c in ("objective", "bonus")})
 
 
-@query()
+@query(
+    sql(
+        "streams",
+        ARMS
+        + """ SELECT arm, topic, doc, step AS final_rank FROM f WHERE step > 0 AND arm <> 'DUAL-20'
+UNION ALL SELECT 'RRF', topic, doc, row_number() OVER (PARTITION BY topic ORDER BY round(fused, 12) DESC, least(original_rank, best_facet_rank), doc) FROM x""",
+        recursive=True,
+    )
+)
 def six_arms(spark, sf_dir):
     own = features(spark, sf_dir)
     fused = R.rrf(streams(spark, sf_dir))
