@@ -60,11 +60,16 @@ def suppressed_top4(spark, sf_dir):
     return P.suppressed_top4(windows(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
-@query(sql("windows", fold(f"o.score >= o.best - 1.0 AND {NEW} >= 800").replace("FROM o WHERE r = 1", "FROM o WHERE r = 1 AND \"end\" - \"start\" >= 800") + """
-  SELECT w.topic, w.doc, CASE WHEN z.kept IS NULL THEN 0 ELSE least(len(z.kept), 6) END AS support FROM (SELECT DISTINCT topic, doc FROM windows) w LEFT JOIN z ON z.topic = w.topic AND z.doc = w.doc""", True).replace(
-    # A first window shorter than the demand keeps nothing, but the fold goes on.
-    'FROM o WHERE r = 1 AND "end" - "start" >= 800', 'FROM o WHERE r = 1').replace(
-    '[struct_pack(a := "start", b := "end", s := score)] AS kept', 'CASE WHEN "end" - "start" >= 800 THEN [struct_pack(a := "start", b := "end", s := score)] ELSE [] END AS kept'))
+# A first window shorter than the demand keeps nothing, but the fold goes on.
+SUPPORT = (
+    fold(f"o.score >= o.best - 1.0 AND {NEW} >= 800").replace(
+        '[struct_pack(a := "start", b := "end", s := score)] AS kept', 'CASE WHEN "end" - "start" >= 800 THEN [struct_pack(a := "start", b := "end", s := score)] ELSE [] END AS kept'
+    )
+    + """, sp AS (SELECT w.topic, w.doc, CASE WHEN z.kept IS NULL THEN 0 ELSE least(len(z.kept), 6) END AS support FROM (SELECT DISTINCT topic, doc FROM windows) w LEFT JOIN z ON z.topic = w.topic AND z.doc = w.doc)"""
+)
+
+
+@query(sql("windows", SUPPORT + " SELECT * FROM sp", True))
 def rel_span_support(spark, sf_dir):
     return P.span_support(windows(spark, sf_dir))
 
@@ -88,7 +93,19 @@ def coverage_aware_scores(spark, sf_dir):
     return out.select("topic", "doc", "rank", "total")
 
 
-@query()
+@query(
+    sql(
+        "windows",
+        SUPPORT
+        + f""", tp AS (SELECT topic, doc, sum(score * ({WEIGHTS})[r]) / sum(({WEIGHTS})[r]) AS top4 FROM o WHERE r <= 4 GROUP BY topic, doc),
+d AS (SELECT topic, doc, round(sum(score), 4) AS score, row_number() OVER (PARTITION BY topic ORDER BY round(sum(score), 4) DESC, doc) AS rank FROM windows GROUP BY topic, doc),
+h AS (SELECT d.topic, d.doc, d.rank, CASE WHEN d.rank <= 50 THEN round(0.5 * d.score + 0.5 * top4 + 0.25 * support, 9) END AS total FROM d JOIN tp ON tp.topic = d.topic AND tp.doc = d.doc JOIN sp ON sp.topic = d.topic AND sp.doc = d.doc),
+e AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY rank > 50, total DESC, rank) AS final_rank FROM h),
+n AS (SELECT topic, CAST(50 AS BIGINT) AS place, min(total) AS score, count(*) AS many FROM e GROUP BY topic UNION ALL SELECT topic, place + 1, nextafter(score, '-infinity'::DOUBLE), many FROM n WHERE place < many)
+SELECT e.topic, e.doc, e.rank, e.total, e.final_rank, CASE WHEN e.total IS NOT NULL THEN e.total ELSE n.score END AS final_score FROM e LEFT JOIN n ON n.topic = e.topic AND n.place = e.final_rank""",
+        True,
+    )
+)
 def coverage_aware_rerank(spark, sf_dir):
     from orrery.operators.ranking import ranked
 
