@@ -36,7 +36,7 @@ def core(lanes: DataFrame) -> DataFrame:
     rows = admitted(lanes)
     per = rows.groupBy("topic", "doc").agg(F.sum(F.col("admitted").cast("bigint")).alias("lanes"), F.max("score").alias("score"))
     topics = per.groupBy("topic").agg(F.max("lanes").alias("most"), F.min_by("doc", F.struct(-F.col("score"), F.col("doc"))).alias("fallback"))
-    joined = per.join(F.broadcast(topics), "topic")
+    joined = per.join(topics, "topic")
     return joined.where((F.col("lanes") > 0) | ((F.col("most") == 0) & (F.col("doc") == F.col("fallback")))).select("topic", "doc", "lanes")
 
 

@@ -127,7 +127,7 @@ def dispatch(run: DataFrame, qrels: DataFrame, metrics: tuple[str, ...], least:
 
 def macro(values: DataFrame, topics: DataFrame) -> DataFrame:
     """(metric, mean, topics) over the whole population; a topic without a value counts 0."""
-    every = topics.select("topic").distinct().crossJoin(F.broadcast(values.select("metric").distinct()))
+    every = topics.select("topic").distinct().crossJoin(values.select("metric").distinct())
     return every.join(values, ["topic", "metric"], "left").groupBy("metric").agg(F.avg(F.coalesce("value", F.lit(0.0))).alias("mean"), F.count(F.lit(1)).alias("topics"))
 
 

@@ -58,11 +58,12 @@ def uncited(nuggets: DataFrame, citations: DataFrame) -> DataFrame:
 
 def longest_then_even(df: DataFrame, length: str, id: str, warm: int, timed: int) -> DataFrame:
     """A benchmark plan: the longest rows to warm up, and evenly spaced ones over all lengths to time."""
-    every = Window.partitionBy(F.lit(1))
-    n = F.count(F.lit(1)).over(every)
-    down = F.row_number().over(every.orderBy(F.desc(length), id))
-    up = F.row_number().over(every.orderBy(length, id)) - 1
-    own = df.withColumn("n", n).withColumn("down", down).withColumn("up", up)
+    # Places from both ends by the counts of each length: no window over the whole table.
+    counts = df.groupBy(length).agg(F.count(F.lit(1)).alias("alike"))
+    total = Window.orderBy(length)
+    counts = counts.withColumn("shorter", F.sum("alike").over(total) - F.col("alike")).withColumn("n", F.sum("alike").over(total.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    own = df.withColumn("place", F.row_number().over(Window.partitionBy(length).orderBy(id))).join(counts, length)
+    own = own.withColumn("down", F.col("n") - F.col("shorter") - F.col("alike") + F.col("place")).withColumn("up", F.col("shorter") + F.col("place") - 1)
     # Row i is timed when it is floor((j (n - 1) 2 + timed - 1) / (2 (timed - 1))) for some j.
     j = F.floor((2 * F.col("up") * (timed - 1) + F.col("n") - 1) / F.nullif(2 * (F.col("n") - 1), F.lit(0)))
     spot = lambda k: F.floor((k * (F.col("n") - 1) * 2 + timed - 1) / (2 * (timed - 1)))

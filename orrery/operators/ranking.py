@@ -85,7 +85,7 @@ def rrf_family(hits: DataFrame, original: str, k: float = 60, limit: int | None
     facets = own.where(F.col("stream") != original).groupBy("topic").agg(F.countDistinct("stream").alias("facets"))
     weight = F.when(F.col("stream") != original, F.lit(0.5) / F.col("facets")).when(F.col("facets").isNull(), F.lit(lone_original)).otherwise(F.lit(0.5))
     fused = (
-        own.join(F.broadcast(facets), "topic", "left")
+        own.join(facets, "topic", "left")
         .withColumn("term", weight / (F.lit(float(k)) + F.col("rank")))
         .groupBy("topic", "doc")
         .agg(F.sum("term").alias("score"), F.min("rank").alias("best_rank"))
@@ -166,3 +166,15 @@ def page(df: DataFrame, offset: int, limit: int, *order: Column | str) -> DataFr
         F.min(F.when(inside, F.col("score"))).alias("returned_least"),
         F.ceil(F.count(F.lit(1)) / limit).cast("bigint").alias("pages"),
     )
+
+
+def ordinals(rows: DataFrame, bucket: Column, *order) -> DataFrame:
+    """``rows`` with their ``ordinal`` in the order of all: counts of the buckets before, and the place within.
+
+    ``bucket`` rises with the order; one row for each bucket meets in one task, not the table.
+    """
+    own = rows.withColumn("__bucket", bucket)
+    counts = own.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
+    return own.withColumn("__place", place).join(before, "__bucket").withColumn("ordinal", F.col("__before") + F.col("__place")).drop("__bucket", "__before", "__place")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.operators import checks as C
+from orrery.operators.ranking import ordinals
 from orrery.plans.registry import query
 from orrery.plans.relations import qrels, run, sql, table
 
@@ -28,9 +29,7 @@ UNION ALL SELECT NULL, source, 'unexpected topic' FROM documents GROUP BY source
     )
 )
 def strict_run_faults(spark, sf_dir):
-    from pyspark.sql import Window
-
-    own = run(spark, sf_dir).withColumn("line", F.row_number().over(Window.orderBy("topic", "rank")).cast("bigint"))
+    own = ordinals(run(spark, sf_dir), F.col("topic"), "rank").withColumnRenamed("ordinal", "line")
     n = lambda k: F.col("line") % k == 0
     whole = F.col("score").cast("bigint")
     value = F.concat_ws(
@@ -66,12 +65,10 @@ SELECT line, CASE WHEN pos IS NULL THEN 'topic' WHEN grade IN ('5', '1.5') THEN
 FROM p WHERE pos IS NULL OR grade IN ('5', '1.5') OR copy > 1 OR passed > line"""
 )
 def strict_qrels_faults(spark, sf_dir):
-    from pyspark.sql import Window
-
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    line = F.row_number().over(Window.orderBy("source", "doc_id")).cast("bigint")
     grade = F.when(i % 41 == 0, "5").when(i % 37 == 0, "1.5").otherwise((i % 5).cast("string"))
-    own = d.select(line.alias("line"), "source", F.when(i % 53 == 0, 7).otherwise(i).alias("doc"), grade.alias("grade"))
+    lines = ordinals(d.select("source", "doc_id"), F.col("source"), "doc_id")
+    own = lines.select(F.col("ordinal").alias("line"), "source", F.when(i % 53 == 0, 7).otherwise(i).alias("doc"), grade.alias("grade"))
     own = own.select("line", F.when(F.col("line") % 101 == 0, "src0").when(F.col("line") % 103 == 0, "lost").otherwise(F.col("source")).alias("topic"), "doc", "grade")
     order = [r[0] for r in d.select("source").distinct().orderBy("source").collect()]  # the population's topics
     return C.qrels_faults(own, order)

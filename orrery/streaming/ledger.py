@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.operators.ranking import ordinals
+
 EVENTS = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -48,25 +50,13 @@ def ledger_state(events: DataFrame, reserve: str, success: str, failure: str, pe
     ends = F.col("event_type").isin(success, failure)
     rows = events.withColumn("outcome", F.first(F.when(ends, F.col("event_type")), ignorenulls=True).over(later))
     asked = rows.where(F.col("event_type") == reserve).withColumn("nth", F.row_number().over(own))
-    within = ordinals(asked.where(F.col("nth") <= per_user), F.floor(F.unix_timestamp("ts") / 600), ["ts", "event_id"])
+    within = ordinals(asked.where(F.col("nth") <= per_user), F.floor(F.unix_timestamp("ts") / 600), "ts", "event_id")
     both = asked.select("event_id", "user_id", "nth", "outcome").join(within.select("event_id", "ordinal"), "event_id", "left")
     code = F.when(F.col("nth") > per_user, "USER_LIMIT").when(F.col("ordinal") > total, "TOTAL_LIMIT").otherwise("ADMITTED")
     state = F.when(code != "ADMITTED", "refused").when(F.col("outcome").isNull(), "pending").when(F.col("outcome") == success, "success").otherwise("failure")
     return both.select("event_id", "user_id", F.col("nth").cast("bigint").alias("nth"), F.when(code == "ADMITTED", F.col("ordinal")).cast("bigint").alias("ordinal"), code.alias("code"), state.alias("state"))
 
 
-def ordinals(rows: DataFrame, bucket, order: list[str]) -> DataFrame:
-    """``rows`` with their ordinal in the order of all: counts of the buckets before, and the place within.
-
-    ``bucket`` rises with ``order``; only one row for each bucket meets in one task.
-    """
-    own = rows.withColumn("__bucket", bucket)
-    counts = own.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    return own.withColumn("__place", place).join(before, "__bucket").withColumn("ordinal", F.col("__before") + F.col("__place")).drop("__bucket", "__before", "__place")
-
-
 def budget_stops(events: DataFrame, limits: dict[str, int], no_yield: int = 5) -> DataFrame:
     """Admission of each event under per-type budgets, with the streak of events without yield.
 
