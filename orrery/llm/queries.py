@@ -134,7 +134,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_array_dedup, op2_secret_scans, op3_chat_formatting, op4_quality_classifier, op5_warc_revisits, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_bpe, op9_toxicity, op10_top_k_search)
 }
 
+# A-Z in lower case, and nothing else.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(1, n - 98)) AS p, t FROM d WHERE n >= 100),
+h AS (SELECT doc_id, p, row_number() OVER (PARTITION BY t[p:p + 99] ORDER BY doc_id, p) > 1 AS again FROM w),
+c AS (SELECT doc_id, p, p - max(CASE WHEN again THEN p END) OVER (PARTITION BY doc_id ORDER BY p) < 100 AS gone FROM (
+  SELECT doc_id, p, again FROM h UNION ALL SELECT doc_id, unnest(range(greatest(n - 98, 1), n + 1)) AS p, false FROM d)),
+b AS (SELECT doc_id, p, coalesce(gone, false) AS gone, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS before FROM c),
+k AS (SELECT b.doc_id, count(*) FILTER (gone) AS removed, count(*) FILTER (gone AND NOT before) AS spans, string_agg(hex(d.t[p:p]), '' ORDER BY p) FILTER (NOT gone) AS kept FROM b JOIN d ON d.doc_id = b.doc_id GROUP BY b.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+""",
+    "op3_chat_formatting": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (SELECT conv_id, bool_or(contains(role, '</s>') OR contains(text, '</s>') OR contains(role, ' [/INST]')) AS escaped FROM c GROUP BY conv_id),
+f AS (SELECT c.*, escaped, CASE WHEN escaped THEN length(regexp_replace(role, '[\\<[]', '00', 'g')) + length(regexp_replace(text, '[\\<[]', '00', 'g')) ELSE length(role) + length(text) END AS chars
+  FROM c JOIN e ON e.conv_id = c.conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + any_value(escaped)::INT + sum(chars + length('[INST] ' || ' [/INST]' || '</s>')))::BIGINT AS formatted_chars, any_value(escaped) AS escaped, true AS identical FROM f GROUP BY conv_id
+""",
+    "op6_benchmark_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[a:a + least(len(w), 13) - 1], ' ') AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS a FROM b WHERE len(w) > 0)),
+g AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM k))),
+m AS (SELECT g.doc_id, g.p, g.n, k.item FROM g JOIN k ON k.n = g.n AND k.g = g.g),
+h AS (SELECT doc_id, count(DISTINCT q) AS hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+""",
+    "op7_ngram_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda a: array_to_string(w[a:a + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+u AS (SELECT doc_id, len(x) AS n, unnest(x) AS g FROM s),
+o AS (SELECT a.doc_id AS i, b.doc_id AS j, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT i, j FROM o WHERE 100 * c >= 75 * (na + nb - c)),
+r AS (SELECT i, i AS j FROM l UNION SELECT r.i, l.j FROM r JOIN l ON l.i = r.j),
+c AS (SELECT i, min(j) AS least FROM r GROUP BY i), k AS (SELECT i, count(*) AS links FROM l GROUP BY i)
+SELECT s.doc_id, len(x) AS n_shingles, coalesce(links, 0) AS n_links, coalesce(least, s.doc_id) AS component_id FROM s LEFT JOIN c ON c.i = s.doc_id LEFT JOIN k ON k.i = s.doc_id
+""",
     "op5_warc_revisits": r"""
 WITH u AS (
   SELECT page_id, md5(html) AS tag, md5(url || '#changed') AS other,
