@@ -37,14 +37,11 @@ def folded(df: DataFrame, by: list[str], order: list[str], start: Callable[[], d
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
-def claims(attempts: DataFrame, lease_seconds: int = 3600) -> DataFrame:
-    """What each attempt on a key comes to: ``result`` and the ``holder`` after it.
+CLAIMED = "result string, holder string"
 
-    ``attempts``: key, at (seconds), place, worker, done.  A free key is claimed; its holder's
-    attempts are heartbeats, and only they extend the lease; others are busy until it has run
-    out, and then reclaim.  The holder's done scores the key once and for all; from then on
-    attempts are cached.  Done by anyone else is lost.
-    """
+
+def claim_step(lease_seconds: int = 3600) -> Callable[[dict, dict], tuple]:
+    """The rule of ``claims``, for tables and streams alike."""
 
     def step(state: dict, row: dict) -> tuple:
         holder = state.get("holder")
@@ -60,7 +57,18 @@ def claims(attempts: DataFrame, lease_seconds: int = 3600) -> DataFrame:
             state.update(holder=row["worker"], until=row["at"] + lease_seconds)
         return result, state["holder"]
 
-    return folded(attempts, ["key"], ["at", "place"], dict, step, "result string, holder string")
+    return step
+
+
+def claims(attempts: DataFrame, lease_seconds: int = 3600) -> DataFrame:
+    """What each attempt on a key comes to: ``result`` and the ``holder`` after it.
+
+    ``attempts``: key, at (seconds), place, worker, done.  A free key is claimed; its holder's
+    attempts are heartbeats, and only they extend the lease; others are busy until it has run
+    out, and then reclaim.  The holder's done scores the key once and for all; from then on
+    attempts are cached.  Done by anyone else is lost.
+    """
+    return folded(attempts, ["key"], ["at", "place"], dict, claim_step(lease_seconds), CLAIMED)
 
 
 def paragraphs(sentences: DataFrame, most: int = 3500) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -102,29 +102,38 @@ def continued(tickets: DataFrame, answers: DataFrame) -> DataFrame:
     return both.select("topic", "attempts", state.alias("state"))
 
 
-def budget(calls: DataFrame, total: int, per_task: int, per_tool: dict[str, int], deadline: int | None = None) -> DataFrame:
-    """Admission of a run's calls in order: the first failing check gives the code; a run's stop is for good.
+ADMITTED = "code string, used long"
 
-    ``calls``: run, place, at (seconds since its start), task, tool.  The call that uses up the total is
-    admitted and stops the run; tasks and tools that are used up refuse only themselves.
-    """
+
+def budget_step(total: int, per_task: int, per_tool: dict[str, int], deadline: int | None = None) -> Callable[[dict, dict], tuple]:
+    """The rule of ``budget``, for tables and streams alike."""
 
     def step(state: dict, row: dict) -> tuple:
-        used, task = state.setdefault("used", {}), row["task"]
+        used, task = state.setdefault("used", {}), f"task {row['task']}"
+        own = f"{task}, {row['tool']}"
         stop = state.get("stop")
         if stop is None and deadline is not None and row["at"] >= deadline:
             stop = state["stop"] = "DEADLINE"
         if stop is not None:
-            return stop, used.get(None, 0)
-        if used.get(task, 0) >= per_task or used.get((task, row["tool"]), 0) >= per_tool.get(row["tool"], per_task):
-            return "TASK_BUDGET", used.get(None, 0)
-        for key in (None, task, (task, row["tool"])):
+            return stop, used.get("", 0)
+        if used.get(task, 0) >= per_task or used.get(own, 0) >= per_tool.get(row["tool"], per_task):
+            return "TASK_BUDGET", used.get("", 0)
+        for key in ("", task, own):
             used[key] = used.get(key, 0) + 1
-        if used[None] >= total:
+        if used[""] >= total:
             state["stop"] = "TOTAL_BUDGET"
-        return "ADMITTED", used[None]
+        return "ADMITTED", used[""]
+
+    return step
 
-    return folded(calls, ["run"], ["place"], dict, step, "code string, used long")
+
+def budget(calls: DataFrame, total: int, per_task: int, per_tool: dict[str, int], deadline: int | None = None) -> DataFrame:
+    """Admission of a run's calls in order: the first failing check gives the code; a run's stop is for good.
+
+    ``calls``: run, place, at (seconds since its start), task, tool.  The call that uses up the total is
+    admitted and stops the run; tasks and tools that are used up refuse only themselves.
+    """
+    return folded(calls, ["run"], ["place"], dict, budget_step(total, per_task, per_tool, deadline), ADMITTED)
 
 
 def splice_faults(sentences: DataFrame, operations: DataFrame, most: int = 6, insertions: int = 4, touched: int = 8, words: int = 1024) -> DataFrame:

@@ -3,12 +3,14 @@
 Events: event_id, ts, user_id, event_type, value.  A user is a request, and its events
 are what happened to it.  The batch functions define the result.  Windows of time, deduplication and
 collection also run on streams, with watermarks and checkpoints, and ``availableNow`` runs
-end equal to them.  Ledger states, claims, budget stops and sessions by boundary are batch only.
+end equal to them; so do rules of ``operators.folds`` by ``folded_stream`` (claims with leases, budgets).
+Ledger states with a total limit, budget stops by type and sessions by boundary are batch only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -156,6 +158,25 @@ def reservations(events: DataFrame, reserve: str, per_user: int) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, LIMIT, "seen long", "append", "NoTimeout")
 
 
+def folded_stream(rows: DataFrame, by: str, order: list[str], step: Callable[[dict, dict], tuple], added: str) -> DataFrame:
+    """``folds.folded`` on a stream: each key's state is carried from batch to batch, as JSON.
+
+    Rows of a batch are taken in ``order``; batches must come in it too.  ``step`` is a rule
+    such as ``folds.claim_step`` or ``stores.budget_step``, whose states are JSON values.
+    """
+    names = [f.name for f in T.StructType.fromDDL(added).fields]
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(added).fields])
+
+    def run(key, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
+        state = json.loads(kept.get[0]) if kept.exists else {}
+        own = pd.concat(list(batches)).sort_values(order)
+        made = [step(state, row) for row in own.to_dict("records")]
+        kept.update((json.dumps(state),))
+        yield own.assign(**{n: [m[k] for m in made] for k, n in enumerate(names)})
+
+    return rows.groupBy(by).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
+
+
 def collect(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends a stream's rows to a table until its source is read; a rerun adds only what is new."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -1,8 +1,12 @@
 """Streams run to their end against the batch form of the same rules."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.operators import folds, stores
 from orrery.streaming import ledger as L
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +50,22 @@ def test_waves_are_idempotent(spark, events, tmp_path):
 def test_dedup_on_a_stream(spark, events, tmp_path):
     L.collect(L.deduplicated(L.read_stream(spark, events, 4)), str(tmp_path / "out"), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(events).select("event_id").distinct().count()
+
+
+def test_rules_end_on_streams_as_on_tables(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(6), 200 * k, k, rnd.choice("abc"), rnd.random() < 0.03, rnd.randrange(3), rnd.choice(["search", "passage"])) for k in range(400)]
+    schema = "key long, at long, place long, worker string, done boolean, task long, tool string"
+    for part in range(5):  # in order, one file a batch
+        spark.createDataFrame(rows[80 * part : 80 * part + 80], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    table = spark.createDataFrame(rows, schema)
+    cases = {
+        "claims": (folds.claim_step(900), folds.CLAIMED, folds.claims(table, 900)),
+        "budget": (stores.budget_step(40, 20, {"search": 8}), stores.ADMITTED, stores.budget(table.withColumnRenamed("key", "run"), 40, 20, {"search": 8}).withColumnRenamed("run", "key")),
+    }
+    for name, (step, added, expected) in cases.items():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        L.collect(L.folded_stream(stream, "key", ["at", "place"], step, added), str(tmp_path / name), str(tmp_path / f"{name}-checkpoint"))
+        found = spark.read.parquet(str(tmp_path / name))
+        assert found.count() == 400 and found.select(*expected.columns).exceptAll(expected).isEmpty(), name
