@@ -11,7 +11,8 @@ new words of a batch are merged side by side, their rank arrays laid end to end
 one vector that is scanned for every word's minimum at once.
 
 Input rules: null and empty texts encode to no tokens; texts of any length are
-encoded whole; equal rows give equal results; other columns are left alone.  The
+encoded whole; equal rows give equal results; an empty table gives no rows; other columns
+are left alone, but those named like a result are replaced.  The
 vocabulary's special tokens inside a text become their own ids, as the
 ``tokenizers`` library does with its default settings.
 """
@@ -315,7 +316,7 @@ def _is_utf8(data: bytes) -> bool:
 def _mapped(df: DataFrame, column: str, added: list[T.StructField], make, kind: pa.DataType) -> DataFrame:
     """``df`` with columns made from ``column`` by ``make(list) -> list of arrays``."""
     names = [f.name for f in added]
-    keep = [c for c in df.columns if c not in names]
+    keep = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
     schema = T.StructType([*[df.schema[c] for c in keep], *added])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

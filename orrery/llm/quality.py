@@ -11,7 +11,8 @@ whole text and nothing else; the model has a fixed size.
 Input rules: null and empty texts are scored by the intercept alone; rows without
 labels never train; a document labelled twice trains once per label; if the sample has
 fewer than two classes, every score is the share of positive labels (0.5 without any);
-other columns stay.
+equal texts score alike, repeated rows too; texts of any length are scored whole; an empty
+table gives no rows; other columns stay, but one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -155,7 +156,7 @@ def train(sample: DataFrame) -> bytes:
 def score(df: DataFrame, model: bytes, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with each whole text's score, 0 to 1."""
     held = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size
-    keep = [c for c in df.columns if c != out]
+    keep = [c for c in df.columns if c.lower() != out.lower()]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

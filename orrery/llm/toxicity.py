@@ -15,7 +15,8 @@ the ``CLASS_ROWS`` with the smallest hash of their id.  Scoring reads whole text
 
 Input rules: null and empty texts have no features and are scored by the thresholds
 alone; rows without labels never train; with one class only, every severity is that
-class's; repeated rows score alike; other columns stay.
+class's; repeated rows score alike; texts of any length are scored whole; an empty table
+gives no rows; other columns stay, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def score(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """``df`` with expected_severity and p_toxic of each whole text."""
     held = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     added = ["expected_severity", "p_toxic"]
-    keep = [c for c in df.columns if c not in added]
+    keep = [c for c in df.columns if c.lower() not in added]
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(c, T.DoubleType()) for c in added]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

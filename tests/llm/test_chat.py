@@ -39,3 +39,10 @@ def test_awkward_rows(spark):
     assert found[1]["turns_sha256"] == hashlib.sha256(b"\na\n\na\nuser\n\n").hexdigest()
     assert found[None]["loss_chars"] == 1 and found[2]["loss_chars"] == 0
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_long_conversations(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", "</s>" if k == 700 else f"turn [{k}] <") for k in range(1500)] + [(2, 0, "assistant", "x" * 300_000 + "[INST] y"), (2, 0, "assistant", "x" * 300_000 + "[INST] y")]
+    found = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert found[1]["identical"] and found[1]["escaped"] and [t["text"] for t in found[1]["turns"]] == [r[3] for r in rows[:1500]]
+    assert found[2]["identical"] and not found[2]["escaped"] and len(found[2]["turns"]) == 2

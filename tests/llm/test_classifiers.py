@@ -155,3 +155,15 @@ def test_a_very_long_labelled_text_shuts_no_other_out(spark):
     assert np.mean([(quality.Scorer(model)(t.encode()) >= 0.5) == q for _, t, q, _ in rows]) > 0.95
     model = toxicity.train(toxicity.training_rows(short.unionByName(long), labels))
     assert np.mean([(toxicity.Scorer(model)(t.encode())[1] >= toxicity.CALLED) == b for _, t, _, b in rows]) > 0.95
+
+
+def test_repeated_and_long_rows_and_columns_of_the_same_name(spark):
+    rows = documents(120, 8)
+    df = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, b) for i, _, q, b in rows], "doc_id long, quality int, toxic int")
+    long = " ".join(t for _, t, *_ in rows) * 20
+    odd = spark.createDataFrame([(1, long, "a", "b"), (1, long, "a", "b"), (2, None, "a", "b")], "doc_id long, text string, Score string, P_TOXIC string")
+    scored = quality.score(odd, quality.train(quality.training_rows(df, labels, "quality"))).collect()
+    assert scored[0]["score"] == scored[1]["score"] and all(0 <= r["score"] <= 1 for r in scored)
+    toxic = toxicity.score(odd, toxicity.train(toxicity.training_rows(df, labels))).collect()
+    assert toxic[0] == toxic[1] and all(0 <= r["p_toxic"] <= 1 for r in toxic)

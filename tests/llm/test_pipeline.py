@@ -72,3 +72,21 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "n_tokens", "token_ids"} <= set(out.columns) and out.count() > 0
+
+
+def test_empty_tables_and_other_columns(spark, tmp_path):
+    more = COLUMNS + ", key string, score double, place int, Spans string"
+    long = "a long text of many words " * 30_000
+    rows = [(1, long, "en", "s", 1, "k", 0.5, 3, "x"), (1, long, "en", "s", 1, "k", 0.5, 3, "x"), (None, None, None, None, None, None, None, None, None), (2, "secret=abcdef12345", "en", "s", 1, "k", 0.5, 3, "x")]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, own in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(own, more)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert k == 4 or tuple(out.columns) == corpus_pipeline.COLUMNS
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+        found = docs.collect()
+        assert len(found) == (3 if own else 0) and all(r["identical"] for r in found)
+    assert "[SECRET]" in {r["text"] for r in spark.read.parquet(f"{tmp_path}/some3").collect() if r["doc_id"] == 2}.pop()

@@ -130,3 +130,11 @@ def test_redaction_of_many_spans(spark):
             gone |= set(range(s["start"], s["stop"]))
         expected = "".join("#" if k in gone and k - 1 not in gone else "" if k in gone else c for k, c in enumerate(r["text"]))
         assert r["out"] == expected
+
+
+def test_repeated_rows_and_columns_of_the_same_name(spark):
+    rows = [(1, "token=abcdef99 and more", "old", "old")] * 3 + [(None, None, "old", "old")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base_spans string, spans string")
+    found = secrets.scan(df, [0.0] * len(secrets.ALPHABET) ** 2).collect()
+    assert [[(s["start"], s["stop"]) for s in r["base_spans"]] for r in found] == [[(0, 14)]] * 3 + [[]]
+    assert secrets.scan(df.limit(0), [0.0] * len(secrets.ALPHABET) ** 2).count() == 0
