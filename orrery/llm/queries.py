@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, chat, decontaminate, fim, jaccard, quality, secrets, substrings, topk, toxicity, warc
+from orrery.llm import bpe, chat, decontaminate, fim, jaccard, quality, secrets, sessions, substrings, tokens, topk, toxicity, warc
 from orrery.session import spread
 
 
@@ -139,9 +139,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digests(tokens.write(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_session_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.close_sessions(table(spark, sf_dir, "clicks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_array_dedup, op2_secret_scans, op3_chat_formatting, op4_quality_classifier, op5_warc_revisits, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_bpe, op9_toxicity, op10_top_k_search, op11_fill_in_middle)
+    for f in (op1_suffix_array_dedup, op2_secret_scans, op3_chat_formatting, op4_quality_classifier, op5_warc_revisits, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_bpe, op9_toxicity, op10_top_k_search, op11_fill_in_middle, op12_token_files, op13_session_closing)
 }
 
 # A-Z in lower case, and nothing else.
@@ -257,5 +265,46 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_c
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
   sha256(t) AS restored_sha256
 FROM p
+""",
+    # A session is a run of kept rows: what has closed lies too far behind for any later row.
+    # Merges are counted by cutting the rows through each batch anew.
+    "op13_session_closing": r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+r AS (
+  SELECT click_id, client_id, epoch_us(ts) AS us, epoch_us(coalesce(arrived_at, ts)) AS arrived FROM clicks
+  WHERE click_id IS NOT NULL AND client_id IS NOT NULL AND ts IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY arrived, us, client_id) = 1
+), h AS (
+  SELECT click_id, client_id, us, CAST(floor(arrived / 3600000000) AS BIGINT) AS h, client_id || ':' || CAST(floor(us / 3600000000) AS BIGINT) AS slot FROM r
+), s AS (SELECT min(h) AS lo, max(h) AS hi FROM h),
+sums AS (
+  SELECT client_id, us, h, lo, hi,
+    xor(list_reduce([4294967295] || list_transform(string_split(CAST(click_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS id_crc,
+    xor(list_reduce([4294967295] || list_transform(string_split(slot, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS slot_crc
+  FROM h, s, crc
+), b AS (SELECT client_id, us, id_crc, least(10 * (h - lo) // (hi - lo + 1) + (slot_crc % 5 = 0)::INT, 9) AS batch FROM sums),
+w AS (SELECT batch, max(max(us)) OVER (ORDER BY batch) - 172800000000 AS w FROM b GROUP BY batch),
+k AS (SELECT b.* FROM b WHERE us >= coalesce((SELECT max(w.w) FROM w WHERE w.batch < b.batch), us)),
+g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY client_id ORDER BY us) > 1800000000, true)::INT AS begins FROM k),
+f AS (SELECT *, sum(begins) OVER (PARTITION BY client_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM g),
+part AS (
+  SELECT n.batch AS upto, f.client_id, f.no, f.us, f.batch,
+    coalesce(f.us - lag(f.us) OVER (PARTITION BY n.batch, f.client_id, f.no ORDER BY f.us) > 1800000000, true)::INT AS begins
+  FROM f JOIN w n ON f.batch <= n.batch
+), piece AS (
+  SELECT *, sum(begins) OVER (PARTITION BY upto, client_id, no ORDER BY us ROWS UNBOUNDED PRECEDING) AS piece FROM part
+), had AS (SELECT upto, client_id, no, piece, bool_or(batch < upto) AS old FROM piece GROUP BY ALL),
+each AS (SELECT upto, client_id, no, count(*) AS pieces, count(*) FILTER (old) AS olds FROM had GROUP BY ALL),
+joined AS (
+  SELECT client_id, no, sum(before - olds) AS merges FROM (
+    SELECT client_id, no, olds, coalesce(lag(pieces) OVER (PARTITION BY client_id, no ORDER BY upto), 0) AS before FROM each
+  ) GROUP BY ALL
+), t AS (SELECT client_id, no, min(us) AS first_us, max(us) AS last_us, count(*) AS n_clicks, CAST(sum(id_crc) AS BIGINT) AS ids_crc32 FROM f GROUP BY ALL)
+SELECT t.client_id, first_us, last_us, n_clicks, ids_crc32, CAST(merges AS BIGINT) AS n_merges,
+  coalesce((SELECT min(w.batch) FROM w WHERE t.last_us < w.w - 1800000000), 10) AS close_batch
+FROM t JOIN joined ON joined.client_id = t.client_id AND joined.no = t.no
 """,
 }
