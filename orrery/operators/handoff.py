@@ -183,19 +183,22 @@ def semantic_gates(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
     Both: topic, obligation, required (boolean), label.  full counts 1, partial 0.5, unsupported 0.
     """
-    worth = F.when(F.col("label") == "full", 1.0).when(F.col("label") == "partial", 0.5).otherwise(0.0)
+    worth = F.when(F.col("label") == "full", 2).when(F.col("label") == "partial", 1).otherwise(0)
     side = lambda df, n: df.select("topic", "obligation", "required", worth.alias(n))
     both = side(baseline, "a").join(side(candidate, "b").drop("required"), ["topic", "obligation"])
-    mean = lambda c, of=F.lit(True): F.coalesce(F.avg(F.when(of, c)), F.lit(0.0))
-    strict = lambda c: (F.col(c) == 1.0).cast("double")
+    # Both sides of a topic share their counts, so whole numbers say which mean is lower.
+    required, strict = F.when(F.col("required"), F.col("b") - F.col("a")), (F.col("b") == 2).cast("int") - (F.col("a") == 2).cast("int")
     per = both.groupBy("topic").agg(
-        *(mean(F.col(c), F.col("required")).alias(f"required_{c}") for c in "ab"), *(mean(strict(c)).alias(f"strict_{c}") for c in "ab")
+        *(F.coalesce(F.sum(d), F.lit(0)).cast("decimal(18,0)").alias(g) for g, d in (("required", required), ("strict", strict))),
+        *(F.nullif(F.count(d), F.lit(0)).cast("decimal(18,0)").alias(f"n_{g}") for g, d in (("required", required), ("strict", strict))),
     )
     none = F.lit(None).cast("string")
     lost = both.where("b < a").select("topic", F.col("obligation").cast("string").alias("obligation"), F.lit("obligation").alias("gate"))
-    topics = [per.where(f"{g}_b < {g}_a").select("topic", none.alias("obligation"), F.lit(g).alias("gate")) for g in ("required", "strict")]
-    macro = per.agg(*(F.avg(c).alias(c) for c in ("required_a", "required_b", "strict_a", "strict_b")))
-    means = [macro.where(f"{g}_b < {g}_a").select(none.alias("topic"), none.alias("obligation"), F.lit(f"macro {g}").alias("gate")) for g in ("required", "strict")]
+    topics = [per.where(f"{g} < 0").select("topic", none.alias("obligation"), F.lit(g).alias("gate")) for g in ("required", "strict")]
+    # Decimal sums are the same in any order; each topic's quotient is rounded at the 19th place.
+    total = lambda g: F.coalesce(F.sum(F.col(g) / F.col(f"n_{g}")), F.lit(0)) + F.count(F.lit(1)) * F.lit("1e-19").cast("decimal(19,19)")
+    macro = per.agg(total("required").alias("required"), total("strict").alias("strict"))
+    means = [macro.where(f"{g} < 0").select(none.alias("topic"), none.alias("obligation"), F.lit(f"macro {g}").alias("gate")) for g in ("required", "strict")]
     out = lost.withColumn("topic", F.col("topic").cast("string"))
     for df in (*topics, *means):
         out = out.unionByName(df.withColumn("topic", F.col("topic").cast("string")))
