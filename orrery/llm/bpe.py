@@ -37,7 +37,7 @@ from orrery.llm.arrow import pieces, trim
 #: Longest pre-token, in bytes, that is merged by scanning the rank array.
 SCAN_LIMIT = 256
 #: Words remembered in a worker, and the longest that is remembered (characters).
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
 #: From so many new words on, they are merged side by side; so many at most at once.
 TOGETHER, TOGETHER_MOST = 48, 25_000
 #: Texts above so many characters are walked match by match instead of at once.
@@ -142,8 +142,7 @@ class Codec:
         self.byte_ids = [vocab[symbols[b]] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.join = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
-        keys = sorted(((a << 32) | b, *v) for (a, b), v in self.join.items()) or [(0, NO_RANK, -1)]
-        self.keys, self.key_ranks, self.key_ids = np.array(keys, np.int64).T.copy()
+        self._hash([((a << 32) | b, *v) for (a, b), v in self.join.items()])
         self.first = np.array(self.byte_ids, np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.pattern = regex.compile(PATTERN)
@@ -212,10 +211,12 @@ class Codec:
             stay[at + 1] = False
             at -= np.arange(len(at))
             ids, of, ranks = ids[stay], of[stay], ranks[stay]
-            touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
-            ranks[touched] = NO_RANK
-            touched = touched[touched < len(ids) - 1]
-            touched = touched[of[touched] == of[touched + 1]]
+            ranks[at] = NO_RANK
+            right = at[at < len(ids) - 1]
+            right = right[of[right] == of[right + 1]]
+            left = at[at > 0] - 1
+            left = left[of[left] == of[left + 1]]
+            touched = np.concatenate([left, right])
             ranks[touched] = self._ranks(ids[touched], ids[touched + 1])[0]
         ids, of = np.concatenate(done_ids), np.concatenate(done_of)
         ids = ids[np.argsort(of, kind="stable")].astype("<u4")
@@ -226,12 +227,38 @@ class Codec:
             begin = end
         return out
 
+    def _hash(self, pairs: list[tuple[int, int, int]]) -> None:
+        """(pair, rank, joined id) in an open-addressed table, four slots or more for each."""
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.key_ranks, self.key_ids = np.full(1 << bits, NO_RANK, np.int64), np.full(1 << bits, -1, np.int64)
+        left = np.array(pairs, np.int64).reshape(-1, 3)
+        slots = self._slots(left[:, 0])
+        while len(left):
+            # Of the pairs that want a free slot, one gets it; the others go on to the next slot.
+            free = self.keys[slots] == -1
+            self.keys[slots[free]] = left[free, 0]
+            own = self.keys[slots] == left[:, 0]
+            self.key_ranks[slots[own]], self.key_ids[slots[own]] = left[own, 1], left[own, 2]
+            left, slots = left[~own], (slots[~own] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and joined id of each pair; NO_RANK where none is listed."""
         keys = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return np.where(hit, self.key_ranks[at], NO_RANK), np.where(hit, self.key_ids[at], -1)
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        other = np.flatnonzero((there != keys) & (there != -1))
+        while len(other):
+            slots[other] = (slots[other] + 1) & (len(self.keys) - 1)
+            there = self.keys[slots[other]]
+            own = keys[other]
+            other = other[(there != own) & (there != -1)]
+        # A search ends at its pair or at a free slot, which holds no rank.
+        return self.key_ranks[slots], self.key_ids[slots]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         join, n = self.join, len(ids)
