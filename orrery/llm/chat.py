@@ -2,31 +2,34 @@
 
 Grammar of a rendered conversation::
 
-    chat := "<s>" mode turn*
-    mode := "" | "\\\\"                 # a backslash: roles and texts are escaped
+    chat := "<s>" turn*
     turn := "[INST] " role " [/INST]" text "</s>"
 
-A conversation is first rendered as it is.  The rendered text is parsed again by
-the rule above (cut at every "</s>", then at the first " [/INST]" of each part) and
-the turns found are compared with the source.  Where they differ, some role or text
-holds a control string; that conversation is rendered escaped, and parsed and
-compared again.  Escaping rewrites the three characters that control strings need,
-so the second attempt always comes back identical: ``\\`` to ``\\0``, ``<`` to
-``\\1``, ``[`` to ``\\2``.
+No role or text holds a control string ("<s>", "</s>", "[INST]", "[/INST]") as it stands
+there.  Each turn is rendered as it is and parsed again; where a control string lies
+within, or the parsed role or text differs from the source, what conflicts is escaped and
+parsed once more: that role, or that text, and no other.  Escaping rewrites the characters
+that control strings begin with (``\\`` to ``\\0``, ``<`` to ``\\1``, ``[`` to ``\\2``), and the
+parser turns these three back wherever they stand, so the second attempt always comes
+back identical.  The whole conversation is then parsed and compared with the source.
 
 Input rules: turns are ordered by (turn, role, text), nulls first; null roles and
 texts count as empty; repeated rows stay repeated turns; a null conversation id is a
-conversation of its own; further columns are ignored; an empty table gives no rows.
+conversation of its own; texts of any length are kept whole; further columns, whatever
+their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.native import running
 
-OPEN, ROLE_END, CLOSE, BEGIN, ESCAPED = "[INST] ", " [/INST]", "</s>", "<s>", "\\"
+OPEN, ROLE_END, CLOSE, BEGIN = "[INST] ", " [/INST]", "</s>", "<s>"
+CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 
 
 def escape(text: Column) -> Column:
@@ -42,25 +45,31 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def render(turns: Column, escaped: bool) -> Column:
-    """``turns``: array of struct(role, text)."""
-    own = escape if escaped else (lambda x: x)
-    body = F.transform(
-        turns,
-        lambda t: F.concat(F.lit(OPEN), own(t["role"]), F.lit(ROLE_END), own(t["text"]), F.lit(CLOSE)),
-    )
-    return F.concat(F.lit(BEGIN + (ESCAPED if escaped else "")), F.array_join(body, ""))
+def controlled(text: Column) -> Column:
+    """Whether a control string lies in ``text``."""
+    return reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in CONTROLS))
+
+
+def safe(text: Column) -> Column:
+    """``text`` as it stands in a rendered turn: as it is where the parser gets it back, else escaped."""
+    comes_back = ~controlled(text) & (unescape(text) == text)
+    return F.when(comes_back, text).otherwise(escape(text))
+
+
+def render(turns: Column) -> Column:
+    """``turns``: array of struct(role, text), both safe."""
+    body = F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(ROLE_END), t["text"], F.lit(CLOSE)))
+    return F.concat(F.lit(BEGIN), F.array_join(body, ""))
 
 
 def parse(formatted: Column) -> Column:
     """Array of struct(role, text, start, length): the turns, and where each text lies.
 
-    ``start`` counts code points from 0 and ``length`` the escaped text's.  A part that
-    the grammar has no place for comes back with a null role.
+    ``start`` counts code points from 0 and ``length`` the text's as it stands there.  A
+    part that the grammar has no place for comes back with a null role.
     """
-    escaped = F.startswith(formatted, F.lit(BEGIN + ESCAPED))
-    head = F.when(escaped, len(BEGIN + ESCAPED)).otherwise(len(BEGIN))
-    body = F.substring(formatted, head + 1, F.length(formatted))
+    head = len(BEGIN)
+    body = F.substring(formatted, F.lit(head + 1), F.length(formatted))
     parts = F.split(body, CLOSE, -1)
     parts = F.when(F.length(body) == 0, F.array().cast("array<string>")).otherwise(
         F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
@@ -73,8 +82,7 @@ def parse(formatted: Column) -> Column:
             F.when(F.startswith(p, F.lit(OPEN)), F.instr(p, ROLE_END)).otherwise(0).alias("at"),
         ),
     )
-    before = F.transform(running(F.transform(parts, lambda p: F.length(p) + len(CLOSE))), lambda at: at + head)
-    back = lambda x: F.when(escaped, unescape(x)).otherwise(x)
+    before = running(F.transform(parts, lambda p: F.length(p) + len(CLOSE)), head)
 
     def turn(c: Column, start: Column) -> Column:
         skip = c["at"] - 1 + len(ROLE_END)
@@ -82,8 +90,8 @@ def parse(formatted: Column) -> Column:
         role = F.substring(c["part"], F.lit(len(OPEN) + 1), c["at"] - 1 - len(OPEN))
         ok = c["at"] > len(OPEN)
         return F.struct(
-            F.when(ok, back(role)).alias("role"),
-            F.when(ok, back(text)).otherwise(c["part"]).alias("text"),
+            F.when(ok, unescape(role)).alias("role"),
+            F.when(ok, unescape(text)).otherwise(c["part"]).alias("text"),
             (start + skip).cast("long").alias("start"),
             F.length(text).cast("long").alias("length"),
         )
@@ -97,8 +105,8 @@ def format_chats(
     """One row per conversation: the formatted text, its parsed turns and the loss mask.
 
     ``loss`` is an array of struct(start, length) over ``formatted``: the texts of the
-    ``learner``'s turns, escaped as they stand there.  ``escaped`` tells the mode, and
-    ``identical`` that the parsed turns equal the source.
+    ``learner``'s turns, as they stand there.  ``escaped`` tells how many roles and texts
+    are escaped, and ``identical`` that the parsed turns equal the source.
     """
     own = rows.select(
         F.col(conv).alias("conv_id"),
@@ -113,9 +121,9 @@ def format_chats(
     plain = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return (
         chats.select("conv_id", source.alias("source"))
-        .withColumn("raw", render(F.col("source"), escaped=False))
-        .withColumn("escaped", ~plain(parse(F.col("raw"))).eqNullSafe(F.col("source")))
-        .withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), escaped=True)).otherwise(F.col("raw")))
+        .withColumn("safe", F.transform("source", lambda t: F.struct(safe(t["role"]).alias("role"), safe(t["text"]).alias("text"))))
+        .withColumn("escaped", F.aggregate(F.zip_with("source", "safe", lambda a, b: (a["role"] != b["role"]).cast("int") + (a["text"] != b["text"]).cast("int")), F.lit(0), lambda n, x: n + x))
+        .withColumn("formatted", render(F.col("safe")))
         .withColumn("turns", parse(F.col("formatted")))
         .withColumn("identical", plain(F.col("turns")).eqNullSafe(F.col("source")))
         .withColumn(
@@ -129,19 +137,16 @@ def format_chats(
     )
 
 
-def masked_text(formatted: Column, loss: Column, escaped: Column) -> Column:
+def masked_text(formatted: Column, loss: Column) -> Column:
     """The unescaped text under the mask, read from the formatted text itself."""
-    cut = F.transform(
-        loss,
-        lambda s: F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")),
-    )
-    return F.array_join(F.transform(cut, lambda x: F.when(escaped, unescape(x)).otherwise(x)), "")
+    cut = F.transform(loss, lambda s: F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))
+    return F.array_join(F.transform(cut, unescape), "")
 
 
 def digests(chats: DataFrame) -> DataFrame:
     """Counts and digests of what ``format_chats`` made, all read back from its output."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    under = masked_text(F.col("formatted"), F.col("loss"), F.col("escaped"))
+    under = masked_text(F.col("formatted"), F.col("loss"))
     return chats.withColumn("under", under).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -119,7 +119,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels")
-    model = toxicity.train(toxicity.training_rows(documents, labels))
+    model = toxicity.train(toxicity.training_rows(documents, labels, allowed=~quality.held_out(F.col("doc_id"))))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", "expected_severity", "p_toxic", (F.col("p_toxic") >= toxicity.CALLED).cast("int").alias("toxic"))
 
@@ -170,12 +170,15 @@ SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
-), e AS (SELECT conv_id, bool_or(contains(role, '</s>') OR contains(text, '</s>') OR contains(role, ' [/INST]')) AS escaped FROM c GROUP BY conv_id),
-f AS (SELECT c.*, escaped, CASE WHEN escaped THEN length(regexp_replace(role, '[\\<[]', '00', 'g')) + length(regexp_replace(text, '[\\<[]', '00', 'g')) ELSE length(role) + length(text) END AS chars
-  FROM c JOIN e ON e.conv_id = c.conv_id)
+), w AS (
+  SELECT *, contains(role, '<s>') OR contains(role, '</s>') OR contains(role, '[INST]') OR contains(role, '[/INST]') OR regexp_matches(role, '\\[012]') AS role_out,
+    contains(text, '<s>') OR contains(text, '</s>') OR contains(text, '[INST]') OR contains(text, '[/INST]') OR regexp_matches(text, '\\[012]') AS text_out FROM c
+), f AS (
+  SELECT *, CASE WHEN role_out THEN length(regexp_replace(role, '[\\<[]', '00', 'g')) ELSE length(role) END + CASE WHEN text_out THEN length(regexp_replace(text, '[\\<[]', '00', 'g')) ELSE length(text) END AS chars FROM w
+)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  (3 + any_value(escaped)::INT + sum(chars + length('[INST] ' || ' [/INST]' || '</s>')))::BIGINT AS formatted_chars, any_value(escaped) AS escaped, true AS identical FROM f GROUP BY conv_id
+  (3 + sum(chars + length('[INST] ' || ' [/INST]' || '</s>')))::BIGINT AS formatted_chars, sum(role_out::INT + text_out::INT)::INT AS escaped, true AS identical FROM f GROUP BY conv_id
 """,
     "op6_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -45,4 +45,22 @@ def test_long_conversations(spark):
     rows = [(1, k, "user" if k % 2 else "assistant", "</s>" if k == 700 else f"turn [{k}] <") for k in range(1500)] + [(2, 0, "assistant", "x" * 300_000 + "[INST] y"), (2, 0, "assistant", "x" * 300_000 + "[INST] y")]
     found = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert found[1]["identical"] and found[1]["escaped"] and [t["text"] for t in found[1]["turns"]] == [r[3] for r in rows[:1500]]
-    assert found[2]["identical"] and not found[2]["escaped"] and len(found[2]["turns"]) == 2
+    assert found[2]["identical"] and found[2]["escaped"] == 2 and len(found[2]["turns"]) == 2
+
+
+def test_every_control_string_is_escaped_where_it_stands(spark):
+    """No role or text shows a control string; what has none is left as it is, in the same conversation."""
+    texts = ["<s>", "[INST]", "[/INST]", "</s>", "[INST] hi [/INST]<s>", "a < b [c] \\d", "\\1 [", "plain", "<s", "\\"]
+    rows = [(k, 0, "user", t) for k, t in enumerate(texts)] + [(k, 1, "assistant", "[plain] <text> \\n") for k in range(len(texts))] + [(50, 0, "[INST]", "as it is"), (50, 1, "a [/INST", "<")]
+    out = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for k, t in enumerate(texts):
+        r = out[k]
+        hostile = any(c in t for c in chat.CONTROLS) or t == "\\1 ["
+        assert r["identical"] and r["escaped"] == int(hostile)
+        between = r["formatted"].removeprefix("<s>[INST] user [/INST]").partition("</s>")
+        assert not any(c in between[0] for c in chat.CONTROLS) and (between[0] == t) == (not hostile)
+        assert between[2] == "[INST] assistant [/INST][plain] <text> \\n</s>"
+        assert [x["text"] for x in r["turns"]] == [t, "[plain] <text> \\n"]
+        s = r["loss"][0]
+        assert r["formatted"][s["start"] : s["start"] + s["length"]] == "[plain] <text> \\n"
+    assert out[50]["escaped"] == 1 and [(x["role"], x["text"]) for x in out[50]["turns"]] == [("[INST]", "as it is"), ("a [/INST", "<")]
