@@ -6,10 +6,10 @@ revisit's validators are then checked against that response (the entity tag wher
 have one, else the modification date, else the payload digest), and the headers that a
 not-modified answer may update replace the response's own.
 
-The join is one window over a URL's history, without any join.  Where some URL has more
-than ``SPAN_ROWS`` captures, time is cut into spans, so that no task gathers a URL's whole
-history; what a span inherits then comes from one row per (URL, span).  Bodies do not
-move: the result names the response they stand in.
+The join is one window over a URL's history, without any join.  The history of a URL with
+more than ``SPAN_ROWS`` captures is cut into spans at quantiles of its times, so that no task
+gathers it whole; what a span inherits then comes from one row per (URL, span).  Bodies do
+not move: the result names the response they stand in.
 
 Input rules: a revisit with a null URL or time stays unresolved ("no_response"), and rows
 without a URL meet no window; responses at the revisit's own time do not count as
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 #: Header fields that a not-modified answer may update (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified")
-#: Captures of the most captured URL that a span of time holds on average, at most.
-SPAN_ROWS = 4096
+#: Captures of a URL that a span of time holds on average, and most spans of a URL.
+SPAN_ROWS, CUTS = 4096, 1024
 
 
 def canonical(url: Column) -> Column:
@@ -52,6 +52,21 @@ def canonical(url: Column) -> Column:
     return F.concat(F.regexp_replace(host, "^www[.]", ""), rest)
 
 
+def spanned(own: DataFrame) -> DataFrame:
+    """``own`` with the span of time that each row belongs to: 0 but for URLs with more than ``SPAN_ROWS`` captures.
+
+    Those are cut at quantiles of their own times, so a burst is cut as well; captures of one URL at
+    one time stay together.  The table of cuts has an entry for each ``SPAN_ROWS`` rows or so;
+    whether it is broadcast is left to the optimiser.
+    """
+    cuts = F.percentile_approx("at", [k / CUTS for k in range(1, CUTS)], F.lit(10 * CUTS))
+    hot = own.groupBy("url_key").agg(F.count("at").alias("n"), cuts.alias("cuts")).where(F.col("n") > SPAN_ROWS)
+    every = F.greatest(F.lit(1), F.floor(F.lit(CUTS * SPAN_ROWS) / F.col("n")))
+    hot = hot.select("url_key", F.array_distinct(F.filter("cuts", lambda c, k: (k + 1) % every == 0)).alias("cuts"))
+    passed = F.size(F.filter("cuts", lambda c: c <= F.col("at")))
+    return own.join(hot, "url_key", "left").withColumn("span", F.when(F.col("cuts").isNull() | F.col("at").isNull(), 0).otherwise(passed)).drop("cuts")
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, url_key, base_id, outcome and merged headers.
 
@@ -67,12 +82,10 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     lost = own.where((F.col("kind") == "revisit") & F.col("url_key").isNull())
     own = own.where(F.col("url_key").isNotNull())
-    most = own.groupBy("url_key").count().agg(F.max("count")).first()[0] or 0
-    spans = -(-most // SPAN_ROWS)
     keys = ["url_key"]
-    if spans > 1:
-        seen = own.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
-        own = own.withColumn("span", F.floor(F.col("at") / F.lit(max(1, (seen["b"] - seen["a"]) // spans + 1))))
+    most = own.groupBy("url_key").count().agg(F.max("count")).first()[0] or 0
+    if most > SPAN_ROWS:
+        own = spanned(own)
         keys.append("span")
     known = (F.col("kind") == "response") & F.col("at").isNotNull()
     when = F.when(known, F.struct("at", "record_id"))
@@ -80,7 +93,7 @@ def resolve(records: DataFrame) -> DataFrame:
     # The latest response before the revisit within its own span, else what the span inherits.
     earlier = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     joined = own.withColumn("base", F.max_by(F.when(known, base), when).over(earlier)).where(F.col("kind") == "revisit")
-    if spans > 1:
+    if len(keys) > 1:
         newest = own.groupBy(*keys).agg(F.max(when).alias("newest"), F.max_by(F.when(known, base), when).alias("last"))
         before = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
         handed = newest.withColumn("inherited", F.max_by("last", "newest").over(before)).select(*keys, "inherited")

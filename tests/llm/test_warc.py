@@ -94,3 +94,19 @@ def test_files(spark, tmp_path):
     rows = warc.read(spark, str(tmp_path)).orderBy("path", "offset").collect()
     assert [(r["record_id"], r["kind"], r["etag"]) for r in rows] == [("<1>", "response", '"x"'), ("<2>", "revisit", '"x"')] * 2
     assert bytes(rows[0]["body"]) == b"<p>h\r\n\r\ni</p>" and rows[0]["headers"]["content-type"] == "text/html"
+
+
+def test_hot_urls_without_times_and_with_bursts(spark, monkeypatch):
+    """Captures that are all without a time; and a burst within a long history, cut at its own quantiles."""
+    monkeypatch.setattr(warc, "SPAN_ROWS", 7)
+    nothing = [(k, "e.org", None, "revisit" if k % 2 else "response", "t", None, None, None) for k in range(40)]
+    found = warc.resolve(spark.createDataFrame([(*r, None) for r in nothing], SCHEMA)).collect()
+    assert len(found) == 20 and {r["outcome"] for r in found} == {"no_response"}
+    burst = [(k, "e.org", 10**9 + k, "revisit" if k % 3 else "response", "t", None, None, {"X": "y" * 5000}) for k in range(300)]
+    rows = [(1000, "e.org", 0, "response", "t", None, None, None), (1001, "e.org", 1, "revisit", "t", None, None, None), (1002, "e.org", 10**12, "revisit", "t", None, None, None), *burst]
+    df = spark.createDataFrame([(*r, None) for r in rows], SCHEMA)
+    base = {r["record_id"]: r["base_id"] for r in warc.resolve(df).collect()}
+    assert base == {1001: 1000, 1002: 297} | {k: k - k % 3 for k in range(300) if k % 3}
+    own = df.select("record_id", F.col("url").alias("url_key"), F.col("captured_at").alias("at"))
+    sizes = [r["count"] for r in warc.spanned(own).groupBy("span").count().collect()]
+    assert max(sizes) <= 14 and sum(sizes) == 303
