@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from operator import eq
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from orrery.llm.arrow import pieces, texts_of
 
 #: Hashed features; the model's size follows from it, whatever the corpus.
 BITS = 18
@@ -12,6 +19,9 @@ BITS = 18
 REPEATS = 8
 SIZE = (1 << BITS) + REPEATS
 
+#: Features that the rows of a training sample have together, at most: 256 MB of numbers.
+SAMPLE_FEATURES = 1 << 26
+
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SHAPE = bytes(
     0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b
@@ -58,3 +68,40 @@ class Indicators:
         place = np.arange(len(every), dtype=np.int32)
         self.last[every] = place
         return every[self.last[every] == place]
+
+
+class Trained(NamedTuple):
+    """A row of a training sample."""
+
+    label: int
+    n_bytes: int
+    features: np.ndarray
+
+
+def sampled(documents: DataFrame, own: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, label, text) of the labelled rows ``own`` (id, label; a bounded number): one text for each.
+
+    Of several documents with one id, the one whose text has the smallest hash counts.
+    """
+    texts = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    met = texts.join(F.broadcast(own), "id")
+    return met.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+
+
+def in_one_task(sample: DataFrame) -> DataFrame:
+    """The bounded sample in the order of the hash of its ids."""
+    return sample.select("id", "label", "text").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label")
+
+
+def collected(batches: Iterable[pa.RecordBatch]) -> list[Trained]:
+    """Labels and features of rows in order, up to SAMPLE_FEATURES features."""
+    indicators, found, left = Indicators(), [], SAMPLE_FEATURES
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            for t, y in zip(texts_of(part, "text"), part.column("label").to_pylist()):
+                if left > 0:
+                    row = indicators(t).astype(np.int32)
+                    left -= len(row)
+                    if left >= 0:
+                        found.append(Trained(y, len(t), row))
+    return found

@@ -5,11 +5,14 @@ are brought to unit length, and a hinge-loss model is fitted by dual coordinate
 descent.  A logistic curve over held-in margins turns margins into scores.
 
 The model is fitted in one task on a bounded sample: of the labelled rows allowed for
-training, the ``SAMPLE_ROWS`` with the smallest hash of their id.  Scoring reads every
-whole text and nothing else; the model has a fixed size.
+training, the ``SAMPLE_ROWS`` with the smallest hash of their id, and of those, in that
+order, as many as have ``features.SAMPLE_FEATURES`` features together.  The fit ends where
+the duality gap is a hundredth of the primal objective.  Scoring reads every whole text
+and nothing else; the model has a fixed size.
 
 Input rules: null and empty texts are scored by the intercept alone; rows without
-labels never train; a document labelled twice trains once per label; if the sample has
+labels never train; a document labelled twice trains once per label, and of several
+documents with one id the text with the smallest hash trains; if the sample has
 fewer than two classes, every score is the share of positive labels (0.5 without any);
 equal texts score alike, repeated rows too; texts of any length are scored whole; an empty
 table gives no rows; other columns stay, but one named like the score is replaced.
@@ -17,7 +20,6 @@ table gives no rows; other columns stay, but one named like the score is replace
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,7 +34,9 @@ from orrery.llm.arrow import pieces, texts_of, trim
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE_ROWS = 3_000
-PENALTY, PASSES, SMOOTHING = 1.0, 6, 1.0
+PENALTY, SMOOTHING = 1.0, 1.0
+#: The fit ends at this duality gap, as a share of the primal objective, or after so many passes.
+GAP, PASSES = 0.01, 200
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -62,7 +66,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> np.ndarray
     square = np.array([v @ v + 1.0 for v in values])
     random = np.random.default_rng(seed)
     for _ in range(PASSES):
-        moved = 0.0
         for i in random.permutation(len(rows)):
             row, v = rows[i], values[i]
             gradient = sign[i] * (weights[row] @ v + intercept) - 1.0
@@ -72,8 +75,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> np.ndarray
                 weights[row] += step * v
                 intercept += step
                 dual[i] = new
-                moved = max(moved, abs(step))
-        if moved < 1e-3:
+        primal, gap = _objective(rows, values, sign, cap, weights, intercept, dual)
+        if gap <= GAP * primal:
             break
     margin = np.array([weights[r] @ v + intercept for r, v in zip(rows, values)])
     out[:size] = ratio * weights
@@ -82,6 +85,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> np.ndarray
     return np.concatenate([out, ratio.astype(np.float32)])
 
 
+def _objective(rows, values, sign, cap, weights, intercept, dual) -> tuple[float, float]:
+    """(primal objective, duality gap)."""
+    slack = np.array([max(0.0, 1.0 - y * (weights[r] @ v + intercept)) for r, v, y in zip(rows, values, sign)])
+    square = float(weights @ weights) + intercept**2
+    primal = square / 2 + float(cap @ slack)
+    return primal, primal - (float(dual.sum()) - square / 2)
+
+
 def _logistic(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the score curve; the margin's zero stays at one half."""
     slope = 1.0
@@ -130,25 +141,17 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, id: str =
     own = own.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"))
     # Equal rows of labels count once.
     own = own.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(rows)
-    texts = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    # The sample has at most ``rows`` rows of two numbers.
-    return texts.join(F.broadcast(own), "id").select("id", "text", "label")
+    return features.sampled(documents, own, id, text)
 
 
 def train(sample: DataFrame) -> bytes:
     """The fitted model; the sample goes to one task, the model comes to the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Every text of the sample trains; only its features are held, at most ``features.SIZE`` of them.
-        indicators, found = features.Indicators(), []
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                for i, t, y in zip(part.column("id").to_pylist(), texts_of(part, "text"), part.column("label").to_pylist()):
-                    found.append((i, hashlib.blake2b(t).digest(), y, indicators(t).astype(np.int32)))
-        found.sort(key=lambda r: r[:3])
-        yield pa.RecordBatch.from_pydict({"model": [fit([r[3] for r in found], np.array([r[2] for r in found], int)).tobytes()]})
+        found = features.collected(batches)
+        yield pa.RecordBatch.from_pydict({"model": [fit([r.features for r in found], np.array([r.label for r in found], int)).tobytes()]})
 
-    made = sample.select("id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    made = features.in_one_task(sample).mapInArrow(run, "model binary").first()
     # Over no rows at all, Spark runs no task.
     return bytes(made["model"]) if made else fit([], np.empty(0, int)).tobytes()
 

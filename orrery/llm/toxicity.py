@@ -11,23 +11,25 @@ how densely they use features that toxic rows have far more often than others: r
 above the quantiles ``CUTS`` of that density get the higher grades.
 
 The model is fitted in one task on a bounded sample of labelled rows: of either class
-the ``CLASS_ROWS`` with the smallest hash of their id.  Scoring reads whole texts only.
+the ``CLASS_ROWS`` with the smallest hash of their id, and of those, in that order, as many
+as have ``features.SAMPLE_FEATURES`` features together.  The fit stops early by design,
+after ``STEPS`` steps.  Scoring reads whole texts only.
 
 Input rules: null and empty texts have no features and are scored by the thresholds
-alone; rows without labels never train; with one class only, every severity is that
+alone; rows without labels never train; of several documents with one id the text with
+the smallest hash trains; with one class only, every severity is that
 class's; repeated rows score alike; texts of any length are scored whole; an empty table
 gives no rows; other columns stay, but those named like a result are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +44,7 @@ CHOSEN, LEAST_ROWS = 3_000, 4
 CUTS = (0.5,)
 PENALTY, STEPS = 1e-4, 300
 #: A text is called toxic from this probability of a grade above 0 on.
-CALLED = 0.35
+CALLED = 0.3
 
 
 def grades_of(rows: list[np.ndarray], lengths: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +98,8 @@ def fit(rows: list[np.ndarray], lengths: np.ndarray, toxic: np.ndarray) -> np.nd
         new = ahead - step * (slope.astype(np.float32) @ x) / len(rows)
         new = np.maximum(new - step * PENALTY, 0)
         cut = cut - 1.0 * cut_slope / len(rows)
-        cut = np.maximum.accumulate(cut + np.arange(cuts) * 1e-3)
+        for k in range(1, cuts):
+            cut[k] = max(cut[k], cut[k - 1] + 1e-3)
         next_momentum = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead, weights, momentum = new + (momentum - 1) / next_momentum * (new - weights), new, next_momentum
     out[chosen], out[size:] = weights, cut
@@ -134,29 +137,23 @@ def _scorer(model: bytes) -> Scorer:
     return Scorer(model)
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", rows: int = CLASS_ROWS) -> DataFrame:
-    """(id, text, label) of the bounded sample, of either class."""
-    own = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).distinct()
+def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", rows: int = CLASS_ROWS, allowed: Column | None = None) -> DataFrame:
+    """(id, label, text) of the bounded sample, of either class."""
+    own = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull())
+    own = (own if allowed is None else own.where(allowed)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).distinct()
     of = lambda y: own.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows)
-    # The sample has at most twice ``rows`` rows of two numbers.
-    return documents.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(of(0).unionAll(of(1))), "id")
+    return features.sampled(documents, of(0).unionAll(of(1)), id, text)
 
 
 def train(sample: DataFrame) -> bytes:
     """The fitted model; the sample goes to one task, the model comes to the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Every text of the sample trains; only its features are held, at most ``features.SIZE`` of them.
-        indicators, found = features.Indicators(), []
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                for i, y, t in zip(part.column("id").to_pylist(), part.column("label").to_pylist(), texts_of(part, "text")):
-                    found.append((i, y, hashlib.blake2b(t).digest(), len(t), indicators(t).astype(np.int32)))
-        found.sort(key=lambda r: r[:3])
-        made = fit([r[4] for r in found], np.array([r[3] for r in found], float), np.array([r[1] for r in found], int))
+        found = features.collected(batches)
+        made = fit([r.features for r in found], np.array([r.n_bytes for r in found], float), np.array([r.label for r in found], int))
         yield pa.RecordBatch.from_pydict({"model": [made.astype(np.float32).tobytes()]})
 
-    made = sample.select("id", "label", "text").repartition(1).mapInArrow(run, "model binary").first()
+    made = features.in_one_task(sample).mapInArrow(run, "model binary").first()
     # Over no rows at all, Spark runs no task.
     return bytes(made["model"]) if made else fit([], np.empty(0), np.empty(0, int)).astype(np.float32).tobytes()
 
