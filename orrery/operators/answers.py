@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.folds import folded
+
 from orrery.functions.text import word_count
 
 
@@ -52,19 +54,23 @@ def splice_operations(sentences: DataFrame, operations: DataFrame, most: int = 6
     """(answers with ranges replaced, rejected operations).
 
     ``operations``: topic, op, first, last, text: replace sentences first .. last by one.
-    An operation is rejected when its range is wrong, touches an earlier one's, or comes
-    beyond the ``most``-th.  Since accepted ranges are disjoint, all apply at once.
+    In order of their ranges, an operation is rejected when its range is wrong, touches an
+    accepted one's, or comes beyond the ``most``-th.  Since accepted ranges are disjoint, all apply at once.
     """
     ends = sentences.groupBy("topic").agg(F.max("idx").alias("end"))
-    w = Window.partitionBy("topic").orderBy("first", "last", "op")
-    own = operations.join(ends, "topic").withColumn("before", F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    own = own.withColumn("place", F.row_number().over(w))
-    reason = (
-        F.when((F.col("first") < 0) | (F.col("last") < F.col("first")) | (F.col("last") > F.col("end")), "range")
-        .when(F.col("before") >= F.col("first"), "overlap")
-        .when(F.col("place") > most, "limit")
-    )
-    own = own.withColumn("reason", reason)
+
+    def step(state: dict, row: dict) -> tuple:
+        state["place"] = state.get("place", 0) + 1
+        if not 0 <= row["first"] <= row["last"] <= row["end"]:
+            return ("range",)
+        if row["first"] <= state.get("last", -1):
+            return ("overlap",)
+        if state["place"] > most:
+            return ("limit",)
+        state["last"] = row["last"]
+        return (None,)
+
+    own = folded(operations.join(ends, "topic"), ["topic"], ["first", "last", "op"], dict, step, "reason string")
     good = own.where("reason IS NULL").select("topic", "first", "last", F.col("text").alias("new"))
     hit = sentences.join(good, (sentences["topic"] == good["topic"]) & F.col("idx").between(F.col("first"), F.col("last")), "left").select(
         sentences["topic"], "idx", "text", "first", "new"

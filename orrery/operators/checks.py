@@ -18,9 +18,19 @@ def first_fault(*rules: tuple[str, Column]) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files, in file order; blank lines are left out but counted."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    return files.withColumn("line", (F.col("line") + 1).cast("bigint")).where(F.trim("value") != "")
+    """(file, line, value) of text files, in file order; blank lines are left out but counted.
+
+    Files are read in splits.  A line's number is its place in its split plus the lines of
+    the file's splits before it: a table with one row per split.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("begin"), F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    placed = splits.select("file", "split", (F.coalesce(before, F.lit(0)) - F.col("begin") + 1).alias("shift"))
+    own = rows.join(placed, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+    return own.where(F.trim("value") != "")
 
 
 def run_faults(lines: DataFrame, topics: DataFrame) -> DataFrame:

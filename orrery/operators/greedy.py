@@ -1,11 +1,15 @@
-"""Selections whose every step depends on the last: one topic per group, vectors inside.
+"""Selections whose every step depends on the last: one topic per group.
 
-A topic's candidates are bounded (``MOST`` rows; more is an error), so a group fits a
-task, and topics run side by side.
+FACET and DUAL are lazy: what a candidate gains never grows from step to step (coverage
+rises, redundancy rises), so a heap of values, each computed when its candidate last came
+up, shows which few must be computed again.  A topic's steps follow one another in one
+task, whose time and memory grow with its candidates; topics run side by side.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,14 +17,11 @@ from pyspark.sql import functions as F
 
 from orrery.operators.folds import folded
 
-MOST = 20_000
 #: Weights of the two-sided objective: global, narrative, fused, local, coverage, redundancy.
 DUAL = {"g": 0.35, "n": 0.15, "r": 0.15, "local": 0.25, "bonus": 0.10, "redundancy": 0.15}
 
 
-def _bounded(rows: pd.DataFrame) -> pd.DataFrame:
-    if len(rows) > MOST:
-        raise ValueError(f"a topic has more than {MOST} candidates")
+def _by_doc(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.sort_values("doc", kind="stable").reset_index(drop=True)
 
 
@@ -37,53 +38,129 @@ def _order(arrays: list[np.ndarray]) -> np.ndarray:
 
 
 class _Terms:
-    """Term sets as sorted numbers, for Jaccard similarity with one of them at a time."""
+    """Term sets, for the redundancy of all others with one of them at a time.
+
+    Sets are redundant from a Jaccard similarity of 0.8 on.  Two such sets share one of
+    their n - ceil(0.8 n) + 1 rarest terms, so only postings of those are searched.
+    """
 
     def __init__(self, terms):
         vocabulary: dict[str, int] = {}
         ids = [[vocabulary.setdefault(t, len(vocabulary)) for t in row] for row in terms]
-        self.sizes = np.array([len(x) for x in ids])
-        owner = np.repeat(np.arange(len(ids)), self.sizes)
+        self.sizes = np.array([len(x) for x in ids], int)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         every = np.array([t for row in ids for t in row], int)
-        # Which rows have each term: postings laid end to end.
-        self.postings = owner[np.argsort(every, kind="stable")]
-        self.ends = np.cumsum(np.bincount(every, minlength=len(vocabulary)))
-        self.rows = [np.array(row, int) for row in ids]
-
-    def penalty(self, k: int) -> np.ndarray:
-        terms = self.rows[k]
-        begins = np.where(terms > 0, self.ends[terms - 1], 0)
-        parts = [self.postings[a:b] for a, b in zip(begins.tolist(), self.ends[terms].tolist())]
-        shared = np.bincount(np.concatenate(parts), minlength=len(self.rows)) if parts else np.zeros(len(self.rows))
-        small, large = np.minimum(self.sizes, self.sizes[k]), np.maximum(self.sizes, self.sizes[k])
-        union = self.sizes + self.sizes[k] - shared
-        ok = (small > 0) & (small >= 0.8 * large)
-        similarity = np.where(ok, shared / np.maximum(union, 1), 0.0)
-        return np.where(similarity < 0.8, 0.0, np.where(similarity == 1.0, 1.0, (similarity - 0.8) / 0.2))
+        owner = np.repeat(np.arange(len(ids)), self.sizes)
+        often = np.bincount(every, minlength=len(vocabulary))
+        rank = np.empty(len(vocabulary), int)
+        rank[np.lexsort((np.arange(len(vocabulary)), often))] = np.arange(len(vocabulary))
+        order = np.lexsort((rank[every], owner))
+        self.ids = every[order]
+        place = np.arange(len(every)) - self.begins[owner]
+        rare = place < (self.sizes + (-8 * self.sizes) // 10 + 1)[owner]
+        held, by = self.ids[rare], owner[rare]
+        self.rare = np.concatenate([[0], np.cumsum(np.bincount(by, minlength=len(ids)))])
+        self.held = held
+        self.postings = by[np.argsort(held, kind="stable")]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=len(vocabulary)))])
+        self.mark = np.zeros(len(vocabulary), bool)
+
+    def redundant(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, penalties): all others with a penalty above 0 beside row ``k``."""
+        parts = [self.postings[self.ends[t] : self.ends[t + 1]] for t in self.held[self.rare[k] : self.rare[k + 1]]]
+        near = np.unique(np.concatenate(parts)) if parts else np.empty(0, int)
+        small, large = np.minimum(self.sizes[near], self.sizes[k]), np.maximum(self.sizes[near], self.sizes[k])
+        near = near[small >= 0.8 * large]
+        if not len(near):
+            return near, np.empty(0)
+        own = self.ids[self.begins[k] : self.begins[k + 1]]
+        self.mark[own] = True
+        size = self.sizes[near]
+        first = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(first, size) + np.repeat(self.begins[near], size)
+        shared = np.add.reduceat(self.mark[self.ids[within]].astype(int), first)
+        self.mark[own] = False
+        similarity = shared / np.maximum(size + self.sizes[k] - shared, 1)
+        penalty = np.where(similarity < 0.8, 0.0, np.where(similarity == 1.0, 1.0, (similarity - 0.8) / 0.2))
+        return near[penalty > 0], penalty[penalty > 0]
+
+
+class _Coverage:
+    """What of each facet is covered, and what a row would add."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.facets = _facet_matrix(rows)
+        self.left = np.ones(self.facets.shape[1])
+        n, many = self.facets.shape
+        self.local = self.facets.max(axis=1) if many else np.zeros(n)
+        self.first = self.facets.argmax(axis=1) if many else np.zeros(n, int)
+        self.version = 0
+
+    def bonus(self, k: int) -> tuple[float, int]:
+        """(best gain, its facet)."""
+        if not len(self.left):
+            return 0.0, int(self.first[k])
+        gains = self.facets[k] * self.left
+        at = int(gains.argmax())
+        return float(gains[at]), at
+
+    def cover(self, k: int) -> None:
+        if len(self.left):
+            left = np.minimum(self.left, 1 - self.facets[k])
+            self.version += int((left < self.left).any())
+            self.left = left
+
+
+def _lazily(n: int, coverage: _Coverage, value, key, chosen_too=None, replay=()) -> list[tuple[int, float, float]]:
+    """(row, value, bonus) of all ``n`` rows in greedy order; those of ``replay`` come first, as given.
+
+    ``value(k, bonus)`` must not grow as coverage does, nor ``key(k, value, facet)`` fall: then
+    a row whose key is new and the least in the heap is the next.  ``chosen_too(k)`` gives rows
+    whose value has fallen for another reason.
+    """
+    seen = np.full(n, -1)
+    out: list[tuple[int, float, float]] = []
+
+    def fresh(k: int) -> tuple[float, float, int]:
+        bonus, at = coverage.bonus(k)
+        seen[k] = coverage.version
+        return value(k, bonus), bonus, at
+
+    def take(k: int, worth: float, bonus: float) -> None:
+        out.append((k, worth, bonus))
+        coverage.cover(k)
+        if chosen_too is not None:
+            seen[chosen_too(k)] = -1
+
+    for k in replay:
+        take(int(k), *fresh(int(k))[:2])
+    done = {int(k) for k in replay}
+    heap = []
+    for k in range(n):
+        if k not in done:
+            worth, bonus, at = fresh(k)
+            heap.append((key(k, worth, at), k, worth, bonus))
+    heapify(heap)
+    while heap:
+        _, k, worth, bonus = heappop(heap)
+        if seen[k] == coverage.version:
+            take(k, worth, bonus)
+        else:
+            worth, bonus, at = fresh(k)
+            heappush(heap, (key(k, worth, at), k, worth, bonus))
+    return out
 
 
 def facet_order(rows: pd.DataFrame) -> pd.DataFrame:
     """Coverage-greedy order: .70 best facet + .30 best gain over what is covered."""
-    rows = _bounded(rows)
-    m = _facet_matrix(rows)
-    left, covered, chosen = np.ones(len(rows), bool), np.zeros(m.shape[1]), []
-    local = m.max(axis=1) if m.shape[1] else np.zeros(len(rows))
-    first = m.argmax(axis=1) if m.shape[1] else np.zeros(len(rows), int)
+    rows = _by_doc(rows)
+    coverage = _Coverage(rows)
     r, best, original = (rows[c].to_numpy() for c in ("r", "best_facet_rank", "original_rank"))
-    doc = np.arange(len(rows))
-    for _ in range(len(rows)):
-        gains = m * (1 - covered)
-        bonus = gains.max(axis=1) if m.shape[1] else np.zeros(len(rows))
-        at = gains.argmax(axis=1) if m.shape[1] else first
-        value = np.where(left, 0.70 * local + 0.30 * bonus, -np.inf)
-        ties = np.flatnonzero(value == value.max())
-        if len(ties) > 1:
-            ties = ties[np.lexsort((doc[ties], best[ties], original[ties], at[ties], first[ties], -r[ties]))]
-        k = ties[0]
-        left[k] = False
-        covered = np.maximum(covered, m[k])
-        chosen.append((int(k), float(value[k]), float(bonus[k])))
-    return _result(rows, chosen)
+    local, first = coverage.local, coverage.first
+    value = lambda k, bonus: float(0.70 * local[k] + 0.30 * bonus)
+    # A gain's facet only moves on while the gain stays the same, so keys do not fall.
+    key = lambda k, worth, at: (-worth, -r[k], first[k], at, original[k], best[k])
+    return _result(rows, _lazily(len(rows), coverage, value, key))
 
 
 def dual_order(rows: pd.DataFrame, use_redundancy: bool = True, prefix: int = 0, terms: _Terms | None = None) -> pd.DataFrame:
@@ -91,30 +168,25 @@ def dual_order(rows: pd.DataFrame, use_redundancy: bool = True, prefix: int = 0,
 
     ``terms``: those of the rows by document, where they are made already.
     """
-    rows = _bounded(rows)
-    m = _facet_matrix(rows)
-    n = len(rows)
-    left, covered, penalty, chosen = np.ones(n, bool), np.zeros(m.shape[1]), np.zeros(n), []
-    local = m.max(axis=1) if m.shape[1] else np.zeros(n)
+    rows = _by_doc(rows)
+    coverage = _Coverage(rows)
+    n, local = len(rows), coverage.local
     g, narrative, r = (rows[c].to_numpy(float) for c in ("g", "n", "r"))
     tie = _order([-r, -local, rows["original_rank"].to_numpy(), rows["best_facet_rank"].to_numpy(), np.arange(n)])
     fixed = DUAL["g"] * g + DUAL["n"] * narrative + DUAL["r"] * r
-    terms = (terms or _Terms(rows["terms"])) if use_redundancy else None
+    terms, penalty = (terms or _Terms(rows["terms"])) if use_redundancy else None, np.zeros(n)
     replay = np.argsort(rows["original_rank"].to_numpy(), kind="stable")[:prefix]
-    for step in range(n):
-        bonus = (m * (1 - covered)).max(axis=1) if m.shape[1] else np.zeros(n)
-        value = fixed + DUAL["local"] * local + DUAL["bonus"] * bonus - (DUAL["redundancy"] * penalty if terms else 0.0)
-        if step < prefix:
-            k = replay[step]
-        else:
-            open_ = np.where(left, value, -np.inf)
-            ties = np.flatnonzero(open_ == open_.max())
-            k = ties[np.argmin(tie[ties])]
-        left[k] = False
-        covered = np.maximum(covered, m[k]) if m.shape[1] else covered
-        if terms:
-            penalty = np.maximum(penalty, terms.penalty(k))
-        chosen.append((int(k), float(value[k]), float(bonus[k])))
+
+    def value(k: int, bonus: float) -> float:
+        return float(fixed[k] + DUAL["local"] * local[k] + DUAL["bonus"] * bonus - (DUAL["redundancy"] * penalty[k] if terms else 0.0))
+
+    def repeated(k: int) -> np.ndarray:
+        near, own = terms.redundant(k)
+        grown = near[own > penalty[near]]
+        penalty[near] = np.maximum(penalty[near], own)
+        return grown
+
+    chosen = _lazily(n, coverage, value, lambda k, worth, at: (-worth, tie[k]), repeated if terms else None, replay)
     return _result(rows, chosen)
 
 
@@ -148,7 +220,7 @@ def arms(features: DataFrame, fused: DataFrame, prefixes: tuple[int, ...] = (100
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _bounded(rows)
+        rows = _by_doc(rows)
         terms, made = _Terms(rows["terms"]), []
         for name, redundancy in (("DUAL", True), ("DUAL-NR", False)):
             for p in (0, *prefixes):

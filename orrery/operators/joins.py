@@ -125,27 +125,43 @@ def tiered(ranked: DataFrame, *fallbacks: DataFrame) -> DataFrame:
     return best.withColumn("final_rank", F.row_number().over(order).cast("bigint"))
 
 
+#: Rows of a block of ``cosine_pairs``.
+BLOCK_ROWS = 2048
+
+
 def cosine_pairs(items: DataFrame, least: float) -> DataFrame:
-    """Pairs i < j of a group whose cosine is at least ``least``; groups are dealt in blocks of rows.
+    """Pairs i < j of a group whose cosine is at least ``least``.
 
-    ``items``: topic, id, vector.
+    ``items``: topic, id, vector.  A group's rows are dealt into blocks of about
+    ``BLOCK_ROWS``, and each pair of blocks is a task: none holds a group.  Rows are sent
+    once for each block of their group, and only pairs that reach ``least`` come out.
     """
     import numpy as np
     import pandas as pd
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    blocks = items.groupBy("topic").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = items.join(blocks, "topic").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = own.select("topic", "id", "vector", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("topic", "id", "vector", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("left"))
+
+    def unit(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = rows.sort_values("id", kind="stable")
         v = np.array([np.asarray(x, float) for x in rows["vector"]])
         norm = np.sqrt((v**2).sum(axis=1))
-        v = v / np.where(norm == 0, 1, norm)[:, None]
-        ids, out = rows["id"].to_numpy(), []
-        for a in range(0, len(v), 512):
-            s = v[a : a + 512] @ v.T
+        return rows["id"].to_numpy(), v / np.where(norm == 0, 1, norm)[:, None]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        within = rows["x"].iloc[0] == rows["y"].iloc[0]
+        out = pd.DataFrame({"i": np.empty(0, int), "j": np.empty(0, int), "cosine": np.empty(0)})
+        if within or rows["left"].nunique() == 2:
+            a, v = unit(rows if within else rows[rows["left"]])
+            b, w = (a, v) if within else unit(rows[~rows["left"]])
+            s = v @ w.T
             i, j = np.nonzero(s >= least)
-            keep = i + a < j
-            out.append(pd.DataFrame({"i": ids[i[keep] + a], "j": ids[j[keep]], "cosine": s[i[keep], j[keep]]}))
-        found = pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "cosine": []})
-        found.insert(0, "topic", rows["topic"].iloc[0])
-        return found
+            if within:
+                i, j = i[i < j], j[i < j]
+            out = pd.DataFrame({"i": np.minimum(a[i], b[j]), "j": np.maximum(a[i], b[j]), "cosine": s[i, j]})
+        out.insert(0, "topic", rows["topic"].iloc[0])
+        return out
 
-    return items.groupBy("topic").applyInPandas(run, "topic string, i long, j long, cosine double")
+    return met.groupBy("topic", "x", "y").applyInPandas(run, "topic string, i long, j long, cosine double")

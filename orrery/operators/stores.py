@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,24 +37,111 @@ def text_within(value: object) -> str:
     return ""
 
 
+def _number(value: object, kind: type) -> tuple[float | int | None, bool]:
+    """(number, whether it is well formed): numbers and texts of numbers, whole and finite where asked."""
+    if value is None or value == "":
+        return None, True
+    try:
+        made = float(value) if not isinstance(value, bool) else float("nan")
+    except (TypeError, ValueError):
+        made = float("nan")
+    if not math.isfinite(made) or kind is int and made != int(made):
+        return None, False
+    return kind(made), True
+
+
+def hits_of(body: str | None) -> tuple[list[dict], str | None]:
+    """(hits, fault) of one response: a body that is no JSON object, hits that are no list, a hit that is no object, or a rank or score that is no number."""
+    if not body:
+        return [], None
+    try:
+        whole = json.loads(body)
+    except (ValueError, RecursionError):
+        return [], "not json"
+    if not isinstance(whole, dict):
+        return [], "not an object"
+    found = next((whole[f] for f in HIT_FIELDS if whole.get(f)), [])
+    if not isinstance(found, list):
+        return [], "hits"
+    rows, fault = [], None
+    for place, hit in enumerate(found, 1):
+        if not isinstance(hit, dict):
+            fault = fault or "hit"
+            continue
+        rank, whole_rank = _number(hit.get("rank"), int)
+        score, good_score = _number(hit.get("score"), float)
+        fault = fault or (None if whole_rank else "rank") or (None if good_score else "score")
+        doc = next((hit[f] for f in ("docid", "id", "_id") if hit.get(f)), None)
+        rows.append({"rank": rank or place, "doc": None if doc is None else str(doc), "score": score, "text": text_within(hit.get("doc") or hit.get("contents") or hit)})
+    return rows, fault
+
+
 def normalised(responses: DataFrame) -> DataFrame:
-    """Hits of JSON responses (response, body): response, rank, doc, score, text; ranks default to places."""
+    """Hits of JSON responses (response, body): response, rank, doc, score, text; ranks default to places.
+
+    What is malformed stops no other response: a body without hits gives none, a hit that is
+    no object is left out, a score that is no number is null.  ``body_faults`` names it.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for number, body in zip(batch.column("response").to_pylist(), batch.column("body").to_pylist()):
-                whole = json.loads(body) if body else {}
-                hits = next((whole[f] for f in HIT_FIELDS if whole.get(f)), [])
-                for place, hit in enumerate(hits, 1):
-                    doc = next((hit[f] for f in ("docid", "id", "_id") if hit.get(f)), None)
-                    score = hit.get("score")
-                    rows.append({"response": number, "rank": int(hit.get("rank") or place), "doc": None if doc is None else str(doc), "score": None if score is None else float(score), "text": text_within(hit.get("doc") or hit.get("contents") or hit)})
+            rows = [{"response": k, **hit} for k, body in zip(batch.column("response").to_pylist(), batch.column("body").to_pylist()) for hit in hits_of(body)[0]]
             yield pa.RecordBatch.from_pylist(rows, schema=_HIT)
 
     return responses.select(F.col("response").cast("long").alias("response"), "body").mapInArrow(run, "response long, rank long, doc string, score double, text string")
 
 
+#: The fields of a strict response, of its query, and of a candidate; no others, none left out.
+STRICT = {"response": ("api", "candidates", "index", "query"), "query": ("text",), "candidate": ("doc", "docid", "rank", "score")}
+
+
+def strict_fault(body: str | None) -> str | None:
+    """The first rule of the strict form that a response breaks: exact fields, plain texts, whole ranks once, finite scores, one body for a document."""
+    exact = lambda value, kind: isinstance(value, dict) and sorted(value) == list(STRICT[kind])
+    named = lambda value: isinstance(value, str) and value.strip() != ""
+    try:
+        whole = json.loads(body or "")
+    except (ValueError, RecursionError):
+        return "not json"
+    if not exact(whole, "response"):
+        return "response fields"
+    if whole["api"] != "v1" or not named(whole["index"]):
+        return "api or index"
+    if not exact(whole["query"], "query") or not isinstance(whole["query"]["text"], str):
+        return "query fields"
+    if not isinstance(whole["candidates"], list):
+        return "candidates"
+    ranks, bodies = set(), {}
+    for row in whole["candidates"]:
+        if not exact(row, "candidate"):
+            return "candidate fields"
+        rank, score = row["rank"], row["score"]
+        if type(rank) is not int or rank < 1:
+            return "rank"
+        if rank in ranks:
+            return "repeated rank"
+        if type(score) not in (int, float) or not math.isfinite(score):
+            return "score"
+        if not named(row["docid"]):
+            return "document"
+        if not isinstance(row["doc"], str):
+            return "text"
+        if bodies.setdefault(row["docid"], row["doc"]) != row["doc"]:
+            return "two bodies"
+        ranks.add(rank)
+    return None
+
+
+def body_faults(responses: DataFrame, strict: bool = False) -> DataFrame:
+    """(response, fault) of the responses that are malformed, or, strictly, that depart from the exact form."""
+
+    @F.arrow_udf("string")
+    def fault(bodies: pa.Array) -> pa.Array:
+        return pa.array([strict_fault(b) if strict else hits_of(b)[1] for b in bodies.to_pylist()], pa.string())
+
+    return responses.select("response", fault(F.col("body")).alias("fault")).where("fault IS NOT NULL")
+
+
 def hit_faults(hits: DataFrame) -> DataFrame:
     """(response, rank, fault): ids and plain texts, positive ranks once, finite scores, one body for a document."""
     w = Window.partitionBy("response", "rank").orderBy("doc")

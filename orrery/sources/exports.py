@@ -85,7 +85,7 @@ def write_runs_with_manifest(spark: SparkSession, runs: dict[str, DataFrame], pa
 
 
 def write_report(spark: SparkSession, tables: dict[str, DataFrame], database: str) -> None:
-    """Report tables in a database of the session's catalog, all or none replaced in name."""
+    """Report tables in a database of the session's catalog, replaced one after another."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for name, df in tables.items():
         df.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")

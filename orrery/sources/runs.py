@@ -47,7 +47,9 @@ def read_run(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     own = demand(own, F.col("place") != F.col("rank"), "ranks are not dense from 1")
     own = demand(own, F.col("before") < F.col("score"), "scores rise")
     own = demand(own, F.col("copies") > 1, "a document is ranked twice")
-    return own.drop("place", "before", "copies")
+    tags = own.agg((F.min("tag") != F.max("tag")).alias("mixed"))  # one row
+    own = demand(own.join(F.broadcast(tags)), F.coalesce("mixed", F.lit(False)), "a run has one tag")
+    return own.drop("place", "before", "copies", "mixed")
 
 
 def faults(run: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from orrery.functions import text as X
 from orrery.operators import admission as A
 from orrery.operators import bundles as B
 from orrery.operators import folds
+from orrery.operators import answers as AN
 from orrery.operators import greedy as G
+from orrery.operators import stores as ST
 from orrery.operators import joins as J
 from orrery.operators import passages as P
 from orrery.operators import ranking as R
@@ -66,7 +68,7 @@ def greedy_rows(n, rnd):
     )
 
 
-def slow_dual(rows, use_redundancy, prefix):
+def slow_dual(rows, use_redundancy, prefix, slack=1e-12):
     """One document at a time, by the objective's definition."""
     docs, order = rows.set_index("doc").to_dict("index"), []
     replay = sorted(docs, key=lambda d: docs[d]["original_rank"])[:prefix]
@@ -93,7 +95,7 @@ def slow_dual(rows, use_redundancy, prefix):
             continue
         left = [d for d in docs if d not in order]
         best = max(value(d) for d in left)
-        ties = [d for d in left if abs(value(d) - best) < 1e-12]
+        ties = [d for d in left if abs(value(d) - best) <= slack]
         order.append(min(ties, key=lambda d: (-docs[d]["r"], -max(docs[d]["facets"]), docs[d]["original_rank"], docs[d]["best_facet_rank"], d)))
     return order
 
@@ -113,8 +115,81 @@ def test_facet_order_covers_first():
     rows["facets"] = [[1.0, 0.0, 0.0], [0.9, 0.0, 0.0], [0.0, 0.9, 0.0], [0.0, 0.0, 0.8]]
     rows["r"] = 0.5
     assert list(G.facet_order(rows)["doc"]) == [0, 2, 3, 1]
-    with pytest.raises(ValueError):
-        G._bounded(pd.DataFrame({"doc": np.arange(G.MOST + 1)}))
+
+
+def slow_facet(rows):
+    """Every step computes every row anew."""
+    m, left, out = np.array(rows["facets"].tolist()), list(range(len(rows))), []
+    covered = np.zeros(m.shape[1])
+    while left:
+        gain = {k: m[k] * (1 - covered) for k in left}
+        key = {k: (-(0.70 * m[k].max() + 0.30 * gain[k].max()), -rows["r"][k], m[k].argmax(), gain[k].argmax(), rows["original_rank"][k], rows["best_facet_rank"][k], k) for k in left}
+        best = min(left, key=key.get)
+        left.remove(best)
+        covered = np.maximum(covered, m[best])
+        out.append(best)
+    return out
+
+
+def test_lazy_orders_equal_stepwise_ones():
+    """Few distinct values, so that ties are everywhere, and many near copies."""
+    rnd = np.random.default_rng(9)
+    for n in (1, 40, 120):
+        words = np.array([f"w{k}" for k in range(12)])
+        rows = pd.DataFrame({
+            "topic": "t", "doc": np.arange(n), "facets": list(rnd.integers(0, 4, (n, 3)) / 4), "g": rnd.integers(0, 3, n) / 2, "n": rnd.integers(0, 2, n) / 1.0, "r": rnd.integers(0, 3, n) / 2,
+            "original_rank": rnd.permutation(n) // 2, "best_facet_rank": rnd.integers(0, 3, n), "terms": [words[rnd.random(12) < 0.8].tolist() for _ in range(n)],
+        })
+        assert list(G.facet_order(rows)["doc"]) == slow_facet(rows)
+        for prefix in (0, 7):
+            for use in (True, False):
+                assert list(G.dual_order(rows, use, prefix)["doc"]) == slow_dual(rows, use, prefix, 0.0)
+
+
+def test_many_candidates_of_one_topic():
+    """More than a topic could once have; each step computes few of them anew."""
+    rnd, n = np.random.default_rng(3), 30_000
+    words = np.array([f"w{k}" for k in range(4000)])
+    rows = pd.DataFrame({
+        "topic": "t", "doc": np.arange(n), "facets": list(rnd.random((n, 5))), "g": rnd.random(n), "n": rnd.random(n), "r": rnd.random(n), "original_rank": rnd.permutation(n),
+        "best_facet_rank": rnd.permutation(n), "terms": [words[rnd.integers(0, 4000, 10)].tolist() for _ in range(n)],
+    })
+    made = G.dual_order(rows)
+    assert sorted(made["doc"]) == list(range(n)) and (np.diff(made["objective"]) <= 1e-12).all()
+
+
+def test_splices_rejected_for_their_range_reject_no_other(spark):
+    sentences = spark.createDataFrame([("t", k, f"s{k}") for k in range(5)], "topic string, idx long, text string")
+    ops = spark.createDataFrame([("t", 1, 0, 99, "x"), ("t", 2, 1, 1, "y"), ("t", 3, 1, 2, "z"), ("t", 4, 2, 2, "w"), ("t", 5, -1, 0, "v")], "topic string, op long, first long, last long, text string")
+    answers, rejected = AN.splice_operations(sentences, ops)
+    assert [r["text"] for r in answers.orderBy("idx").collect()] == ["s0", "y", "w", "s3", "s4"]
+    assert sorted((r["op"], r["reason"]) for r in rejected.collect()) == [(1, "range"), (3, "overlap"), (5, "range")]
+
+
+def test_malformed_responses_stop_no_other(spark):
+    bodies = ["not json", "[1]", '{"hits": {"a": 1}}', '{"hits": [1, {"id": "a", "rank": "x", "text": "t"}]}', '{"hits": [{"id": "b", "rank": "2", "score": "high", "text": "t"}]}', '{"hits": [{"id": "c", "score": "1.5"}]}', None, "{}", '{"hits": [{"id": "d", "rank": 1.5, "score": NaN}]}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "response long, body string")
+    hits = {(r["response"], r["doc"], r["rank"], r["score"]) for r in ST.normalised(df).collect()}
+    assert hits == {(3, "a", 2, None), (4, "b", 2, None), (5, "c", 1, 1.5), (8, "d", 1, None)}
+    assert {r["response"]: r["fault"] for r in ST.body_faults(df).collect()} == {0: "not json", 1: "not an object", 2: "hits", 3: "hit", 4: "score", 8: "rank"}
+
+
+def test_strict_responses_have_exact_fields(spark):
+    import json
+
+    hit = lambda **x: {"doc": "body", "docid": "a", "rank": 1, "score": 0.5} | x
+    whole = lambda *hits, **x: {"api": "v1", "candidates": list(hits), "index": "i", "query": {"text": "q"}} | x
+    less = hit()
+    del less["score"]
+    cases = [
+        (whole(hit(), hit(rank=2, docid="b")), None), (whole(), None), (whole(more=1), "response fields"), (whole(api="v2"), "api or index"), (whole(index=" "), "api or index"),
+        (whole(query={"text": "q", "k": 1}), "query fields"), (whole(query={"text": None}), "query fields"), (whole(candidates={}), "candidates"), (whole(less), "candidate fields"),
+        (whole(hit(extra=1)), "candidate fields"), (whole(hit(rank=True)), "rank"), (whole(hit(rank=0)), "rank"), (whole(hit(), hit()), "repeated rank"), (whole(hit(score=float("nan"))), "score"),
+        (whole(hit(score="1")), "score"), (whole(hit(docid=" ")), "document"), (whole(hit(doc={"text": "x"})), "text"), (whole(hit(), hit(rank=2, doc="other")), "two bodies"),
+    ]
+    rows = [(k, json.dumps(w)) for k, (w, _) in enumerate(cases)] + [(99, "{"), (98, None)]
+    found = {r["response"]: r["fault"] for r in ST.body_faults(spark.createDataFrame(rows, "response long, body string"), strict=True).collect()}
+    assert found == {k: f for k, (_, f) in enumerate(cases) if f} | {99: "not json", 98: "not json"}
 
 
 def test_round_robin(spark):

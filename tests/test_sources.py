@@ -48,7 +48,7 @@ def test_qrels_and_runs(spark, tmp_path):
     runs.write_run(df, str(tmp_path / "run"), "tag")
     back = runs.read_run(spark, str(tmp_path / "run"))
     assert sorted((r["topic"], r["doc"], r["rank"], r["score"], r["tag"]) for r in back.collect()) == [("1", "a", 1, 0.9, "tag"), ("1", "b", 2, 0.5, "tag"), ("2", "c", 1, 0.1, "tag")]
-    for lines, message in {("1 Q0 a 2 1 t",): "dense", ("1 Q0 a 1 1 t", "1 Q0 b 2 2 t"): "rise", ("1 Q0 a 1 2 t", "1 Q0 a 2 1 t"): "twice"}.items():
+    for lines, message in {("1 Q0 a 2 1 t",): "dense", ("1 Q0 a 1 1 t", "1 Q0 b 2 2 t"): "rise", ("1 Q0 a 1 2 t", "1 Q0 a 2 1 t"): "twice", ("1 Q0 a 1 2 t", "1 Q0 b 2 1 u"): "one tag"}.items():
         with pytest.raises(Exception, match=message):
             runs.read_run(spark, write(tmp_path / f"{message}.run", *lines)).collect()
     arms = df.select("topic", "doc", F.col("rank").alias("final_rank"), F.lit("A").alias("arm"))
@@ -94,3 +94,17 @@ def test_writers(spark, tmp_path):
     assert wide.first().asDict() == {"k": 1, "x": 1.0, "y": 2.0} and long.count() == 2
     tables.write_table(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["k", "z", "v"]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    texts = {"a.txt": "one\n\n two\n" + "".join(f"line {k}\n" for k in range(400)), "b.txt": "x\r\ny", "c.txt": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "500")
+    try:
+        found = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["value"]) for r in checks.read_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set(key, was)
+    assert found == sorted((name, k, v) for name, text in texts.items() for k, v in enumerate(text.splitlines(), 1) if v.strip())
