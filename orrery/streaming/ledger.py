@@ -182,22 +182,34 @@ def collect(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def collect_waves(stream: DataFrame, key: list[str], path: str, checkpoint: str) -> None:
+#: Buckets of keys of ``collect_waves``.
+KEY_BUCKETS = 256
+
+
+def collect_waves(stream: DataFrame, key: list[str], path: str, checkpoint: str, buckets: int = KEY_BUCKETS) -> None:
     """Imports rows whose key is new, batch by batch, with a receipt for each.
 
-    A batch that is run again writes the same files over, so receipts stay one per batch.
+    Known keys lie apart from rows, in folders by a hash of the key, and each wave writes
+    its own; a wave reads the buckets of its own keys and no rows, so what it reads follows
+    what it brings.  A batch that is run again writes the same files over, so receipts stay
+    one per batch.
     """
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
     def wave(batch: DataFrame, number: int) -> None:
-        known = None
+        own = batch.withColumn("_bucket", bucket)
+        new = own.dropDuplicates(key)
         if number:
-            known = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(*[f"{path}/rows/{k}" for k in range(number)])
-        new = batch.dropDuplicates(key)
-        new = new if known is None else new.join(known.select(*key), key, "left_anti").select(*batch.columns)
-        new.write.mode("overwrite").parquet(f"{path}/rows/{number}")
+            # At most ``buckets`` numbers.
+            met = [r["_bucket"] for r in own.select("_bucket").distinct().collect()]
+            schema = T.StructType([*(batch.schema[c] for c in key), T.StructField("_wave", T.IntegerType()), T.StructField("_bucket", T.IntegerType())])
+            known = spark.read.schema(schema).parquet(f"{path}/keys").where((F.col("_wave") < number) & F.col("_bucket").isin(met))
+            new = new.join(known.select(*key, "_bucket"), [*key, "_bucket"], "left_anti")
+        new.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        took = spark.read.schema(batch.schema).parquet(f"{path}/rows/{number}")
+        took.select(*key, bucket.alias("_bucket")).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/keys/_wave={number}")
         counts = batch.agg(F.lit(number).cast("bigint").alias("wave"), F.count(F.lit(1)).alias("events"))
-        took = spark.read.schema(batch.schema).parquet(f"{path}/rows/{number}").agg(F.count(F.lit(1)).alias("new"))
-        counts.crossJoin(took).write.mode("overwrite").parquet(f"{path}/receipts/{number}")
+        counts.crossJoin(took.agg(F.count(F.lit(1)).alias("new"))).write.mode("overwrite").parquet(f"{path}/receipts/{number}")
 
     stream.writeStream.foreachBatch(wave).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -69,3 +69,22 @@ def test_rules_end_on_streams_as_on_tables(spark, tmp_path):
         L.collect(L.folded_stream(stream, "key", ["at", "place"], step, added), str(tmp_path / name), str(tmp_path / f"{name}-checkpoint"))
         found = spark.read.parquet(str(tmp_path / name))
         assert found.count() == 400 and found.select(*expected.columns).exceptAll(expected).isEmpty(), name
+
+
+def test_a_wave_reads_its_own_buckets(spark, tmp_path, monkeypatch):
+    """Every key comes once however its bucket is met, and a wave opens key files of its buckets only."""
+    rnd, rows = random.Random(6), []
+    for k in range(200):
+        rows.append((k, None, rnd.randrange(60), "a", 0.0, ""))
+    for part in range(4):
+        spark.createDataFrame(rows[part * 50 : part * 50 + 50], L.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.05)
+    L.collect_waves(L.read_stream(spark, str(tmp_path / "in"), 1), ["user_id"], str(tmp_path / "out"), str(tmp_path / "c"), buckets=8)
+    found = spark.read.option("recursiveFileLookup", True).schema(L.EVENTS).parquet(str(tmp_path / "out" / "rows")).select("user_id").collect()
+    assert sorted(r["user_id"] for r in found) == sorted({r[2] for r in rows})
+    keys = spark.read.parquet(str(tmp_path / "out" / "keys"))
+    assert keys.count() == len({r[2] for r in rows}) and keys.select("_wave").distinct().count() > 1
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(8)).cast("int")
+    assert keys.where(bucket != F.col("_bucket")).isEmpty()
+    one = keys.where("_bucket = 3")
+    assert all("_bucket=3" in f for f in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
