@@ -135,7 +135,7 @@ def word_count(text: Column) -> Column:
 def inner_boundaries(text: Column) -> Column:
     """Sentence ends inside a text, but not behind common abbreviations or initials."""
     ends = F.regexp_count(text, F.lit(r"[.!?]['\")\]]*\s+(?=[A-Z0-9'\"(])"))
-    held = F.regexp_count(text, F.lit(r"(?:\b(?:Dr|Mr|Mrs|Ms|Prof|St|vs|etc|e\.g|i\.e|No|Fig)|\b[A-Z])\.\s+(?=[A-Z0-9'\"(])"))
+    held = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_])(?:Dr|Mr|Mrs|Ms|Prof|St|vs|etc|e\.g|i\.e|No|Fig|[A-Z])\.\s+(?=[A-Z0-9'\"(])"))
     return (ends - held).cast("bigint")
 
 

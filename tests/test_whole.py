@@ -4,8 +4,12 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from orrery import catalog
+from orrery.functions.text import guard_signature
+from orrery.operators import stats
+from orrery.operators.evidence import select_evidence
 
 SF = "/root/testdata/sf0.001"
 #: On the smallest tables both runs of a topic hold the same documents.
@@ -63,3 +67,54 @@ def test_white_space_is_squeezed_to_the_end(spark):
     found = {r["doc"]: (r["squeezed"], r["words"]) for r in catalog.QUERIES["whitespace_of_whole_texts"](spark, SF).collect()}
     assert found == {d: (" ".join(t.split()), len(t.split())) for d, t in zip(docs["doc_id"], docs["text"])}
     assert any(len(s) > 300 for s, _ in found.values())
+
+
+def test_selection_of_evidence_as_a_whole(spark):
+    """Pool, groups, clusters, diverse order and budgets, against one plain walk over each topic."""
+    rnd = np.random.default_rng(12)
+    names = ["Rome", "Paris", "Oslo"]
+    rows = []
+    for topic in ("a", "b"):
+        base = rnd.normal(size=(6, 4))
+        for k in range(70):
+            c = int(rnd.integers(0, 6))
+            text = f"claim {c} of {names[int(rnd.integers(0, 3))]} " + ("not " if rnd.random() < 0.3 else "") + f"{int(rnd.integers(0, 3))}"
+            rows.append((topic, k, k // 2, "sentence", text, float(rnd.integers(0, 20)), (base[c] + rnd.normal(scale=0.05, size=4)).tolist()))
+    df = spark.createDataFrame(rows, "topic string, id long, doc long, kind string, text string, score double, vector array<double>")
+    signature = {(r["topic"], r["id"]): r["s"] for r in df.select("topic", "id", guard_signature(F.col("text")).alias("s")).collect()}
+    budgets, threshold, weight = (3, 7), 0.92, 0.7
+    expected = []
+    for topic in ("a", "b"):
+        own = [r for r in rows if r[0] == topic]
+        groups = {}
+        for r in own:
+            groups.setdefault((r[3], r[4]), []).append(r)
+        heads = sorted((min(g, key=lambda r: (-r[5], r[1])) for g in groups.values()), key=lambda r: (-r[5], r[1]))[: 10 * max(budgets)]
+        cos = lambda u, v: float(np.dot(u, v) / np.sqrt(np.dot(u, u) * np.dot(v, v)))
+        clusters = []
+        for rank, r in enumerate(heads, 1):
+            found = next((c for c in clusters if signature[topic, c[0][1]] == signature[topic, r[1]] and cos(c[0][6], r[6]) >= threshold), None)
+            if found:
+                found[2].append(r)
+            else:
+                clusters.append((r, rank, [r]))
+        chosen = []
+        while clusters and len(chosen) < max(budgets):
+            worth = lambda c: weight / c[1] - (1 - weight) * max([cos(c[0][6], s[0][6]) for s in chosen], default=0.0)  # noqa: B023, E731
+            best = max(clusters, key=lambda c: (round(worth(c), 12), -c[1]))
+            clusters.remove(best)
+            chosen.append(best)
+        expected += [(topic, c[0][1], k, len(c[2]), min(b for b in budgets if k <= b)) for k, c in enumerate(chosen, 1)]
+    found = select_evidence(df, budgets, threshold, weight).select("topic", "id", "place", "groups", "budget").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_bootstrap_equals_numpy_on_the_same_draws(spark):
+    x = np.sort(np.random.default_rng(1).normal(size=37).round(3))
+    draws, means = np.random.default_rng(5), []
+    for _ in range(2):
+        means.append([np.mean([x[k] for k in row]) for row in draws.integers(0, 37, (5000, 37))])
+    low, high = np.percentile(np.concatenate(means), [2.5, 97.5])
+    df = spark.createDataFrame([(float(v),) for v in np.random.default_rng(2).permutation(x)] + [(None,)], "delta double").repartition(5)
+    r = stats.bootstrap(df, samples=10_000, seed=5).first()
+    assert abs(r["mean"] - x.mean()) < 1e-12 and abs(r["low"] - low) < 1e-12 and abs(r["high"] - high) < 1e-12 and r["n"] == 37
