@@ -147,16 +147,41 @@ def sentences(text: Column) -> Column:
     pattern = r"[^.!?\n]+[.!?]*"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    sized = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"), m.alias("t")))
-    walked = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,complete:boolean,blank:boolean>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["b"]).alias("start"), (acc["at"] + x["b"] + x["m"]).alias("end"), x["t"].rlike("[.!?]$").alias("complete"), (F.trim(x["t"]) == "").alias("blank")))).alias("out"),
-        ),
-    )["out"]
-    return F.filter(walked, lambda s: ~s["blank"])
+    sized = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct((F.length(b) + F.length(m)).alias("n"), F.length(m).alias("m"), m.alias("t")))
+
+    def spans(sized: Column) -> Column:
+        ends = running_sums(F.transform(sized, lambda x: x["n"]))
+        made = F.zip_with(sized, ends, lambda x, e: F.struct((e - x["m"]).cast("int").alias("start"), e.cast("int").alias("end"), x["t"].rlike("[.!?]$").alias("complete"), (F.trim(x["t"]) == "").alias("blank")))
+        return F.filter(made, lambda s: ~s["blank"])
+
+    return F.transform(F.array(sized), spans)[0]
+
+
+#: Elements that one step of ``running_sums`` takes.
+_STRIDE = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums up to and with each element of an array of integers.
+
+    Arrays that grow element by element are copied each time; sums therefore grow within
+    strides, and over strides: for n elements, n * 256 + (n / 256) ** 2 copies.
+    """
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("at"))
+
+    def grown(values: Column) -> Column:
+        return F.aggregate(values, start, lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"), (acc["at"] + x).alias("at")))
+
+    def strided(every: Column) -> Column:
+        many = F.greatest(F.ceil(F.size(every) / F.lit(_STRIDE)).cast("int"), F.lit(1))
+        own = F.transform(F.sequence(F.lit(0), many - 1), lambda k: grown(F.slice(every, k * _STRIDE + 1, F.lit(_STRIDE))))
+        return F.transform(F.array(own), shifted)[0]
+
+    def shifted(own: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("bigint")), grown(F.transform(own, lambda s: s["at"]))["out"])
+        return F.flatten(F.zip_with(own, F.slice(before, 1, F.size(own)), lambda s, first: F.transform(s["out"], lambda x: x + first)))
+
+    return F.transform(F.array(numbers), strided)[0]
 
 
 def byte_offset(text: Column, chars: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.passages import suppressed
+
 #: Deviations above the median, and the factor that makes them standard ones.
 DEVIATIONS, FACTOR = 2.5, 1.4826
 
@@ -51,6 +53,18 @@ def breadth(lanes: DataFrame, per_document: int = 3) -> DataFrame:
     return own.groupBy("topic", "doc").agg(F.count(F.lit(1)).alias("n_lanes"), F.sum(F.least("hits", F.lit(per_document))).cast("bigint").alias("n_hits"))
 
 
+def passage_breadth(passages: DataFrame, per_document: int = 3, most: float = 0.5) -> DataFrame:
+    """(topic, doc, n_lanes, n_hits) of passages: topic, lane, doc, score, start, end.
+
+    Of the passages over their lane's threshold, those that overlap a better one of the
+    same lane and document by ``most`` or more are left out, and the best ``per_document`` count.
+    """
+    own = admitted(passages).where("admitted").groupBy("topic", "doc", "lane").agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "start", "end", "score")).alias("all"))
+    ws = F.transform(F.array_sort("all"), lambda w: F.struct(w["score"].alias("score"), w["start"].alias("start"), w["end"].alias("end")))
+    kept = own.withColumn("ws", ws).select("topic", "doc", "lane", F.least(F.size(suppressed(F.col("ws"), most)), F.lit(per_document)).alias("hits"))
+    return kept.groupBy("topic", "doc").agg(F.count(F.lit(1)).alias("n_lanes"), F.sum("hits").cast("bigint").alias("n_hits"))
+
+
 def strongest(lanes: DataFrame, narrative: str) -> DataFrame:
     """(topic, doc, narrative, facet, combo): facet = .7 best + .3 second best, combo = mean of both."""
     facet = F.sort_array(F.collect_list(F.when(F.col("lane") != narrative, F.col("score"))), False)

@@ -139,3 +139,15 @@ def resolve_claims(claims: DataFrame, evidence: DataFrame, most_docs: int = 3) -
     )
     code = F.when(F.col("unknown") == 1, "UNKNOWN_ALIAS").when(F.col("distinct") > most_docs, "TOO_MANY_DOCUMENTS").otherwise("ACCEPTED")
     return own.withColumn("code", code)
+
+
+def stage_deltas(counters: DataFrame) -> DataFrame:
+    """What each stage added to running counters: topic, stage, counter, value, delta.
+
+    ``counters``: topic, stage (ordered), counter, value (as it stood at the stage's end).  A
+    counter that falls is an error: it was not carried from the stage before.
+    """
+    before = F.lag("value").over(Window.partitionBy("topic", "counter").orderBy("stage"))
+    own = counters.withColumn("delta", F.col("value") - F.coalesce(before, F.lit(0)))
+    fell = F.when(F.col("delta") < 0, F.raise_error(F.concat(F.lit("counter fell: "), F.col("counter"))).cast("boolean")).otherwise(F.lit(True))
+    return own.where(fell).select("topic", "stage", "counter", "value", "delta")

@@ -73,10 +73,18 @@ def merge(target: DataFrame, source: DataFrame, key: list[str], value: str, stri
     return merged, both.where(conflict).select(*key, "old", "new")
 
 
-def union_provenance(hits: DataFrame) -> DataFrame:
-    """One row per (topic, doc) with all streams that hold it, by stream and rank."""
+def union_provenance(hits: DataFrame, text: str | None = None) -> DataFrame:
+    """One row per (topic, doc) with all streams that hold it, by stream and rank.
+
+    With ``text``, the streams' texts of a document must be one (nulls apart), and it comes along.
+    """
     seen = F.array_sort(F.collect_list(F.struct("stream", "rank")))
-    return hits.groupBy("topic", "doc").agg(seen.alias("seen"), F.countDistinct("stream").alias("streams"))
+    made = [seen.alias("seen"), F.countDistinct("stream").alias("streams")]
+    if text is None:
+        return hits.groupBy("topic", "doc").agg(*made)
+    out = hits.groupBy("topic", "doc").agg(*made, F.min(text).alias(text), F.max(text).alias("_most"))
+    torn = F.when(F.col(text) != F.col("_most"), F.raise_error(F.concat(F.lit("streams hold different texts of "), F.col("doc").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return out.where(torn).drop("_most")
 
 
 def first_seen_lane(lanes: DataFrame, order: Column) -> DataFrame:

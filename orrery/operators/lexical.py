@@ -154,3 +154,14 @@ def _hits(units: list):
             yield pa.RecordBatch.from_arrays([topics.take(pa.array(unit)), part.column("doc").take(pa.array(at)), found], ["topic", "doc", "hits"])
 
     return run
+
+
+def facet_variants(plans: DataFrame) -> DataFrame:
+    """(topic, place, variant, query): the original first, then each facet's queries in order, as "facet:<id>:q<n>".
+
+    ``plans``: topic, text, facets (array of struct(id, queries)).
+    """
+    named = F.transform("facets", lambda f: F.transform(f["queries"], lambda q, k: F.struct(F.concat(F.lit("facet:"), f["id"], F.lit(":q"), (k + 1).cast("string")).alias("variant"), q.alias("query"))))
+    first = F.array(F.struct(F.lit("original").alias("variant"), F.col("text").alias("query")))
+    every = F.concat(first, F.coalesce(F.flatten(named), F.array().cast("array<struct<variant:string,query:string>>")))
+    return plans.select("topic", F.posexplode(every).alias("place", "v")).select("topic", "place", "v.variant", "v.query")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orrery.functions import numbers as N
 from orrery.functions import text as X
-from orrery.operators import digests, evaluation
+from orrery.operators import bundles, digests, evaluation
+from orrery.operators.lexical import facet_variants
 from orrery.plans.registry import query
 from orrery.plans.relations import qrels, run, sql, table
 from orrery.plans.text import STOP, _docs, _stem_sql
@@ -130,3 +132,34 @@ SELECT w.doc, coalesce(n, 0) AS n FROM w LEFT JOIN c ON c.doc = w.doc"""
 )
 def inner_sentence_ends(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc", X.inner_boundaries(F.col("text")).alias("n"))
+
+
+@query("SELECT o_orderkey AS id, printf('%.2f', round(CAST(o_totalprice AS DECIMAL(38, 12)), 2)) AS price, CAST(round(CAST(CAST(o_totalprice AS DECIMAL(12, 2)) * 0.125 AS DECIMAL(38, 12)), 2) AS DECIMAL(20, 2))::VARCHAR AS eighth FROM orders")
+def fixed_decimals(spark, sf_dir):
+    """Halves at the third place, up."""
+    p = F.col("o_totalprice")
+    eighth = p.cast("decimal(12,2)") * F.lit("0.125").cast("decimal(4,3)")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), N.half_up(p, 2).cast("string").alias("price"), N.half_up(eighth, 2).cast("string").alias("eighth"))
+
+
+@query(
+    """WITH c AS (SELECT user_id AS topic, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS stage, event_type AS counter, count(*) AS n FROM events GROUP BY ALL)
+SELECT topic, stage, counter, CAST(sum(n) OVER (PARTITION BY topic, counter ORDER BY stage) AS BIGINT) AS value, n AS delta FROM c"""
+)
+def stage_accounting(spark, sf_dir):
+    day = F.floor(F.unix_timestamp("ts") / 86400).cast("long")
+    own = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("topic"), day.alias("stage"), F.col("event_type").alias("counter")).agg(F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(Window.partitionBy("topic", "counter").orderBy("stage"))
+    return bundles.stage_deltas(own.select("topic", "stage", "counter", running.alias("value")))
+
+
+@query(
+    """WITH b AS (SELECT item_id AS topic, text, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM benchmark)
+SELECT topic, 0 AS place, 'original' AS variant, text AS query FROM b UNION ALL SELECT topic, p, 'facet:' || f || ':q' || q, array_to_string(w[a:a + 3], ' ') FROM b, (VALUES (1, 'a', 1, 1), (2, 'a', 2, 5), (3, 'b', 1, 9)) v(p, f, q, a)"""
+)
+def facet_query_variants(spark, sf_dir):
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
+    q = lambda a: F.array_join(F.slice(w, a, 4), " ")
+    facet = lambda name, *queries: F.struct(F.lit(name).alias("id"), F.array(*queries).alias("queries"))
+    plans = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), "text", F.array(facet("a", q(1), q(5)), facet("b", q(9))).alias("facets"))
+    return facet_variants(plans)

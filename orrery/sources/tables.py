@@ -70,9 +70,11 @@ def read_scores(spark: SparkSession, path: str, schema: str, **expected: str) ->
     return demand(rows, F.isnan("score") | F.col("score").isNull(), "a score is missing").drop(*expected)
 
 
-def read_table(spark: SparkSession, path: str, numeric: tuple[str, ...] = (), separator: str = "\t") -> DataFrame:
-    """A file with a header; the numeric columns become doubles, null where they are no numbers."""
+def read_table(spark: SparkSession, path: str, numeric: tuple[str, ...] = (), separator: str = "\t", required: tuple[str, ...] = ()) -> DataFrame:
+    """A file with a header, which must name the ``required`` columns; the numeric ones become doubles, null where they are no numbers."""
     rows = spark.read.option("header", True).option("sep", separator).option("inferSchema", False).csv(path)
+    if lacking := [c for c in (*required, *numeric) if c not in rows.columns]:
+        raise ValueError(f"the header lacks {', '.join(lacking)}")
     return rows.select(*[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c) for c in rows.columns])
 
 
@@ -83,6 +85,15 @@ def read_nuggets(spark: SparkSession, path: str) -> DataFrame:
     return demand(rows.join(texts, ["qid", "id"]), F.col("forms") > 1, "a nugget differs between documents").drop("forms")
 
 
+def read_gold_nuggets(spark: SparkSession, path: str) -> DataFrame:
+    """topic, nugget (its place, from 1), text, vital: one line per topic, each topic once, texts not blank, importance "vital" or "okay"."""
+    rows = spark.read.schema("qid string, nuggets array<struct<text: string, importance: string>>").json(path)
+    lines = demand(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("qid"))), F.col("qid").isNull() | (F.col("n") > 1), "a topic must be named, and once")
+    own = lines.select(F.col("qid").alias("topic"), F.posexplode("nuggets").alias("place", "n"))
+    own = demand(own, (F.trim(F.coalesce("n.text", F.lit(""))) == "") | ~F.coalesce(F.col("n.importance").isin("vital", "okay"), F.lit(False)), "a gold nugget is malformed")
+    return own.select("topic", (F.col("place") + 1).alias("nugget"), F.col("n.text").alias("text"), (F.col("n.importance") == "vital").alias("vital"))
+
+
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """One row per answer sentence with its cited documents in order."""
     rows = read_json(spark, path, ANSWER)

@@ -304,3 +304,26 @@ def test_tail_scores_fall_below_the_head(spark):
     out = P.coverage_aware(docs, w, 2).orderBy("final_rank").collect()
     scores = [r["final_score"] for r in out]
     assert [r["rank"] for r in out] == [1, 2, 3, 4, 5] and all(a > b for a, b in zip(scores, scores[1:])) and scores[1] - scores[4] < 1e-12
+
+
+def test_streams_must_agree_on_texts(spark):
+    hits = spark.createDataFrame([("t", "a", 1, 1, "x"), ("t", "b", 1, 2, "x"), ("t", "b", 2, 1, None), ("t", "a", 2, 3, "y")], "topic string, stream string, doc long, rank long, text string")
+    rows = J.union_provenance(hits, "text").orderBy("doc").collect()
+    assert [(r["doc"], r["streams"], r["text"]) for r in rows] == [(1, 2, "x"), (2, 2, "y")]
+    with pytest.raises(Exception, match="different texts of 1"):
+        J.union_provenance(hits.unionByName(spark.createDataFrame([("t", "c", 1, 1, "z")], hits.schema)), "text").collect()
+
+
+def test_breadth_counts_passages_after_suppression(spark):
+    base = [("t", "A", 100 + k, 0.0, 0, 100) for k in range(20)]
+    rows = base + [("t", "A", 1, 9.0, 0, 100), ("t", "A", 1, 8.0, 40, 140), ("t", "A", 1, 7.0, 200, 300), ("t", "A", 1, 6.9, 301, 400), ("t", "A", 1, 6.8, 401, 500), ("t", "B", 1, 0.0, 0, 10)]
+    df = spark.createDataFrame(rows, "topic string, lane string, doc long, score double, start long, end long")
+    assert [tuple(r) for r in A.passage_breadth(df).where("doc = 1").collect()] == [("t", 1, 1, 3)]
+    assert [r["n_hits"] for r in A.passage_breadth(df, per_document=9).where("doc = 1").collect()] == [4]
+
+
+def test_stage_deltas_refuse_counters_that_fall(spark):
+    df = spark.createDataFrame([("t", 1, "calls", 3), ("t", 2, "calls", 5), ("t", 1, "hits", 1)], "topic string, stage long, counter string, value long")
+    assert sorted((r["stage"], r["counter"], r["delta"]) for r in B.stage_deltas(df).collect()) == [(1, "calls", 3), (1, "hits", 1), (2, "calls", 2)]
+    with pytest.raises(Exception, match="counter fell: hits"):
+        B.stage_deltas(df.unionByName(spark.createDataFrame([("t", 2, "hits", 0)], df.schema))).collect()

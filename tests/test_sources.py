@@ -109,3 +109,16 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     finally:
         spark.conf.set(key, was)
     assert found == sorted((name, k, v) for name, text in texts.items() for k, v in enumerate(text.splitlines(), 1) if v.strip())
+
+
+def test_required_headers_and_gold_nuggets(spark, tmp_path):
+    t = write(tmp_path / "t.csv", "topic,score", "a,1.5")
+    assert tables.read_table(spark, t, ("score",), ",", ("topic", "score")).first()["score"] == 1.5
+    with pytest.raises(ValueError, match="lacks run"):
+        tables.read_table(spark, t, separator=",", required=("topic", "run"))
+    good = {"qid": "1", "nuggets": [{"text": "x", "importance": "vital"}, {"text": "y", "importance": "okay"}]}
+    rows = tables.read_gold_nuggets(spark, write(tmp_path / "g.jsonl", json.dumps(good))).collect()
+    assert [tuple(r) for r in rows] == [("1", 1, "x", True), ("1", 2, "y", False)]
+    for name, lines, message in (("a", [good, good], "once"), ("b", [{"qid": "2", "nuggets": [{"text": " ", "importance": "vital"}]}], "malformed"), ("c", [{"qid": "2", "nuggets": [{"text": "x", "importance": "some"}]}], "malformed")):
+        with pytest.raises(Exception, match=message):
+            tables.read_gold_nuggets(spark, write(tmp_path / f"{name}.jsonl", *map(json.dumps, lines))).collect()
