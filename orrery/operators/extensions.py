@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +34,22 @@ def content_overlap() -> Scorer:
     """Share of a query's distinct content words that are words of the text; 0 without any."""
     word, stop = re.compile(r"[a-z][a-z'-]+"), frozenset(STOP_WORDS)
 
-    @lru_cache(maxsize=4096)
+    known: dict[str, frozenset[str]] = {}
+
     def wanted(query: str) -> frozenset[str]:
-        return frozenset(word.findall(query.lower())) - stop
+        if len(known) >= 4096:
+            known.clear()
+        return known.setdefault(query, frozenset(word.findall(query.lower())) - stop)
 
     def score(queries: list[str], texts: list[str]) -> list[float]:
-        return [len(wanted(q) & set(word.findall(t.lower()))) / len(wanted(q)) if wanted(q) else 0.0 for q, t in zip(queries, texts)]
+        out, last, words = [], None, frozenset()
+        for q, t in zip(queries, texts):
+            if t is not last:  # a text comes with its queries one after another
+                last, words = t, frozenset(word.findall(t.lower()))
+            own = known.get(q)
+            own = wanted(q) if own is None else own
+            out.append(0.0 if own.isdisjoint(words) else len(own & words) / len(own))
+        return out
 
     return score
 
@@ -118,3 +130,51 @@ def sentence_pairs(sentences: DataFrame, subnarratives: DataFrame, scorer: str =
     asked = subnarratives.select("topic", F.struct("sub", "query").alias("s")).groupBy("topic").agg(F.sort_array(F.collect_list("s")).alias("subs"))
     met = sentences.join(asked, "topic").withColumn("s", F.explode("subs"))
     return met.select("topic", "doc", "place", F.col("s.sub").alias("sub"), scored(F.col("s.query"), F.col("text"), scorer).alias("score"))
+
+
+def marked(text: str) -> list[str]:
+    """Maximal stretches closed by end marks or a line end, but blank ones."""
+    return [s for s in _MARKED.findall(text) if s.strip(" ")]
+
+
+_MARKED = re.compile(r"[^.!?\n]+[.!?]*")
+
+
+def best_sentences(documents: DataFrame, subnarratives: DataFrame, scorer: str = "content_overlap", cut: Callable[[str], list[str]] = marked) -> DataFrame:
+    """Each document with each subnarrative of its topic: how many sentences it has, and the best one's score to 9 digits.
+
+    ``documents``: topic, doc, texts (an array, each cut into sentences).  ``subnarratives``:
+    topic, sub, query.  Pairs of sentences and subnarratives are made where they are scored,
+    and never are rows.  A document without sentences has no row.
+    """
+    make = registered(SCORERS, scorer)
+
+    asked = subnarratives.select("topic", F.struct("sub", "query").alias("s")).groupBy("topic").agg(F.sort_array(F.collect_list("s")).alias("subs"))
+    met = documents.join(asked, "topic").select("topic", "doc", "texts", F.col("subs.sub").alias("sub"), F.col("subs.query").alias("query"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = make()
+        for batch in batches:
+            many, best = [], []
+            for texts, queries in zip(batch.column("texts"), batch.column("query")):
+                sentences = [s for t in texts.as_py() or () if t for s in cut(t)]
+                many.append(len(sentences))
+                best += _best_of(own, sentences, queries.as_py())
+            of = pc.list_parent_indices(batch.column("sub"))
+            counts = pa.array(many, pa.int64()).take(of)
+            columns = [batch.column("topic").take(of), batch.column("doc").take(of), batch.column("sub").flatten(), counts, pa.array(best, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["topic", "doc", "sub", "sentences", "best"]).filter(pc.greater(counts, 0))
+
+    kinds = {f.name: f.dataType.simpleString() for f in documents.select("topic", "doc").schema} | {"sub": subnarratives.schema["sub"].dataType.simpleString()}
+    rows = met.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", sentences long, best double")
+    return rows.withColumn("best", F.round("best", 9))
+
+
+def _best_of(score: Scorer, texts: list[str], queries: list[str | None]) -> list[float | None]:
+    """The greatest score of each query with any of the texts; null where none has one.  Equal texts are scored once."""
+    there, asked = list(dict.fromkeys(texts)), [q for q in queries if q is not None]
+    if not there or not asked:
+        return [None] * len(queries)
+    made = np.array(score(asked * len(there), [t for t in there for _ in asked]), float).reshape(len(there), len(asked))
+    found = iter([None if x != x else x for x in np.fmax.reduce(made, axis=0).tolist()])
+    return [None if q is None else next(found) for q in queries]

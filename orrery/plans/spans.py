@@ -58,8 +58,7 @@ SELECT w.topic, doc, sub, count(*) AS sentences, max(CASE WHEN len(c) = 0 THEN 0
 )
 def sentence_scores(spark, sf_dir):
     """Each document's best sentence for each subnarrative of its topic, by the registered scorer."""
-    own = _docs(spark, sf_dir).select((F.col("doc") % 10).alias("topic"), "doc", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0))).alias("place", "text"))
+    whole = _docs(spark, sf_dir).where("text IS NOT NULL").groupBy("doc").agg(F.collect_list("text").alias("texts"))
+    own = whole.select((F.col("doc") % 10).alias("topic"), "doc", "texts")
     subs = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("topic"), F.col("item_id").alias("sub"), F.col("text").alias("query"))
-    pairs = E.sentence_pairs(own.where(F.trim("text") != ""), subs)
-    return pairs.groupBy("topic", "doc", "sub").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.round("score", 9)).alias("best"))
-
+    return E.best_sentences(own, subs)

@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from orrery import catalog
 from orrery.functions import text as X
+from orrery.operators import extensions as E
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_word_ends_are_those_of_sql(spark):
@@ -14,3 +18,13 @@ def test_word_ends_are_those_of_sql(spark):
     assert [r["g"] for r in got] == ["|neg|", "|neg|", "|neg|", "||", "||", "|neg|", None]
     assert [r["d"] for r in got] == [False, True, False, False, False, False, None]
     assert [r["c"] for r in got] == [True, False, True, True, True, True, None]
+
+
+def test_best_sentences_are_those_of_all_pairs(spark):
+    """Also where a document comes twice, has no sentence, or meets a query without text; and pairs never are rows."""
+    docs = spark.createDataFrame([(1, 5, ["The cat sat. A dog ran!\nA dog ran!", None, "cats and dogs."]), (1, 6, [" \n "]), (2, 7, ["x y."])], "topic long, doc long, texts array<string>")
+    subs = spark.createDataFrame([(1, 1, "dog cat"), (1, 2, "the"), (1, 3, None), (2, 4, "zebra")], "topic long, sub long, query string")
+    found = sorted(map(tuple, E.best_sentences(docs, subs).collect()))
+    assert found == [(1, 5, 1, 4, 0.5), (1, 5, 2, 4, 0.0), (1, 5, 3, 4, None), (2, 7, 4, 1, 0.0)]
+    plan = catalog.QUERIES["sentence_scores"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
