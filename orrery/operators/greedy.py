@@ -8,10 +8,14 @@ task, whose time and memory grow with its candidates; topics run side by side.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,10 @@ def _order(arrays: list[np.ndarray]) -> np.ndarray:
     return place
 
 
+#: Terms that are put in order at a time.
+_BLOCK = 1 << 22
+
+
 class _Terms:
     """Term sets, for the redundancy of all others with one of them at a time.
 
@@ -46,34 +54,56 @@ class _Terms:
 
     def __init__(self, terms):
         vocabulary: dict[str, int] = {}
-        ids = [[vocabulary.setdefault(t, len(vocabulary)) for t in row] for row in terms]
-        self.sizes = np.array([len(x) for x in ids], int)
-        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
-        every = np.array([t for row in ids for t in row], int)
-        owner = np.repeat(np.arange(len(ids)), self.sizes)
-        often = np.bincount(every, minlength=len(vocabulary))
-        rank = np.empty(len(vocabulary), int)
-        rank[np.lexsort((np.arange(len(vocabulary)), often))] = np.arange(len(vocabulary))
-        order = np.lexsort((rank[every], owner))
-        self.ids = every[order]
-        place = np.arange(len(every)) - self.begins[owner]
-        rare = place < (self.sizes + (-8 * self.sizes) // 10 + 1)[owner]
-        held, by = self.ids[rare], owner[rare]
-        self.rare = np.concatenate([[0], np.cumsum(np.bincount(by, minlength=len(ids)))])
-        self.held = held
+        ids = array("i", (vocabulary.setdefault(t, len(vocabulary)) for row in terms for t in row))
+        sizes = np.array([len(row) for row in terms], int)
+        self._build(ids, sizes, len(vocabulary), np.arange(len(sizes)))
+
+    @classmethod
+    def of(cls, ids: array, sizes: np.ndarray, many: int, order: np.ndarray) -> _Terms:
+        """Of terms by number, below ``many``, one row's after another's; row k is the ``order[k]``-th of them.  ``ids`` is taken over."""
+        made = cls.__new__(cls)
+        made._build(ids, sizes, many, order)
+        return made
+
+    def _build(self, ids: array, sizes: np.ndarray, many: int, order: np.ndarray) -> None:
+        self.ids = np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)
+        ends = np.cumsum(sizes)
+        row = np.empty(len(order), np.int32)
+        row[order] = np.arange(len(order))
+        often = np.zeros(many, int)
+        for a in range(0, len(self.ids), _BLOCK):
+            often += np.bincount(self.ids[a : a + _BLOCK], minlength=many)
+        rank = np.empty(many, np.int32)
+        rank[np.lexsort((np.arange(many), often))] = np.arange(many)
+        least, held, by = sizes + (-8 * sizes) // 10 + 1, [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        first = 0
+        while first < len(sizes):  # some rows at a time, in place
+            begin = int(ends[first] - sizes[first])
+            last = max(int(np.searchsorted(ends, begin + _BLOCK)), first + 1)
+            owner = np.repeat(np.arange(first, last), sizes[first:last])
+            own = rank[self.ids[begin : begin + len(owner)]]
+            own = own[np.lexsort((own, owner))]
+            self.ids[begin : begin + len(owner)] = own
+            rare = np.arange(begin, begin + len(owner)) - (ends - sizes)[owner] < least[owner]
+            held.append(own[rare])
+            by.append(row[owner[rare]])
+            first = last
+        self.sizes, self.begins = sizes[order], (ends - sizes)[order]
+        self.rare = np.minimum(self.sizes, least[order])
+        held, by = np.concatenate(held), np.concatenate(by)
         self.postings = by[np.argsort(held, kind="stable")]
-        self.ends = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=len(vocabulary)))])
-        self.mark = np.zeros(len(vocabulary), bool)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=many))])
+        self.mark = np.zeros(many, bool)
 
     def redundant(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, penalties): all others with a penalty above 0 beside row ``k``."""
-        parts = [self.postings[self.ends[t] : self.ends[t + 1]] for t in self.held[self.rare[k] : self.rare[k + 1]]]
+        parts = [self.postings[self.ends[t] : self.ends[t + 1]] for t in self.ids[self.begins[k] : self.begins[k] + self.rare[k]]]
         near = np.unique(np.concatenate(parts)) if parts else np.empty(0, int)
         small, large = np.minimum(self.sizes[near], self.sizes[k]), np.maximum(self.sizes[near], self.sizes[k])
         near = near[small >= 0.8 * large]
         if not len(near):
             return near, np.empty(0)
-        own = self.ids[self.begins[k] : self.begins[k + 1]]
+        own = self.ids[self.begins[k] : self.begins[k] + self.sizes[k]]
         self.mark[own] = True
         size = self.sizes[near]
         first = np.cumsum(size) - size
@@ -204,13 +234,13 @@ def arm(features: DataFrame, name: str, prefix: int = 0) -> DataFrame:
     """One ranking arm: FACET, DUAL or DUAL-NR; with ``prefix``, replayed and continued.
 
     ``features``: topic, doc, facets (array of scores), g, n, r, original_rank,
-    best_facet_rank, terms.
+    best_facet_rank, and, for DUAL, terms: an array, or a text with blanks between them.
     """
-    rules = {"FACET": facet_order, "DUAL": lambda rows: dual_order(rows, True, prefix), "DUAL-NR": lambda rows: dual_order(rows, False, prefix)}
+    rules = {"FACET": lambda rows, _: facet_order(rows), "DUAL": lambda rows, terms: dual_order(rows, True, prefix, terms), "DUAL-NR": lambda rows, _: dual_order(rows, False, prefix)}
     if name not in rules:
         raise ValueError(f"unknown arm: {name}")
     rule = rules[name]
-    return features.groupBy("topic").applyInPandas(lambda rows: rule(rows), ORDER)
+    return _by_topic(features, name == "DUAL", lambda rows, terms: [rule(rows, terms)], ORDER)
 
 
 def arms(features: DataFrame, fused: DataFrame, prefixes: tuple[int, ...] = (100, 500)) -> DataFrame:
@@ -219,17 +249,62 @@ def arms(features: DataFrame, fused: DataFrame, prefixes: tuple[int, ...] = (100
     Features are made once and a topic is one group for all arms, which share its term sets.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _by_doc(rows)
-        terms, made = _Terms(rows["terms"]), []
+    def run(rows: pd.DataFrame, terms: _Terms) -> Iterator[pd.DataFrame]:
         for name, redundancy in (("DUAL", True), ("DUAL-NR", False)):
             for p in (0, *prefixes):
                 own = dual_order(rows, redundancy, p, terms)[["topic", "doc", "final_rank"]]
-                made.append(own.assign(arm=f"{name}-{p}" if p else name))
-        return pd.concat(made)
+                yield own.assign(arm=f"{name}-{p}" if p else name)
 
     first = fused.select("topic", "doc", F.col("rank").alias("final_rank"), F.lit("RRF").alias("arm"))
-    return first.unionByName(features.groupBy("topic").applyInPandas(run, "topic string, doc long, final_rank long, arm string"))
+    return first.unionByName(_by_topic(features, True, run, "topic string, doc long, final_rank long, arm string"))
+
+
+class _Topic:
+    """What has come of a topic: its rows, and its terms as numbers, 4 bytes each."""
+
+    def __init__(self):
+        self.rows, self.sizes, self.ids, self.vocabulary = [], [], array("i"), {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if "terms" in batch.schema.names:
+            terms = batch.column("terms")
+            batch = batch.drop_columns(["terms"])
+            terms = pc.split_pattern(terms, " ") if pa.types.is_string(terms.type) else terms
+            flat, of = terms.flatten(), pc.list_parent_indices(terms)
+            there = pc.not_equal(flat, "")
+            coded = flat.filter(there).dictionary_encode()
+            known = np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in coded.dictionary.to_pylist()], np.int32)
+            self.ids.frombytes(known[coded.indices.to_numpy(zero_copy_only=False)].tobytes())
+            self.sizes.append(np.bincount(of.filter(there).to_numpy(zero_copy_only=False), minlength=len(terms)))
+        self.rows.append(batch)
+
+    def made(self) -> tuple[pd.DataFrame, _Terms | None]:
+        rows = pa.Table.from_batches(self.rows).to_pandas()
+        order = np.argsort(rows["doc"].to_numpy(), kind="stable")
+        terms = _Terms.of(self.ids, np.concatenate(self.sizes), len(self.vocabulary), order) if self.sizes else None
+        return rows.iloc[order].reset_index(drop=True), terms
+
+
+def _by_topic(features: DataFrame, with_terms: bool, run: Callable[[pd.DataFrame, _Terms | None], Iterable[pd.DataFrame]], schema: str) -> DataFrame:
+    """``run`` over each topic's rows by document, and their terms.
+
+    Rows stream into the topic's task unsorted, so terms are nowhere held as texts.
+    """
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def all_topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topics: dict = {}
+        for batch in batches:
+            for topic in pc.unique(batch.column("topic")):
+                own = pc.is_null(batch.column("topic")) if not topic.is_valid else pc.equal(batch.column("topic"), topic)
+                topics.setdefault(topic.as_py(), _Topic()).add(batch.filter(own))
+        for topic in list(topics):
+            rows, terms = topics.pop(topic).made()
+            for found in run(rows, terms):
+                yield pa.RecordBatch.from_pandas(found[names], preserve_index=False)
+
+    own = features if with_terms else features.drop("terms")
+    return own.repartition("topic").mapInArrow(all_topics, schema)
 
 
 def round_robin(lanes: DataFrame, limit: int = 100) -> DataFrame:

@@ -86,12 +86,14 @@ def combo_ranking(spark, sf_dir):
     return R.ranked(out, F.desc_nulls_last("combo"), "doc")
 
 
-def features(spark, sf_dir):
-    """What the greedy arms need, for the documents of each source: facets are four length-based scores."""
+def features(spark, sf_dir, terms=True):
+    """What the greedy arms need, for the documents of each source: facets are four length-based scores.
+
+    ``terms`` come last, as texts: ranks within a topic are found on narrow rows.
+    """
     rows = streams(spark, sf_dir)
     fused = R.rrf(rows).select("topic", "doc", F.col("rank").alias("fused_rank"), F.col("score").alias("fused"))
-    texts = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "text"))
-    docs = texts.select(F.col("source").alias("topic"), F.col("doc_id").alias("doc"), "n_chars", X.terms(F.col("text")).alias("terms"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("doc"), "n_chars")
     ranks = rows.groupBy("topic", "doc").agg(
         F.min(F.when(F.col("stream") == "length", F.col("rank"))).alias("original_rank"), F.min(F.when(F.col("stream") == "early", F.col("rank"))).alias("best_facet_rank")
     )
@@ -100,7 +102,10 @@ def features(spark, sf_dir):
     both = R.percentile_best_one(both, "n_chars", name="g")
     narrative = (F.col("doc") * 7919 % 101) / 100
     facet = F.array(*[(F.col("doc") * p % 97) / 97 for p in (31, 57, 71, 83)])
-    return both.select("topic", "doc", "terms", "g", narrative.alias("n"), "r", facet.alias("facets"), "original_rank", "best_facet_rank")
+    if terms:
+        texts = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("doc"), "text"))
+        both = both.join(texts.select("topic", "doc", F.array_join(X.terms(F.col("text")), " ").alias("terms")), ["topic", "doc"])
+    return both.select("topic", "doc", *(["terms"] if terms else []), "g", narrative.alias("n"), "r", facet.alias("facets"), "original_rank", "best_facet_rank")
 
 
 FEATURES = """, fu AS (SELECT e.topic, e.doc, 0.0::DOUBLE + 1.0::DOUBLE / (60 + e.rank) + 1.0::DOUBLE / (60 + l.rank) AS fused, l.rank AS original_rank, e.rank AS best_facet_rank
@@ -140,7 +145,7 @@ ARMS = FEATURES + _dual("('DUAL', true, 0), ('DUAL-10', true, 10), ('DUAL-20', t
 
 @query(sql("streams", FEATURES + FACET + ROWS, recursive=True))
 def facet_greedy(spark, sf_dir):
-    return G.arm(features(spark, sf_dir), "FACET").withColumns({c: F.round(c, 6) for c in ("objective", "bonus")})
+    return G.arm(features(spark, sf_dir, False), "FACET").withColumns({c: F.round(c, 6) for c in ("objective", "bonus")})
 
 
 @query(sql("streams", ARMS + ROWS + " AND arm = 'DUAL'", recursive=True))
@@ -150,7 +155,7 @@ def dual_greedy(spark, sf_dir):
 
 @query(sql("streams", ARMS + ROWS + " AND arm = 'DUAL-NR'", recursive=True))
 def dual_without_redundancy(spark, sf_dir):
-    return G.arm(features(spark, sf_dir), "DUAL-NR").withColumns({c: F.round(c, 6) for c in ("objective", "bonus")})
+    return G.arm(features(spark, sf_dir, False), "DUAL-NR").withColumns({c: F.round(c, 6) for c in ("objective", "bonus")})
 
 
 @query(sql("streams", ARMS + ROWS + " AND arm = 'DUAL-20'", recursive=True))
