@@ -7,10 +7,14 @@ Frames carry ``topic``, ``doc``, ``rank``, ``score`` and, where there are severa
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.session import keep
+
 
 def ranked(df: DataFrame, *order: Column | str, by: str | tuple[str, ...] = "topic", name: str = "rank") -> DataFrame:
     """Dense final ranks from 1 under a total order."""
@@ -94,39 +98,62 @@ def rrf_family(hits: DataFrame, original: str, k: float = 60, limit: int | None
     return ranked(fused, *order) if limit is None else top(fused, limit, *order)
 
 
-def _tied(by: tuple[str, ...], value: str) -> tuple[Column, Column, Column]:
-    """(rows of a group, rows before the ties when descending, ties)."""
+def _joined(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Inner join by keys that may be null."""
+    own = right.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    return left.join(own, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys))).drop(*(f"_{k}_" for k in keys))
+
+
+def _placed(df: DataFrame, by: tuple[str, ...], order: tuple[Column | str, ...], weight: Column) -> DataFrame:
+    """``df`` sorted over many tasks and kept, with ``_at``, its ``_part`` of the order, and the weight ``_before`` that part and ``_n`` in all of its group."""
+    rows = keep(df.sort(*by, *order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy(*by, "_part").agg(F.sum(weight).alias("_many"), F.min("_at").alias("_first"))
     group = Window.partitionBy(*by)
-    return (
-        F.count(F.lit(1)).over(group),
-        F.rank().over(group.orderBy(F.desc(value))) - 1,
-        F.count(F.lit(1)).over(Window.partitionBy(*by, value)),
-    )
+    before = F.coalesce(F.sum("_many").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _joined(rows, F.broadcast(parts.select(*by, "_part", "_first", before.alias("_before"), F.sum("_many").over(group).alias("_n"))), (*by, "_part"))
+
+
+def numbered(df: DataFrame, *order: Column | str, by: str | tuple[str, ...] = "topic", name: str = "rank") -> DataFrame:
+    """As ``ranked``, for groups too large for a task: no task holds one, and a sorted copy is kept in the checkpoint folder."""
+    by = (by,) if isinstance(by, str) else by
+    own = _placed(df, by, order, F.lit(1))
+    return own.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_part", "_first", "_before", "_n")
+
+
+def _tied(df: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
+    """``df`` with ``_n`` rows of a group, ``_above`` before the ties when descending, and ``_ties``.
+
+    Values are counted first, and counts are summed part by part of their order: no task holds a group.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
+    own = _placed(counts, by, (F.desc(value),), F.col("_ties"))
+    within = F.sum("_ties").over(Window.partitionBy(*by, "_part").orderBy("_at")) - F.col("_ties")
+    return _joined(df, own.select(*by, value, "_n", (F.col("_before") + within).alias("_above"), "_ties"), (*by, value))
+
+
+def _with_tied(df: DataFrame, by: tuple[str, ...], value: str, name: str, rule) -> DataFrame:
+    made = rule(F.col("_n"), F.col("_above"), F.col("_ties"))
+    return _tied(df, by, value).withColumn(name, made).drop("_n", "_above", "_ties")
 
 
 def percentile_best_one(df: DataFrame, value: str, by: tuple[str, ...] = ("topic",), name: str = "percentile") -> DataFrame:
     """(n - average rank + 1) / n: the best has 1."""
-    n, above, ties = _tied(by, value)
-    return df.withColumn(name, (n - (above + (ties + 1) / 2) + 1) / n)
+    return _with_tied(df, by, value, name, lambda n, above, ties: (n - (above + (ties + 1) / 2) + 1) / n)
 
 
 def percentile_average_rank(df: DataFrame, value: str, by: tuple[str, ...] = ("topic",), name: str = "percentile") -> DataFrame:
     """(n - average rank) / (n - 1); a lone row has 1."""
-    n, above, ties = _tied(by, value)
-    return df.withColumn(name, F.when(n == 1, 1.0).otherwise((n - (above + (ties + 1) / 2)) / F.nullif(n - 1, F.lit(0))))
+    return _with_tied(df, by, value, name, lambda n, above, ties: F.when(n == 1, 1.0).otherwise((n - (above + (ties + 1) / 2)) / F.nullif(n - 1, F.lit(0))))
 
 
 def percentile_midrank(df: DataFrame, value: str, by: tuple[str, ...] = ("topic",), name: str = "percentile") -> DataFrame:
     """(rows below + (ties - 1) / 2) / (n - 1); a lone row has 1."""
-    n, above, ties = _tied(by, value)
-    return df.withColumn(name, F.when(n == 1, 1.0).otherwise((n - above - ties + (ties - 1) / 2) / F.nullif(n - 1, F.lit(0))))
+    return _with_tied(df, by, value, name, lambda n, above, ties: F.when(n == 1, 1.0).otherwise((n - above - ties + (ties - 1) / 2) / F.nullif(n - 1, F.lit(0))))
 
 
 def fractional_rank(df: DataFrame, value: str, by: tuple[str, ...], name: str) -> DataFrame:
     """Ascending ranks from 1, ties sharing their average."""
-    group = Window.partitionBy(*by)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return df.withColumn(name, F.rank().over(group.orderBy(value)) + (ties - 1) / 2)
+    return _with_tied(df, by, value, name, lambda n, above, ties: n - above - ties + 1 + (ties - 1) / 2)
 
 
 def natural_key(topic: str) -> tuple[Column, Column, Column]:

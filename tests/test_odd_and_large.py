@@ -1,10 +1,15 @@
 """Words beside other scripts, and steps whose tasks must stay small as tables grow."""
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery import catalog
 from orrery.functions import text as X
 from orrery.operators import extensions as E
+from orrery.operators import greedy as G
+from orrery.operators import ranking as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +33,45 @@ def test_best_sentences_are_those_of_all_pairs(spark):
     assert found == [(1, 5, 1, 4, 0.5), (1, 5, 2, 4, 0.0), (1, 5, 3, 4, None), (2, 7, 4, 1, 0.0)]
     plan = catalog.QUERIES["sentence_scores"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_hold_no_group_in_a_task(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(None if k % 7 == 0 else k % 3, k, None if k % 11 == 0 else float(rnd.integers(0, 20))) for k in range(400)]
+    df = spark.createDataFrame(rows, "topic long, doc long, score double")
+    order = (F.desc("score"), "doc")
+    made, plain = R.numbered(df, *order), R.ranked(df, *order)
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, plain.select(made.columns).collect()))
+    w = Window.partitionBy("topic")
+    n, ties = F.count(F.lit(1)).over(w), F.count(F.lit(1)).over(Window.partitionBy("topic", "score"))
+    plain = df.withColumn("p", (n - (F.rank().over(w.orderBy(F.desc("score"))) - 1) - ties + (ties - 1) / 2) / (n - 1))
+    assert sorted(map(repr, R.percentile_midrank(df, "score", name="p").collect())) == sorted(map(repr, plain.collect()))
+    assert "row_number" not in plan_of(catalog.QUERIES["three_orders"](spark, SF))
+    assert "rank(" not in plan_of(catalog.QUERIES["percentile_midrank"](spark, SF))
+
+
+def test_responses_are_parsed_once(spark):
+    assert "MapInArrow" not in plan_of(catalog.QUERIES["response_faults"](spark, SF))
+
+
+def test_terms_of_a_topic_are_numbers(spark, monkeypatch):
+    """In arrays or texts, in whatever order rows come, and put in order some at a time."""
+    rnd, n = np.random.default_rng(9), 60
+    words = [f"w{k}" for k in range(12)]
+    terms = [[w for w in words if rnd.random() < 0.85] if k % 9 else [] for k in range(n)]
+    rows = [("a" if k % 3 else "b", k, terms[k], float(rnd.random()), float(rnd.random()), float(rnd.random()), [float(rnd.random())] * 2, k, n - k) for k in rnd.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, "topic string, doc long, terms array<string>, g double, n double, r double, facets array<double>, original_rank long, best_facet_rank long")
+    expected = pd.concat([G.dual_order(own) for _, own in df.toPandas().groupby("topic")])
+    for made in (df, df.withColumn("terms", F.array_join("terms", " "))):
+        found = G.arm(made, "DUAL")
+        assert "InPandas" not in plan_of(found)
+        assert sorted(map(tuple, found.collect())) == sorted(expected.itertuples(index=False, name=None))
+    whole = G._Terms(terms)
+    monkeypatch.setattr(G, "_BLOCK", 30)
+    parts = G._Terms(terms)
+    for k in range(n):
+        assert all(np.array_equal(a, b) for a, b in zip(whole.redundant(k), parts.redundant(k)))
