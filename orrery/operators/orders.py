@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.ranking import ranked
+from orrery.operators.ranking import numbered, ranked
 from orrery.sources.runs import demand
 
 
@@ -15,9 +15,9 @@ def three_orders(documents: DataFrame) -> DataFrame:
     ``documents``: topic, doc, narrative, combo, best_rank, facets, passages.
     """
     last = ("best_rank", "doc")
-    own = ranked(documents, F.desc("narrative"), *last, name="narrative_rank")
-    own = ranked(own, F.desc("combo"), *last, name="combo_rank")
-    return ranked(own, F.desc("facets"), F.desc("passages"), F.desc("combo"), *last, name="breadth_rank")
+    own = numbered(documents, F.desc("narrative"), *last, name="narrative_rank")
+    own = numbered(own, F.desc("combo"), *last, name="combo_rank")
+    return numbered(own, F.desc("facets"), F.desc("passages"), F.desc("combo"), *last, name="breadth_rank")
 
 
 def reranked_stream(stream: DataFrame, scores: DataFrame) -> DataFrame:
