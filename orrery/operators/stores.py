@@ -14,6 +14,7 @@ from orrery.functions.numbers import finite
 from orrery.functions.text import word_count
 from orrery.operators.checks import first_fault
 from orrery.operators.folds import folded
+from orrery.session import keep
 
 #: Fields that hold a document's text, the first that does counts; and fields that hold the hits.
 TEXT_FIELDS, HIT_FIELDS = ("contents", "text", "body", "passage", "abstract"), ("candidates", "hits", "results")
@@ -144,12 +145,15 @@ def body_faults(responses: DataFrame, strict: bool = False) -> DataFrame:
 
 def hit_faults(hits: DataFrame) -> DataFrame:
     """(response, rank, fault): ids and plain texts, positive ranks once, finite scores, one body for a document."""
+    odd = F.col("score").isNotNull() & ~finite(F.col("score"))
+    kept = keep(hits.select("response", "rank", "doc", "text", odd.alias("odd")))  # what was parsed is read twice
+    torn = kept.groupBy("doc").agg((F.min("text") != F.max("text")).alias("torn")).where("torn")
     w = Window.partitionBy("response", "rank").orderBy("doc")
-    bodies = hits.groupBy("doc").agg((F.min("text") != F.max("text")).alias("torn"))
-    own = hits.withColumn("copy", F.row_number().over(w)).join(bodies, "doc", "left")
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    own = kept.select("response", "rank", "doc", "odd", blank.alias("blank")).withColumn("copy", F.row_number().over(w)).join(torn, "doc", "left")
     fault = first_fault(
-        ("document", F.coalesce("doc", F.lit("")) == ""), ("text", F.trim(F.coalesce("text", F.lit(""))) == ""), ("rank", F.col("rank") < 1), ("repeated rank", F.col("copy") > 1),
-        ("score", F.col("score").isNotNull() & ~finite(F.col("score"))), ("two bodies", F.col("torn")),
+        ("document", F.coalesce("doc", F.lit("")) == ""), ("text", F.col("blank")), ("rank", F.col("rank") < 1), ("repeated rank", F.col("copy") > 1),
+        ("score", F.col("odd")), ("two bodies", F.col("torn")),
     )
     return own.select("response", "rank", "doc", fault.alias("fault")).where("fault IS NOT NULL")
 
