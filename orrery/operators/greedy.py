@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import dual as D
+from orrery.operators.dual import DUAL
 from orrery.operators.folds import folded
-
-#: Weights of the two-sided objective: global, narrative, fused, local, coverage, redundancy.
-DUAL = {"g": 0.35, "n": 0.15, "r": 0.15, "local": 0.25, "bonus": 0.10, "redundancy": 0.15}
+from orrery.session import keep
 
 
 def _by_doc(rows: pd.DataFrame) -> pd.DataFrame:
@@ -236,10 +236,12 @@ def arm(features: DataFrame, name: str, prefix: int = 0) -> DataFrame:
     ``features``: topic, doc, facets (array of scores), g, n, r, original_rank,
     best_facet_rank, and, for DUAL, terms: an array, or a text with blanks between them.
     """
-    rules = {"FACET": lambda rows, _: facet_order(rows), "DUAL": lambda rows, terms: dual_order(rows, True, prefix, terms), "DUAL-NR": lambda rows, _: dual_order(rows, False, prefix)}
+    rules = {"FACET": lambda rows, _: facet_order(rows), "DUAL": lambda rows, terms: dual_order(rows, True, prefix, terms), "DUAL-NR": None}
     if name not in rules:
         raise ValueError(f"unknown arm: {name}")
     rule = rules[name]
+    if name == "DUAL-NR":
+        return D.orders(keep(features.drop("terms")), [D.Arm(name, False, prefix)]).drop("arm")
     return _by_topic(features, name == "DUAL", lambda rows, terms: [rule(rows, terms)], ORDER)
 
 

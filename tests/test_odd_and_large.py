@@ -75,3 +75,26 @@ def test_terms_of_a_topic_are_numbers(spark, monkeypatch):
     parts = G._Terms(terms)
     for k in range(n):
         assert all(np.array_equal(a, b) for a, b in zip(whole.redundant(k), parts.redundant(k)))
+
+
+def greedy_rows(n, seed, levels):
+    """Two topics with ties everywhere, or none, and many near copies."""
+    rnd = np.random.default_rng(seed)
+    many = lambda *s: rnd.integers(0, levels, s) / levels if levels else rnd.random(s)
+    words = np.array([f"w{k}" for k in range(12)])
+    return pd.DataFrame({
+        "topic": np.where(np.arange(n) % 3, "a", "b"), "doc": np.arange(n), "facets": [x.tolist() for x in many(n, 3)], "g": many(n), "n": many(n), "r": many(n), "original_rank": rnd.permutation(n) // 2,
+        "best_facet_rank": rnd.integers(0, 3, n), "terms": [words[rnd.random(12) < 0.8].tolist() if k % 9 else [] for k in range(n)],
+    })
+
+
+GREEDY = "topic string, doc long, facets array<double>, g double, n double, r double, original_rank long, best_facet_rank long, terms array<string>"
+
+
+def test_orders_without_redundancy_hold_no_topic_in_a_task(spark):
+    for seed, levels, prefix in ((1, 4, 0), (2, 0, 7)):
+        rows = greedy_rows(300, seed, levels)
+        made = G.arm(spark.createDataFrame(rows, GREEDY).repartition(5), "DUAL-NR", prefix)
+        assert "MapInArrow" not in plan_of(made)
+        expected = pd.concat([G.dual_order(own, False, prefix) for _, own in rows.groupby("topic")])
+        assert sorted(map(tuple, made.collect())) == sorted(expected.itertuples(index=False, name=None))
