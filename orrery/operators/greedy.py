@@ -1,9 +1,9 @@
-"""Selections whose every step depends on the last: one topic per group.
+"""Selections whose every step depends on the last.
 
-FACET and DUAL are lazy: what a candidate gains never grows from step to step (coverage
-rises, redundancy rises), so a heap of values, each computed when its candidate last came
-up, shows which few must be computed again.  A topic's steps follow one another in one
-task, whose time and memory grow with its candidates; topics run side by side.
+FACET is lazy: what a candidate gains never grows from step to step (coverage rises), so a
+heap of values, each computed when its candidate last came up, shows which few must be
+computed again.  A topic's steps follow one another in one task, whose time and memory grow
+with its candidates; topics run side by side.  DUAL has orders over all tasks (``dual``).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import dual as D
+from orrery.operators.copies import linked
 from orrery.operators.dual import DUAL
 from orrery.operators.folds import folded
 from orrery.session import keep
@@ -56,20 +57,9 @@ class _Terms:
         vocabulary: dict[str, int] = {}
         ids = array("i", (vocabulary.setdefault(t, len(vocabulary)) for row in terms for t in row))
         sizes = np.array([len(row) for row in terms], int)
-        self._build(ids, sizes, len(vocabulary), np.arange(len(sizes)))
-
-    @classmethod
-    def of(cls, ids: array, sizes: np.ndarray, many: int, order: np.ndarray) -> _Terms:
-        """Of terms by number, below ``many``, one row's after another's; row k is the ``order[k]``-th of them.  ``ids`` is taken over."""
-        made = cls.__new__(cls)
-        made._build(ids, sizes, many, order)
-        return made
-
-    def _build(self, ids: array, sizes: np.ndarray, many: int, order: np.ndarray) -> None:
+        many = len(vocabulary)
         self.ids = np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)
         ends = np.cumsum(sizes)
-        row = np.empty(len(order), np.int32)
-        row[order] = np.arange(len(order))
         often = np.zeros(many, int)
         for a in range(0, len(self.ids), _BLOCK):
             often += np.bincount(self.ids[a : a + _BLOCK], minlength=many)
@@ -86,10 +76,10 @@ class _Terms:
             self.ids[begin : begin + len(owner)] = own
             rare = np.arange(begin, begin + len(owner)) - (ends - sizes)[owner] < least[owner]
             held.append(own[rare])
-            by.append(row[owner[rare]])
+            by.append(owner[rare].astype(np.int32))
             first = last
-        self.sizes, self.begins = sizes[order], (ends - sizes)[order]
-        self.rare = np.minimum(self.sizes, least[order])
+        self.sizes, self.begins = sizes, ends - sizes
+        self.rare = np.minimum(sizes, least)
         held, by = np.concatenate(held), np.concatenate(by)
         self.postings = by[np.argsort(held, kind="stable")]
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=many))])
@@ -193,10 +183,10 @@ def facet_order(rows: pd.DataFrame) -> pd.DataFrame:
     return _result(rows, _lazily(len(rows), coverage, value, key))
 
 
-def dual_order(rows: pd.DataFrame, use_redundancy: bool = True, prefix: int = 0, terms: _Terms | None = None) -> pd.DataFrame:
-    """Two-sided greedy order; the first ``prefix`` by original rank are replayed, then it goes on.
+def dual_order(rows: pd.DataFrame, use_redundancy: bool = True, prefix: int = 0) -> pd.DataFrame:
+    """Two-sided greedy order of one topic's rows; the first ``prefix`` by original rank are replayed, then it goes on.
 
-    ``terms``: those of the rows by document, where they are made already.
+    The plain form of the DUAL arms, for rows in memory and for tests; ``arm`` and ``arms`` take the orders of ``dual``.
     """
     rows = _by_doc(rows)
     coverage = _Coverage(rows)
@@ -204,7 +194,7 @@ def dual_order(rows: pd.DataFrame, use_redundancy: bool = True, prefix: int = 0,
     g, narrative, r = (rows[c].to_numpy(float) for c in ("g", "n", "r"))
     tie = _order([-r, -local, rows["original_rank"].to_numpy(), rows["best_facet_rank"].to_numpy(), np.arange(n)])
     fixed = DUAL["g"] * g + DUAL["n"] * narrative + DUAL["r"] * r
-    terms, penalty = (terms or _Terms(rows["terms"])) if use_redundancy else None, np.zeros(n)
+    terms, penalty = _Terms(rows["terms"]) if use_redundancy else None, np.zeros(n)
     replay = np.argsort(rows["original_rank"].to_numpy(), kind="stable")[:prefix]
 
     def value(k: int, bonus: float) -> float:
@@ -236,61 +226,28 @@ def arm(features: DataFrame, name: str, prefix: int = 0) -> DataFrame:
     ``features``: topic, doc, facets (array of scores), g, n, r, original_rank,
     best_facet_rank, and, for DUAL, terms: an array, or a text with blanks between them.
     """
-    rules = {"FACET": lambda rows, _: facet_order(rows), "DUAL": lambda rows, terms: dual_order(rows, True, prefix, terms), "DUAL-NR": None}
-    if name not in rules:
+    if name == "FACET":
+        return _by_topic(features.drop("terms"), lambda rows: [facet_order(rows)], ORDER)
+    if name not in ("DUAL", "DUAL-NR"):
         raise ValueError(f"unknown arm: {name}")
-    rule = rules[name]
-    if name == "DUAL-NR":
-        return D.orders(keep(features.drop("terms")), [D.Arm(name, False, prefix)]).drop("arm")
-    return _by_topic(features, name == "DUAL", lambda rows, terms: [rule(rows, terms)], ORDER)
+    own = D.Arm(name, name == "DUAL", prefix)
+    return D.orders(linked(features) if own.redundancy else keep(features.drop("terms")), [own]).drop("arm")
 
 
 def arms(features: DataFrame, fused: DataFrame, prefixes: tuple[int, ...] = (100, 500)) -> DataFrame:
     """The six-arm table: the fused order, and DUAL with and without redundancy, static and replayed.
 
-    Features are made once and a topic is one group for all arms, which share its term sets.
+    Features and near copies are found once for all arms.
     """
-
-    def run(rows: pd.DataFrame, terms: _Terms) -> Iterator[pd.DataFrame]:
-        for name, redundancy in (("DUAL", True), ("DUAL-NR", False)):
-            for p in (0, *prefixes):
-                own = dual_order(rows, redundancy, p, terms)[["topic", "doc", "final_rank"]]
-                yield own.assign(arm=f"{name}-{p}" if p else name)
-
+    own = [D.Arm(f"{name}-{p}" if p else name, redundancy, p) for name, redundancy in (("DUAL", True), ("DUAL-NR", False)) for p in (0, *prefixes)]
     first = fused.select("topic", "doc", F.col("rank").alias("final_rank"), F.lit("RRF").alias("arm"))
-    return first.unionByName(_by_topic(features, True, run, "topic string, doc long, final_rank long, arm string"))
-
-
-class _Topic:
-    """What has come of a topic: its rows, and its terms as numbers, 4 bytes each."""
-
-    def __init__(self):
-        self.rows, self.sizes, self.ids, self.vocabulary = [], [], array("i"), {}
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        if "terms" in batch.schema.names:
-            terms = batch.column("terms")
-            batch = batch.drop_columns(["terms"])
-            terms = pc.split_pattern(terms, " ") if pa.types.is_string(terms.type) else terms
-            flat, of = terms.flatten(), pc.list_parent_indices(terms)
-            there = pc.not_equal(flat, "")
-            coded = flat.filter(there).dictionary_encode()
-            known = np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in coded.dictionary.to_pylist()], np.int32)
-            self.ids.frombytes(known[coded.indices.to_numpy(zero_copy_only=False)].tobytes())
-            self.sizes.append(np.bincount(of.filter(there).to_numpy(zero_copy_only=False), minlength=len(terms)))
-        self.rows.append(batch)
-
-    def made(self) -> tuple[pd.DataFrame, _Terms | None]:
-        rows = pa.Table.from_batches(self.rows).to_pandas()
-        order = np.argsort(rows["doc"].to_numpy(), kind="stable")
-        terms = _Terms.of(self.ids, np.concatenate(self.sizes), len(self.vocabulary), order) if self.sizes else None
-        return rows.iloc[order].reset_index(drop=True), terms
+    return first.unionByName(D.orders(linked(features), own).select("topic", "doc", "final_rank", "arm"))
 
 
-def _by_topic(features: DataFrame, with_terms: bool, run: Callable[[pd.DataFrame, _Terms | None], Iterable[pd.DataFrame]], schema: str) -> DataFrame:
-    """``run`` over each topic's rows by document, and their terms.
+def _by_topic(features: DataFrame, run: Callable[[pd.DataFrame], Iterable[pd.DataFrame]], schema: str) -> DataFrame:
+    """``run`` over each topic's rows by document.
 
-    Rows stream into the topic's task unsorted, so terms are nowhere held as texts.
+    Rows stream into the topic's task unsorted.
     """
     names = [field.split()[0] for field in schema.split(", ")]
 
@@ -299,14 +256,13 @@ def _by_topic(features: DataFrame, with_terms: bool, run: Callable[[pd.DataFrame
         for batch in batches:
             for topic in pc.unique(batch.column("topic")):
                 own = pc.is_null(batch.column("topic")) if not topic.is_valid else pc.equal(batch.column("topic"), topic)
-                topics.setdefault(topic.as_py(), _Topic()).add(batch.filter(own))
+                topics.setdefault(topic.as_py(), []).append(batch.filter(own))
         for topic in list(topics):
-            rows, terms = topics.pop(topic).made()
-            for found in run(rows, terms):
+            rows = pa.Table.from_batches(topics.pop(topic)).to_pandas()
+            for found in run(_by_doc(rows)):
                 yield pa.RecordBatch.from_pandas(found[names], preserve_index=False)
 
-    own = features if with_terms else features.drop("terms")
-    return own.repartition("topic").mapInArrow(all_topics, schema)
+    return features.repartition("topic").mapInArrow(all_topics, schema)
 
 
 def round_robin(lanes: DataFrame, limit: int = 100) -> DataFrame:

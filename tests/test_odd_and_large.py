@@ -98,3 +98,23 @@ def test_orders_without_redundancy_hold_no_topic_in_a_task(spark):
         assert "MapInArrow" not in plan_of(made)
         expected = pd.concat([G.dual_order(own, False, prefix) for _, own in rows.groupby("topic")])
         assert sorted(map(tuple, made.collect())) == sorted(expected.itertuples(index=False, name=None))
+
+
+def test_orders_with_redundancy_hold_no_topic_in_a_task(spark):
+    """Also with copies and empty sets among replayed rows, terms as texts, and a topic that is replayed whole."""
+    rows = greedy_rows(300, 3, 4)
+    rows["topic"] = np.where(np.arange(300) < 5, "c", rows["topic"])
+    df = spark.createDataFrame(rows, GREEDY).repartition(5)
+    first = df.select("topic", "doc", F.lit(1).alias("rank"))
+    made = G.arms(df.withColumn("terms", F.array_join("terms", " ")), first, (7, 40)).where("arm <> 'RRF'")
+    assert "MapInArrow" not in plan_of(made)
+    expected = []
+    for name, use in (("DUAL", True), ("DUAL-NR", False)):
+        for prefix in (0, 7, 40):
+            for _, own in rows.groupby("topic"):
+                found = G.dual_order(own, use, prefix)[["topic", "doc", "final_rank"]]
+                expected += found.assign(arm=f"{name}-{prefix}" if prefix else name).itertuples(index=False, name=None)
+    assert sorted(map(tuple, made.collect())) == sorted(expected)
+    found = G.arm(df, "DUAL", 7).collect()
+    expected = pd.concat([G.dual_order(own, True, 7) for _, own in rows.groupby("topic")])
+    assert sorted(map(tuple, found)) == sorted(expected.itertuples(index=False, name=None))
