@@ -22,13 +22,13 @@ _COUNTERS = 1 << 20
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``head``, the identity of topic and set (null without terms), and ``ids``, the hashes of its terms within the topic."""
+    """``rows`` with ``key``, the identity of topic and set (null without terms), and ``ids``, the hashes of its terms within the topic."""
     text = dict(rows.dtypes)["terms"] == "string"
     terms: Column = F.split("terms", " ", -1) if text else F.col("terms")
     rows = rows.withColumn("terms", F.array_sort(F.array_distinct(F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: t != ""))))
     topic = F.coalesce(F.concat(F.lit("t"), F.col("topic").cast("string")), F.lit(""))
-    head = F.when(F.size("terms") > 0, F.substring(F.sha2(F.concat(topic, F.lit("\u0002"), F.array_join("terms", "\u0001")).cast("binary"), 256), 1, 32))
-    return rows.withColumn("head", head).withColumn("ids", F.transform("terms", lambda t: F.xxhash64("topic", t))).drop("terms")
+    key = F.when(F.size("terms") > 0, F.substring(F.sha2(F.concat(topic, F.lit("\u0002"), F.array_join("terms", "\u0001")).cast("binary"), 256), 1, 32))
+    return rows.withColumn("key", key).withColumn("ids", F.transform("terms", lambda t: F.xxhash64("topic", t))).drop("terms")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def _postings(sets: DataFrame) -> DataFrame:
                 by = owner[rare]
                 yield pa.RecordBatch.from_arrays([part.column("head").take(pa.array(by)), pa.array(sizes[by]), pa.array(flat[order][rare]), pa.array(place[rare])], ["head", "size", "term", "place"])
 
-    return sets.select("head", "ids").mapInArrow(run, "head string, size long, term long, place long")
+    return sets.select("head", "ids").mapInArrow(run, "head long, size long, term long, place long")
 
 
 def _pairs(sets: DataFrame) -> DataFrame:
@@ -103,20 +103,21 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def linked(features: DataFrame) -> DataFrame:
-    """``features`` with their ``terms`` replaced by ``head`` (null without terms), ``component`` (null without copies) and ``links``.
+    """``features`` with their ``terms`` replaced by ``head``, the number of their set (null without terms), ``component`` (null without copies) and ``links``.
 
     ``links``: heads of other sets and how redundant they are, beside one row of each set.
     """
     rows = keep(_hashed(features))
-    many = keep(rows.where("head IS NOT NULL").groupBy("head").agg(F.count(F.lit(1)).alias("many"), F.min("doc").alias("first")))
+    many = rows.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("doc").alias("first"))
+    many = keep(many.withColumn("head", F.monotonically_increasing_id()))
     # Smaller sets are equal or no copies.
-    sets = keep(rows.where(F.size("ids") >= 5).join(many.select("head", F.col("first").alias("doc")), ["head", "doc"]).select("head", "ids"))
+    sets = keep(rows.where(F.size("ids") >= 5).join(many.select("key", F.col("first").alias("doc"), "head"), ["key", "doc"]).select("head", "ids"))
     pairs = keep(_pairs(sets))
     edges = keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "p")))
     links = edges.groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("head"), "p")).alias("links")).withColumnRenamed("a", "head")
     known = many.join(_components(edges).join(links, "head"), "head", "left")
-    own = rows.drop("ids").join(known, "head", "left")
-    out = keep(own.withColumns({"component": F.coalesce("component", F.when(F.col("many") > 1, F.col("head"))), "links": F.when(F.col("doc") == F.col("first"), F.col("links"))}).drop("many", "first"))
+    own = rows.drop("ids").join(known, "key", "left")
+    out = keep(own.withColumns({"component": F.coalesce("component", F.when(F.col("many") > 1, F.col("head"))), "links": F.when(F.col("doc") == F.col("first"), F.col("links"))}).drop("key", "many", "first"))
     for table in (rows, many, sets, pairs, edges):
         drop(table)
     return out
