@@ -65,3 +65,12 @@ def lean(table: pa.Table) -> pa.Table:
     """``table``, after a group's work, with memory given back once a second at most."""
     trim(1.0)
     return table
+
+
+def zipped(data: bytes) -> bytes:
+    """``data`` in fewer bytes, behind its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)

@@ -15,14 +15,19 @@ everything below works on classes, for which one text stands.
   puts frequent shingles last (by a counting sketch of fixed size over all documents),
   so that common passages draw no crowd; it only affects speed, never the result.
 
-Buckets of documents announce prefix shingles and their counts to shards; shards answer
-which occur again; only classes with such shingles send their points.  Of a shingle
+Each text is cut into shingles where it lies, and only a draft of it moves: a longer
+prefix (by n / LONGER) and its point.  Buckets of drafts announce prefix shingles and
+their counts to shards; shards answer which occur again.  Shingles that occur once are in
+no overlap: a class with h that occur again, of a prefix longer by l, links with none if
+h < l, and else meets all its links at the first h - l + 1 of them (the prefix rule on what
+is left).  Only these carry its point to their shards.  Of a shingle
 that more than ``CROWD`` classes share, buckets send one class each and hang the others
 on it: a shard's rows follow the buckets then, not the crowd.  Candidate pairs join into
 blocks; a block's texts are compared exactly, large blocks in parts, every part with
 every other.  Components of the verified links are found by star steps on DataFrames.
 
-Shingles are 64-bit hashes and classes 128-bit ones; texts are compared by these.
+Shingles are 64-bit hashes and classes 128-bit ones; texts are compared by these.  Drafts
+hold 48 bits of a shingle and messages 32 beside the shard, which may let more pairs meet, not fewer.
 ``CROWD``, ``BROADCAST_ROWS`` and the sizes of buckets, shards, parts and bins change
 the work's order, not the result.
 
@@ -45,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.arrow import lean, pieces, texts_of, trim
+from orrery.llm.arrow import lean, pieces, texts_of, trim, unzipped, zipped
 from orrery.llm.graph import components, nodes
 from orrery.llm.words import BASE, MUL, hashes, mix
 from orrery.session import drop, keep
@@ -54,7 +59,9 @@ WORDS, PERCENT = 5, 75
 #: Fewest groups of a point, and groups for each shingle of a larger set.
 GROUPS, GROUPS_EACH = 128, 1 / 6
 #: Bytes of a bucket, prefix shingles of a shard on average, shingles of a block's part.
-BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 4 << 20, 1_000_000, 1_000_000
+BUCKET_BYTES, SHARD_SHINGLES, PART_SHINGLES = 8 << 20, 1_000_000, 1_000_000
+#: A prefix is longer than the rule asks by one shingle in so many of its set.
+LONGER = 16
 #: Classes that share a shingle, above which they are not searched for pairs in a tree but
 #: compared exactly as one block.  The result is the same on either side.
 CROWD = 128
@@ -66,9 +73,13 @@ BIN_ROWS = 500
 PIECE_BYTES, COUNTERS, LEAF = 2 << 20, 1 << 21, 32
 #: Postings that verification reads at once.
 POSTINGS = 1 << 20
-#: Rows of an id, a key of 16 bytes and eight numbers that may be broadcast; above, both sides are shuffled.
-BROADCAST_ROWS = 200_000
-#: Shards whose blocks are joined in one task before the graph is built.
+#: Rows of an id, a key of 16 bytes and eight numbers that may be broadcast; above, rows of texts that a
+#: bitmap of so many bits lets pass are shuffled.
+BROADCAST_ROWS, BITS = 200_000, 1 << 25
+#: Classes that a task remembers, so that it drafts the copies of a text once.
+REMEMBERED = 200_000
+#: Shards that meet in one part, so that a point goes there once, where there are more parts than these; and
+#: parts whose blocks are joined in one task before the graph is built.
 COMBINED = 8
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -240,6 +251,11 @@ class CountTree:
         return next(k for k, level in enumerate(self.levels) if level[0] is corner)
 
 
+def longer(n):
+    """By how many shingles the prefix of a set of ``n`` is longer than the places that the rule names, less one."""
+    return np.maximum(1, n // LONGER)
+
+
 class Order:
     """The fixed order of shingles: frequent ones last, by levels of the sketch."""
 
@@ -252,7 +268,7 @@ class Order:
 
     def prefix(self, shingles: np.ndarray) -> np.ndarray:
         n = len(shingles)
-        keep = n - -(-PERCENT * n // 100) + 1
+        keep = n - -(-PERCENT * n // 100) + longer(n)
         level = self.level[(shingles >> np.uint64(20)) % np.uint64(COUNTERS)]
         if not level.any():
             return shingles[:keep]
@@ -335,50 +351,90 @@ def sketch(surveyed: DataFrame) -> bytes:
     return b"".join(blocks.get(k, bytes(COUNTERS // 8)) for k in range(32))
 
 
+DRAFT = "a long, b long, n long, prefix binary, point binary"
+
+
+def drafts(docs: DataFrame, counts) -> DataFrame:
+    """Of each text with words, where it lies: its class, size, prefix (48 bits of each shingle) and point."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, seen = Order(counts.value), set()
+        for batch in batches:
+            for part in pieces(batch, "text", PIECE_BYTES):
+                rows = []
+                for s in shingle_sets(texts_of(part, "text")):
+                    if len(s) and (own := class_of(s)) not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(own)
+                        rows.append((*own, len(s), _six(order.prefix(s)), zipped(_narrow(point_of(s, int(groups_of(len(s))))))))
+                columns = list(zip(*rows)) or [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "n", "prefix", "point"])
+        trim()
+
+    return docs.select("text").mapInArrow(run, DRAFT)
+
+
+def _six(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of each."""
+    return shingles.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 MESSAGE = "bucket int, shard int, kind string, tokens binary, sizes binary, classes binary, n binary, points binary"
 _FIELDS = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("kind", pa.string())] + [(c, pa.binary()) for c in ("tokens", "sizes", "classes", "n", "points")])
 
 
-def _bucket_sets(table: pa.Table, keys: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A bucket's classes, ascending, with their sets: of texts whose key is among ``keys``."""
-    own = {}
-    table = table.filter(pc.is_in(table.column("key"), value_set=pa.array(keys, pa.binary())))
-    for batch in table.to_batches():
-        for part in pieces(batch, "text", PIECE_BYTES):
-            for s in shingle_sets(texts_of(part, "text")):
-                if len(s):
-                    own.setdefault(class_of(s), s)
-    classes = sorted(own)
-    return np.array(classes, np.int64).reshape(-1, 2), [own[c] for c in classes]
+class Bucket:
+    """Drafts of a bucket, one of each class, by class; their prefix shingles end to end, each in its order, with its shard and 32 bits."""
 
+    def __init__(self, table: pa.Table, shards: int):
+        ends = np.stack([table.column(c).to_numpy() for c in ("a", "b")], axis=1)
+        first = numbered(ends)[0]
+        own = table.take(pa.array(first))
+        self.classes, self.n, self.points = ends[first], own.column("n").to_numpy(), own.column("point")
+        held = own.column("prefix").to_pylist()
+        self.many = np.array([len(x) // 6 for x in held], np.int64)
+        wide = np.zeros((int(self.many.sum()), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
+        tokens = wide.view(np.uint64).ravel()
+        self.owner = np.repeat(np.arange(len(first)), self.many)
+        self.shard = (tokens % np.uint64(shards)).astype(np.int64)
+        self.tokens = (tokens // np.uint64(shards)).astype(np.uint32)
+        self.by = np.argsort(self.shard, kind="stable")
 
-def _prefixes(sets: list[np.ndarray], order: Order, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, shingles, number of the set of each), always in the same order."""
-    if not sets:
-        return
-    firsts = [order.prefix(s) for s in sets]
-    tokens = np.concatenate(firsts)
-    owner = np.repeat(np.arange(len(sets)), [len(f) for f in firsts])
-    shard = (tokens % np.uint64(shards)).astype(np.int64)
-    by = np.argsort(shard, kind="stable")
-    for own in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
-        yield int(shard[own[0]]), tokens[own], owner[own]
+    def shards(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(shard, places of its shingles, distinct ones, number of each), always the same."""
+        for at in np.split(self.by, np.flatnonzero(np.diff(self.shard[self.by])) + 1):
+            if len(at):
+                words, number = np.unique(self.tokens[at], return_inverse=True)
+                yield int(self.shard[at[0]]), at, words, number
 
+    def chosen(self, again: np.ndarray) -> np.ndarray:
+        """Of prefix shingles that occur again, those at which a class meets all its links."""
+        many = np.bincount(self.owner[again], minlength=len(self.n))
+        most = many - longer(self.n) + 1
+        count = np.cumsum(again)
+        before = np.concatenate([[0], count])[np.cumsum(self.many) - self.many]
+        return again & (count - before[self.owner] <= most[self.owner])
 
-def _keys(messages: pa.Table) -> list[bytes]:
-    """Keys of the texts that stand for their classes."""
-    return [k for k, kind in zip(messages.column("tokens").to_pylist(), messages.column("kind").to_pylist()) if kind == "text"]
 
+def _rising(words: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers, by their steps."""
+    return zipped(np.diff(words, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
 
-def _announce(shards: int, counts):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and (keys := _keys(right)):
-            bucket = left.column("bucket")[0].as_py()
-            _, sets = _bucket_sets(left, keys)
-            for shard, tokens, _ in _prefixes(sets, Order(counts.value), shards):
-                tokens, times = np.unique(tokens, return_counts=True)
-                out.append({"bucket": bucket, "shard": shard, "kind": "tokens", "tokens": tokens.tobytes(), "sizes": np.minimum(times, 255).astype(np.uint8).tobytes()})
+
+def _risen(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(unzipped(data), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _announce(shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        bucket, out = table.column("bucket")[0].as_py(), []
+        for shard, _, words, number in Bucket(table, shards).shards():
+            times = np.minimum(np.bincount(number), 255).astype(np.uint8)
+            out.append({"bucket": bucket, "shard": shard, "kind": "tokens", "tokens": _rising(words), "sizes": zipped(times.tobytes())})
         return lean(pa.Table.from_pylist(out, schema=_FIELDS))
 
     return run
@@ -388,68 +444,71 @@ def _answer(crowd: int):
     """Which announced shingles of each bucket occur more than once in the shard, and which in a crowd."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-        times = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in rows])
+        rows = table.select(["bucket", "shard", "tokens", "sizes"]).to_pylist()
+        held = [_risen(r["tokens"]) for r in rows]
+        tokens = np.concatenate(held)
+        times = np.concatenate([np.frombuffer(unzipped(r["sizes"]), np.uint8) for r in rows])
         order = np.argsort(tokens, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]]))
         total = np.add.reduceat(times[order].astype(np.int64), cuts)
         own = np.empty(len(tokens), np.int64)
         own[order] = np.repeat(total, np.diff(np.append(cuts, len(tokens))))
         out, at = [], 0
-        for r in rows:
-            mine = own[at : at + len(r["sizes"])]
-            at += len(r["sizes"])
+        for r, words in zip(rows, held):
+            mine = own[at : at + len(words)]
+            at += len(words)
             if (mine > 1).any():
-                out.append({"bucket": r["bucket"], "shard": r["shard"], "kind": "again", "tokens": np.packbits(mine > 1).tobytes(), "sizes": np.packbits(mine > crowd).tobytes()})
+                out.append({"bucket": r["bucket"], "shard": r["shard"], "kind": "again", "tokens": zipped(np.packbits(mine > 1).tobytes()), "sizes": zipped(np.packbits(mine > crowd).tobytes())})
         return lean(pa.Table.from_pylist(out, schema=_FIELDS))
 
     return run
 
 
-def _send(shards: int, counts):
-    """Points of the classes that have a shingle occurring again, to that shingle's shard.
+def _send(shards: int, parts: int):
+    """Points of the classes that may link, to the parts (of several shards) of the shingles at which they meet their links.
 
     Where a crowd shares the shingle, the bucket hangs its classes on one of them and
-    sends that one only: a shard gets a row for each bucket, however large the crowd.
+    sends that one only: a part gets a row for each bucket, however large the crowd.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        again = {r["shard"]: r for r in right.select(["shard", "kind", "tokens", "sizes"]).to_pylist() if r["kind"] == "again"}
-        if again and left.num_rows:
-            bucket = left.column("bucket")[0].as_py()
-            classes, sets = _bucket_sets(left, _keys(right))
-            hung = []
-            for shard, tokens, owner in _prefixes(sets, Order(counts.value), shards):
-                if shard not in again:
-                    continue
-                words, number = np.unique(tokens, return_inverse=True)
-                bits = lambda c: np.unpackbits(np.frombuffer(again[shard][c], np.uint8), count=len(words)).astype(bool)  # noqa: B023, E731
-                hit, crowded = bits("tokens")[number], bits("sizes")[number]
-                if crowded.any():
-                    order = np.lexsort((owner[crowded], number[crowded]))
-                    of, who = number[crowded][order], owner[crowded][order]
-                    first = np.concatenate([[True], of[1:] != of[:-1]])
+        answers = {r["shard"]: r for r in right.select(["shard", "tokens", "sizes"]).to_pylist()}
+        if answers and left.num_rows:
+            bucket, own, hung = left.column("bucket")[0].as_py(), Bucket(left, shards), []
+            again, crowded = (np.zeros(len(own.tokens), bool) for _ in range(2))
+            for shard, at, words, number in own.shards():
+                if shard in answers:
+                    for flags, c in ((again, "tokens"), (crowded, "sizes")):
+                        flags[at] = np.unpackbits(np.frombuffer(unzipped(answers[shard][c]), np.uint8), count=len(words)).astype(bool)[number]
+            sent = np.flatnonzero(own.chosen(again))
+            classes, points, to = own.classes, {}, own.shard[sent] % parts
+            for part in np.unique(to).tolist():
+                at = sent[to == part]
+                if (crowd := crowded[at]).any():
+                    tokens, who = own.tokens[at][crowd], own.owner[at][crowd]
+                    order = np.lexsort((who, tokens))
+                    tokens, who = tokens[order], who[order]
+                    first = np.concatenate([[True], tokens[1:] != tokens[:-1]])
                     least = who[first]
-                    hung.append(np.stack([np.repeat(least, np.diff(np.append(np.flatnonzero(first), len(of)))), who], axis=1))
-                    out.append({"bucket": bucket, "shard": shard, "kind": "crowd", "tokens": words[of[first]].tobytes(), "classes": classes[least].tobytes()})
-                one = hit & ~crowded
-                tokens, owner = tokens[one], owner[one]
-                if not len(tokens):
+                    hung.append(np.stack([np.repeat(least, np.diff(np.append(np.flatnonzero(first), len(who)))), who], axis=1))
+                    out.append({"bucket": bucket, "shard": part, "kind": "crowd", "tokens": tokens[first].tobytes(), "classes": classes[least].tobytes()})
+                at = at[~crowd]
+                if not len(at):
                     continue
-                by = np.argsort(owner, kind="stable")
-                tokens, owner = tokens[by], owner[by]
-                members, sizes = np.unique(owner, return_counts=True)
-                points = np.concatenate([point_of(sets[m], int(groups_of(len(sets[m])))) for m in members])
+                by = np.argsort(own.owner[at], kind="stable")
+                members, sizes = np.unique(own.owner[at], return_counts=True)
+                for m in members.tolist():
+                    if m not in points:
+                        points[m] = _wide(unzipped(own.points[m].as_py()))
                 out.append(
                     {
-                        "bucket": bucket, "shard": shard, "kind": "points", "tokens": tokens.tobytes(), "sizes": sizes.astype(np.uint32).tobytes(),
-                        "classes": classes[members].tobytes(), "n": np.array([len(sets[m]) for m in members], np.int64).tobytes(), "points": _narrow(points),
+                        "bucket": bucket, "shard": part, "kind": "points", "tokens": own.tokens[at][by].tobytes(), "sizes": sizes.astype(np.uint32).tobytes(),
+                        "classes": classes[members].tobytes(), "n": own.n[members].tobytes(), "points": zipped(_narrow(np.concatenate([points[m] for m in members.tolist()]))),
                     }
                 )
-            if hung and len(pairs := spanning(np.concatenate(hung), len(sets))):
-                out.append({"bucket": bucket, "shard": bucket % shards, "kind": "hung", "classes": classes[pairs.ravel()].tobytes()})
+            if hung and len(pairs := spanning(np.concatenate(hung), len(classes))):
+                out.append({"bucket": bucket, "shard": bucket % parts, "kind": "hung", "classes": classes[pairs.ravel()].tobytes()})
         return lean(pa.Table.from_pylist(out, schema=_FIELDS))
 
     return run
@@ -474,7 +533,7 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
 def _meet(table: pa.Table) -> pa.Table:
     """Blocks of candidates: classes that share a shingle here and pass the bound, joined.
 
-    Only what joins a block leaves the shard, not all its pairs.  Members of a crowd are
+    Only what joins a block leaves the part, not all its pairs.  Members of a crowd are
     hung on the least of them, and so into one block; there every pair is compared.
     """
     found = [np.empty((0, 2, 2), np.int64)]
@@ -487,8 +546,8 @@ def _meet(table: pa.Table) -> pa.Table:
         classes = np.concatenate([_classes(r["classes"]) for r in rows])
         n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows])
-        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-        flat = np.concatenate([_wide(r["points"]) for r in rows])
+        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint32) for r in rows])
+        flat = np.concatenate([_wide(unzipped(r["points"])) for r in rows])
         del rows
         first, number = numbered(classes)
         classes, points = classes[first], Points(flat, n, first)
@@ -496,7 +555,7 @@ def _meet(table: pa.Table) -> pa.Table:
         for pairs in _candidates(points, np.repeat(number, sizes), tokens):
             found.append(classes[pairs])
     if rows := of.pop("crowd", None):
-        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
+        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint32) for r in rows])
         classes = np.concatenate([_classes(r["classes"]) for r in rows])
         order = np.argsort(tokens, kind="stable")
         tokens, classes = tokens[order], classes[order]
@@ -546,7 +605,7 @@ EDGES = "a struct<a:bigint,b:bigint>, b struct<a:bigint,b:bigint>"
 
 
 def _combine(table: pa.Table) -> pa.Table:
-    """What joins the blocks of several shards."""
+    """What joins the blocks of several parts."""
     a, b = (np.concatenate([_classes(x) for x in table.column(c).to_pylist()]) for c in ("a", "b"))
     made = _joining(np.stack([a, b], axis=1))
     return lean(pa.table({c: _class_column(_classes(made[c])) for c in ("a", "b")}))
@@ -657,22 +716,18 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     sums = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
     buckets = max(1, -(-sums["size"] // BUCKET_BYTES))
     shards = max(1, -(-sums["total"] // (4 * SHARD_SHINGLES)))
+    parts = max(min(shards, COMBINED), -(-shards // COMBINED))
     # One text stands for its class from here on.
     one = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first")
     reps = keep(rows.where("n > 0").groupBy("class").agg(one, F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
-    own_bucket = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(buckets)).cast("int").alias("bucket")
-    dealt = docs.withColumn("bucket", own_bucket("id", "key")).repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+    bucket = F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int")
+    dealt = drafts(docs, counts).withColumn("bucket", bucket).repartitionById(buckets, F.col("bucket")).groupBy("bucket")
     to_shard = lambda m: m.repartitionById(shards, F.col("shard")).groupBy("shard")
-    to_bucket = lambda m: m.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
-    chosen = reps.select(
-        own_bucket("first.id", "first.key"), F.lit(None).cast("int").alias("shard"), F.lit("text").alias("kind"), F.col("first.key").alias("tokens"),
-        *(F.lit(None).cast("binary").alias(c) for c in ("sizes", "classes", "n", "points")),
-    )
-    announced = dealt.cogroup(to_bucket(chosen)).applyInArrow(_announce(shards, counts), MESSAGE)
+    announced = dealt.applyInArrow(_announce(shards), MESSAGE)
     answered = to_shard(announced).applyInArrow(_answer(CROWD), MESSAGE)
-    sent = dealt.cogroup(to_bucket(answered.unionByName(chosen))).applyInArrow(_send(shards, counts), MESSAGE)
-    met = to_shard(sent).applyInArrow(_meet, "shard int, a binary, b binary")
-    few = -(-shards // COMBINED)
+    sent = dealt.cogroup(answered.repartitionById(buckets, F.col("bucket")).groupBy("bucket")).applyInArrow(_send(shards, parts), MESSAGE)
+    met = sent.repartitionById(parts, F.col("shard")).groupBy("shard").applyInArrow(_meet, "shard int, a binary, b binary")
+    few = -(-parts // COMBINED)
     met = met.withColumn("part", F.pmod("shard", F.lit(few)).cast("int")).repartitionById(few, F.col("part")).groupBy("part")
     joined = keep(met.applyInArrow(_combine, EDGES).distinct())
     # What one task has combined hangs on the least classes already.
@@ -706,12 +761,29 @@ def _verified(docs: DataFrame, reps: DataFrame, blocks: DataFrame) -> DataFrame:
     placed = keep(placed)
     amount = placed.count()
     bins = max(1, -(-amount // BIN_ROWS))
-    # Few enough rows go to every executor, so that texts need not move to meet them.
-    side = F.broadcast(placed) if amount <= BROADCAST_ROWS else placed
-    texts = docs.join(side, docs["id"].eqNullSafe(placed["rep_id"]) & (docs["key"] == placed["rep_key"])).select(
+    # Few enough rows go to every executor, so that texts need not move to meet them; else only texts that may meet one move.
+    side, own = (F.broadcast(placed), docs) if amount <= BROADCAST_ROWS else (placed, docs.where(_among(placed)("id", "key")))
+    texts = own.join(side, docs["id"].eqNullSafe(placed["rep_id"]) & (docs["key"] == placed["rep_key"])).select(
         "text", "ca", "cb", "ra", "rb", "copies", "low", "high", "side", F.pmod(F.xxhash64("ra", "rb", "low", "high"), F.lit(bins)).cast("int").alias("bin")
     )
     found = texts.repartitionById(bins, F.col("bin")).groupBy("bin").applyInArrow(_verify, EDGES + ", links long")
     verified = keep(found.hint("rebalance"))  # few files, however many bins
     drop(placed)
     return verified
+
+
+def _among(placed: DataFrame):
+    """Whether a row of (id, key) may be one of ``placed``, by a bitmap of fixed size: one that is passes always."""
+    place = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(BITS))
+    at = placed.select(place("rep_id", "rep_key").alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(BITS >> 6, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    held = placed.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def there(at: pa.Array) -> pa.Array:
+        at = at.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return lambda i, k: there(place(i, k))

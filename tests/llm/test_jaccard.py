@@ -211,3 +211,32 @@ def test_rows_without_ids_and_with_the_same_id(spark, monkeypatch, hot):
     assert sorted(((r["id"], r["n_shingles"], r["n_links"]) for r in found), key=repr) == sorted(((i, len(shingles(t)), n) for (i, t), n in zip(rows, link_counts(rows))), key=repr)
     assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in found), key=repr) == brute(rows)
     assert all((r["first"] is None) == (r["n_shingles"] == 0) for r in found)
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark._jsparkSession.sparkContext().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_what_moves_is_less_than_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "BUCKET_BYTES", 1_500_000)
+    monkeypatch.setattr(J, "SHARD_SHINGLES", 8_000)
+    rnd = random.Random(12)
+    word = lambda k: "".join(rnd.choice("etaoinshrdlucm") for _ in range(7)) if k else ""
+    words, lines = [word(1) for _ in range(20_000)], [" ".join(word(1) for _ in range(12)) for _ in range(150)]
+    rows = []
+    for k in range(1_500):  # documents of their own that share lines with a few others, and some near copies
+        own = [rnd.choice(words) for _ in range(400)]
+        for _ in range(4):
+            own.insert(rnd.randrange(len(own)), rnd.choice(lines))
+        rows.append((k, " ".join(own)))
+        if k % 30 == 0:
+            rows.append((10_000 + k, rows[-1][1] + " more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    size, before = sum(len(t) for _, t in rows), shuffled(spark) if df.count() else 0
+    found = J.join(df).select("id", "n_links").collect()
+    moved = shuffled(spark) - before
+    assert sorted(r["id"] for r in found if r["n_links"]) == sorted([*range(0, 1_500, 30), *range(10_000, 11_500, 30)])
+    assert moved < 1.5 * size, (moved, size)  # sketches of a fixed size among them
