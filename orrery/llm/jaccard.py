@@ -762,7 +762,7 @@ def _verified(docs: DataFrame, reps: DataFrame, blocks: DataFrame) -> DataFrame:
     amount = placed.count()
     bins = max(1, -(-amount // BIN_ROWS))
     # Few enough rows go to every executor, so that texts need not move to meet them; else only texts that may meet one move.
-    side, own = (F.broadcast(placed), docs) if amount <= BROADCAST_ROWS else (placed, docs.where(_among(placed)("id", "key")))
+    side, own = (F.broadcast(placed), docs) if amount <= BROADCAST_ROWS else (placed, docs.where(among(placed, "rep_id", "rep_key")(F.col("id"), F.col("key"))))
     texts = own.join(side, docs["id"].eqNullSafe(placed["rep_id"]) & (docs["key"] == placed["rep_key"])).select(
         "text", "ca", "cb", "ra", "rb", "copies", "low", "high", "side", F.pmod(F.xxhash64("ra", "rb", "low", "high"), F.lit(bins)).cast("int").alias("bin")
     )
@@ -772,14 +772,14 @@ def _verified(docs: DataFrame, reps: DataFrame, blocks: DataFrame) -> DataFrame:
     return verified
 
 
-def _among(placed: DataFrame):
-    """Whether a row of (id, key) may be one of ``placed``, by a bitmap of fixed size: one that is passes always."""
+def among(rows: DataFrame, id: str, key: str):
+    """Whether an (id, key) may be one of ``rows``, by a bitmap of fixed size: one that is passes always."""
     place = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(BITS))
-    at = placed.select(place("rep_id", "rep_key").alias("at"))
+    at = rows.select(place(id, key).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
     bits = np.zeros(BITS >> 6, np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    held = placed.sparkSession.sparkContext.broadcast(bits)
+    held = rows.sparkSession.sparkContext.broadcast(bits)
 
     @F.arrow_udf("boolean")
     def there(at: pa.Array) -> pa.Array:

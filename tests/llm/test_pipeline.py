@@ -1,6 +1,7 @@
 """The pipeline's decisions against brute force over its own stages' inputs."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from orrery.llm import quality, secrets
 from tests.llm.test_classifiers import documents
 from tests.llm.test_decontaminate import brute as contaminated
-from tests.llm.test_jaccard import link_rows
+from tests.llm.test_jaccard import link_rows, shuffled
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -90,3 +91,16 @@ def test_empty_tables_and_other_columns(spark, tmp_path):
         found = docs.collect()
         assert len(found) == (3 if own else 0) and all(r["identical"] for r in found)
     assert "[SECRET]" in {r["text"] for r in spark.read.parquet(f"{tmp_path}/some3").collect() if r["doc_id"] == 2}.pop()
+
+
+def test_rows_without_near_copies_stay_where_they_lie(spark, tmp_path):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("etaoinshrdlucmwfgypb") for _ in range(9)) for _ in range(50_000)]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(1_500)), "en", "s", 1) for k in range(400)]
+    rows += [(1_000, rows[7][1] + " more", "en", "s", 1), rows[9], (None, rows[11][1], "en", "s", 1), (12, "other", "en", "s", 1), (13, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, n_chars int").repartition(4).cache()
+    size, before = sum(len(r[1] or "") for r in rows), shuffled(spark) if docs.count() else 0
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path)).collect()
+    moved = shuffled(spark) - before
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == sorted((r[0], r[1] or "") for r in rows[:400] + rows[403:])
+    assert moved < size, (moved, size)
