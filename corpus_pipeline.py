@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, decontaminate, jaccard, quality, secrets
+from orrery.members import among
 from orrery.session import delete, ensure_checkpoints, keep, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,7 +38,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     found = keep(jaccard.join(docs.select("doc_id", "text")).select("id", "key", "n_links", "first"))
     # A row that links with none stays where it lies; the others, and few besides, are joined.
-    linked = jaccard.among(found.where("n_links > 0"), "id", "key")(F.col("doc_id").cast("long"), F.col("key"))
+    linked = among(found.where("n_links > 0"), "id", "key")(F.col("doc_id").cast("long"), F.col("key"))
     marked = docs.withColumn("linked", worded & linked)
     first = found.where("first IS NOT NULL").select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")).distinct()
     kept = marked.where("linked").join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")), "left_semi")

@@ -53,6 +53,7 @@ from pyspark.sql import functions as F
 from orrery.llm.arrow import lean, pieces, texts_of, trim, unzipped, zipped
 from orrery.llm.graph import components, nodes
 from orrery.llm.words import BASE, MUL, hashes, mix
+from orrery.members import among
 from orrery.session import drop, keep
 
 WORDS, PERCENT = 5, 75
@@ -74,8 +75,8 @@ PIECE_BYTES, COUNTERS, LEAF = 2 << 20, 1 << 21, 32
 #: Postings that verification reads at once.
 POSTINGS = 1 << 20
 #: Rows of an id, a key of 16 bytes and eight numbers that may be broadcast; above, rows of texts that a
-#: bitmap of so many bits lets pass are shuffled.
-BROADCAST_ROWS, BITS = 200_000, 1 << 25
+#: bitmap lets pass are shuffled.
+BROADCAST_ROWS = 200_000
 #: Classes that a task remembers, so that it drafts the copies of a text once.
 REMEMBERED = 200_000
 #: Shards that meet in one part, so that a point goes there once, where there are more parts than these; and
@@ -770,20 +771,3 @@ def _verified(docs: DataFrame, reps: DataFrame, blocks: DataFrame) -> DataFrame:
     verified = keep(found.hint("rebalance"))  # few files, however many bins
     drop(placed)
     return verified
-
-
-def among(rows: DataFrame, id: str, key: str):
-    """Whether an (id, key) may be one of ``rows``, by a bitmap of fixed size: one that is passes always."""
-    place = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(BITS))
-    at = rows.select(place(id, key).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
-    bits = np.zeros(BITS >> 6, np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    held = rows.sparkSession.sparkContext.broadcast(bits)
-
-    @F.arrow_udf("boolean")
-    def there(at: pa.Array) -> pa.Array:
-        at = at.to_numpy(zero_copy_only=False)
-        return pa.array((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
-
-    return lambda i, k: there(place(i, k))

@@ -1,5 +1,7 @@
 """Words beside other scripts, and steps whose tasks must stay small as tables grow."""
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -118,3 +120,32 @@ def test_orders_with_redundancy_hold_no_topic_in_a_task(spark):
     found = G.arm(df, "DUAL", 7).collect()
     expected = pd.concat([G.dual_order(own, True, 7) for _, own in rows.groupby("topic")])
     assert sorted(map(tuple, found)) == sorted(expected.itertuples(index=False, name=None))
+
+
+def test_sets_that_only_share_terms_do_not_move_with_each_pair(spark):
+    from orrery.operators import copies
+    from tests.llm.test_jaccard import shuffled
+
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(4_000)]
+    sets = [rnd.sample(words, rnd.randrange(950, 1_050)) for _ in range(200)]
+    sets += [own[:-1] for own in sets[:20]] + [own[:-40] + ["new"] for own in sets[:10]] + [sets[30], sets[31][:30], sets[31][:29]]
+    rows = [(1, k, " ".join(own)) for k, own in enumerate(sets)] + [(2, 5_000, " ".join(sets[0])), (2, 5_001, ""), (1, 5_002, None)]
+    df = spark.createDataFrame(rows, "topic long, doc long, terms string").repartition(4).cache()
+    before = shuffled(spark) if df.count() else 0
+    made = copies.linked(df)
+    moved = shuffled(spark) - before
+    found = {r["doc"]: r for r in made.collect()}
+    heads = {r["head"]: r["doc"] for r in found.values() if r["head"] is not None}
+    expected, distinct = {}, [set(own) for own in sets]
+    for i, a in enumerate(distinct):
+        for j, b in enumerate(distinct):
+            if a != b and (x := len(a & b) / len(a | b)) > 0.8:
+                expected.setdefault(i, {})[frozenset(b)] = (x - 0.8) / 0.2
+    for k in range(len(sets)):
+        near = {frozenset(distinct[heads[x["head"]]]): x["p"] for x in found[k]["links"] or ()}
+        assert near == expected.get(k, {}) or (k in (30, 230) and not near), k
+        assert (found[k]["component"] is not None) == (k in expected or k in (30, 230))
+    assert found[5_000]["component"] is None and found[5_001]["head"] is None and found[5_002]["head"] is None
+    size = sum(8 * len(own) for own in sets)
+    assert moved < 20 * size, (moved, size)
