@@ -133,7 +133,11 @@ def test_sets_that_only_share_terms_do_not_move_with_each_pair(spark):
     rows = [(1, k, " ".join(own)) for k, own in enumerate(sets)] + [(2, 5_000, " ".join(sets[0])), (2, 5_001, ""), (1, 5_002, None)]
     df = spark.createDataFrame(rows, "topic long, doc long, terms string").repartition(4).cache()
     before = shuffled(spark) if df.count() else 0
-    made = copies.linked(df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are large
+    try:
+        made = copies.linked(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     moved = shuffled(spark) - before
     found = {r["doc"]: r for r in made.collect()}
     heads = {r["head"]: r["doc"] for r in found.values() if r["head"] is not None}
